@@ -178,7 +178,7 @@ def duck_text(sql: str) -> str:
     sql = re.sub(r"@US\((\w+)\)", r"epoch_us(\1)", sql)
     sql = sql.replace("@LIST(", "list_value(")
     sql = re.sub(r"@POS\((\w+), (\w+), (\{\w+\})\)", lambda m: _DUCK["POS"].format(*m.groups()), sql)
-    return re.sub(r"\{(\w+)\}", r"\1", sql)
+    return re.sub(r"\{([a-z]\w*)\}", r"\1", sql)
 
 
 def _views_of(sql: str, seen: list[str]) -> list[str]:
@@ -221,7 +221,7 @@ class Tables:
 
     def select(self, sql: str) -> DataFrame:
         """SELECT over given tables and views, named as ``{table}`` or ``{v_view}``."""
-        names = set(re.findall(r"\{(\w+)\}", sql))
+        names = set(re.findall(r"\{([a-z]\w*)\}", sql))
         return self.spark.sql(_spark_text(sql), **{n: getattr(self, n.removeprefix("v_")) for n in names})
 
     def values(self, rows: list[tuple], schema: str) -> DataFrame:

@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
 from inspectlake.plans.registry import QUERIES  # noqa: F401
-from inspectlake.plans import q_anomaly, q_events, q_fusion, q_health  # noqa: F401
+from inspectlake.plans import q_anomaly, q_events, q_fusion, q_health, q_quality  # noqa: F401

@@ -1,9 +1,9 @@
 """Inspection tables derived from the given tables.
 
 Each view is one SELECT shared by Spark and the check engine.  ``{name}`` is a
-given table or another view.  Three spellings differ between the two dialects
+given table or another view.  Four spellings differ between the two dialects
 and are written as macros: ``@US(ts)`` (epoch microseconds), ``@LIST(a, b)``
-(array literal) and ``@POS`` (an array turned into rows with positions).
+(array literal), ``@CRC`` (CRC-32 of a text) and ``@POS`` (an array turned into rows with positions).
 No view drops rows of its table.
 """
 
@@ -85,7 +85,7 @@ VIEWS["v_queries"] = "SELECT vec_id, embedding, label FROM {embeddings}"
 VIEWS["v_frames"] = """
 SELECT vec_id AS frame_id, cast(floor(vec_id / 6) AS bigint) AS sequence_id,
   CASE WHEN vec_id % 6 < 3 THEN 'TOP_BACK' ELSE 'TOP_CUSHION' END AS camera_id,
-  CASE WHEN vec_id % 12 < 3 THEN '' WHEN vec_id % 18 = 4 THEN 'P2' WHEN vec_id % 6 < 3 THEN 'TOP_BACK' ELSE 'TOP_CUSHION' END AS pose_id,
+  CASE WHEN vec_id % 12 < 3 OR vec_id % 30 = 7 THEN '' WHEN vec_id % 18 = 4 THEN 'P2' WHEN vec_id % 18 = 10 THEN 'P3' WHEN vec_id % 6 < 3 THEN 'TOP_BACK' ELSE 'TOP_CUSHION' END AS pose_id,
   CASE WHEN vec_id % 23 = 5 THEN 'BAR_LEFT' WHEN vec_id % 3 = 0 THEN 'DIFFUSE' WHEN vec_id % 3 = 1 THEN 'POLAR_DIFFUSE' ELSE 'HIGH_LEFT' END AS light_id,
   cast(CASE WHEN vec_id % 37 = 8 THEN 0 ELSE vec_id % 3 END AS int) AS light_seq_index, cast(vec_id % 31 AS int) AS frame_index,
   8 AS width, 8 AS height, CASE WHEN vec_id % 41 = 3 THEN 4 ELSE 8 END AS stride_bytes, CASE WHEN vec_id % 53 = 9 THEN 3 ELSE 1 END AS channels,
@@ -96,7 +96,8 @@ SELECT vec_id AS frame_id, cast(floor(vec_id / 6) AS bigint) AS sequence_id,
   CASE WHEN vec_id % 19 = 4 THEN 0 ELSE cast(floor(vec_id / 6) AS bigint) + 1 END AS shot_id,
   CASE WHEN vec_id % 47 = 10 THEN 0 ELSE 5000 + cast(floor(vec_id / 3) AS bigint) END AS robot_timestamp_us,
   100.0e0 + (CASE WHEN vec_id % 21 = 5 THEN 2.0e0 ELSE 0.0e0 END) AS robot_x, 0.0e0 AS robot_rx,
-  CASE WHEN vec_id % 2 = 0 THEN 'SKU1' ELSE 'SKU2' END AS sku, label
+  CASE WHEN vec_id % 61 = 5 THEN 'SKU9' ELSE 'SKU1' END AS sku, label, concat('r', cast(cast(floor(vec_id / 6) AS bigint) % 2 AS varchar(4))) AS recipe_id,
+  CASE WHEN vec_id % 59 = 13 THEN 'cal_old' ELSE 'cal1' END AS calibration_id
   FROM {embeddings}"""
 
 # Frame pixels: a 64-value vector read as an 8 x 8 grey image.
@@ -164,18 +165,55 @@ SELECT o_orderkey AS sequence_id, o_custkey % 50 AS station_id,
     ELSE concat('SN', cast((o_orderkey * 7) % 40 AS varchar(20)), '_', lpad(cast(o_orderkey AS varchar(20)), 12, '0')) END AS seat_id,
   @US(o_orderdate) + o_orderkey * 3 AS ts_us, CASE o_orderstatus WHEN 'F' THEN 'ok' WHEN 'O' THEN 'NG' ELSE 'x' END AS decision FROM {orders}"""
 
+# Two recipes: one with camera defaults only, one with an explicit extra pose.
+VIEWS["v_recipe"] = """
+SELECT * FROM (VALUES ('r0', 'SKU1', 'DIFFUSE', 'POLAR_DIFFUSE'), ('r1', 'SKU1', 'POLAR_DIFFUSE', 'DIFFUSE')) AS t(recipe_id, recipe_sku, base_light_id, fallback_light_id)"""
+VIEWS["v_recipe_views"] = """
+SELECT * FROM (VALUES ('r0', 'TOP_BACK', 'TOP_BACK', 'm_back', 'net', 'DIFFUSE'), ('r0', 'TOP_CUSHION', 'TOP_CUSHION', 'm_cushion', '', 'HIGH_LEFT'),
+  ('r1', 'TOP_BACK', 'TOP_BACK', 'm_back', '', 'DIFFUSE'), ('r1', 'TOP_CUSHION', 'TOP_CUSHION', 'm_cushion', 'net', 'DIFFUSE'), ('r1', 'TOP_CUSHION', 'P2', 'm_pose', '', 'POLAR_DIFFUSE'))
+  AS t(recipe_id, camera_id, pose_id, model_key, safety_net_key, view_base_light)"""
+VIEWS["v_recipe_lights"] = """
+SELECT r.recipe_id, l.pos, l.light_id, l.required FROM {v_recipe} r JOIN (VALUES (0, 'DIFFUSE', true), (1, 'POLAR_DIFFUSE', true), (2, 'HIGH_LEFT', true), (3, 'HIGH_RIGHT', false)) AS l(pos, light_id, required) ON true"""
+
+# Regions per camera; one reaches outside the image.
+VIEWS["v_rois"] = """
+SELECT * FROM (VALUES ('TOP_BACK', 'seat', 0, 1, 1, 6, 5), ('TOP_BACK', 'edge', 1, 0, 4, 7, 7), ('TOP_CUSHION', 'seat', 0, 2, 0, 7, 6), ('TOP_CUSHION', 'wide', 2, 0, 0, 9, 3))
+  AS t(camera_id, roi_name, class_id, rx0, ry0, rx1, ry1)"""
+# Region detections: normalised boxes, some outside the frame or of an unknown class.
+VIEWS["v_roi_detections"] = """
+SELECT vec_id AS det_id, cast(floor(vec_id / 5) AS bigint) AS frame_key, CASE WHEN floor(vec_id / 5) % 2 = 0 THEN 'TOP_BACK' ELSE 'TOP_CUSHION' END AS camera_id, label % 3 AS class_id,
+  0.3e0 + label * 0.07e0 AS confidence, (vec_id % 11) / 50.0e0 AS bx0, (vec_id % 7) / 40.0e0 AS by0, (vec_id % 11) / 50.0e0 + 0.5e0 + (vec_id % 13) / 30.0e0 AS bx1, (vec_id % 7) / 40.0e0 + 0.6e0 AS by1 FROM {embeddings}"""
+# Detector rows: eight numbers per detection.
+VIEWS["v_raw"] = "SELECT vec_id AS det_id, embedding, label FROM {embeddings}"
+
+# Frame records of a payload: byte ranges, stated and true checksums.
+VIEWS["v_payload"] = """
+SELECT sequence_id, frame_id, cast(frame_id % 6 AS int) AS frame_pos, camera_id, pose_id, light_id, stride_bytes, height, pixel_format,
+  100 + (frame_id % 6) * 64 - (CASE WHEN frame_id % 67 = 9 THEN 10 ELSE 0 END) AS image_offset, CASE WHEN frame_id % 71 = 20 THEN 20 ELSE 64 END AS image_size,
+  concat('img', cast(frame_id AS varchar(20))) AS image_text, @CRC(concat('img', cast(frame_id AS varchar(20)))) + (CASE WHEN frame_id % 73 = 30 THEN 1 ELSE 0 END) AS image_crc32
+  FROM {v_frames}"""
+
 _SPARK = {"POS": "(SELECT {0}, posexplode({1}) AS (pos, e) FROM {2})"}
 _DUCK = {"POS": "(SELECT {0}, unnest(range(len({1}))) AS pos, unnest({1}) AS e FROM {2})"}
 
 
+# The check engine has no CRC-32: bit by bit over the characters of an ASCII text.
+_DUCK_CRC = (
+    "xor(list_reduce(list_transform(string_split({0}, ''), lambda ch: ascii(ch)::bigint), "
+    "lambda c, b: list_reduce(range(8), lambda k, i: xor(k >> 1, 3988292384 * (k & 1)), xor(c, b)), 4294967295::bigint), 4294967295::bigint)"
+)
+
+
 def _spark_text(sql: str) -> str:
     sql = re.sub(r"@US\((\w+)\)", r"unix_micros(cast(\1 AS timestamp))", sql)
+    sql = re.sub(r"@CRC\((.+?\)\))\)", r"crc32(cast(\1 AS binary))", sql)
     sql = sql.replace("@LIST(", "array(")
     return re.sub(r"@POS\((\w+), (\w+), (\{\w+\})\)", lambda m: _SPARK["POS"].format(*m.groups()), sql)
 
 
 def duck_text(sql: str) -> str:
     sql = re.sub(r"@US\((\w+)\)", r"epoch_us(\1)", sql)
+    sql = re.sub(r"@CRC\((.+?\)\))\)", lambda m: _DUCK_CRC.format(m.group(1)), sql)
     sql = sql.replace("@LIST(", "list_value(")
     sql = re.sub(r"@POS\((\w+), (\w+), (\{\w+\})\)", lambda m: _DUCK["POS"].format(*m.groups()), sql)
     return re.sub(r"\{([a-z]\w*)\}", r"\1", sql)

@@ -186,6 +186,41 @@ SELECT vec_id AS det_id, cast(floor(vec_id / 5) AS bigint) AS frame_key, CASE WH
 # Detector rows: eight numbers per detection.
 VIEWS["v_raw"] = "SELECT vec_id AS det_id, embedding, label FROM {embeddings}"
 
+# Event log lines as the stations write them: some broken, blank or of another schema.
+VIEWS["v_event_lines"] = """
+SELECT sequence_id AS line_no, station_id, CASE WHEN sequence_id % 50 = 3 THEN '{"schema":"x.display_event.v1","sequence_id":' WHEN sequence_id % 50 = 4 THEN '  ' WHEN sequence_id % 50 = 6 THEN '[1,2]'
+  ELSE concat('{"schema":"', CASE WHEN sequence_id % 50 = 5 THEN 'x.other.v1' ELSE 'x.display_event.v1' END, '","sequence_id":', CASE WHEN sequence_id % 9 = 0 THEN concat('"', cast(sequence_id AS varchar(20)), '"') ELSE cast(sequence_id AS varchar(20)) END,
+    CASE WHEN sequence_id % 11 = 2 THEN '' WHEN sequence_id % 11 = 3 THEN ',"decision":""' ELSE concat(',"decision":"', decision, '"') END, ',"error_code":', cast(error_code AS varchar(4)),
+    CASE WHEN sequence_id % 13 = 1 THEN '' ELSE concat(',"defect_count":', cast(defect_count AS varchar(4))) END, ',"quality_pass":', CASE WHEN quality_pass THEN 'true' ELSE 'false' END,
+    CASE WHEN sequence_id % 17 = 3 THEN ',"source":""' WHEN sequence_id % 17 = 4 THEN ',"source":"rig2"' ELSE '' END, ',"timestamp_ms":', cast(cast(floor(ts_us / 1000) AS bigint) AS varchar(20)),
+    ',"defects":[', CASE WHEN decision = 'NG' THEN concat('{"defect_id":"d', cast(sequence_id AS varchar(20)), '","camera_id":"TOP_BACK","score":0.5},7,{"defect_id":"e","camera_id":"TOP_CUSHION","pose_id":"P2","class_name":"stain"}') ELSE '' END, ']',
+    ',"error":', CASE WHEN asset_unavailable THEN '{"asset":{"kind":"bank"}}' WHEN decision = 'ERROR' AND sequence_id % 5 = 1 THEN '{"asset_unavailable":true}' WHEN decision = 'ERROR' THEN '{"asset":{}}' ELSE '{}' END,
+    CASE WHEN sample_enabled THEN ',"sample_collection":{"enabled":true}' ELSE '' END, '}') END AS value, sequence_id, trigger_id, seat_id, decision, error_code, ts_us FROM {v_results}"""
+VIEWS["v_controller_lines"] = """
+SELECT sequence_id AS line_no, CASE WHEN sequence_id % 40 = 3 THEN '{"event":' ELSE concat('{"timestamp_us":', cast(ts_us AS varchar(20)), ',"event":"', event, '","sequence_id":', cast(sequence_id AS varchar(20)),
+  CASE WHEN decision = '' THEN '' ELSE concat(',"decision":"', decision, '"') END, ',"error_code":', cast(error_code AS varchar(4)), ',"message":"', message, '"}') END AS value, event, decision, error_code, message, ts_us, sequence_id FROM {v_controller}"""
+# One journal per station; a few journals hold a broken line.
+VIEWS["v_journal_lines"] = """
+SELECT event_id AS line_no, user_id AS station_id, event_type, CASE WHEN event_id % 397 = 5 THEN '{"record_type":' WHEN event_type = 'click' THEN concat('{"record_type":"operator_action","record":{"id":', cast(event_id AS varchar(20)), '}}')
+  WHEN event_type = 'view' THEN '{"record_type":"log","record":5}' ELSE concat('{"record_type":"log","record":{"id":', cast(event_id AS varchar(20)), ',"status":"', upper(event_type), '","confidence":', cast(event_id % 7 AS varchar(4)), '}}') END AS value FROM {events}"""
+VIEWS["v_review_files"] = """
+SELECT event_id AS file_id, CASE event_id % 3 WHEN 0 THEN concat('[{"id":', cast(event_id AS varchar(20)), ',"review_status":"pending"},3,{"id":', cast(event_id + 1 AS varchar(20)), ',"status":"NG"}]') WHEN 1 THEN concat('{"id":', cast(event_id AS varchar(20)), '}') ELSE '[{"id":' END AS value FROM {events}"""
+# Manifest lines over the frames, with a few rows that must be refused.
+VIEWS["v_manifest_lines"] = """
+SELECT frame_id AS line_no, concat('{"sample_id":"', CASE WHEN frame_id % 37 = 1 THEN '' ELSE sample_id END, '","camera_id":"', camera_id, '","roi_name":"seat","light_id":"', light_id, '"', CASE WHEN frame_id % 41 = 2 THEN '' ELSE concat(',"image_path":"', image_path, '"') END,
+  CASE WHEN frame_id % 2 = 0 THEN concat(',"pose_id":"', pose_id, '"') ELSE '' END, CASE WHEN frame_id % 3 = 0 THEN concat(',"split":"', split, '"') ELSE '' END, CASE WHEN frame_id % 5 = 0 THEN ',"has_defect":false' ELSE '' END,
+  CASE frame_id % 6 WHEN 0 THEN ',"ground_truth":[{"bbox_xyxy_pixel":[1,2,3,4],"severity":"critical"},{"bbox_xyxy_pixel":[5,5,9,9]}]' WHEN 1 THEN ',"ground_truth_bbox":[[2,2,4,4]],"bbox_xyxy_pixel":[[0,0,1,1]]' WHEN 2 THEN ',"bbox_xyxy_pixel":[[0,0,1,1],[3,3,3,3]]'
+    WHEN 3 THEN CASE WHEN frame_id % 4 = 1 THEN ',"bbox_xyxy_pixel":[[4,0,1,1]]' ELSE ',"ground_truth":[]' END WHEN 4 THEN CASE WHEN frame_id % 5 = 1 THEN ',"ground_truth":[{"bbox_xyxy_pixel":[1,2,3]}]' ELSE '' END ELSE '' END, '}') AS value,
+  frame_id, sample_id, camera_id, pose_id, light_id, image_path, split FROM {v_manifest}"""
+# Files of result directories.
+VIEWS["v_trace_files"] = """
+SELECT concat('trace/', cast(sequence_id AS varchar(20)), '/result.json') AS path, concat('{"sequence_id":', cast(sequence_id AS varchar(20)), CASE WHEN sequence_id % 3 = 0 THEN '' ELSE concat(',"seat_id":"', seat_id, '"') END, CASE WHEN sequence_id % 19 = 4 THEN '' ELSE concat(',"decision":"', decision, '"') END, '}') AS value FROM {v_results} WHERE error_code <> 9
+UNION ALL SELECT concat('trace/', cast(sequence_id AS varchar(20)), '/job.json'), concat('{"seat_id":"J', seat_id, '","recipe_id":"rj"}') FROM {v_results} WHERE decision <> 'NG'
+UNION ALL SELECT concat('trace/', cast(sequence_id AS varchar(20)), '/recipe_summary.json'), '{"recipe_id":"rs"}' FROM {v_results} WHERE decision = 'OK'"""
+VIEWS["v_image_paths"] = """
+SELECT frame_id, CASE frame_id % 7 WHEN 0 THEN concat(camera_id, '/seat/', light_id, '.png') WHEN 1 THEN concat(camera_id, '/P2/seat/', light_id, '.PNG') WHEN 2 THEN concat(camera_id, '_', light_id, '.png') WHEN 3 THEN concat(camera_id, '_P_7_', light_id, '.png')
+  WHEN 4 THEN concat('CAM9_x_', light_id, '.png') WHEN 5 THEN concat(camera_id, '_', light_id, '.json') ELSE concat('EYE_IN_HAND_', light_id, '.png') END AS path, concat(CASE frame_id % 4 WHEN 0 THEN 'OTHER' ELSE camera_id END, CASE frame_id % 3 WHEN 0 THEN '_P_1' ELSE '' END, '_seat.png') AS overlay FROM {v_frames}"""
+
 # Frame records of a payload: byte ranges, stated and true checksums.
 VIEWS["v_payload"] = """
 SELECT sequence_id, frame_id, cast(frame_id % 6 AS int) AS frame_pos, camera_id, pose_id, light_id, stride_bytes, height, pixel_format,
@@ -197,6 +232,8 @@ _SPARK = {"POS": "(SELECT {0}, posexplode({1}) AS (pos, e) FROM {2})"}
 _DUCK = {"POS": "(SELECT {0}, unnest(range(len({1}))) AS pos, unnest({1}) AS e FROM {2})"}
 
 
+_CRC = r"@CRC\((concat\('\w+', cast\(\w+ AS varchar\(20\)\)\))\)"
+
 # The check engine has no CRC-32: bit by bit over the characters of an ASCII text.
 _DUCK_CRC = (
     "xor(list_reduce(list_transform(string_split({0}, ''), lambda ch: ascii(ch)::bigint), "
@@ -206,14 +243,14 @@ _DUCK_CRC = (
 
 def _spark_text(sql: str) -> str:
     sql = re.sub(r"@US\((\w+)\)", r"unix_micros(cast(\1 AS timestamp))", sql)
-    sql = re.sub(r"@CRC\((.+?\)\))\)", r"crc32(cast(\1 AS binary))", sql)
+    sql = re.sub(_CRC, r"crc32(cast(\1 AS binary))", sql)
     sql = sql.replace("@LIST(", "array(")
     return re.sub(r"@POS\((\w+), (\w+), (\{\w+\})\)", lambda m: _SPARK["POS"].format(*m.groups()), sql)
 
 
 def duck_text(sql: str) -> str:
     sql = re.sub(r"@US\((\w+)\)", r"epoch_us(\1)", sql)
-    sql = re.sub(r"@CRC\((.+?\)\))\)", lambda m: _DUCK_CRC.format(m.group(1)), sql)
+    sql = re.sub(_CRC, lambda m: _DUCK_CRC.format(m.group(1)), sql)
     sql = sql.replace("@LIST(", "list_value(")
     sql = re.sub(r"@POS\((\w+), (\w+), (\{\w+\})\)", lambda m: _DUCK["POS"].format(*m.groups()), sql)
     return re.sub(r"\{([a-z]\w*)\}", r"\1", sql)
@@ -260,7 +297,9 @@ class Tables:
     def select(self, sql: str) -> DataFrame:
         """SELECT over given tables and views, named as ``{table}`` or ``{v_view}``."""
         names = set(re.findall(r"\{([a-z]\w*)\}", sql))
-        return self.spark.sql(_spark_text(sql), **{n: getattr(self, n.removeprefix("v_")) for n in names})
+        # Braces of JSON texts are doubled, so that only table names are filled in.
+        plain = re.sub(r"\{[a-z]\w*\}|[{}]", lambda m: m.group() * (2 if len(m.group()) == 1 else 1), _spark_text(sql))
+        return self.spark.sql(plain, **{n: getattr(self, n.removeprefix("v_")) for n in names})
 
     def values(self, rows: list[tuple], schema: str) -> DataFrame:
         return self.spark.createDataFrame(rows, schema)

@@ -59,19 +59,24 @@ def station_states(
     ``kind`` is ``result``, ``fault`` (the trigger wait failed) or ``idle`` (the wait ended quietly).
     Every event starts with the station leaving Fault; a state change while the streak is zero clears
     the alarm.  So an event either sets the alarm, clears it, or lets the last one stand, and the
-    carried alarm is the last set or cleared value.
+    carried alarm is the last set or cleared value.  A row of kind ``seed`` before all others brings in
+    an earlier state (``seed_streak``, ``seed_alarm``).
     """
     warning, critical = normal_limits(warning, critical)
     c = F.col
+    if "seed_streak" not in events.columns:
+        events = events.withColumns({"seed_streak": F.lit(0).cast("long"), "seed_alarm": F.lit(None).cast("string")})
     result, bad = c("kind") == "result", (c("kind") == "result") & c("decision").isin("RECHECK", "ERROR")
-    streaked = add_streak(Ordered(events, keys, order, hot_rows), bad, result & c("decision").isin("OK", "NG"))
+    counts = F.when(c("kind") == "seed", c("seed_streak")).otherwise(bad.cast("long"))
+    streaked = add_streak(Ordered(events, keys, order, hot_rows), counts, result & c("decision").isin("OK", "NG"))
     before = c("streak") - bad.cast("long")
     raised = (
         F.when((c("streak") >= critical) | c("error_code").isin(CRITICAL_CODES), F.lit("Critical"))
         .when((c("streak") >= warning) | (c("error_code") != 0), F.lit("Warning"))
     )
     mark = (
-        F.when(c("kind") == "fault", F.lit("Critical"))
+        F.when(c("kind") == "seed", c("seed_alarm"))
+        .when(c("kind") == "fault", F.lit("Critical"))
         .when(bad, F.coalesce(raised, F.when(before == 0, F.lit("None"))))
         .when(c("streak") == 0, F.lit("None"))
     )
@@ -84,7 +89,7 @@ def station_states(
             station_state=F.when(F.coalesce(fault_now, F.lit(False)), F.lit("Fault")).otherwise(F.lit("Ready")),
         )
         .result()
-        .drop("_seen", "_base", "_mark", "_alarm")
+        .drop("_seen", "_base", "_mark", "_alarm", "seed_streak", "seed_alarm")
     )
 
 
@@ -135,6 +140,26 @@ def camera_resets(captures: DataFrame, keys: list[str], order: list[str], max_fa
     ).drop("_seen", "_base", "_run")
 
 
+def presence_runs(readings: DataFrame, keys: list[str], order: list[str], low_mm: int, high_mm: int, hot_rows: int | None = None) -> DataFrame:
+    """Readings with ``in_range`` and, while in range, ``since_us``: the time the run began.
+
+    A reading with ``seed_since`` (and no distance) continues a run that began earlier.
+    """
+    low, high = min(low_mm, high_mm), max(low_mm, high_mm)
+    seed = F.col("seed_since") if "seed_since" in readings.columns else F.lit(None).cast("long")
+    inside = F.when(seed.isNotNull(), F.lit(True)).otherwise(F.coalesce(F.col("distance_mm").between(low, high), F.lit(False)))
+    start = F.when(F.col("in_range") & ~F.coalesce("_was", F.lit(False)), F.coalesce(seed, F.col("ts_us")))
+    return (
+        Ordered(readings.withColumn("in_range", inside), keys, order, hot_rows)
+        .previous(_was=F.col("in_range"))
+        .with_columns(_start=start)
+        .running(since_us=("last", F.col("_start")))
+        .with_columns(since_us=F.when(F.col("in_range"), F.col("since_us")))
+        .result()
+        .drop("_was", "_start")
+    )
+
+
 def stable_presence(
     readings: DataFrame,
     keys: list[str],
@@ -145,16 +170,8 @@ def stable_presence(
     hot_rows: int | None = None,
 ) -> DataFrame:
     """First reading per sensor whose distance has stayed in range for ``stable_ms``; null when none did."""
-    low, high = min(low_mm, high_mm), max(low_mm, high_mm)
-    inside = F.col("distance_mm").between(low, high)
-    rows = (
-        Ordered(readings.withColumn("_in", inside), keys, order, hot_rows)
-        .previous(_was=F.col("_in"))
-        .with_columns(_start=F.when(F.col("_in") & ~F.coalesce("_was", F.lit(False)), F.col("ts_us")))
-        .running(_since=("last", F.col("_start")))
-        .result()
-    )
-    stable = F.col("_in") & (F.col("ts_us") - F.col("_since") >= max(stable_ms, 0) * 1000)
+    rows = presence_runs(readings, keys, order, low_mm, high_mm, hot_rows)
+    stable = F.col("in_range") & (F.col("ts_us") - F.col("since_us") >= max(stable_ms, 0) * 1000)
     hit = F.struct("ts_us", F.col(order[-1]).alias("id"), "distance_mm")
     return rows.groupBy(*keys).agg(F.min(F.when(stable, hit)).alias("hit")).select(
         *keys,

@@ -97,27 +97,30 @@ def channel_specs(channels: DataFrame) -> DataFrame:
 def light_channels(pixels: DataFrame, specs: DataFrame, cube: list[str], on: list[str]) -> tuple[DataFrame, DataFrame]:
     """Channel pixels per cube (view and region), and channels that lack one of their lights.
 
-    ``specs`` joins by ``on``.  Absolute difference and spread are both maximum minus minimum.
+    ``specs`` joins by ``on``; a cube has one frame per light.  Absolute difference and spread are both
+    maximum minus minimum.
     """
-    named = specs.where("valid").select(*on, "channel", "operation", F.size(F.array_distinct("lights")).alias("need"), F.explode(F.array_distinct("lights")).alias("light_id"))
-    lit = pixels.select(*cube, "light_id").distinct()
-    have = lit.join(named, [*on, "light_id"]).groupBy(*cube, "channel").agg(F.count("*").alias("have"))
-    wanted = lit.select(*cube).distinct().join(specs.where("valid").select(*on, "channel", F.size(F.array_distinct("lights")).alias("need")), on)
-    missing = wanted.join(have, [*cube, "channel"], "left").where(F.coalesce("have", F.lit(0)) < F.col("need")).select(*cube, "channel")
-    mean = pixels.groupBy(*cube, "light_id").agg(F.floor(F.avg("v")).alias("light_mean"))
+    lights = F.array_distinct("lights")
+    named = specs.where("valid").select(*on, "channel", "operation", F.size(lights).alias("need"), F.explode(lights).alias("light_id"))
+    contrast = named.where("operation = 'local_contrast'").select(*on, "light_id").distinct()
+    mean = pixels.join(contrast, [*on, "light_id"]).groupBy(*cube, "light_id").agg(F.floor(F.avg("v")).alias("light_mean"))
     values = (
         pixels.join(named, [*on, "light_id"])
-        .join(mean, [*cube, "light_id"])
-        .groupBy(*cube, "channel", "operation", "x", "y")
-        .agg(F.max("v").alias("hi"), F.min("v").alias("lo"), F.max("light_mean").alias("mean"))
+        .join(mean, [*cube, "light_id"], "left")
+        .groupBy(*cube, "channel", "operation", "need", "x", "y")
+        .agg(F.max("v").alias("hi"), F.min("v").alias("lo"), F.max("light_mean").alias("mean"), F.count("*").alias("have"))
     )
     value = (
         F.when(F.col("operation") == "light", F.col("hi"))
         .when(F.col("operation") == "local_contrast", F.abs(F.col("hi") - F.col("mean")))
         .otherwise(F.col("hi") - F.col("lo"))
     )
-    built = values.join(missing, [*cube, "channel"], "left_anti")
-    return built.select(*cube, "channel", "x", "y", value.cast("int").alias("value")), missing
+    built = values.where(F.col("have") == F.col("need")).select(*cube, "channel", "x", "y", value.cast("int").alias("value"))
+    lit = pixels.select(*cube, "light_id").distinct()
+    have = lit.join(named, [*on, "light_id"]).groupBy(*cube, "channel").agg(F.count("*").alias("have"))
+    wanted = lit.select(*cube).distinct().join(specs.where("valid").select(*on, "channel", F.size(lights).alias("need")), on)
+    missing = wanted.join(have, [*cube, "channel"], "left").where(F.coalesce("have", F.lit(0)) < F.col("need")).select(*cube, "channel")
+    return built, missing
 
 
 def evidence_lights(specs: DataFrame, model: list[str], pos: str) -> DataFrame:

@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from inspectlake.operators import anomaly as an, decide
+from inspectlake.functions import text
+from inspectlake.functions.boxes import bbox_area
+from inspectlake.operators import anomaly as an, datasets as ds, decide, events as ev, fusion as fu, health as h, pixels as px, quality as q
+from inspectlake.operators.ordered import cut_lineage
+from inspectlake.sources import json_lines as js, paths
+
+JOB = ["sequence_id"]
+CUBE = ["sequence_id", "camera_id"]
 
 
 def score_embeddings(queries: DataFrame, bank: DataFrame, patches_per_image: int, images: int = 500) -> DataFrame:
@@ -21,3 +28,145 @@ def score_embeddings(queries: DataFrame, bank: DataFrame, patches_per_image: int
     defects = decide.filter_defects(whole)
     jobs = queries.select("vec_id", F.lit(True).alias("quality_pass"), F.lit(0).alias("overflow_count"))
     return decide.job_decisions(jobs, defects.select("vec_id", "decision"), ["vec_id"]).join(scored, "vec_id")
+
+
+def train_bank(
+    samples: DataFrame, components: int, coreset_ratio: float, patches_per_image: int, images: int = 500, greedy: bool = False, version: str = "v1"
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """OK samples to scoring assets: (bank vectors, PCA, calibrated thresholds).
+
+    ``samples`` has vec_id, embedding, decision, quality_pass and split.
+    """
+    good = ds.training_ok(samples).select("vec_id", "embedding")
+    pca = an.fit_pca(good, components, version)
+    model = pca.orderBy("component").collect()
+    small = an.pca_project(good, [r["weights"] for r in model], model[0]["mean"])
+    bank = an.coreset_greedy(small, coreset_ratio) if greedy else an.coreset_stride(small, coreset_ratio)
+    bank = bank.select("vec_id", "embedding")
+    thresholds = an.calibrate_thresholds(an.calibrate_distances(bank), patches_per_image, images)
+    return bank, pca, thresholds
+
+
+def inspect(
+    frames: DataFrame, pixels: DataFrame, recipe: DataFrame, views: DataFrame, lights: DataFrame, rois: DataFrame, channels: DataFrame,
+    bank: DataFrame, stats: dict[str, float], limits: dict[str, float], embedding_dim: int, base_light: str = "DIFFUSE",
+    max_shift_px: float = 3.0, min_correlation: float = 0.2,
+) -> DataFrame:
+    """Frames to one decision per job; the first failing stage decides.
+
+    ``frames`` has metadata and ``image`` bytes, ``pixels`` the same images as rows with frame_id; ``channels``
+    the channel names per camera; ``bank`` vectors of ``embedding_dim`` and ``stats`` their calibration
+    (mean, p99, recheck, ng).
+    """
+    measured = q.frame_statistics(frames, ["frame_id"])
+    reports = frames.join(measured, "frame_id").withColumn("m", F.concat(q.frame_meta_messages(), q.statistic_messages(limits)))
+    reports = reports.withColumn("passed", F.size("m") == 0)
+    checks = [q.missing_views(frames, views, JOB), q.missing_lights(frames, lights, JOB), q.light_sequence(frames, lights, JOB)]
+    # One small row per job, used by every later stage.
+    gate = cut_lineage(q.job_quality(reports, checks, JOB).select(*JOB, F.col("quality_pass").alias("gate_pass")))
+    passed = frames.join(gate.where("gate_pass").select(*JOB), JOB)
+
+    regions = px.frame_rois(passed, rois, ["camera_id"])
+    outside = regions.where("NOT in_image").select(*JOB).distinct().withColumn("roi_error", F.lit(True))
+    base = passed.where(F.col("light_id") == base_light).select(*CUBE, F.col("image").alias("base"))
+    pairs = passed.where(F.col("light_id") != base_light).withColumnRenamed("image", "moving").join(base, CUBE)
+    shifts = px.search_registration(pairs, [*CUBE, "frame_id"], 2, 50, 1e-4, min_correlation)
+    moved = px.registration_report(shifts, CUBE, max_shift_px)
+    unaligned = moved.where("NOT is_pass").select(*JOB).distinct().withColumn("unaligned", F.lit(True))
+
+    cube = [*CUBE, "roi_name"]
+    cropped = px.crop(pixels, regions, ["frame_id"]).join(passed.select("frame_id", *CUBE, "light_id"), "frame_id").drop("frame_id")
+    specs = px.channel_specs(channels)
+    built, missing = px.light_channels(cropped, specs, cube, ["camera_id"])
+    no_light = missing.select(*JOB).distinct().withColumn("no_light", F.lit(True))
+    vectors = px.statistical_embedding(built, cube, specs.select("channel", "pos").distinct(), embedding_dim)
+    keyed = vectors.withColumn("vec_id", F.xxhash64(*cube))
+    near = an.nearest_distances(keyed.select("vec_id", "embedding"), bank)
+    score = an.anomaly_score("distance", stats["mean"], stats["p99"])
+    boxes = rois.select("camera_id", "roi_name", F.col("rx0").alias("x0"), F.col("ry0").alias("y0"), F.col("rx1").alias("x1"), F.col("ry1").alias("y1"))
+    candidates = (
+        keyed.select(*cube, "vec_id").join(near, "vec_id").withColumn("score", score).where(F.col("score") >= stats["recheck"])
+        .join(boxes, ["camera_id", "roi_name"])
+        .withColumns(
+            {"pose_id": F.lit(""), "area_px": bbox_area("x0", "y0", "x1", "y1"), "evidence_lights": F.array(F.lit(base_light)),
+             "recheck_score": F.lit(float(stats["recheck"])), "ng_score": F.lit(float(stats["ng"])), "ordinal": F.col("vec_id")}
+        )
+    )
+    fused = cut_lineage(fu.merge_candidates(cut_lineage(candidates), [*JOB, "camera_id", "pose_id", "roi_name"], ["ordinal"]))
+    spilled = fu.fusion_summary(fused, JOB).select(*JOB, "overflow_count")
+
+    jobs = gate.join(unaligned, JOB, "left").join(outside, JOB, "left").join(no_light, JOB, "left").join(spilled, JOB, "left")
+    ok = F.col("gate_pass") & F.col("unaligned").isNull()
+    decided = decide.job_decisions(
+        jobs.select(*JOB, ok.alias("quality_pass"), F.coalesce("overflow_count", F.lit(0)).alias("overflow_count")), decide.filter_defects(fused), JOB
+    )
+    broken = F.col("gate_pass") & (F.coalesce("roi_error", F.lit(False)) | F.coalesce("no_light", F.lit(False)))
+    return decided.join(jobs.select(*JOB, "gate_pass", "roi_error", "no_light"), JOB).select(
+        *JOB,
+        F.when(broken, F.lit("ERROR")).otherwise(F.col("decision")).alias("decision"),
+        F.when(broken, 9).otherwise(F.col("error_code")).alias("error_code"),
+        (F.col("quality_pass") & ~broken).alias("quality_pass"),
+        F.when(broken, 0).otherwise(F.col("defect_count")).alias("defect_count"),
+    )
+
+
+def collect_traces(files: DataFrame, images: DataFrame, defects: DataFrame, split: str = "unassigned", label: str = "unlabeled") -> tuple[DataFrame, DataFrame]:
+    """Result directories and their images to manifest samples and a summary.
+
+    ``images`` has trace_dir and a ``path`` relative to its image folder; ``defects`` trace_dir, region and box.
+    """
+    traces = js.result_traces(files).where("issue IS NULL").drop("issue")
+    listed = paths.trace_images(images).join(traces, "trace_dir")
+    joined = ds.defect_images(listed, defects, ["trace_dir", "camera_id", "pose_id", "roi_name"])
+    name = F.substring_index("trace_dir", "/", -1)
+    samples = joined.withColumns({"split": F.lit(split), "label_status": F.lit(label)}).withColumn(
+        "sample_id", text.sample_id(name, "trace_dir", "sequence_id", "camera_id", "pose_id", "roi_name", "light_id")
+    ).withColumnRenamed("trace_dir", "source_trace_dir")
+    return samples, ds.dataset_summary(samples)
+
+
+def collect_captures(files: DataFrame, lights: DataFrame, rois: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Capture names to samples per region, cameras set aside, and a summary."""
+    captures = paths.capture_files(files, lights)
+    groups, skipped = ds.capture_zip(captures, required, ["timestamp_us", "file_name"])
+    samples = groups.join(rois.select("camera_id", "roi_name"), "camera_id").select(
+        F.col("sequence_index").alias("sequence_id"), "camera_id", F.col("camera_id").alias("pose_id"), "roi_name", "light_id", F.col("file_name").alias("image_path"),
+        F.lit("unassigned").alias("split"), F.lit("unlabeled").alias("label_status"),
+    )
+    return samples, skipped, ds.capture_summary(samples, skipped)
+
+
+def evaluate(predictions: DataFrame, truths: DataFrame, images: DataFrame, keys: list[str], order: list[str], iou: float = 0.5, score: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Per-image counts and the totals by region, camera and split; ``images`` names the images and their split."""
+    counts = fu.match_detections(predictions, truths, keys, order, iou, score)
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("true_positives", "false_positives", "false_negatives")}
+    per_image = fu.precision_recall(images.join(counts, keys, "left").withColumns(zero))
+    return per_image, fu.evaluation_totals(per_image, ["roi_name", "camera_id", "split"])
+
+
+def score_captures(samples: DataFrame, vectors: DataFrame, bank: DataFrame, stats: dict[str, float], sample_index: int) -> DataFrame:
+    """Score one capture number over all cameras: decision and strongest region per camera."""
+    chosen = samples.where(F.col("sequence_id") == sample_index).join(vectors, "image_path")
+    near = an.nearest_distances(chosen.select("vec_id", "embedding"), bank)
+    scored = chosen.join(near, "vec_id").withColumn("score", an.anomaly_score("distance", stats["mean"], stats["p99"]))
+    decision = F.when(F.max("score") >= stats["ng"], F.lit("NG")).when(F.max("score") >= stats["recheck"], F.lit("RECHECK")).otherwise(F.lit("OK"))
+    return scored.groupBy("sequence_id", "camera_id").agg(
+        decision.alias("decision"), F.max("score").alias("max_score"), F.max_by("roi_name", F.struct("score", "roi_name")).alias("roi_name"), F.count("*").alias("regions")
+    )
+
+
+def line_report(results: DataFrame, defects: DataFrame, actions: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
+    """Counts, defect labels, health, alarms and open reviews of a line."""
+    identity = [*keys, "sequence_id", "trigger_id", "seat_id", "ts_us"]
+    once = ev.dedupe_events(results, identity, ["decision"])
+    order = ["ts_us", "sequence_id"]
+    slim = once.select(*keys, *order, "decision", "error_code")
+    alarms = h.alarm_levels(slim, keys, order)
+    current = alarms.groupBy(*keys).agg(F.max_by("alarm_level", F.struct(*order)).alias("alarm_level"), F.max("streak").alias("longest_streak"))
+    return {
+        "counts": ev.decision_counts(once, keys),
+        "labels": ev.defect_distribution(once, defects, [*keys, "sequence_id"]),
+        "counters": h.station_counters(once, keys),
+        "alarms": current,
+        "reviews": ev.review_queue(actions, [*keys, "review_id"]).groupBy(*keys).agg(F.count("*").alias("open_reviews")),
+    }

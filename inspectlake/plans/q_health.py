@@ -42,7 +42,7 @@ KINDS = """SELECT station_id, sequence_id, ts_us, decision, error_code,
   CASE WHEN error_code = 8 THEN 'fault' WHEN sequence_id % 5 = 2 AND decision = 'OK' THEN 'idle' ELSE 'result' END AS kind FROM {v_results}"""
 
 
-@query("win_station_state", f"""
+STATE_SQL = f"""
 WITH k AS ({KINDS}),
 b AS (SELECT *, kind = 'result' AND decision IN ('RECHECK','ERROR') AS bad,
   sum(CASE WHEN kind = 'result' AND decision IN ('OK','NG') THEN 1 ELSE 0 END) OVER (PARTITION BY station_id ORDER BY ts_us, sequence_id) AS island FROM k),
@@ -50,7 +50,10 @@ s AS (SELECT *, sum(CASE WHEN bad THEN 1 ELSE 0 END) OVER (PARTITION BY station_
 l AS (SELECT *, CASE WHEN kind = 'fault' THEN 'Critical' WHEN bad AND (streak >= 3 OR error_code IN (5, 8)) THEN 'Critical' WHEN bad AND (streak >= 2 OR error_code <> 0) THEN 'Warning'
    WHEN bad AND streak = 1 THEN 'None' WHEN NOT bad AND streak = 0 THEN 'None' END AS mark FROM s)
 SELECT station_id, sequence_id, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY station_id ORDER BY ts_us, sequence_id), 'None') AS alarm_level,
-  CASE WHEN kind = 'fault' OR (bad AND (streak >= 3 OR error_code IN (5, 8))) THEN 'Fault' ELSE 'Ready' END AS station_state FROM l""")
+  CASE WHEN kind = 'fault' OR (bad AND (streak >= 3 OR error_code IN (5, 8))) THEN 'Fault' ELSE 'Ready' END AS station_state FROM l"""
+
+
+@query("win_station_state", STATE_SQL)
 def _(t):
     return h.station_states(t.select(KINDS), ["station_id"], ORDER, 2, 3).select("station_id", "sequence_id", "alarm_level", "station_state")
 
@@ -85,12 +88,15 @@ def _(t):
     return h.camera_resets(rows, ["sensor_id"], ["ts_us", "event_id"]).select("sensor_id", "event_id", "reset", "failures")
 
 
-@query("win_presence_stable", """
+PRESENCE_SQL = """
 WITH b AS (SELECT *, distance_mm BETWEEN 200 AND 260 AS inside, sum(CASE WHEN distance_mm BETWEEN 200 AND 260 THEN 0 ELSE 1 END) OVER (PARTITION BY sensor_id ORDER BY ts_us, event_id) AS island FROM v_readings),
 s AS (SELECT *, min(ts_us) FILTER (inside) OVER (PARTITION BY sensor_id, island) AS since FROM b),
 h AS (SELECT * FROM s WHERE inside AND ts_us - since >= 172800000000 QUALIFY row_number() OVER (PARTITION BY sensor_id ORDER BY ts_us, event_id) = 1)
 SELECT k.sensor_id, h.ts_us AS present_us, h.distance_mm, CASE WHEN h.ts_us IS NULL THEN 'timeout' ELSE 'present' END AS outcome
-FROM (SELECT DISTINCT sensor_id FROM v_readings) k LEFT JOIN h USING (sensor_id)""")
+FROM (SELECT DISTINCT sensor_id FROM v_readings) k LEFT JOIN h USING (sensor_id)"""
+
+
+@query("win_presence_stable", PRESENCE_SQL)
 def _(t):
     return h.stable_presence(t.readings, ["sensor_id"], ["ts_us", "event_id"], 260, 200, 172_800_000)
 

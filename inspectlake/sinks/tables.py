@@ -25,11 +25,11 @@ def append_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 
 
-def write_by_day(results: DataFrame, path: str, time_us: str = "ts_us") -> None:
-    """Results by day and station.  Rows of a day are spread by sequence, so a busy station makes several files."""
+def write_by_day(results: DataFrame, path: str, time_us: str = "ts_us", station: str = "station_id") -> None:
+    """Results by day and station.  The rebalance lets Spark split a busy station and join small ones."""
     day = F.date_format(F.timestamp_micros(time_us), "yyyyMMdd")
-    spread = results.withColumn("day", day).repartition("day", F.pmod(F.xxhash64("station_id", "sequence_id"), F.lit(8)))
-    spread.write.mode("append").partitionBy("day", "station_id").parquet(path)
+    rows = results.withColumn("day", day).hint("rebalance", "day", station)
+    rows.write.mode("append").partitionBy("day", station).parquet(path)
 
 
 def write_diagnostics(reports: dict[str, DataFrame], path: str) -> None:

@@ -285,7 +285,8 @@ def _spread_labels(hot: DataFrame, image: str) -> DataFrame:
 
 def patch_components(hot: DataFrame, image: str, image_patches: int = IMAGE_PATCHES) -> DataFrame:
     """4-connected components: patch box (half-open ends), strongest score, patch count."""
-    slim = hot.select(image, "patch_row", "patch_col", "score")
+    # Few patches are hot, but finding them is the whole scoring: do that once.
+    slim = cut_lineage(hot.select(image, "patch_row", "patch_col", "score"))
     if largest_group(slim, [image]) <= image_patches:
 
         def label(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -201,7 +201,8 @@ def anomaly_maps(patches: DataFrame, bank: DataFrame, image: str, height: int, w
     short = counts.where(F.col("patches") != height * width)
     whole = patches.join(short.select(image), image, "left_anti")
     scored = nearest_distances(whole, bank).withColumn("score", anomaly_score("distance", mean, p99))
-    return whole.select(image, "vec_id", "patch_row", "patch_col").join(scored, "vec_id"), short
+    # Scoring is the expensive step and its result is read several times: keep it.
+    return cut_lineage(whole.select(image, "vec_id", "patch_row", "patch_col").join(scored, "vec_id")), short
 
 
 def anomaly_summary(maps: DataFrame, image: str) -> DataFrame:
@@ -285,8 +286,7 @@ def _spread_labels(hot: DataFrame, image: str) -> DataFrame:
 
 def patch_components(hot: DataFrame, image: str, image_patches: int = IMAGE_PATCHES) -> DataFrame:
     """4-connected components: patch box (half-open ends), strongest score, patch count."""
-    # Few patches are hot, but finding them is the whole scoring: do that once.
-    slim = cut_lineage(hot.select(image, "patch_row", "patch_col", "score"))
+    slim = hot.select(image, "patch_row", "patch_col", "score")
     if largest_group(slim, [image]) <= image_patches:
 
         def label(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -433,6 +433,7 @@ def calibrate_thresholds(
     """
     if not 0.0 < recheck_quantile <= ng_quantile < 1.0:
         raise ValueError("quantiles must satisfy 0 < recheck <= ng < 1")
+    distances = cut_lineage(distances)
     stats = distances.agg(F.count("*").alias("n"), F.avg("distance").alias("mean")).first()
     n, mean = stats["n"], stats["mean"]
     rounds = min(images, n)

@@ -10,7 +10,7 @@ from inspectlake.functions.boxes import aspect_ok
 QUALITY_FAILED, DETECTOR_TIMEOUT, CRC_MISMATCH, INVALID_PAYLOAD, CONFIGURATION_ERROR = 7, 5, 3, 2, 13
 
 
-def filter_defects(
+def judge_candidates(
     candidates: DataFrame,
     recheck_score: float = 0.5,
     ng_score: float = 0.8,
@@ -18,7 +18,7 @@ def filter_defects(
     min_aspect: float = 0.0,
     max_aspect: float = 0.0,
 ) -> DataFrame:
-    """Candidates that count, with ``decision`` and ``severity``; own thresholds win over the recipe's."""
+    """Every candidate with its ``decision``, null where it does not count; own thresholds win over the recipe's."""
     recheck = F.coalesce(F.col("recheck_score"), F.lit(recheck_score))
     ng = F.coalesce(F.col("ng_score"), F.lit(ng_score))
     is_ng = (
@@ -26,25 +26,35 @@ def filter_defects(
         & (F.col("area_px") >= min_area_px)
         & aspect_ok("x0", "y0", "x1", "y1", min_aspect, max_aspect)
     )
-    decision = F.when(is_ng, F.lit("NG")).when(F.col("score") >= recheck, F.lit("RECHECK"))
-    return (
-        candidates.withColumn("decision", decision)
-        .where(F.col("decision").isNotNull())
-        .withColumn("severity", F.when(F.col("decision") == "NG", F.lit("critical")).otherwise(F.lit("suspect")))
+    return candidates.withColumn("decision", F.when(is_ng, F.lit("NG")).when(F.col("score") >= recheck, F.lit("RECHECK")))
+
+
+def filter_defects(candidates: DataFrame, *limits: float, **named: float) -> DataFrame:
+    """Candidates that count, with ``decision`` and ``severity``."""
+    judged = judge_candidates(candidates, *limits, **named).where(F.col("decision").isNotNull())
+    return judged.withColumn("severity", F.when(F.col("decision") == "NG", F.lit("critical")).otherwise(F.lit("suspect")))
+
+
+def defect_counts(judged: DataFrame, keys: list[str]) -> DataFrame:
+    """Per job: counted NG and RECHECK candidates, and the overflow of its regions, in one pass."""
+    overflow = F.sum("overflow") if "overflow" in judged.columns else F.lit(0)
+    return judged.groupBy(*keys).agg(
+        F.count_if(F.col("decision") == "NG").alias("ng"), F.count_if(F.col("decision") == "RECHECK").alias("recheck"), overflow.alias("overflow_count")
     )
 
 
-def job_decisions(jobs: DataFrame, defects: DataFrame, keys: list[str]) -> DataFrame:
+def job_decisions(jobs: DataFrame, judged: DataFrame, keys: list[str]) -> DataFrame:
     """NG over RECHECK over OK per job; failed quality and overflow turn it into RECHECK.
 
-    ``jobs`` carries ``quality_pass`` and ``overflow_count``; only per-job counts are shuffled.
+    ``jobs`` carries ``quality_pass`` (and may bring its own ``overflow_count``); only per-job counts
+    are joined.
     """
-    counts = defects.groupBy(*keys).agg(
-        F.count_if(F.col("decision") == "NG").alias("ng"), F.count_if(F.col("decision") == "RECHECK").alias("recheck")
-    )
+    counts = defect_counts(judged, keys)
+    if "overflow_count" in jobs.columns:
+        counts = counts.drop("overflow_count")
     ng, recheck = F.coalesce("ng", F.lit(0)), F.coalesce("recheck", F.lit(0))
     found = F.when(ng > 0, F.lit("NG")).when(recheck > 0, F.lit("RECHECK")).otherwise(F.lit("OK"))
-    spilled = (found == "OK") & (F.col("overflow_count") > 0)
+    spilled = (found == "OK") & (F.coalesce("overflow_count", F.lit(0)) > 0)
     passed = F.col("quality_pass")
     return jobs.join(counts, keys, "left").select(
         *keys,

@@ -139,20 +139,19 @@ def defect_distribution(results: DataFrame, defects: DataFrame, keys: list[str])
     )
 
 
-def defects_by_camera(defects: DataFrame, keys: list[str]) -> DataFrame:
-    """Per event and display camera: label, count, confidence, plus the event's summary lines."""
+def camera_defects(defects: DataFrame, keys: list[str]) -> DataFrame:
+    """Per event and display camera: defect count, label (with ``xN`` beyond one) and confidence."""
     shown = defects.withColumn("camera", display_camera()).where(F.col("camera") != "")
-    per_camera = primary_defects(shown, keys + ["camera"])
     label, n = F.col("best.label"), F.col("defects")
-    tiles = per_camera.select(
-        *keys,
-        "camera",
-        n.alias("defect_count"),
-        F.when(n > 1, F.concat(F.when(label != "", label).otherwise(F.lit("NG")), F.lit(" x"), n.cast("string")))
-        .otherwise(label)
-        .alias("defect_label"),
-        F.col("best.score").alias("confidence"),
+    counted = F.concat(F.when(label != "", label).otherwise(F.lit("NG")), F.lit(" x"), n.cast("string"))
+    return primary_defects(shown, keys + ["camera"]).select(
+        *keys, "camera", n.alias("defect_count"), F.when(n > 1, counted).otherwise(label).alias("defect_label"), F.col("best.score").alias("confidence")
     )
+
+
+def defects_by_camera(defects: DataFrame, keys: list[str]) -> DataFrame:
+    """Camera rows plus the event's summary lines."""
+    tiles = camera_defects(defects, keys)
     # One entry per camera of the event: the list is as short as the camera list.
     per_event = tiles.groupBy(*keys).agg(
         F.sum("defect_count").alias("total"),
@@ -187,7 +186,7 @@ def camera_status(events: DataFrame, images: DataFrame, defects: DataFrame, came
         .groupBy(*keys, "camera")
         .agg((F.max("failed") & ~F.max(~F.col("failed"))).alias("image_failed"))
     )
-    labels = defects_by_camera(defects, keys).select(*keys, "camera", F.col("defect_label").alias("ng_label"))
+    labels = camera_defects(defects, keys).select(*keys, "camera", F.col("defect_label").alias("ng_label"))
     joined = tiles.join(failed, keys + ["camera"], "left").join(labels, keys + ["camera"], "left")
     message = filled("message")
     rules = [

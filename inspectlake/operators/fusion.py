@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from inspectlake.functions.boxes import bbox_area, iou_xyxy
 from inspectlake.operators.islands import box_cells, home_cell, split_islands
@@ -32,49 +34,63 @@ def split_candidates(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where(F.col("issue").isNull()).drop("issue"), checked.where(F.col("issue").isNotNull())
 
 
-def _merge_stream(groups: list[str], iou_threshold: float, cap: int):
+_CANDIDATE = [*BOX, "score", "evidence_lights", "recheck_score", "ng_score"]
+_KEPT = {"kept_index": "int", "suppressed": "long", "overflow": "long", "first_box": "array<int>"}
+
+
+def _merge_stream(groups: list[str], out_schema: pa.Schema, iou_threshold: float, cap: int):
     """Fold sorted rows group by group; only the kept boxes of one group are ever held."""
 
-    def overlap(a, x0, y0, x1, y1) -> bool:
-        w = min(a[2], x1) - max(a[0], x0) + 1
-        h = min(a[3], y1) - max(a[1], y0) + 1
-        inter = w * h if w > 0 and h > 0 else 0
-        union = (a[2] - a[0] + 1) * (a[3] - a[1] + 1) + (x1 - x0 + 1) * (y1 - y0 + 1) - inter
-        return (inter / union if union > 0 else 0.0) >= iou_threshold
+    def first_overlap(kept, x0, y0, x1, y1):
+        area = (x1 - x0 + 1) * (y1 - y0 + 1)
+        for k in kept:
+            w = (k[2] if k[2] < x1 else x1) - (k[0] if k[0] > x0 else x0) + 1
+            if w > 0:
+                h = (k[3] if k[3] < y1 else y1) - (k[1] if k[1] > y0 else y0) + 1
+                inter = w * h if h > 0 else 0
+            else:
+                inter = 0
+            union = (k[2] - k[0] + 1) * (k[3] - k[1] + 1) + area - inter
+            if (inter / union if union > 0 else 0.0) >= iou_threshold:
+                return k
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(groups)
+        key, kept, overflow, out = None, [], 0, []
 
-    columns = [*groups, *BOX, "score", "evidence_lights", "recheck_score", "ng_score", "kept_index", "suppressed", "overflow", "first_box"]
+        def close():
+            for i, k in enumerate(kept):
+                out.append((*key, *k[:8], i, k[8], overflow if i == 0 else 0, k[9]))
 
-    def emit(key, kept, overflow):
-        for i, k in enumerate(kept):
-            yield (*key, *k[:4], k[4], k[5], k[6], k[7], i, k[8], overflow if i == 0 else 0, k[9])
+        def flush():
+            columns = list(zip(*out))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out_schema)], schema=out_schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, kept, overflow = None, [], 0
         for batch in batches:
-            out = []
-            values = [batch[c].tolist() for c in [*groups, *BOX, "score", "evidence_lights", "recheck_score", "ng_score"]]
-            n = len(groups)
-            for row in zip(*values):
+            for row in zip(*[column.to_pylist() for column in batch.columns]):
                 if row[:n] != key:
                     if key is not None:
-                        out.extend(emit(key, kept, overflow))
+                        close()
                     key, kept, overflow = row[:n], [], 0
                 x0, y0, x1, y1, score, lights, recheck, ng = row[n:]
-                for k in kept:
-                    if overlap(k, x0, y0, x1, y1):
-                        k[0], k[1], k[2], k[3] = min(k[0], x0), min(k[1], y0), max(k[2], x1), max(k[3], y1)
-                        k[5].extend(v for v in dict.fromkeys(lights) if v not in k[5])
-                        k[8] += 1
-                        break
+                k = first_overlap(kept, x0, y0, x1, y1)
+                if k is not None:
+                    k[0], k[1], k[2], k[3] = min(k[0], x0), min(k[1], y0), max(k[2], x1), max(k[3], y1)
+                    for light in lights:
+                        if light not in k[5]:
+                            k[5].append(light)
+                    k[8] += 1
+                elif len(kept) < cap:
+                    kept.append([x0, y0, x1, y1, score, list(dict.fromkeys(lights)), recheck, ng, 0, [x0, y0, x1, y1]])
                 else:
-                    if len(kept) < cap:
-                        kept.append([x0, y0, x1, y1, score, list(dict.fromkeys(lights)), recheck, ng, 0, [x0, y0, x1, y1]])
-                    else:
-                        overflow += 1
+                    overflow += 1
             if out:
-                yield pd.DataFrame(out, columns=columns)
+                yield flush()
         if key is not None:
-            yield pd.DataFrame(list(emit(key, kept, overflow)), columns=columns)
+            close()
+            yield flush()
 
     return run
 
@@ -98,14 +114,12 @@ def merge_candidates(
     hot = largest_group(candidates, keys) > limit
     rows = split_islands(candidates, keys, ["score", *tie], limit) if hot else candidates
     groups = keys + (["island_x", "island_y"] if hot else [])
-    needed = rows.select(*groups, *BOX, "score", "evidence_lights", "recheck_score", "ng_score", *[c for c in tie if c not in BOX])
+    needed = rows.select(*groups, *_CANDIDATE, *[c for c in tie if c not in BOX])
     order = [F.desc("score"), *BOX, *tie]
-    sorted_rows = needed.repartition(*groups).sortWithinPartitions(*groups, *order)
-    schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in needed.select(*groups, *BOX, "score", "evidence_lights", "recheck_score", "ng_score").schema]
-        + ["kept_index int", "suppressed long", "overflow long", "first_box array<int>"]
-    )
-    kept = sorted_rows.mapInPandas(_merge_stream(groups, iou_threshold, cap), schema)
+    sorted_rows = needed.repartition(*groups).sortWithinPartitions(*groups, *order).select(*groups, *_CANDIDATE)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in sorted_rows.schema] + [f"{n} {t}" for n, t in _KEPT.items()]
+    arrow = to_arrow_schema(StructType.fromDDL(", ".join(fields)))
+    kept = sorted_rows.mapInArrow(_merge_stream(groups, arrow, iou_threshold, cap), ", ".join(fields))
     if hot:
         kept = _cap_region(kept, keys, cap)
     return kept.drop("first_box").withColumn("area_px", bbox_area(*BOX))
@@ -180,43 +194,66 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], cell:
     return p.join(b, on, "left_semi").drop("cell_x", "cell_y")
 
 
-def _match_stream(groups: list[str], iou_threshold: float):
-    columns = [*groups, "true_positives", "false_positives", "false_negatives"]
+_COUNTS = ["true_positives", "false_positives", "false_negatives"]
+_FEW = 48
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, truths, boxes, free, tp, fp = None, [], None, None, 0, 0
+def _match_stream(groups: list[str], out_schema: pa.Schema, iou_threshold: float):
+    """Fold sorted rows image by image: first its truths, then its predictions in order."""
+
+    def best_few(truths, free, x0, y0, x1, y1):
+        area, best, at = (x1 - x0 + 1) * (y1 - y0 + 1), 0.0, -1
+        for i, t in enumerate(truths):
+            if free[i]:
+                w = (t[2] if t[2] < x1 else x1) - (t[0] if t[0] > x0 else x0) + 1
+                h = (t[3] if t[3] < y1 else y1) - (t[1] if t[1] > y0 else y0) + 1
+                if w > 0 and h > 0:
+                    iou = w * h / ((t[2] - t[0] + 1) * (t[3] - t[1] + 1) + area - w * h)
+                    if iou > best:
+                        best, at = iou, i
+        return best, at
+
+    def best_many(boxes, free, x0, y0, x1, y1):
+        w = np.minimum(boxes[:, 2], x1) - np.maximum(boxes[:, 0], x0) + 1
+        h = np.minimum(boxes[:, 3], y1) - np.maximum(boxes[:, 1], y0) + 1
+        inter = np.where((w > 0) & (h > 0), w * h, 0)
+        areas = (boxes[:, 2] - boxes[:, 0] + 1) * (boxes[:, 3] - boxes[:, 1] + 1)
+        iou = np.where(free, inter / (areas + (x1 - x0 + 1) * (y1 - y0 + 1) - inter), 0.0)
+        at = int(iou.argmax())
+        return iou[at], at
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(groups)
+        key, truths, boxes, free, tp, fp, out = None, [], None, None, 0, 0, []
+
+        def flush():
+            columns = list(zip(*out))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out_schema)], schema=out_schema)
+
         for batch in batches:
-            out = []
-            values = [batch[c].tolist() for c in [*groups, "is_pred", *BOX]]
-            for row in zip(*values):
+            for row in zip(*[column.to_pylist() for column in batch.columns]):
                 if row[:n] != key:
                     if key is not None:
                         out.append((*key, tp, fp, len(truths) - tp))
-                    key, truths, boxes, tp, fp = row[:n], [], None, 0, 0
+                    key, truths, free, tp, fp = row[:n], [], None, 0, 0
                 if not row[n]:
                     truths.append(row[n + 1 :])
                     continue
-                if boxes is None:
-                    boxes = np.array(truths, dtype=np.int64).reshape(-1, 4)
-                    areas = (boxes[:, 2] - boxes[:, 0] + 1) * (boxes[:, 3] - boxes[:, 1] + 1)
-                    free = np.ones(len(truths), dtype=bool)
-                x0, y0, x1, y1 = row[n + 1 :]
-                w = np.minimum(boxes[:, 2], x1) - np.maximum(boxes[:, 0], x0) + 1
-                h = np.minimum(boxes[:, 3], y1) - np.maximum(boxes[:, 1], y0) + 1
-                inter = np.where((w > 0) & (h > 0), w * h, 0)
-                union = areas + (x1 - x0 + 1) * (y1 - y0 + 1) - inter
-                iou = np.where(free & (union > 0), inter / np.where(union > 0, union, 1), 0.0)
-                best = int(iou.argmax()) if len(iou) else -1
-                if best >= 0 and iou[best] > 0.0 and iou[best] >= iou_threshold:
-                    free[best] = False
+                if free is None:
+                    free = np.ones(len(truths), dtype=bool) if len(truths) > _FEW else [True] * len(truths)
+                    boxes = np.array(truths, dtype=np.int64) if len(truths) > _FEW else truths
+                best, at = (best_many if len(truths) > _FEW else best_few)(boxes, free, *row[n + 1 :])
+                if best > 0.0 and best >= iou_threshold:
+                    free[at] = False
                     tp += 1
                 else:
                     fp += 1
             if out:
-                yield pd.DataFrame(out, columns=columns)
+                yield flush()
         if key is not None:
-            yield pd.DataFrame([(*key, tp, fp, len(truths) - tp)], columns=columns)
+            out.append((*key, tp, fp, len(truths) - tp))
+            yield flush()
 
     return run
 
@@ -243,13 +280,14 @@ def match_detections(
     if hot:
         rows = split_islands(rows, keys, ["is_pred", *ties], limit)
     groups = keys + (["island_x", "island_y"] if hot else [])
-    sorted_rows = rows.repartition(*groups).sortWithinPartitions(*groups, "is_pred", *ties, *BOX)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*groups).schema)
-    counts = sorted_rows.mapInPandas(
-        _match_stream(groups, iou_threshold), f"{fields}, true_positives long, false_positives long, false_negatives long"
+    sorted_rows = (
+        rows.repartition(*groups).sortWithinPartitions(*groups, "is_pred", *ties, *BOX).select(*groups, "is_pred", *BOX)
     )
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*groups).schema] + [f"{c} long" for c in _COUNTS]
+    arrow = to_arrow_schema(StructType.fromDDL(", ".join(fields)))
+    counts = sorted_rows.mapInArrow(_match_stream(groups, arrow, iou_threshold), ", ".join(fields))
     if hot:
-        counts = counts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("true_positives", "false_positives", "false_negatives")])
+        counts = counts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in _COUNTS])
     return counts
 
 

@@ -25,9 +25,9 @@ def score_embeddings(queries: DataFrame, bank: DataFrame, patches_per_image: int
         {"x0": F.lit(0), "y0": F.lit(0), "x1": F.lit(63), "y1": F.lit(47), "area_px": F.lit(3072),
          "recheck_score": value("recheck_score"), "ng_score": value("ng_score"), "camera_id": F.lit("TOP_BACK")}
     )
-    defects = decide.filter_defects(whole)
-    jobs = queries.select("vec_id", F.lit(True).alias("quality_pass"), F.lit(0).alias("overflow_count"))
-    return decide.job_decisions(jobs, defects.select("vec_id", "decision"), ["vec_id"]).join(scored, "vec_id")
+    # One row per query already: the whole-image candidate decides its job.
+    judged = decide.judge_candidates(whole).withColumn("decision", F.coalesce("decision", F.lit("OK")))
+    return judged.select("vec_id", "distance", "score", "decision")
 
 
 def train_bank(
@@ -92,14 +92,11 @@ def inspect(
              "recheck_score": F.lit(float(stats["recheck"])), "ng_score": F.lit(float(stats["ng"])), "ordinal": F.col("vec_id")}
         )
     )
-    fused = cut_lineage(fu.merge_candidates(cut_lineage(candidates), [*JOB, "camera_id", "pose_id", "roi_name"], ["ordinal"]))
-    spilled = fu.fusion_summary(fused, JOB).select(*JOB, "overflow_count")
+    fused = fu.merge_candidates(cut_lineage(candidates), [*JOB, "camera_id", "pose_id", "roi_name"], ["ordinal"])
 
-    jobs = gate.join(unaligned, JOB, "left").join(outside, JOB, "left").join(no_light, JOB, "left").join(spilled, JOB, "left")
+    jobs = gate.join(unaligned, JOB, "left").join(outside, JOB, "left").join(no_light, JOB, "left")
     ok = F.col("gate_pass") & F.col("unaligned").isNull()
-    decided = decide.job_decisions(
-        jobs.select(*JOB, ok.alias("quality_pass"), F.coalesce("overflow_count", F.lit(0)).alias("overflow_count")), decide.filter_defects(fused), JOB
-    )
+    decided = decide.job_decisions(jobs.select(*JOB, ok.alias("quality_pass")), decide.judge_candidates(fused), JOB)
     broken = F.col("gate_pass") & (F.coalesce("roi_error", F.lit(False)) | F.coalesce("no_light", F.lit(False)))
     return decided.join(jobs.select(*JOB, "gate_pass", "roi_error", "no_light"), JOB).select(
         *JOB,

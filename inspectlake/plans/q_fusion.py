@@ -92,9 +92,9 @@ d AS (SELECT jobs.*, coalesce(ng, 0) AS ng, coalesce(re, 0) AS re, CASE WHEN ng
 SELECT sequence_id, CASE WHEN NOT quality_pass OR (found = 'OK' AND overflow_count > 0) THEN 'RECHECK' ELSE found END AS decision,
   CASE WHEN NOT quality_pass THEN 7 WHEN found = 'OK' AND overflow_count > 0 THEN 13 ELSE 0 END AS error_code, quality_pass, CASE WHEN quality_pass THEN ng + re ELSE 0 END AS defect_count FROM d""")
 def _(t):
-    fused = merged(t)
-    jobs = fu.fusion_summary(fused, ["sequence_id"]).select("sequence_id", "overflow_count", (F.col("sequence_id") % 10 != 4).alias("quality_pass"))
-    return decide.job_decisions(jobs, decide.filter_defects(fused, 0.5, 0.8, 300, 0.5, 3.0), ["sequence_id"])
+    judged = decide.judge_candidates(merged(t), 0.5, 0.8, 300, 0.5, 3.0)
+    jobs = t.candidates.select("sequence_id").distinct().withColumn("quality_pass", F.col("sequence_id") % 10 != 4)
+    return decide.job_decisions(jobs, judged, ["sequence_id"])
 
 
 CHECKED = """SELECT ordinal, x0, CASE WHEN ordinal % 31 = 0 THEN x0 - 1 ELSE x1 END AS x1, y0, y1, CASE WHEN ordinal % 37 = 1 THEN score + 2 ELSE score END AS score,
@@ -112,7 +112,7 @@ def _(t):
 WITH p AS (SELECT *, row_number() OVER () AS k FROM v_candidates), x AS (SELECT sequence_id, camera_id, ordinal, x0, y0, x1, y1 FROM v_candidates)
 SELECT p.sequence_id, p.camera_id, p.ordinal AS left_id, q.ordinal AS right_id, round({IOU('p', 'q')}, 6) AS iou FROM x p JOIN v_truth q ON q.sequence_id = p.sequence_id AND q.camera_id = p.camera_id WHERE {IOU('p', 'q')} >= 0.4""")
 def _(t):
-    pairs = fu.overlapping_pairs(t.candidates, t.truth, ["sequence_id", "camera_id"], "ordinal", "ordinal", 0.4)
+    pairs = fu.overlapping_pairs(t.candidates, t.truth, ["sequence_id", "camera_id"], "ordinal", "ordinal", 0.4, 64)
     return pairs.withColumn("iou", F.round("iou", 6))
 
 

@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -302,4 +304,7 @@ class Tables:
         return self.spark.sql(plain, **{n: getattr(self, n.removeprefix("v_")) for n in names})
 
     def values(self, rows: list[tuple], schema: str) -> DataFrame:
-        return self.spark.createDataFrame(rows, schema)
+        """A small dimension as a local relation, whose size the planner knows."""
+        fields = to_arrow_schema(self.spark.createDataFrame([], schema).schema)
+        columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), fields)]
+        return self.spark.createDataFrame(pa.table(columns, schema=fields))

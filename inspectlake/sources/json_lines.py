@@ -25,10 +25,6 @@ def _long(v: str, path: str) -> Column:
     return F.coalesce(F.try_variant_get(F.col(v), f"$.{path}", "bigint"), F.lit(0))
 
 
-def _double(v: str, path: str) -> Column:
-    return F.coalesce(F.try_variant_get(F.col(v), f"$.{path}", "double"), F.lit(0.0))
-
-
 def _flag(v: str, path: str) -> Column:
     return F.coalesce(F.try_variant_get(F.col(v), f"$.{path}", "boolean"), F.lit(False))
 
@@ -37,18 +33,6 @@ def _is_object(v) -> Column:
     return F.schema_of_variant(v).startswith("OBJECT")
 
 
-def _objects(v: str, path: str) -> Column:
-    """Array field as variants, objects only; anything else is an empty array."""
-    items = F.try_variant_get(F.col(v), f"$.{path}", "array<variant>")
-    return F.coalesce(F.filter(items, lambda i: i.isNotNull() & _is_object(i)), F.array().cast("array<variant>"))
-
-
-def _json_objects(lines: DataFrame) -> DataFrame:
-    """Lines that hold a JSON object, parsed as ``v``; blank and broken lines fall away."""
-    parsed = lines.withColumn("v", F.try_parse_json(F.trim("value"))).drop("value")
-    return parsed.where(F.col("v").isNotNull() & _is_object(F.col("v")))
-
-
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
@@ -58,13 +42,38 @@ def stream_lines(spark: SparkSession, path: str, max_files: int = 100) -> DataFr
     return spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
 
 
-def asset_unavailable(v: str = "v") -> Column:
-    asset = F.try_variant_get(F.col(v), "$.error.asset", "map<string,variant>")
-    return _flag(v, "error.asset_unavailable") | F.coalesce(F.size(asset) > 0, F.lit(False))
+def _records(lines: DataFrame, fields: str) -> DataFrame:
+    """Lines that hold a JSON object, each parsed once; scalars arrive as text, so any spelling of a number will do."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    parsed = F.from_json(F.col("value"), f"{fields}, _broken STRING", options)
+    return lines.where(F.ltrim("value").startswith("{")).withColumn("e", parsed).drop("value")
+
+
+def _field(name: str, default: str = "") -> Column:
+    return F.coalesce(F.col(f"e.{name}"), F.lit(default))
+
+
+def _filled(name: str, default: str) -> Column:
+    return F.coalesce(F.nullif(F.col(f"e.{name}"), F.lit("")), F.lit(default))
+
+
+def _number(name: str, kind: str = "bigint") -> Column:
+    return F.coalesce(F.col(f"e.{name}").try_cast(kind), F.lit(0).cast(kind))
+
+
+def _truth(column: Column) -> Column:
+    return F.coalesce(column.try_cast("boolean"), F.lit(False))
+
+
+_EVENT_FIELDS = (
+    "schema STRING, sequence_id STRING, trigger_id STRING, seat_id STRING, sku STRING, recipe_id STRING, decision STRING, quality_pass STRING, "
+    "error_code STRING, elapsed_ms STRING, defect_count STRING, defects ARRAY<VARIANT>, message STRING, trace_dir STRING, timestamp_ms STRING, "
+    "source STRING, error STRUCT<asset_unavailable: STRING, asset: MAP<STRING, STRING>>, sample_collection STRUCT<enabled: STRING>"
+)
 
 
 def parse_detection_events(lines: DataFrame) -> DataFrame:
-    events = _json_objects(lines).where(_text("v", "schema").endswith(DISPLAY_SCHEMA_SUFFIX))
+    events = _records(lines, _EVENT_FIELDS).where(_field("schema").endswith(DISPLAY_SCHEMA_SUFFIX))
     get = lambda d, path, t="string": F.try_variant_get(d, f"$.{path}", t)
     blank = lambda c: F.coalesce(c, F.lit(""))
     defect = lambda d: F.struct(
@@ -77,48 +86,46 @@ def parse_detection_events(lines: DataFrame) -> DataFrame:
         F.coalesce(get(d, "score", "double"), F.lit(0.0)).alias("score"),
         blank(get(d, "decision")).alias("decision"),
     )
-    defects = F.transform(_objects("v", "defects"), defect)
+    objects = F.filter(F.col("e.defects"), lambda d: d.isNotNull() & _is_object(d))
+    defects = F.coalesce(F.transform(objects, defect), F.array().cast(_DEFECTS))
     extra = [c for c in lines.columns if c != "value"]
-    missing = asset_unavailable()
+    missing = _truth(F.col("e.error.asset_unavailable")) | F.coalesce(F.size("e.error.asset") > 0, F.lit(False))
     return events.withColumn("defects", defects).select(
         *extra,
-        _long("v", "sequence_id").alias("sequence_id"),
-        _long("v", "trigger_id").alias("trigger_id"),
-        _text("v", "seat_id").alias("seat_id"),
-        _text("v", "sku").alias("sku"),
-        _text("v", "recipe_id").alias("recipe_id"),
-        _nonempty("v", "decision", "RECHECK").alias("decision"),
-        _flag("v", "quality_pass").alias("quality_pass"),
-        _long("v", "error_code").cast("int").alias("error_code"),
-        _double("v", "elapsed_ms").alias("elapsed_ms"),
-        F.coalesce(F.try_variant_get("v", "$.defect_count", "int"), F.size("defects")).alias("defect_count"),
+        _number("sequence_id").alias("sequence_id"),
+        _number("trigger_id").alias("trigger_id"),
+        _field("seat_id").alias("seat_id"),
+        _field("sku").alias("sku"),
+        _field("recipe_id").alias("recipe_id"),
+        _filled("decision", "RECHECK").alias("decision"),
+        _truth(F.col("e.quality_pass")).alias("quality_pass"),
+        _number("error_code", "int").alias("error_code"),
+        _number("elapsed_ms", "double").alias("elapsed_ms"),
+        F.coalesce(F.col("e.defect_count").try_cast("int"), F.size("defects")).alias("defect_count"),
         "defects",
-        _text("v", "message").alias("message"),
-        _text("v", "trace_dir").alias("trace_dir"),
-        _long("v", "timestamp_ms").alias("timestamp_ms"),
-        _nonempty("v", "source", "python_detector").alias("source"),
+        _field("message").alias("message"),
+        _field("trace_dir").alias("trace_dir"),
+        _number("timestamp_ms").alias("timestamp_ms"),
+        _filled("source", "python_detector").alias("source"),
         missing.alias("asset_unavailable"),
-        (missing | _flag("v", "sample_collection.enabled")).alias("sample_collection"),
+        (missing | _truth(F.col("e.sample_collection.enabled"))).alias("sample_collection"),
     )
 
 
+_DEFECTS = (
+    "array<struct<defect_id:string,class_name:string,severity:string,camera_id:string,pose_id:string,roi_name:string,score:double,decision:string>>"
+)
+
+
 def parse_controller_events(lines: DataFrame) -> DataFrame:
+    names = ["timestamp_us", "event", "sequence_id", "trigger_id", "seat_id", "sku", "decision", "error", "error_code", "station_state", "alarm_level", "message"]
+    records = _records(lines, ", ".join(f"{n} STRING" for n in names)).where(F.col("e._broken").isNull())
     extra = [c for c in lines.columns if c != "value"]
-    return _json_objects(lines).select(
-        *extra,
-        _long("v", "timestamp_us").alias("timestamp_us"),
-        _text("v", "event").alias("event"),
-        _long("v", "sequence_id").alias("sequence_id"),
-        _long("v", "trigger_id").alias("trigger_id"),
-        _text("v", "seat_id").alias("seat_id"),
-        _text("v", "sku").alias("sku"),
-        _nonempty("v", "decision", "RECHECK").alias("decision"),
-        _text("v", "error").alias("error"),
-        _long("v", "error_code").cast("int").alias("error_code"),
-        _text("v", "station_state").alias("station_state"),
-        _text("v", "alarm_level").alias("alarm_level"),
-        _text("v", "message").alias("message"),
-    )
+    special = {
+        "timestamp_us": _number("timestamp_us"), "sequence_id": _number("sequence_id"), "trigger_id": _number("trigger_id"),
+        "decision": _filled("decision", "RECHECK"), "error_code": _number("error_code", "int"),
+    }
+    return records.select(*extra, *[special.get(n, _field(n)).alias(n) for n in names])
 
 
 def parse_operator_log(lines: DataFrame, journal: list[str], line_no: str, limit: int = 500) -> DataFrame:

@@ -339,7 +339,8 @@ def result_serials(results: DataFrame, seat: str = "seat_id") -> DataFrame:
     )
     stem = F.regexp_extract(F.col(seat), r"^(.*)_[0-9]{12}$", 1)
     names = F.array_distinct(F.filter(F.concat(suffixes, F.array(stem)), lambda s: s != ""))
-    return results.withColumn("serial", F.explode(names))
+    plain = ~F.col(seat).contains("_")
+    return results.withColumn("serial", F.explode(F.when(plain, F.array(seat)).otherwise(names)))
 
 
 def match_manual_requests(requests: DataFrame, results: DataFrame, keys: list[str], timeout_s: int = 30, hot_rows: int | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -34,6 +35,23 @@ def split_candidates(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where(F.col("issue").isNull()).drop("issue"), checked.where(F.col("issue").isNotNull())
 
 
+def _plain(column: pa.Array) -> list:
+    numeric = pa.types.is_integer(column.type) or pa.types.is_floating(column.type)
+    return column.to_numpy(zero_copy_only=False).tolist() if numeric and not column.null_count else column.to_pylist()
+
+
+def _runs(batch: pa.RecordBatch, n: int) -> list[tuple[int, int, tuple]]:
+    """Start, end and key of each stretch of rows with the same first ``n`` columns."""
+    rows = batch.num_rows
+    change = np.zeros(max(rows - 1, 0), dtype=bool)
+    for column in batch.columns[:n]:
+        later, earlier = column.slice(1), column.slice(0, max(rows - 1, 0))
+        differs = pc.or_kleene(pc.not_equal(later, earlier), pc.xor(pc.is_null(later), pc.is_null(earlier)))
+        change |= pc.fill_null(differs, False).to_numpy(zero_copy_only=False)
+    edges = [0, *(np.flatnonzero(change) + 1).tolist(), rows] if rows else [0]
+    return [(a, b, tuple(c[a].as_py() for c in batch.columns[:n])) for a, b in zip(edges, edges[1:])]
+
+
 _CANDIDATE = [*BOX, "score", "evidence_lights", "recheck_score", "ng_score"]
 _KEPT = {"kept_index": "int", "suppressed": "long", "overflow": "long", "first_box": "array<int>"}
 
@@ -69,23 +87,24 @@ def _merge_stream(groups: list[str], out_schema: pa.Schema, iou_threshold: float
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out_schema)], schema=out_schema)
 
         for batch in batches:
-            for row in zip(*[column.to_pylist() for column in batch.columns]):
-                if row[:n] != key:
+            values = list(zip(*[_plain(column) for column in batch.columns[n:]]))
+            for start, end, group in _runs(batch, n):
+                if group != key:
                     if key is not None:
                         close()
-                    key, kept, overflow = row[:n], [], 0
-                x0, y0, x1, y1, score, lights, recheck, ng = row[n:]
-                k = first_overlap(kept, x0, y0, x1, y1)
-                if k is not None:
-                    k[0], k[1], k[2], k[3] = min(k[0], x0), min(k[1], y0), max(k[2], x1), max(k[3], y1)
-                    for light in lights:
-                        if light not in k[5]:
-                            k[5].append(light)
-                    k[8] += 1
-                elif len(kept) < cap:
-                    kept.append([x0, y0, x1, y1, score, list(dict.fromkeys(lights)), recheck, ng, 0, [x0, y0, x1, y1]])
-                else:
-                    overflow += 1
+                    key, kept, overflow = group, [], 0
+                for x0, y0, x1, y1, score, lights, recheck, ng in values[start:end]:
+                    k = first_overlap(kept, x0, y0, x1, y1)
+                    if k is not None:
+                        k[0], k[1], k[2], k[3] = min(k[0], x0), min(k[1], y0), max(k[2], x1), max(k[3], y1)
+                        for light in lights:
+                            if light not in k[5]:
+                                k[5].append(light)
+                        k[8] += 1
+                    elif len(kept) < cap:
+                        kept.append([x0, y0, x1, y1, score, list(dict.fromkeys(lights)), recheck, ng, 0, [x0, y0, x1, y1]])
+                    else:
+                        overflow += 1
             if out:
                 yield flush()
         if key is not None:
@@ -170,18 +189,30 @@ def limit_defects(defects: DataFrame, job: list[str], order: list, max_defects:
     return ranked.where(F.col("slot") < max_defects).withColumn("evidence_lights", F.slice("evidence_lights", 1, max_lights))
 
 
-def overlapping_pairs(left: DataFrame, right: DataFrame, keys: list[str], id_left: str, id_right: str, min_iou: float, cell: int = 32) -> DataFrame:
+PARTNERS = 1024
+
+
+def overlapping_pairs(
+    left: DataFrame, right: DataFrame, keys: list[str], id_left: str, id_right: str, min_iou: float, cell: int = 32, partners: int = PARTNERS
+) -> DataFrame:
     """Pairs of boxes in one region with IoU at or above ``min_iou`` (> 0).
 
-    Boxes meet only in grid cells they share, so boxes that do not touch are never paired.
+    While no region holds more than ``partners`` right boxes they are compared directly.  Beyond that boxes
+    meet only in grid cells they share, so boxes that do not touch are never paired.
     """
-    a = box_cells(left.select(*keys, F.col(id_left).alias("left_id"), *BOX), cell)
-    b = box_cells(right.select(*keys, F.col(id_right).alias("right_id"), *BOX), cell)
-    b = b.select(*keys, "cell_x", "cell_y", "right_id", *[F.col(c).alias(f"r_{c}") for c in BOX])
-    pairs = a.join(b, [*keys, "cell_x", "cell_y"])
-    touching = home_cell(F.greatest("x0", "r_x0"), F.greatest("y0", "r_y0"), cell)
+    a = left.select(*keys, F.col(id_left).alias("left_id"), *BOX)
+    b = right.select(*keys, F.col(id_right).alias("right_id"), *BOX)
+    crowded = largest_group(b, keys) > partners
+    on = keys + (["cell_x", "cell_y"] if crowded else [])
+    if crowded:
+        a, b = box_cells(a, cell), box_cells(b, cell)
+    b = b.select(*on, "right_id", *[F.col(c).alias(f"r_{c}") for c in BOX])
+    # Uncrowded, the hashed side of a region is small by the check above.
+    pairs = a.join(b if crowded else b.hint("shuffle_hash"), on)
+    if crowded:
+        pairs = pairs.where(home_cell(F.greatest("x0", "r_x0"), F.greatest("y0", "r_y0"), cell))
     iou = iou_xyxy(BOX, [f"r_{c}" for c in BOX])
-    return pairs.where(touching).withColumn("iou", iou).where(F.col("iou") >= min_iou).select(*keys, "left_id", "right_id", "iou")
+    return pairs.withColumn("iou", iou).where(F.col("iou") >= min_iou).select(*keys, "left_id", "right_id", "iou")
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], cell: int = 32) -> DataFrame:
@@ -232,23 +263,25 @@ def _match_stream(groups: list[str], out_schema: pa.Schema, iou_threshold: float
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out_schema)], schema=out_schema)
 
         for batch in batches:
-            for row in zip(*[column.to_pylist() for column in batch.columns]):
-                if row[:n] != key:
+            values = list(zip(*[_plain(column) for column in batch.columns[n:]]))
+            for start, end, group in _runs(batch, n):
+                if group != key:
                     if key is not None:
                         out.append((*key, tp, fp, len(truths) - tp))
-                    key, truths, free, tp, fp = row[:n], [], None, 0, 0
-                if not row[n]:
-                    truths.append(row[n + 1 :])
-                    continue
-                if free is None:
-                    free = np.ones(len(truths), dtype=bool) if len(truths) > _FEW else [True] * len(truths)
-                    boxes = np.array(truths, dtype=np.int64) if len(truths) > _FEW else truths
-                best, at = (best_many if len(truths) > _FEW else best_few)(boxes, free, *row[n + 1 :])
-                if best > 0.0 and best >= iou_threshold:
-                    free[at] = False
-                    tp += 1
-                else:
-                    fp += 1
+                    key, truths, free, tp, fp = group, [], None, 0, 0
+                for is_pred, *box in values[start:end]:
+                    if not is_pred:
+                        truths.append(box)
+                        continue
+                    if free is None:
+                        free = np.ones(len(truths), dtype=bool) if len(truths) > _FEW else [True] * len(truths)
+                        boxes = np.array(truths, dtype=np.int64) if len(truths) > _FEW else truths
+                    best, at = (best_many if len(truths) > _FEW else best_few)(boxes, free, *box)
+                    if best > 0.0 and best >= iou_threshold:
+                        free[at] = False
+                        tp += 1
+                    else:
+                        fp += 1
             if out:
                 yield flush()
         if key is not None:

@@ -112,7 +112,7 @@ def _(t):
 WITH p AS (SELECT *, row_number() OVER () AS k FROM v_candidates), x AS (SELECT sequence_id, camera_id, ordinal, x0, y0, x1, y1 FROM v_candidates)
 SELECT p.sequence_id, p.camera_id, p.ordinal AS left_id, q.ordinal AS right_id, round({IOU('p', 'q')}, 6) AS iou FROM x p JOIN v_truth q ON q.sequence_id = p.sequence_id AND q.camera_id = p.camera_id WHERE {IOU('p', 'q')} >= 0.4""")
 def _(t):
-    pairs = fu.overlapping_pairs(t.candidates, t.truth, ["sequence_id", "camera_id"], "ordinal", "ordinal", 0.4, 64)
+    pairs = fu.overlapping_pairs(t.candidates, t.truth, ["sequence_id", "camera_id"], "ordinal", "ordinal", 0.4)
     return pairs.withColumn("iou", F.round("iou", 6))
 
 
@@ -153,11 +153,10 @@ def _(t):
 
 
 @query("join_pixels_in_defects", """
-SELECT frame_id, x, y FROM v_pixels p WHERE EXISTS (SELECT 1 FROM (SELECT l_orderkey % 500 AS f, l_linenumber % 8 AS x0, l_suppkey % 8 AS y0, l_linenumber % 8 + 2 AS x1, l_suppkey % 8 + 1 AS y1 FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_tax = 0.03) b
+SELECT frame_id, x, y FROM v_pixels p WHERE EXISTS (SELECT 1 FROM (SELECT l_orderkey AS f, l_linenumber % 8 AS x0, l_suppkey % 8 AS y0, l_linenumber % 8 + 2 AS x1, l_suppkey % 8 + 1 AS y1 FROM lineitem) b
   WHERE b.f = p.frame_id AND p.x BETWEEN b.x0 AND b.x1 AND p.y BETWEEN b.y0 AND b.y1)""")
 def _(t):
-    boxes = t.select("""SELECT l_orderkey % 500 AS frame_id, l_linenumber % 8 AS x0, l_suppkey % 8 AS y0, l_linenumber % 8 + 2 AS x1, l_suppkey % 8 + 1 AS y1
-      FROM {lineitem} WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_tax = 0.03""")
+    boxes = t.select("SELECT l_orderkey AS frame_id, l_linenumber % 8 AS x0, l_suppkey % 8 AS y0, l_linenumber % 8 + 2 AS x1, l_suppkey % 8 + 1 AS y1 FROM {lineitem}")
     return fu.points_in_boxes(t.pixels, boxes, ["frame_id"], 8).select("frame_id", "x", "y")
 
 

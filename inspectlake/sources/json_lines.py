@@ -220,9 +220,9 @@ def parse_manifest(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_trace_files(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """Every JSON file below ``roots`` as (path, value)."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").option("wholetext", "true").text(roots)
+def read_documents(spark: SparkSession, paths: str | list[str], glob: str = "*.json") -> DataFrame:
+    """Whole files below ``paths`` as (path, value): snapshots and the files of result directories."""
+    files = spark.read.text(paths, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
     return files.select(F.col("_metadata.file_path").alias("path"), "value")
 
 

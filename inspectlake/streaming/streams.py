@@ -110,10 +110,10 @@ def health_batch(spark: SparkSession, batch: DataFrame, number: int, folder: str
     is_result = F.col("kind") == "result"
     count = lambda d: F.count_if(is_result & (F.col("decision") == d))
     tally = done.groupBy(*keys).agg(
-        F.max_by(F.struct(F.col("streak").alias("seed_streak"), F.col("alarm_level").alias("seed_alarm")), F.struct(*order)).alias("s"),
+        F.max_by(F.struct(F.col("streak").alias("seed_streak"), F.col("alarm_level").alias("seed_alarm")), F.struct(*order)).alias("_last"),
         F.count_if(is_result).alias("total_jobs"),
         *[count(d).alias(n) for d, n in (("OK", "ok_count"), ("NG", "ng_count"), ("RECHECK", "recheck_count"), ("ERROR", "error_count"))],
-    ).select(*keys, "s.*", *HEALTH_STATE[2:])
+    ).select(*keys, "_last.*", *HEALTH_STATE[2:])
     if seeds is not None:
         old = seeds.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(c).alias(f"_o_{c}") for c in HEALTH_STATE])
         on = [tally[k] == old[f"_k_{k}"] for k in keys]
@@ -149,19 +149,19 @@ def run_presence(readings: DataFrame, folder: str, keys: list[str], order: list[
         runs = h.presence_runs(rows, keys, order, low_mm, high_mm, hot_rows).where("seed_since IS NULL")
         stable = F.col("in_range") & (F.col("ts_us") - F.col("since_us") >= max(stable_ms, 0) * 1000)
         hit = F.struct(F.col("ts_us").alias("present_us"), F.col(order[-1]).alias("id"), "distance_mm")
-        now = runs.groupBy(*keys).agg(F.min(F.when(stable, hit)).alias("hit"), F.max_by(F.struct(F.col("since_us").alias("since")), F.struct(*order)).alias("open"))
+        now = runs.groupBy(*keys).agg(F.min(F.when(stable, hit)).alias("_hit"), F.max_by(F.struct(F.col("since_us").alias("since")), F.struct(*order)).alias("_open"))
         if before is None:
-            state = now.select(*keys, F.col("open.since").alias("since_us"), F.col("hit").isNotNull().alias("reported"), "hit.present_us", "hit.distance_mm")
+            state = now.select(*keys, F.col("_open.since").alias("since_us"), F.col("_hit").isNotNull().alias("reported"), "_hit.present_us", "_hit.distance_mm")
         else:
             old = before.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("since_us").alias("_since"), F.col("reported").alias("_rep"), F.col("present_us").alias("_at"), F.col("distance_mm").alias("_d"))
             both = now.join(old, [now[k] == old[f"_k_{k}"] for k in keys], "full_outer")
             rep = F.coalesce("_rep", F.lit(False))
             state = both.select(
                 *[F.coalesce(k, f"_k_{k}").alias(k) for k in keys],
-                F.when(F.col("open").isNotNull(), F.col("open.since")).otherwise(F.col("_since")).alias("since_us"),
-                (rep | F.col("hit").isNotNull()).alias("reported"),
-                F.when(rep, F.col("_at")).otherwise(F.col("hit.present_us")).alias("present_us"),
-                F.when(rep, F.col("_d")).otherwise(F.col("hit.distance_mm")).alias("distance_mm"),
+                F.when(F.col("_open").isNotNull(), F.col("_open.since")).otherwise(F.col("_since")).alias("since_us"),
+                (rep | F.col("_hit").isNotNull()).alias("reported"),
+                F.when(rep, F.col("_at")).otherwise(F.col("_hit.present_us")).alias("present_us"),
+                F.when(rep, F.col("_d")).otherwise(F.col("_hit.distance_mm")).alias("distance_mm"),
             )
         write_version(state, f"{folder}/state", number)
 

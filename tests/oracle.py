@@ -15,15 +15,15 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark_session(cpus: int = 8):
     from pyspark.sql import SparkSession
 
+    from inspectlake.session import configured
+
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        configured(SparkSession.builder.master(f"local[{cpus}]"))
         .appName("inspectlake-tests")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(cpus))
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")

@@ -33,7 +33,7 @@ def sample_groups(rows: DataFrame) -> DataFrame:
     keyed = rows.withColumn("group_sample_id", base_sample_id())
     rest = [c for c in ("recipe_id", "seat_id", "sequence_id", "decision", "quality_pass", "split", "label_status") if c in rows.columns]
     first = F.min_by(F.struct(*rest), F.struct("light_id", "image_path"))
-    lights = F.transform(F.array_sort(F.collect_set(F.struct("light_id", "image_path"))), lambda r: r["light_id"])
+    lights = F.sort_array(F.collect_set("light_id"))
     return keyed.groupBy(*GROUP).agg(lights.alias("lights"), F.count("*").alias("rows"), first.alias("f")).select(*GROUP, "lights", "rows", "f.*")
 
 
@@ -58,12 +58,16 @@ def group_truth(truth: DataFrame, keys: list[str], order: list[str], item: list[
 
 
 def defect_images(images: DataFrame, defects: DataFrame, keys: list[str]) -> DataFrame:
-    """Images with the boxes of their region's defects and a flag."""
-    boxes = defects.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x0", "y0", "x1", "y1"))).alias("boxes"))
-    joined = images.join(boxes, keys, "left")
-    return joined.withColumn("has_defect", F.col("boxes").isNotNull()).withColumn(
-        "boxes", F.coalesce("boxes", F.array().cast("array<struct<x0:int,y0:int,x1:int,y1:int>>"))
-    )
+    """Images with the number of defects in their region and a flag; only counts are joined."""
+    counts = defects.groupBy(*keys).agg(F.count("*").alias("defects"))
+    joined = images.join(counts, keys, "left").withColumn("defects", F.coalesce("defects", F.lit(0)))
+    return joined.withColumn("has_defect", F.col("defects") > 0)
+
+
+def image_boxes(images: DataFrame, defects: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per image and defect box of its region; an image without defects has one row without a box."""
+    boxes = defects.select(*keys, "x0", "y0", "x1", "y1")
+    return images.join(boxes, keys, "left").withColumn("has_defect", F.col("x0").isNotNull())
 
 
 def dataset_summary(samples: DataFrame) -> DataFrame:

@@ -209,13 +209,19 @@ def event_message(quality_messages: str, error_message: str, error_type: str) ->
     )
 
 
-def quality_reasons(job_messages: str, frame_messages: str, limit: int = 5) -> Column:
-    """Job messages, then ``camera/light: a, b`` per failing frame, first ``limit``."""
-    frames = F.transform(
-        F.filter(F.col(frame_messages), lambda f: F.size(f["messages"]) > 0),
-        lambda f: F.concat(f["camera_id"], F.lit("/"), f["light_id"], F.lit(": "), F.array_join(f["messages"], ", ")),
-    )
-    return F.slice(F.concat(F.col(job_messages), frames), 1, max(limit, 0))
+def quality_reasons(job_messages: DataFrame, frame_messages: DataFrame, keys: list[str], order: str, limit: int = 5) -> DataFrame:
+    """First ``limit`` reasons per job: job messages, then ``camera/light: a, b`` per failing frame.
+
+    Both inputs have the keys and ``order``; ``job_messages`` a message, ``frame_messages`` camera_id,
+    light_id and a list of messages.  Only the first few reasons of a job are ever gathered.
+    """
+    label = F.concat("camera_id", F.lit("/"), "light_id", F.lit(": "), F.array_join("messages", ", "))
+    said = job_messages.select(*keys, F.lit(0).alias("_kind"), F.col(order).alias("_at"), F.col("message").alias("_text"))
+    failing = frame_messages.where(F.size("messages") > 0).select(*keys, F.lit(1).alias("_kind"), F.col(order).alias("_at"), label.alias("_text"))
+    first = Window.partitionBy(*keys).orderBy("_kind", "_at", "_text")
+    kept = said.unionByName(failing).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= max(limit, 0))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_n", "_text"))), lambda r: r["_text"])
+    return kept.groupBy(*keys).agg(listed.alias("reasons"))
 
 
 def error_reason(error_type: str, message: str) -> Column:

@@ -205,9 +205,10 @@ def capture_consistency(frames: DataFrame, lights: DataFrame, job: list[str], ma
 
 
 def monotonic_times(frames: DataFrame, lights: DataFrame, job: list[str]) -> DataFrame:
-    """Views whose times fall in the order of the required lights (one row per light, so views are short)."""
+    """Views whose times fall in the order of the required lights; one row per light is compared."""
     rows, view = _required(frames, lights, job)
-    before = F.lag("timestamp_us").over(Window.partitionBy(*view).orderBy("pos", "timestamp_us"))
+    rows = rows.groupBy(*view, "pos").agg(F.max("timestamp_us").alias("timestamp_us"))
+    before = F.lag("timestamp_us").over(Window.partitionBy(*view).orderBy("pos"))
     falling = rows.withColumn("before", before).where(F.col("timestamp_us") < F.col("before")).select(*view).distinct()
     return falling.select(
         *job, "camera_id", _text(F.col("camera_id"), ": timestamps are not monotonic by required light order").alias("message")

@@ -186,11 +186,16 @@ def _(t):
 
 
 @query("join_defect_images", """
-WITH b AS (SELECT sequence_id, camera_id, string_agg(x0 || ',' || y0 || ',' || x1 || ',' || y1, '|' ORDER BY x0, y0, x1, y1) AS boxes FROM v_truth GROUP BY 1, 2) SELECT m.sample_id, m.camera_id, b.boxes IS NOT NULL AS has_defect, coalesce(b.boxes, '') AS boxes FROM v_manifest m LEFT JOIN b ON b.sequence_id = m.sequence_id AND b.camera_id = m.camera_id""")
+SELECT m.sample_id, m.camera_id, m.light_id, b.x0 IS NOT NULL AS has_defect, coalesce(b.x0, -1) AS x0, coalesce(b.y0, -1) AS y0, coalesce(b.x1, -1) AS x1, coalesce(b.y1, -1) AS y1 FROM v_manifest m LEFT JOIN v_truth b ON b.sequence_id = m.sequence_id AND b.camera_id = m.camera_id""")
 def _(t):
-    rows = ds.defect_images(t.manifest.drop("has_defect"), t.truth, ["sequence_id", "camera_id"])
-    shown = F.array_join(F.transform("boxes", lambda b: F.concat_ws(",", b["x0"], b["y0"], b["x1"], b["y1"])), "|")
-    return rows.select("sample_id", "camera_id", "has_defect", shown.alias("boxes"))
+    rows = ds.image_boxes(t.manifest.drop("has_defect"), t.truth, ["sequence_id", "camera_id"])
+    return rows.select("sample_id", "camera_id", "light_id", "has_defect", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+@query("agg_defect_images", """
+SELECT m.sample_id, m.camera_id, m.light_id, coalesce(n, 0) AS defects, n IS NOT NULL AS has_defect FROM v_manifest m LEFT JOIN (SELECT sequence_id, camera_id, count(*) AS n FROM v_truth GROUP BY 1, 2) b ON b.sequence_id = m.sequence_id AND b.camera_id = m.camera_id""")
+def _(t):
+    return ds.defect_images(t.manifest.drop("has_defect"), t.truth, ["sequence_id", "camera_id"]).select("sample_id", "camera_id", "light_id", "defects", "has_defect")
 
 
 SETS = "CASE {0} ELSE 'all' END AS section, CASE {1} ELSE '' END AS value"

@@ -156,13 +156,10 @@ def _(t):
             )
         ),
     )
-    jobs = frames.groupBy("sequence_id").agg(
-        F.when(F.max(F.col("light_id") == "BAR_LEFT"), F.array(F.lit("stray light"))).otherwise(F.array().cast("array<string>")).alias("jm"),
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("frame_id", "camera_id", "light_id", "messages"))), lambda f: f.dropFields("frame_id")
-        ).alias("fm"),
-    )
-    return jobs.select("sequence_id", F.array_join(ev.quality_reasons("jm", "fm", 2), " | ").alias("reasons"))
+    stray = t.frames.where("light_id = 'BAR_LEFT'").groupBy("sequence_id").agg(F.lit("stray light").alias("message"), F.lit(0).cast("long").alias("frame_id"))
+    reasons = ev.quality_reasons(stray, frames, ["sequence_id"], "frame_id", 2)
+    every = t.frames.select("sequence_id").distinct().join(reasons, "sequence_id", "left")
+    return every.select("sequence_id", F.coalesce(F.array_join("reasons", " | "), F.lit("")).alias("reasons"))
 
 
 @query("prj_error_reason", """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inspectlake.operators import datasets as ds, fusion as fu, models as md
 from inspectlake.plans import jobs, q_quality
-from inspectlake.plans.q_anomaly import STATS, R
+from inspectlake.plans.q_anomaly import DIST, STATS, R
 from inspectlake.plans.q_fusion import MATCH
 from inspectlake.plans.q_health import KINDS, PRESENCE_SQL, STATE_SQL
 from inspectlake.plans.q_pixels import CHANNELS
@@ -200,7 +200,7 @@ def _(t):
     return t.spark.read.text(f"{path}/actions").agg(F.count("*").alias("actions"))
 
 
-@query("src_images")
+@query("src_images", "SELECT vec_id AS frame_id, 8 AS width, 8 AS height, 64 AS bytes FROM embeddings")
 def _(t):
     return q_quality.frame_images(t).select("frame_id", "width", "height", F.length("image").alias("bytes"))
 
@@ -277,9 +277,13 @@ def _(t):
     return samples.groupBy("decision").agg(F.count("*").alias("samples"), F.count_if("has_defect").alias("with_defect"))
 
 
-@query("job_collect_captures")
+@query("job_collect_captures", """
+WITH c AS (SELECT station_id, CASE WHEN i = 2 AND station_id % 4 = 1 AND decision = 'NG' THEN 9 ELSE i END AS l FROM (SELECT *, unnest([1, 2]) AS i FROM v_results)), k AS (SELECT station_id, count_if(l = 1) AS a, count_if(l = 2) AS b FROM c GROUP BY 1), g AS (SELECT * FROM k WHERE a = b AND a > 0), s AS (SELECT coalesce(sum(a), 0) AS n, count(*) AS cams FROM g)
+SELECT 'all' AS section, '' AS value, 2 * n AS samples, n AS groups FROM s UNION ALL SELECT 'camera_id', 'C' || station_id, 2 * a, a FROM g UNION ALL SELECT 'light_id', l, n, n FROM s, (SELECT unnest(['DIFFUSE', 'POLAR_DIFFUSE']) AS l) WHERE n > 0
+UNION ALL SELECT 'roi_name', 'seat', 2 * n, n FROM s WHERE n > 0 UNION ALL SELECT 'split', 'unassigned', 2 * n, n FROM s WHERE n > 0 UNION ALL SELECT 'label_status', 'unlabeled', 2 * n, n FROM s WHERE n > 0 UNION ALL SELECT 'skipped', '', 0, count(*) FROM k WHERE NOT (a = b AND a > 0)""")
 def _(t):
-    files = t.select("SELECT concat('C', cast(station_id AS varchar(20)), '_', cast(ts_us AS varchar(20)), '_L', cast(1 + pos % 2 AS varchar(4)), '_original.png') AS file_name FROM {v_defects}")
+    files = t.select("""SELECT concat('C', cast(station_id AS varchar(20)), '_', cast(ts_us AS varchar(20)), '_L', cast(CASE WHEN i = 2 AND station_id % 4 = 1 AND decision = 'NG' THEN 9 ELSE i END AS varchar(4)), '_original.png') AS file_name
+      FROM (SELECT *, @UNNEST(1, 2) AS i FROM {v_results}) r""")
     lights = t.recipe_lights.where("recipe_id = 'r0'").select("pos", "light_id")
     rois = t.results.select(F.concat(F.lit("C"), F.col("station_id").cast("string")).alias("camera_id")).distinct().withColumn("roi_name", F.lit("seat"))
     _samples, _skipped, summary = jobs.collect_captures(files, lights, rois, ["L1", "L2"])
@@ -294,11 +298,15 @@ def _(t):
     return totals.where("level = 'overall'").select("samples", "true_positives", "false_positives", "false_negatives")
 
 
-@query("job_score_captures")
+@query("job_score_captures", f"""
+WITH n AS (SELECT q.vec_id, min({DIST.format('q', 'b')}) AS distance FROM v_queries q CROSS JOIN v_bank b GROUP BY 1),
+x AS (SELECT m.camera_id, round(least(greatest(tanh((distance - 0.9) / (2 * (1.15 - 0.9))), 0.0), 1.0), 6) AS score FROM v_manifest m JOIN n ON n.vec_id = m.frame_id)
+SELECT 1 AS sequence_id, camera_id, CASE WHEN max(score) >= 0.8 THEN 'NG' WHEN max(score) >= 0.3 THEN 'RECHECK' ELSE 'OK' END AS decision, max(score) AS max_score, 'seat' AS roi_name, count(*) AS regions FROM x GROUP BY 2""")
 def _(t):
     samples = t.manifest.withColumn("sequence_id", F.lit(1))
     vectors = t.embeddings.select(F.concat(F.lit("img/"), F.col("vec_id").cast("string"), F.lit(".png")).alias("image_path"), "vec_id", "embedding")
-    return jobs.score_captures(samples, vectors, t.bank, {"mean": 0.9, "p99": 1.15, "recheck": 0.3, "ng": 0.8}, 1)
+    out = jobs.score_captures(samples, vectors, t.bank, {"mean": 0.9, "p99": 1.15, "recheck": 0.3, "ng": 0.8}, 1)
+    return out.withColumn("max_score", F.round("max_score", 6))
 
 
 @query("job_line_report", """

@@ -2,8 +2,8 @@
 
 Each view is one SELECT shared by Spark and the check engine.  ``{name}`` is a
 given table or another view.  Four spellings differ between the two dialects
-and are written as macros: ``@US(ts)`` (epoch microseconds), ``@LIST(a, b)``
-(array literal), ``@CRC`` (CRC-32 of a text) and ``@POS`` (an array turned into rows with positions).
+and are written as macros: ``@US(ts)`` (epoch microseconds), ``@UNNEST(a, b)``
+(one row per value), ``@CRC`` (CRC-32 of a text) and ``@POS`` (an array turned into rows with positions).
 No view drops rows of its table.
 """
 
@@ -41,13 +41,13 @@ SELECT event_id AS sequence_id, event_id + 1000 AS trigger_id, user_id AS statio
 
 # Up to three defects per NG result.
 VIEWS["v_defects"] = """
-SELECT r.sequence_id, r.station_id, r.ts_us, cast(d.i AS int) AS pos, concat(cast(r.sequence_id AS varchar(20)), '-', cast(d.i AS varchar(4))) AS defect_id,
-  CASE WHEN (r.sequence_id + d.i) % 3 = 0 THEN 'scratch' WHEN (r.sequence_id + d.i) % 3 = 1 THEN '' ELSE 'stain' END AS class_name,
-  CASE WHEN (r.sequence_id + d.i) % 4 = 0 THEN '' ELSE 'seat' END AS roi_name,
-  CASE WHEN (r.sequence_id + d.i) % 2 = 0 THEN 'TOP_BACK' ELSE 'TOP_CUSHION' END AS camera_id,
-  CASE WHEN (r.sequence_id + d.i) % 5 = 0 THEN 'P2' WHEN (r.sequence_id + d.i) % 2 = 0 THEN 'TOP_BACK' ELSE 'TOP_CUSHION' END AS pose_id,
-  ((r.sequence_id * 7 + d.i * 13) % 100) / 100.0e0 AS score
-  FROM {v_results} r JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2) d ON d.i < r.defect_count"""
+SELECT d.sequence_id, d.station_id, d.ts_us, cast(d.i AS int) AS pos, concat(cast(d.sequence_id AS varchar(20)), '-', cast(d.i AS varchar(4))) AS defect_id,
+  CASE WHEN (d.sequence_id + d.i) % 3 = 0 THEN 'scratch' WHEN (d.sequence_id + d.i) % 3 = 1 THEN '' ELSE 'stain' END AS class_name,
+  CASE WHEN (d.sequence_id + d.i) % 4 = 0 THEN '' ELSE 'seat' END AS roi_name,
+  CASE WHEN (d.sequence_id + d.i) % 2 = 0 THEN 'TOP_BACK' ELSE 'TOP_CUSHION' END AS camera_id,
+  CASE WHEN (d.sequence_id + d.i) % 5 = 0 THEN 'P2' WHEN (d.sequence_id + d.i) % 2 = 0 THEN 'TOP_BACK' ELSE 'TOP_CUSHION' END AS pose_id,
+  ((d.sequence_id * 7 + d.i * 13) % 100) / 100.0e0 AS score
+  FROM (SELECT *, @UNNEST(0, 1, 2) AS i FROM {v_results}) d WHERE d.i < d.defect_count"""
 
 # Controller log: the same events as station messages.
 VIEWS["v_controller"] = """
@@ -145,11 +145,11 @@ SELECT concat('trace/', CASE WHEN doc_id % 9 = 0 THEN 'tmp' ELSE concat('202401'
 
 # Two display images per result, some of them unreadable.
 VIEWS["v_images"] = """
-SELECT r.sequence_id, r.station_id, c.camera_id, CASE WHEN r.sequence_id % 5 = 0 THEN 'P2' ELSE c.camera_id END AS pose_id,
-  CASE WHEN (r.sequence_id + c.i) % 4 = 0 THEN 'overlay' ELSE 'raw_image' END AS kind,
-  CASE (r.sequence_id + c.i) % 3 WHEN 0 THEN 'HIGH_LEFT' WHEN 1 THEN 'DIFFUSE' ELSE 'OTHER' END AS light_id,
-  concat('img/', cast(r.sequence_id AS varchar(20)), '_', cast(c.i AS varchar(4)), '.png') AS path, (r.sequence_id + c.i) % 6 = 0 AS failed
-  FROM {v_results} r CROSS JOIN (SELECT 0 AS i, 'TOP_BACK' AS camera_id UNION ALL SELECT 1, 'TOP_CUSHION' UNION ALL SELECT 2, 'TOP_BACK') c"""
+SELECT sequence_id, station_id, camera_id, CASE WHEN sequence_id % 5 = 0 THEN 'P2' ELSE camera_id END AS pose_id,
+  CASE WHEN (sequence_id + i) % 4 = 0 THEN 'overlay' ELSE 'raw_image' END AS kind,
+  CASE (sequence_id + i) % 3 WHEN 0 THEN 'HIGH_LEFT' WHEN 1 THEN 'DIFFUSE' ELSE 'OTHER' END AS light_id,
+  concat('img/', cast(sequence_id AS varchar(20)), '_', cast(i AS varchar(4)), '.png') AS path, (sequence_id + i) % 6 = 0 AS failed
+  FROM (SELECT sequence_id, station_id, i, CASE WHEN i = 1 THEN 'TOP_CUSHION' ELSE 'TOP_BACK' END AS camera_id FROM (SELECT sequence_id, station_id, @UNNEST(0, 1, 2) AS i FROM {v_results}) r) c"""
 
 # Operator actions on seats.
 VIEWS["v_actions"] = """
@@ -175,7 +175,8 @@ SELECT * FROM (VALUES ('r0', 'TOP_BACK', 'TOP_BACK', 'm_back', 'net', 'DIFFUSE')
   ('r1', 'TOP_BACK', 'TOP_BACK', 'm_back', '', 'DIFFUSE'), ('r1', 'TOP_CUSHION', 'TOP_CUSHION', 'm_cushion', 'net', 'DIFFUSE'), ('r1', 'TOP_CUSHION', 'P2', 'm_pose', '', 'POLAR_DIFFUSE'))
   AS t(recipe_id, camera_id, pose_id, model_key, safety_net_key, view_base_light)"""
 VIEWS["v_recipe_lights"] = """
-SELECT r.recipe_id, l.pos, l.light_id, l.required FROM {v_recipe} r JOIN (VALUES (0, 'DIFFUSE', true), (1, 'POLAR_DIFFUSE', true), (2, 'HIGH_LEFT', true), (3, 'HIGH_RIGHT', false)) AS l(pos, light_id, required) ON true"""
+SELECT * FROM (VALUES ('r0', 0, 'DIFFUSE', true), ('r0', 1, 'POLAR_DIFFUSE', true), ('r0', 2, 'HIGH_LEFT', true), ('r0', 3, 'HIGH_RIGHT', false),
+  ('r1', 0, 'DIFFUSE', true), ('r1', 1, 'POLAR_DIFFUSE', true), ('r1', 2, 'HIGH_LEFT', true), ('r1', 3, 'HIGH_RIGHT', false)) AS t(recipe_id, pos, light_id, required)"""
 
 # Regions per camera; one reaches outside the image.
 VIEWS["v_rois"] = """
@@ -246,14 +247,14 @@ _DUCK_CRC = (
 def _spark_text(sql: str) -> str:
     sql = re.sub(r"@US\((\w+)\)", r"unix_micros(cast(\1 AS timestamp))", sql)
     sql = re.sub(_CRC, r"crc32(cast(\1 AS binary))", sql)
-    sql = sql.replace("@LIST(", "array(")
+    sql = re.sub(r"@UNNEST\(([^)]*)\)", r"explode(array(\1))", sql)
     return re.sub(r"@POS\((\w+), (\w+), (\{\w+\})\)", lambda m: _SPARK["POS"].format(*m.groups()), sql)
 
 
 def duck_text(sql: str) -> str:
     sql = re.sub(r"@US\((\w+)\)", r"epoch_us(\1)", sql)
     sql = re.sub(_CRC, lambda m: _DUCK_CRC.format(m.group(1)), sql)
-    sql = sql.replace("@LIST(", "list_value(")
+    sql = re.sub(r"@UNNEST\(([^)]*)\)", r"unnest([\1])", sql)
     sql = re.sub(r"@POS\((\w+), (\w+), (\{\w+\})\)", lambda m: _DUCK["POS"].format(*m.groups()), sql)
     return re.sub(r"\{([a-z]\w*)\}", r"\1", sql)
 

@@ -200,14 +200,22 @@ def _for_each(stream: DataFrame, step: Callable[[DataFrame, int], None], folder:
 
 
 def to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is available and return the written rows; each batch owns its folder."""
+    """Run a stream over what is available and return the written rows; each batch owns its folder.
+
+    State is cut into as many parts as the cluster has cores, whatever batch queries use.
+    """
     spark = stream.sparkSession
     folder = fresh_folder(spark, name)
 
     def step(batch: DataFrame, number: int) -> None:
         write_version(batch, f"{folder}/out", number)
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    try:
+        query = stream.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     query.awaitTermination()
     return spark.read.parquet(f"{folder}/out")
 

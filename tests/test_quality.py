@@ -90,3 +90,13 @@ def test_decode_takes_the_first_best_class(spark):
     df = spark.createDataFrame([(1, [10.0, 20.0, 4.0, 6.0, 0.7, 0.7, 0.1]), (2, [0.0] * 7)], "k int, raw array<double>")
     out = d.decode_class_scores(df, "raw", 0.7).collect()
     assert len(out) == 1 and (out[0]["x0"], out[0]["y0"], out[0]["x1"], out[0]["y1"], out[0]["class_id"]) == (8, 17, 12, 23, 0)
+
+
+def test_frame_boxes(spark):
+    from inspectlake.functions import boxes as bx
+
+    move = [1.0, 0.0, 10.5, 0.0, 1.0, -3.0, 0.0, 0.0, 1.0]
+    flat = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0]
+    df = spark.createDataFrame([(move, 8, 6, 100, 50, 2, 3), (None, 8, 6, 100, 50, 2, 3), (flat, 8, 6, 100, 50, 2, 3)], "m array<double>, w int, h int, sw int, sh int, ox int, oy int")
+    out = [tuple(r) for r in df.select(*bx.frame_bbox("m", "w", "h", "sw", "sh", "ox", "oy")).collect()]
+    assert out == [(10, 0, 18, 2), (2, 3, 9, 8), (2, 3, 9, 8)]

@@ -35,6 +35,7 @@ TEXT_SAMPLING = "模型资产未就绪，当前任务保存为训练样本"
 TEXT_RECHECK = "当前结果需要复检"
 TEXT_ERROR = "检测链路异常"
 MODE_SAMPLING, MODE_RECHECK, MODE_ONLINE = "采样模式", "复检/异常", "在线检测"
+SOURCE_DETECTOR, SOURCE_CONTROLLER = "python_detector", "cpp_controller"
 LIGHT_RANK = {"DIFFUSE": 0, "POLAR_DIFFUSE": 1, "HIGH_LEFT": 2, "HIGH_RIGHT": 3}
 
 
@@ -281,7 +282,7 @@ def detection_log(results: DataFrame, defects: DataFrame, keys: list[str]) -> Da
     return results.join(primary, keys, "left").select(
         *keys,
         "ts_us",
-        F.lit("python_detector").alias("source"),
+        F.lit(SOURCE_DETECTOR).alias("source"),
         F.coalesce(F.col("best.camera"), F.lit("")).alias("camera_id"),
         status.alias("status"),
         F.when(missing, F.col("message")).otherwise(status_message(status)).alias("reason"),
@@ -297,7 +298,7 @@ def controller_log(events: DataFrame, keys: list[str]) -> DataFrame:
     return controller_alerts(events).select(
         *keys,
         "ts_us",
-        F.lit("cpp_controller").alias("source"),
+        F.lit(SOURCE_CONTROLLER).alias("source"),
         F.lit("").alias("camera_id"),
         normal_status("decision").alias("status"),
         F.coalesce(filled("message"), filled("error"), F.col("event")).alias("reason"),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 # Fixed values.
 DISPLAY_SCHEMA_SUFFIX = "display_event.v1"
+DEFAULT_SOURCE = "python_detector"
 
 
 def _text(v: str, path: str, default: str = "") -> Column:
@@ -106,7 +107,7 @@ def parse_detection_events(lines: DataFrame) -> DataFrame:
         _field("message").alias("message"),
         _field("trace_dir").alias("trace_dir"),
         _number("timestamp_ms").alias("timestamp_ms"),
-        _filled("source", "python_detector").alias("source"),
+        _filled("source", DEFAULT_SOURCE).alias("source"),
         missing.alias("asset_unavailable"),
         (missing | _truth(F.col("e.sample_collection.enabled"))).alias("sample_collection"),
     )
@@ -189,13 +190,14 @@ def parse_manifest(lines: DataFrame) -> DataFrame:
     )
     own, plain = _boxes("v", "ground_truth_bbox"), _boxes("v", "bbox_xyxy_pixel")
     has_list = F.try_variant_get("v", "$.ground_truth", "variant").isNotNull() & (F.schema_of_variant(F.try_variant_get("v", "$.ground_truth", "variant")) != "VOID")
-    empty = F.array().cast(from_list_type := "array<struct<bbox:array<int>,severity:string,roi_name:string>>")
+    truth_type = "array<struct<bbox:array<int>,severity:string,roi_name:string>>"
+    empty = F.array().cast(truth_type)
     truth = (
         F.when(has_list, from_list)
         .when(F.size(own) > 0, F.transform(own, common))
         .when(F.size(plain) > 0, F.transform(plain, common))
         .otherwise(empty)
-    ).cast(from_list_type)
+    ).cast(truth_type)
     wrong = lambda b: b.isNull() | (F.size(b) != 4) | F.exists(b, lambda n: n.isNull()) | (b[2] < b[0]) | (b[3] < b[1])
     bad_list = has_list & (listed.isNull() | F.exists(listed, lambda i: F.coalesce(wrong(item_box(i)), F.lit(True))))
     required = ["sample_id", "light_id", "camera_id", "roi_name", "image_path"]

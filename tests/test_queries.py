@@ -27,3 +27,29 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+HOT = [
+    "win_recheck_streak", "win_alarm_level", "win_station_state", "win_running_totals", "win_fault_backoff", "win_camera_reset",
+    "win_presence_stable", "win_tact_rate", "win_retention_plan", "agg_timing_report", "join_manual_request", "join_ng_ack",
+    "win_nms_merge", "join_eval_match", "agg_group_truth", "win_capture_sessions", "win_capture_zip", "agg_overlap_ranges",
+    "agg_coreset_stride", "agg_calibrate_distances",
+]
+
+
+@pytest.mark.parametrize("name", HOT)
+def test_query_with_every_group_hot(spark, con, name, monkeypatch):
+    """The same results when even small groups are treated as too large for one task."""
+    from inspectlake.operators import events, fusion, ordered
+
+    for module in (events, fusion, ordered):
+        monkeypatch.setattr(module, "HOT_GROUP_ROWS", 6)
+    assert compare(spark, con, FOLDER, QUERIES[name], SQL[name]) in (None, "EMPTY")
+
+
+def test_overlaps_in_crowded_regions(spark, con, monkeypatch):
+    from inspectlake.operators import fusion
+
+    real = fusion.overlapping_pairs
+    monkeypatch.setattr(fusion, "overlapping_pairs", lambda *a, **k: real(*a, **{**k, "partners": 0}))
+    assert compare(spark, con, FOLDER, QUERIES["join_iou"], SQL["join_iou"]) is None

@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -57,12 +59,9 @@ def keep_rows(docs: DataFrame, choose: Callable[[DataFrame], DataFrame]) -> Data
     return numbered.join(stay, uid, "left_semi").select(*[f"`{c}`" for c in docs.columns])
 
 
-def map_arrow(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dict]) -> DataFrame:
+def map_arrow(df: DataFrame, schema: str | StructType, work: Callable[[pa.RecordBatch], dict]) -> DataFrame:
     """``work`` turns each Arrow batch into a dict of columns with the names and order of ``schema``."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    types = to_arrow_schema(StructType.fromDDL(schema))
+    types = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inspectlake.llm import naming, ngram_join
+from inspectlake.llm import langid, naming, ngram_join
 from inspectlake.llm.naming import numbered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,8 @@ def op1(spark, folder):
 )
 def op3(spark, folder):
     return ngram_join.near_groups(numbered(table(spark, folder, "documents"))).drop("uid")
+
+
+@query("op4_byte_network")
+def op4(spark, folder):
+    return langid.identify(table(spark, folder, "documents"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inspectlake.llm import langid, naming, ngram_join
+from inspectlake.llm import decontam, langid, naming, ngram_join, pieces
 from inspectlake.llm.naming import numbered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,13 @@ def op3(spark, folder):
 @query("op4_byte_network")
 def op4(spark, folder):
     return langid.identify(table(spark, folder, "documents"))
+
+
+@query("op2_pigeonhole_edits")
+def op2(spark, folder):
+    return decontam.contaminations(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op7_piece_lattice")
+def op7(spark, folder):
+    return pieces.encoded(table(spark, folder, "documents"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inspectlake.llm import decontam, langid, naming, ngram_join, pieces
+from inspectlake.llm import decontam, langid, naming, ngram_join, pieces, toxicity
 from inspectlake.llm.naming import numbered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,9 @@ def op2(spark, folder):
 @query("op7_piece_lattice")
 def op7(spark, folder):
     return pieces.encoded(table(spark, folder, "documents"))
+
+
+@query("op5_random_field")
+def op5(spark, folder):
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))

@@ -12,6 +12,7 @@ the training sequences.  Training uses a bounded sample of labelled rows; scorin
 from __future__ import annotations
 
 import re
+import zlib
 from array import array
 from collections import Counter, defaultdict
 
@@ -53,7 +54,9 @@ def pick_seeds(documents: list[tuple[set[str], int]], purity: float = 20.0, leas
     # A feature must be rarer in clean documents than chance explains: no clean one, though so many would be expected.
     by = {f: rows for f, rows in by.items() if len(rows) * total / max(1, toxic) >= 2}
     # Documents name several things, so what is frequent and never clean counts even where another feature explains it.
-    seeds = {f for f, rows in by.items() if len(rows) >= 15 and len(rows) >= 50 * clean[f]}
+    # ``many`` is so often that chance alone would put all of them into toxic documents once in a hundred thousand.
+    many = max(4, int(np.ceil(np.log(1e-5) / np.log(max(0.01, toxic / (toxic + total))))))
+    seeds = {f for f, rows in by.items() if len(rows) >= many and len(rows) >= 50 * clean[f]}
     explained = set().union(*(by[f] for f in seeds)) if seeds else set()
     by = {f: left for f, rows in by.items() if f not in seeds and len(left := rows - explained) >= least}
     while by:
@@ -67,6 +70,18 @@ def pick_seeds(documents: list[tuple[set[str], int]], purity: float = 20.0, leas
     return seeds
 
 
+def without_copies(documents: list[list[str]]) -> list[bool]:
+    """Whether each document shares none of four smallest shingle hashes with one before it: copies prove nothing twice."""
+    seen: set[tuple[int, int]] = set()
+    out = []
+    for words in documents:
+        codes = np.array([zlib.crc32(" ".join(words[k : k + 5]).encode()) for k in range(max(1, len(words) - 4))], np.uint64)
+        least = [(j, int(((codes * np.uint64(m) + np.uint64(j)) % np.uint64(4294967291)).min())) for j, m in enumerate((1, 48271, 69621, 40692))]
+        out.append(seen.isdisjoint(least))
+        seen.update(least)
+    return out
+
+
 class Field:
     """Weights by feature, and odds of the transitions (clean-clean is 1)."""
 
@@ -163,6 +178,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Field | None:
     if len({label for _, label in rows}) < 2:
         return None
     tokens = [_TOKEN.findall(t.lower()) for t, _ in rows]
+    fresh = without_copies(tokens)
+    tokens, rows = [t for t, ok in zip(tokens, fresh) if ok], [r for r, ok in zip(rows, fresh) if ok]
     seeds = pick_seeds([({f for w in set(ws) for f in features(w)}, label) for ws, (_, label) in zip(tokens, rows)])
     sequences, marks_of = [], []
     rng = np.random.default_rng(3)

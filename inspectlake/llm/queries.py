@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inspectlake.llm import decontam, langid, naming, ngram_join, pieces, toxicity
+from inspectlake.llm import decontam, langid, naming, ngram_join, pieces, pii, toxicity
 from inspectlake.llm.naming import numbered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ def op7(spark, folder):
 def op5(spark, folder):
     docs = table(spark, folder, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
+@query("op9_vote_labelers")
+def op9(spark, folder):
+    return pii.find(table(spark, folder, "documents"))

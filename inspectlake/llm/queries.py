@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inspectlake.llm import decontam, langid, naming, ngram_join, pieces, pii, toxicity
+from inspectlake.llm import chat, decontam, langid, naming, ngram_join, pieces, pii, sitetree, toxicity, warc
 from inspectlake.llm.naming import numbered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,30 @@ def op5(spark, folder):
 @query("op9_vote_labelers")
 def op9(spark, folder):
     return pii.find(table(spark, folder, "documents"))
+
+
+@query("op6_budget_windows")
+def op6(spark, folder):
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    both = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", both), (-7, 1, "assistant", both)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.windows(rows.unionByName(more)))
+
+
+@query(
+    "op8_salvage_reader",
+    """
+    WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+    f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first FROM p)
+    SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+    FROM f
+    """,
+)
+def op8(spark, folder):
+    return warc.archived(table(spark, folder, "pages"))
+
+
+@query("op10_site_style_tree")
+def op10(spark, folder):
+    return sitetree.extract(table(spark, folder, "pages"))

@@ -14,7 +14,8 @@ Links are wanted for components, so copies and large groups are not expanded int
 2. under each shingle every node is paired with the smallest node there, verified exactly, and links are tied together;
 3. only shingles under which several components remain are joined pair by pair, through an R-tree of their points, and
    survivors of the bound are verified.  After that no link between different components can exist.
-Large cells of step 3 are joined block by block, so that no task holds an unbounded group.
+Large cells of step 3 are joined block by block, so that no task holds an unbounded group.  Pairs that pass the tree are
+bounded once more by finer groups, as many as an eighth of the set: in 64 groups the counts of large sets are all alike.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ from inspectlake.llm.common import as_bytes, keep_rows, map_arrow, tie, written
 from inspectlake.llm.shingles import shingle_set
 
 GROUPS = 64
+FINE_GROUPS = 4096
+#: Bits for each row, and bits at most, of the filter that tells which texts are needed for exact counts.
+FILTER_BITS = 16
+FILTER_MOST = 1 << 27
 #: Documents of the sample that only sets the order of shingles, and the share of them that makes a shingle frequent.
 ORDER_SAMPLE = 20_000
 FREQUENT = 0.001
@@ -66,27 +71,42 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
 def _points(frequent: np.ndarray):
     def work(batch: pa.RecordBatch) -> dict:
-        sizes, prints, vectors, prefixes = [], [], [], []
+        sizes, prints, vectors, fine, prefixes = [], [], [], [], []
         for text in as_bytes(batch["text"]):
             found = shingle_set(text)
             n = len(found)
             sizes.append(n)
             prints.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if n else None)
-            counts = np.bincount((found & np.uint64(GROUPS - 1)).astype(np.intp), minlength=GROUPS)
-            vectors.append(counts.astype("<u2" if n < 65536 else "<u4").tobytes())
+            vectors.append(_counts(found, GROUPS))
+            fine.append(_counts(found, min(FINE_GROUPS, max(GROUPS, 1 << (n // 8).bit_length()))))
             if len(frequent) and n:
                 at = np.searchsorted(frequent, found)
                 at[at == len(frequent)] = 0
                 common = frequent[at] == found
                 found = np.concatenate([found[~common], found[common]])
             prefixes.append(found[: n // 5 + 1])
-        return {"uid": batch["uid"], "doc_id": batch["doc_id"], "n": sizes, "print": prints, "vec": vectors, "keys": _lists(prefixes)}
+        return {"uid": batch["uid"], "doc_id": batch["doc_id"], "n": sizes, "print": prints, "vec": vectors, "fine": fine, "keys": _lists(prefixes)}
 
     return work
 
 
+def _counts(found: np.ndarray, groups: int) -> bytes:
+    counts = np.bincount((found & np.uint64(groups - 1)).astype(np.intp), minlength=groups)
+    return b"2" + counts.astype("<u2").tobytes() if len(found) < 65536 else b"4" + counts.astype("<u4").tobytes()
+
+
 def _vector(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u2" if len(raw) == 2 * GROUPS else "<u4").astype(np.int32)
+    return np.frombuffer(raw, "<u2" if raw[:1] == b"2" else "<u4", offset=1).astype(np.int32)
+
+
+def most_shared(a: bytes, b: bytes) -> int:
+    """Sum of coordinate minima; the finer of two vectors is folded to the groups of the other."""
+    x, y = _vector(a), _vector(b)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] + x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] + y[len(y) // 2 :]
+    return int(np.minimum(x, y).sum())
 
 
 class RTree:
@@ -148,21 +168,22 @@ def near_groups(docs: DataFrame) -> DataFrame:
     Null and blank texts have the empty set, link with nothing and are their own component; their component_id is their
     doc_id.  Rows with equal sets are linked.  Null ids are passed over when the smallest id of a component is taken.
     """
-    points = written(map_arrow(docs.select("uid", "doc_id", "text"), "uid long, doc_id long, n int, print binary, vec binary, keys array<long>", _points(_frequent(docs))), "points")
+    points = written(map_arrow(docs.select("uid", "doc_id", "text"), "uid long, doc_id long, n int, print binary, vec binary, fine binary, keys array<long>", _points(_frequent(docs))), "points")
     nodes = points.where("n > 0").groupBy("print").agg(F.min_by(F.struct("uid", "keys"), "uid").alias("x")).select(F.col("x.uid").alias("node"), F.explode("x.keys").alias("key"))
     cells = nodes.select("key", "node").repartition("key").sortWithinPartitions("key", "node")
     shared = written(cells.mapInArrow(_leaders, "key long, node long, leader long"), "cells")
     first = shared.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     vectors = points.select(F.col("uid").alias("node"), "n", "vec")
-    tried = written(_bounded(first, vectors), "pairs")
+    finer = points.select(F.col("uid").alias("node"), "n", "fine")
+    tried = written(_bounded(first, finer), "pairs")
     links = written(verify(tried, docs), "links")
     roots = tie(links)
-    # What is left under shingles that still have several components.
+    # What is left under shingles that still have several components; with two nodes, their pair was tried above.
     left = shared.join(roots.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = left.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "rows")
+    mixed = left.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi and rows > 2").select("key", "rows")
     rest = left.join(mixed, "key").join(vectors, "node")
     pairs = _tree_join(rest).join(first, ["a", "b"], "left_anti").distinct()
-    more = written(verify(written(pairs, "pairs"), docs), "links")
+    more = written(verify(written(_bounded(pairs, finer), "pairs"), docs), "links")
     if more.limit(1).count():
         roots = tie(links.unionByName(more))
     nodes = points.where("n > 0").groupBy("print").agg(F.min("uid").alias("node"))
@@ -174,13 +195,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 def _bounded(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """Pairs whose sizes and summed minima still allow a link."""
-    a = vectors.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va"))
-    b = vectors.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb"))
+    a = vectors.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("fine").alias("va"))
+    b = vectors.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("vb"))
     both = pairs.join(a, "a").join(b, "b").where("5 * least(na, nb) >= 4 * greatest(na, nb)")
 
     def work(batch: pa.RecordBatch) -> dict:
         size = batch["na"].to_numpy() + batch["nb"].to_numpy()
-        most = [np.minimum(_vector(x), _vector(y)).sum() for x, y in zip(batch["va"].to_pylist(), batch["vb"].to_pylist())]
+        most = [most_shared(x, y) for x, y in zip(batch["va"].to_pylist(), batch["vb"].to_pylist())]
         ok = pa.array(np.array(most) >= need(size, 0))
         return {k: batch[k].filter(ok) for k in ("a", "b")}
 
@@ -233,10 +254,33 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
+def _filter(ids: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each hash of an id, built where the ids are; its size is fixed, whatever their number."""
+    code = F.pmod(F.xxhash64("uid"), F.lit(bits))
+    parts = ids.select(F.floor(code / 32768).cast("int").alias("part"), (code % 32768).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros((bits // 32768, 4096), np.uint8)
+    for row in parts.toLocalIterator():
+        out[row["part"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.ravel()
+
+
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of row numbers whose sets have a Jaccard similarity of 0.8 or more, counted exactly."""
-    used = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    sets = written(map_arrow(docs.select("uid", "text").join(used, "uid", "left_semi"), "uid long, shingles array<long>", _sets), "sets")
+    """Pairs (a, b) of row numbers whose sets have a Jaccard similarity of 0.8 or more, counted exactly.
+
+    Sets are made anew from the texts that the pairs need.  A filter of hashed row numbers passes over the other texts
+    where they are read; a text that it lets through in vain only costs time.
+    """
+    bits = min(FILTER_MOST, max(1 << 20, 1 << (FILTER_BITS * max(1, docs.count())).bit_length()))
+    used = pairs.select(F.explode(F.array("a", "b")).alias("uid"))
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(used, bits))
+
+    def work(batch: pa.RecordBatch) -> dict:
+        code = batch["code"].to_numpy()
+        some = batch.filter(pa.array((shared.value[code >> 3] >> (code & 7).astype(np.uint8)) & 1 == 1))
+        return _sets(some)
+
+    sets = map_arrow(docs.select("uid", "text", F.pmod(F.xxhash64("uid"), F.lit(bits)).alias("code")), "uid long, shingles array<long>", work)
+    sets = written(sets, "sets")
     both = pairs.join(sets.select(F.col("uid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("uid").alias("b"), F.col("shingles").alias("y")), "b")
     same = F.size(F.array_intersect("x", "y")).cast("long")
     return both.select("a", "b", same.alias("i"), (F.size("x") + F.size("y")).alias("t")).where("100 * i >= 80 * (t - i)").select("a", "b")

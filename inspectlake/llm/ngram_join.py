@@ -14,8 +14,9 @@ Links are wanted for components, so copies and large groups are not expanded int
 2. under each shingle every node is paired with the smallest node there, verified exactly, and links are tied together;
 3. only shingles under which several components remain are joined pair by pair, through an R-tree of their points, and
    survivors of the bound are verified.  After that no link between different components can exist.
-Large cells of step 3 are joined block by block, so that no task holds an unbounded group.  Pairs that pass the tree are
-bounded once more by finer groups, as many as an eighth of the set: in 64 groups the counts of large sets are all alike.
+Large cells of step 3 are joined block by block, so that no task holds an unbounded group.  The
+tree has 64 coordinates; pairs that pass it are bounded once more by finer groups, about an eighth of the set's size, for
+in 64 groups the counts of large sets are all alike.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ FILTER_BITS = 16
 FILTER_MOST = 1 << 27
 #: Documents of the sample that only sets the order of shingles, and the share of them that makes a shingle frequent.
 ORDER_SAMPLE = 20_000
-FREQUENT = 0.001
+FREQUENT = 0.0004
 BLOCK_ROWS = 2048
 FANOUT = 16
 
@@ -71,21 +72,20 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
 def _points(frequent: np.ndarray):
     def work(batch: pa.RecordBatch) -> dict:
-        sizes, prints, vectors, fine, prefixes = [], [], [], [], []
+        sizes, prints, vectors, prefixes = [], [], [], []
         for text in as_bytes(batch["text"]):
             found = shingle_set(text)
             n = len(found)
             sizes.append(n)
             prints.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if n else None)
-            vectors.append(_counts(found, GROUPS))
-            fine.append(_counts(found, min(FINE_GROUPS, max(GROUPS, 1 << (n // 8).bit_length()))))
+            vectors.append(_counts(found, min(FINE_GROUPS, max(GROUPS, 1 << (n // 8).bit_length()))))
             if len(frequent) and n:
                 at = np.searchsorted(frequent, found)
                 at[at == len(frequent)] = 0
                 common = frequent[at] == found
                 found = np.concatenate([found[~common], found[common]])
             prefixes.append(found[: n // 5 + 1])
-        return {"uid": batch["uid"], "doc_id": batch["doc_id"], "n": sizes, "print": prints, "vec": vectors, "fine": fine, "keys": _lists(prefixes)}
+        return {"uid": batch["uid"], "doc_id": batch["doc_id"], "n": sizes, "print": prints, "vec": vectors, "keys": _lists(prefixes)}
 
     return work
 
@@ -99,14 +99,15 @@ def _vector(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u2" if raw[:1] == b"2" else "<u4", offset=1).astype(np.int32)
 
 
-def most_shared(a: bytes, b: bytes) -> int:
+def _fold(x: np.ndarray, groups: int) -> np.ndarray:
+    """Counts by fewer groups: hashes that agree in the lower bits fall together."""
+    return x.reshape(-1, groups).sum(axis=0)
+
+
+def most_shared(x: np.ndarray, y: np.ndarray) -> int:
     """Sum of coordinate minima; the finer of two vectors is folded to the groups of the other."""
-    x, y = _vector(a), _vector(b)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] + x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] + y[len(y) // 2 :]
-    return int(np.minimum(x, y).sum())
+    groups = min(len(x), len(y))
+    return int(np.minimum(_fold(x, groups), _fold(y, groups)).sum())
 
 
 class RTree:
@@ -168,22 +169,23 @@ def near_groups(docs: DataFrame) -> DataFrame:
     Null and blank texts have the empty set, link with nothing and are their own component; their component_id is their
     doc_id.  Rows with equal sets are linked.  Null ids are passed over when the smallest id of a component is taken.
     """
-    points = written(map_arrow(docs.select("uid", "doc_id", "text"), "uid long, doc_id long, n int, print binary, vec binary, fine binary, keys array<long>", _points(_frequent(docs))), "points")
+    points = written(map_arrow(docs.select("uid", "doc_id", "text"), "uid long, doc_id long, n int, print binary, vec binary, keys array<long>", _points(_frequent(docs))), "points")
     nodes = points.where("n > 0").groupBy("print").agg(F.min_by(F.struct("uid", "keys"), "uid").alias("x")).select(F.col("x.uid").alias("node"), F.explode("x.keys").alias("key"))
     cells = nodes.select("key", "node").repartition("key").sortWithinPartitions("key", "node")
     shared = written(cells.mapInArrow(_leaders, "key long, node long, leader long"), "cells")
     first = shared.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     vectors = points.select(F.col("uid").alias("node"), "n", "vec")
-    finer = points.select(F.col("uid").alias("node"), "n", "fine")
-    tried = written(_bounded(first, finer), "pairs")
+    tried = written(_bounded(first, vectors), "pairs")
     links = written(verify(tried, docs), "links")
     roots = tie(links)
     # What is left under shingles that still have several components; with two nodes, their pair was tried above.
     left = shared.join(roots.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = left.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi and rows > 2").select("key", "rows")
-    rest = left.join(mixed, "key").join(vectors, "node")
-    pairs = _tree_join(rest).join(first, ["a", "b"], "left_anti").distinct()
-    more = written(verify(written(_bounded(pairs, finer), "pairs"), docs), "links")
+    # A node's own keys travel with it (no more than its prefix has), so that a pair is given under one of them only.
+    rest = left.join(mixed, "key").groupBy("node", "root").agg(F.sort_array(F.collect_list(F.struct("key", "rows"))).alias("cells")).join(vectors, "node")
+    rest = rest.select("node", "root", "n", "vec", F.col("cells.key").alias("keys"), F.explode("cells").alias("c")).select("*", "c.key", "c.rows").drop("c")
+    pairs = _tree_join(rest).join(first, ["a", "b"], "left_anti")
+    more = written(verify(written(pairs, "pairs"), docs), "links")
     if more.limit(1).count():
         roots = tie(links.unionByName(more))
     nodes = points.where("n > 0").groupBy("print").agg(F.min("uid").alias("node"))
@@ -195,13 +197,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
 
 def _bounded(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """Pairs whose sizes and summed minima still allow a link."""
-    a = vectors.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("fine").alias("va"))
-    b = vectors.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("vb"))
+    a = vectors.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va"))
+    b = vectors.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb"))
     both = pairs.join(a, "a").join(b, "b").where("5 * least(na, nb) >= 4 * greatest(na, nb)")
 
     def work(batch: pa.RecordBatch) -> dict:
         size = batch["na"].to_numpy() + batch["nb"].to_numpy()
-        most = [most_shared(x, y) for x, y in zip(batch["va"].to_pylist(), batch["vb"].to_pylist())]
+        most = [most_shared(_vector(x), _vector(y)) for x, y in zip(batch["va"].to_pylist(), batch["vb"].to_pylist())]
         ok = pa.array(np.array(most) >= need(size, 0))
         return {k: batch[k].filter(ok) for k in ("a", "b")}
 
@@ -209,10 +211,10 @@ def _bounded(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def _tree_join(rest: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of different roots under one key whose points pass the bound; big cells in blocks."""
+    """Pairs (a, b), a < b, of different roots whose points pass the bound, once each; big cells are joined in blocks."""
     blocks = rest.withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cells = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "root", "n", "vec"
+        "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "root", "n", "vec", "keys"
     )
     cells = cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
 
@@ -221,16 +223,20 @@ def _tree_join(rest: DataFrame) -> DataFrame:
         own, node, root, size = (np.array([r[i] for r in cell]) for i in (3, 4, 5, 6))
         if len(cell) < 2 or (root == root[0]).all():
             return []
-        points = np.stack([_vector(r[7]) for r in cell])
+        vectors = [_vector(r[7]) for r in cell]
+        points = np.stack([_fold(v, GROUPS) for v in vectors])
         left, right = (np.flatnonzero(own == lo), np.flatnonzero(own == hi))
         if not len(left) or not len(right):
             return []
         q, p = RTree(points[right], size[right]).search(points[left], size[left])
         q, p = left[q], right[p]
         fit = (root[q] != root[p]) & (5 * np.minimum(size[q], size[p]) >= 4 * np.maximum(size[q], size[p]))
-        return list({(min(x, y), max(x, y)) for x, y in zip(node[q[fit]].tolist(), node[p[fit]].tolist())})
+        pairs = {(min(x, y), max(x, y)): (i, j) for x, y, i, j in zip(node[q[fit]].tolist(), node[p[fit]].tolist(), q[fit].tolist(), p[fit].tolist())}
+        sets = [frozenset(r[8]) for r in cell]
+        at = lambda i, j: next(k for k in cell[i][8] if k in sets[j])  # noqa: E731  the first key that both have
+        return [pair for pair, (i, j) in pairs.items() if at(i, j) == cell[0][0] and most_shared(vectors[i], vectors[j]) >= need(size[i], size[j])]
 
-    names = ("key", "lo", "hi", "own", "node", "root", "n", "vec")
+    names = ("key", "lo", "hi", "own", "node", "root", "n", "vec", "keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell: list[tuple] = []

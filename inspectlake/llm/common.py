@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+SLICE_BYTES = 8_000_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder that the driver and every executor reach: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
@@ -60,13 +62,17 @@ def keep_rows(docs: DataFrame, choose: Callable[[DataFrame], DataFrame]) -> Data
 
 
 def map_arrow(df: DataFrame, schema: str | StructType, work: Callable[[pa.RecordBatch], dict]) -> DataFrame:
-    """``work`` turns each Arrow batch into a dict of columns with the names and order of ``schema``."""
+    """``work`` turns each Arrow batch into a dict of columns with the names and order of ``schema``.
+
+    It gets slices of about SLICE_BYTES, so that a task's memory does not follow the length of the texts in a batch.
+    """
     types = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = work(batch)
+            rows = max(1, batch.num_rows * SLICE_BYTES // max(SLICE_BYTES, batch.nbytes))
+            for at in range(0, batch.num_rows, rows):
+                out = work(batch.slice(at, rows))
                 yield pa.RecordBatch.from_arrays([_array(out[f.name], f.type) for f in types], schema=types)
 
     return df.mapInArrow(run, schema)
@@ -78,6 +84,17 @@ def _array(values, kind: pa.DataType) -> pa.Array:
     return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind)
 
 
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, build: Callable[[], object]):
+    """What ``build`` gives, kept in the worker for its next batches; a worker keeps one such thing at a time."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = build()
+    return _held[key]
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a text column, null as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

@@ -12,7 +12,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.ones(256, np.int8)
 _WORD[[0x20, *range(0x09, 0x0E)]] = 0
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -34,7 +34,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _chunks(text: bytes):
-    """Pieces of about a megabyte that end where a word ends, so memory does not grow with the text."""
+    """Pieces of about a quarter of a megabyte that end where a word ends, so memory does not grow with the text."""
     at = 0
     while len(text) - at > _CHUNK:
         end = at + _CHUNK

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from inspectlake.llm.common import column, map_arrow
+from inspectlake.llm.common import column, held, map_arrow
 from inspectlake.llm.langid import held_out
 
 #: Labelled rows of each class in the sample, and the most characters of a text in it.
@@ -33,7 +33,7 @@ CLEAN_WINDOWS = 12
 CHAIN = 4096
 LEAST = 0.7
 #: Words whose evidence a task remembers.
-REMEMBER = 300_000
+REMEMBER = 150_000
 _TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -212,19 +212,9 @@ class Evidence(dict):
         return value
 
 
-_ready: dict[int, Evidence] = {}
-
-
-def _evidence(field: Field) -> Evidence:
-    if id(field) not in _ready:
-        _ready.clear()
-        _ready[id(field)] = Evidence(field)
-    return _ready[id(field)]
-
-
 def score_texts(texts: list[str], field: Field) -> tuple[list[float], list[str]]:
     """Scores, and offending spans as start:end in code points, comma-joined."""
-    get = _evidence(field).__getitem__
+    get = held(("evidence", id(field)), lambda: Evidence(field)).__getitem__
     values, sizes = array("d"), []
     lowered = [t.lower() for t in texts]
     for text in lowered:

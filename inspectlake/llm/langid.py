@@ -112,9 +112,10 @@ class Network:
         p /= p.sum(axis=2, keepdims=True)
         return p
 
-    def fit(self, codes: np.ndarray, real: np.ndarray, labels: np.ndarray, epochs: int = 14, batch: int = 128, rate: float = 0.02) -> "Network":
+    def fit(self, codes: np.ndarray, real: np.ndarray, labels: np.ndarray, steps: int = 350, batch: int = 128, rate: float = 0.02) -> "Network":
         """codes, real (steps, rows): bytes and whether they belong to the text; labels (rows)."""
         rng = np.random.default_rng(1)
+        epochs = -(-steps // -(-codes.shape[1] // batch))
         weights = self.weights()
         first, second, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
         for epoch in range(epochs):

@@ -28,6 +28,8 @@ from inspectlake.llm.common import column, fresh_path, map_arrow
 LEAST_REVISIT = 100
 #: Bytes of payload that an archive file is meant to hold.
 FILE_BYTES = 16_000_000
+#: The record types of the format.
+KINDS = ("warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation")
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = b"WARC/1."
 _EMPTY = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
@@ -115,7 +117,7 @@ def _head(data: bytes, at: int) -> tuple[dict[str, str], int] | str:
     fields = {}
     for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
         name, mark, value = line.partition(":")
-        if not mark:
+        if not mark or "\r" in line:
             return "headers"
         fields[name.strip().lower()] = value.strip()
     return (fields, end + 4) if fields.get("content-length", "").isdigit() else "length"
@@ -134,6 +136,8 @@ def read_record(data: bytes, at: int = 0) -> tuple[dict, int] | str:
     if (said := fields.get("warc-block-digest", "")) and said.removeprefix("sha256:") != hashlib.sha256(block).hexdigest():
         return "digest"
     kind = fields.get("warc-type", "")
+    if kind not in KINDS:
+        return "type"
     digest = fields.get("warc-payload-digest", "").removeprefix("sha256:")
     number = lambda name: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", fields.get(name, ""))) else None
     if kind == "response" and digest and digest != hashlib.sha256(block).hexdigest():

@@ -38,10 +38,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the cluster's shared checkpoint folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None)
-            or os.path.join(tempfile.gettempdir(), "inspectlake-checkpoints")
-        )
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "inspectlake-checkpoints"))
     return df.checkpoint()
 
 

@@ -85,7 +85,7 @@ def channel_specs(channels: DataFrame) -> DataFrame:
     """Channel names (with their keys) as operation and ordered lights; ``valid`` is false for an unknown form."""
     alias = F.create_map(*[F.lit(v) for pair in CHANNEL_ALIASES.items() for v in pair])
     parts = F.transform(F.split(F.coalesce(alias[F.col("channel")], F.col("channel")), ":"), lambda p: F.trim(p))
-    lights = F.slice(parts, 2, 100)
+    lights = F.slice(parts, F.lit(2), F.size(parts))
     n, op = F.size(lights), parts[0]
     whole = ~F.exists(parts, lambda p: p == "")
     valid = whole & (

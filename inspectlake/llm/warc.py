@@ -28,6 +28,8 @@ from inspectlake.llm.common import column, fresh_path, map_arrow
 LEAST_REVISIT = 100
 #: Bytes of payload that an archive file is meant to hold.
 FILE_BYTES = 16_000_000
+#: Bytes that are unpacked at a time.
+CHUNK = 4096
 #: The record types of the format.
 KINDS = ("warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation")
 _MAGIC = b"\x1f\x8b\x08"
@@ -154,17 +156,21 @@ def read_record(data: bytes, at: int = 0) -> tuple[dict, int] | str:
 
 
 def _unpack(data: bytes, at: int) -> tuple[bytes, int] | str:
-    unpacker = zlib.decompressobj(31)
+    """The member at ``at`` and where it ends.  It is fed in pieces: what follows a member is copied when it ends."""
+    unpacker, parts = zlib.decompressobj(31), []
     try:
-        out = unpacker.decompress(memoryview(data)[at:])
+        while at < len(data) and not unpacker.eof:
+            parts.append(unpacker.decompress(data[at : at + CHUNK]))
+            at += CHUNK
     except zlib.error:
         return "member"
-    return (out, len(data) - len(unpacker.unused_data)) if unpacker.eof else "member"
+    return (b"".join(parts), min(at, len(data)) - len(unpacker.unused_data)) if unpacker.eof else "member"
 
 
 def salvage(data: bytes) -> Iterator[dict]:
     """Records of an archive in order, with ``start`` and ``stop``; gaps have a ``fault`` instead of a record."""
     at, gap, fault = 0, None, ""
+    ahead = dict.fromkeys((_MAGIC, _VERSION), -1)  # next place of each mark, searched again only once it is passed
     while at < len(data):
         packed = data.startswith(_MAGIC, at)
         got: tuple | str
@@ -182,8 +188,11 @@ def salvage(data: bytes) -> Iterator[dict]:
         if isinstance(got, str):
             if gap is None:
                 gap, fault = at, got
-            places = [p for p in (data.find(_MAGIC, at + 1), data.find(_VERSION, at + 1)) if p >= 0]
-            at = min(places, default=len(data))
+            for mark, place in ahead.items():
+                if place <= at:
+                    found = data.find(mark, at + 1)
+                    ahead[mark] = found if found >= 0 else len(data)
+            at = min(ahead.values())
             continue
         if gap is not None:
             yield {"start": gap, "stop": at, "fault": fault}

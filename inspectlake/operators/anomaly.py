@@ -411,10 +411,13 @@ def split_halves(bank: DataFrame, id_col: str = "vec_id", seed: int = 42, hot_ro
     return reduced, held, half
 
 
-def calibrate_distances(bank: DataFrame, id_col: str = "vec_id", vec: str = "embedding", sample_count: int = 50_000, seed: int = 42) -> DataFrame:
-    """Nearest distance of every sampled held-out vector to the reduced bank: id, draw, distance."""
+def calibrate_distances(bank: DataFrame, id_col: str = "vec_id", vec: str = "embedding", sample_count: int | None = None, seed: int = 42) -> DataFrame:
+    """Nearest distance of every held-out vector to the reduced bank: id, draw, distance.
+
+    ``sample_count`` asks for that many of them, in the order of their hashes.
+    """
     reduced, held, half = split_halves(bank, id_col, seed)
-    sampled = held.where(F.col("draw") < min(sample_count, half))
+    sampled = held if sample_count is None else held.where(F.col("draw") < min(sample_count, half))
     return sampled.select(id_col, "draw").join(nearest_distances(sampled, reduced, id_col, id_col, vec), id_col)
 
 

@@ -79,7 +79,7 @@ def _merge_stream(groups: list[str], out_schema: pa.Schema, iou_threshold: float
 
         def close():
             for i, k in enumerate(kept):
-                out.append((*key, *k[:8], i, k[8], overflow if i == 0 else 0, k[9]))
+                out.append((*key, *k[:8], *k[10], i, k[8], overflow if i == 0 else 0, k[9]))
 
         def flush():
             columns = list(zip(*out))
@@ -93,7 +93,7 @@ def _merge_stream(groups: list[str], out_schema: pa.Schema, iou_threshold: float
                     if key is not None:
                         close()
                     key, kept, overflow = group, [], 0
-                for x0, y0, x1, y1, score, lights, recheck, ng in values[start:end]:
+                for x0, y0, x1, y1, score, lights, recheck, ng, *tied in values[start:end]:
                     k = first_overlap(kept, x0, y0, x1, y1)
                     if k is not None:
                         k[0], k[1], k[2], k[3] = min(k[0], x0), min(k[1], y0), max(k[2], x1), max(k[3], y1)
@@ -102,7 +102,7 @@ def _merge_stream(groups: list[str], out_schema: pa.Schema, iou_threshold: float
                                 k[5].append(light)
                         k[8] += 1
                     elif len(kept) < cap:
-                        kept.append([x0, y0, x1, y1, score, list(dict.fromkeys(lights)), recheck, ng, 0, [x0, y0, x1, y1]])
+                        kept.append([x0, y0, x1, y1, score, list(dict.fromkeys(lights)), recheck, ng, 0, [x0, y0, x1, y1], tied])
                     else:
                         overflow += 1
             if out:
@@ -119,33 +119,34 @@ def merge_candidates(
     keys: list[str],
     tie: list[str],
     iou_threshold: float = 0.5,
-    cap: int = 64,
+    cap: int = 16,
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Greedy merge per region: best score first, into the first kept box that overlaps enough.
 
     Output is one row per kept box with its outer box, lights, thresholds and ``suppressed`` count;
-    ``overflow`` (candidates beyond ``cap``) stands on the region's first row.  ``tie`` makes the
-    order total.  A region above ``hot_rows`` is first cut into islands that cannot influence each
+    ``overflow`` (candidates beyond ``cap``) stands on the region's first row.  Equal scores are taken in
+    the order of ``tie`` (that of the input), and of their box only after it.  A region above ``hot_rows`` is first cut into islands that cannot influence each
     other, folded in parallel, and the cap is applied to the islands' kept boxes in score order.
     """
     limit = HOT_GROUP_ROWS if hot_rows is None else hot_rows
     hot = largest_group(candidates, keys) > limit
     rows = split_islands(candidates, keys, ["score", *tie], limit) if hot else candidates
     groups = keys + (["island_x", "island_y"] if hot else [])
-    needed = rows.select(*groups, *_CANDIDATE, *[c for c in tie if c not in BOX])
-    order = [F.desc("score"), *BOX, *tie]
-    sorted_rows = needed.repartition(*groups).sortWithinPartitions(*groups, *order).select(*groups, *_CANDIDATE)
+    needed = rows.select(*groups, *_CANDIDATE, F.struct(*tie).alias("_tie"))
+    order = [F.desc("score"), "_tie", *BOX]
+    sorted_rows = needed.repartition(*groups).sortWithinPartitions(*groups, *order)
+    sorted_rows = sorted_rows if hot else sorted_rows.drop("_tie")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in sorted_rows.schema] + [f"{n} {t}" for n, t in _KEPT.items()]
     arrow = to_arrow_schema(StructType.fromDDL(", ".join(fields)))
     kept = sorted_rows.mapInArrow(_merge_stream(groups, arrow, iou_threshold, cap), ", ".join(fields))
     if hot:
         kept = _cap_region(kept, keys, cap)
-    return kept.drop("first_box").withColumn("area_px", bbox_area(*BOX))
+    return kept.drop("first_box", "_tie").withColumn("area_px", bbox_area(*BOX))
 
 
 def _cap_region(kept: DataFrame, keys: list[str], cap: int) -> DataFrame:
-    in_order = Window.partitionBy(*keys).orderBy(F.desc("score"), "first_box", "kept_index", "island_x", "island_y")
+    in_order = Window.partitionBy(*keys).orderBy(F.desc("score"), "_tie", "first_box", "kept_index", "island_x", "island_y")
     size = F.col("suppressed") + 1
     whole = kept.groupBy(*keys).agg(F.sum(size + F.col("overflow")).alias("_all"))
     top = kept.withColumn("_rank", F.row_number().over(in_order)).where(F.col("_rank") <= cap)

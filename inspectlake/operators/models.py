@@ -79,12 +79,22 @@ def embed(tensors: DataFrame, keys: list[str], load: Callable, dim: int) -> Data
 
 
 def detect(tensors: DataFrame, keys: list[str], load: Callable, row_width: int) -> DataFrame:
-    """Raw detector rows, one per detection; a failed tensor keeps one row with its error."""
+    """Raw detector rows with their place ``row``, one per detection; a failed tensor keeps one row with its error.
+
+    An output whose length is no multiple of ``row_width`` is a failure too.
+    """
     out = apply_model(tensors, keys, load)
+    ragged = (F.col("error_code") == 0) & (F.size("output") % row_width != 0)
+    out = out.withColumns(
+        {
+            "error": F.when(ragged, F.concat(F.lit("output length "), F.size("output").cast("string"), F.lit(f" is no multiple of {row_width}"))).otherwise(F.col("error")),
+            "error_code": F.when(ragged, INTERNAL_ERROR).otherwise(F.col("error_code")),
+        }
+    )
     count = F.floor(F.size("output") / row_width).cast("int")
     rows = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice("output", i * row_width + 1, F.lit(row_width)))
-    good = out.where((F.col("error_code") == 0) & (F.size("output") >= row_width)).select(*keys, F.explode(rows).alias("raw"), "error_code", "error")
-    bad = out.where("error_code <> 0").select(*keys, F.lit(None).cast("array<double>").alias("raw"), "error_code", "error")
+    good = out.where((F.col("error_code") == 0) & (F.size("output") >= row_width)).select(*keys, F.posexplode(rows).alias("row", "raw"), "error_code", "error")
+    bad = out.where("error_code <> 0").select(*keys, F.lit(None).cast("int").alias("row"), F.lit(None).cast("array<double>").alias("raw"), "error_code", "error")
     return good.unionByName(bad)
 
 

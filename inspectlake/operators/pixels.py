@@ -95,7 +95,7 @@ def channel_specs(channels: DataFrame) -> DataFrame:
 
 
 def light_channels(pixels: DataFrame, specs: DataFrame, cube: list[str], on: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Channel pixels per cube (view and region), and channels that lack one of their lights.
+    """Channel pixels per cube (view and region), and channels that lack one of their lights or have it twice.
 
     ``specs`` joins by ``on``; a cube has one frame per light.  Absolute difference and spread are both
     maximum minus minimum.
@@ -120,7 +120,8 @@ def light_channels(pixels: DataFrame, specs: DataFrame, cube: list[str], on: lis
     have = lit.join(named, [*on, "light_id"]).groupBy(*cube, "channel").agg(F.count("*").alias("have"))
     wanted = lit.select(*cube).distinct().join(specs.where("valid").select(*on, "channel", F.size(lights).alias("need")), on)
     missing = wanted.join(have, [*cube, "channel"], "left").where(F.coalesce("have", F.lit(0)) < F.col("need")).select(*cube, "channel")
-    return built, missing
+    repeated = values.where(F.col("have") > F.col("need")).select(*cube, "channel").distinct()
+    return built, missing.union(repeated).distinct()
 
 
 def evidence_lights(specs: DataFrame, model: list[str], pos: str) -> DataFrame:

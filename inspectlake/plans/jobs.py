@@ -11,7 +11,7 @@ from inspectlake.operators.ordered import cut_lineage
 from inspectlake.sources import json_lines as js, paths
 
 JOB = ["sequence_id"]
-CUBE = ["sequence_id", "camera_id"]
+CUBE = ["sequence_id", "camera_id", "pose_id"]
 
 
 def score_embeddings(queries: DataFrame, bank: DataFrame, patches_per_image: int, images: int = 500) -> DataFrame:
@@ -56,7 +56,8 @@ def inspect(
 
     ``frames`` has metadata and ``image`` bytes, ``pixels`` the same images as rows with frame_id; ``channels``
     the channel names per camera; ``bank`` vectors of ``embedding_dim`` and ``stats`` their calibration
-    (mean, p99, recheck, ng).
+    (mean, p99, recheck, ng).  A view is a camera and pose; no pose means that of the camera.  A job of which a
+    region with channels has no score ends as an error.
     """
     measured = q.frame_statistics(frames, ["frame_id"])
     reports = frames.join(measured, "frame_id").withColumn("m", F.concat(q.frame_meta_messages(), q.statistic_messages(limits)))
@@ -64,7 +65,7 @@ def inspect(
     checks = [q.missing_views(frames, views, JOB), q.missing_lights(frames, lights, JOB), q.light_sequence(frames, lights, JOB)]
     # One small row per job, used by every later stage.
     gate = cut_lineage(q.job_quality(reports, checks, JOB).select(*JOB, F.col("quality_pass").alias("gate_pass")))
-    passed = frames.join(gate.where("gate_pass").select(*JOB), JOB)
+    passed = frames.join(gate.where("gate_pass").select(*JOB), JOB).withColumn("pose_id", F.coalesce(F.nullif("pose_id", F.lit("")), "camera_id"))
 
     regions = px.frame_rois(passed, rois, ["camera_id"])
     outside = regions.where("NOT in_image").select(*JOB).distinct().withColumn("roi_error", F.lit(True))
@@ -78,21 +79,24 @@ def inspect(
     cropped = px.crop(pixels, regions, ["frame_id"]).join(passed.select("frame_id", *CUBE, "light_id"), "frame_id").drop("frame_id")
     specs = px.channel_specs(channels)
     built, missing = px.light_channels(cropped, specs, cube, ["camera_id"])
-    no_light = missing.select(*JOB).distinct().withColumn("no_light", F.lit(True))
     vectors = px.statistical_embedding(built, cube, specs.select("channel", "pos").distinct(), embedding_dim)
     keyed = vectors.withColumn("vec_id", F.xxhash64(*cube))
     near = an.nearest_distances(keyed.select("vec_id", "embedding"), bank)
     score = an.anomaly_score("distance", stats["mean"], stats["p99"])
+    scored = cut_lineage(keyed.select(*cube, "vec_id").join(near, "vec_id").withColumn("score", score))
+    expected = regions.where("in_image").select("frame_id", "roi_name").join(passed.select("frame_id", *CUBE), "frame_id").select(*cube).distinct()
+    unscored = expected.join(channels.select("camera_id").distinct(), "camera_id", "left_semi").join(scored, cube, "left_anti")
+    no_light = missing.select(*JOB).union(unscored.select(*JOB)).distinct().withColumn("no_light", F.lit(True))
     boxes = rois.select("camera_id", "roi_name", F.col("rx0").alias("x0"), F.col("ry0").alias("y0"), F.col("rx1").alias("x1"), F.col("ry1").alias("y1"))
     candidates = (
-        keyed.select(*cube, "vec_id").join(near, "vec_id").withColumn("score", score).where(F.col("score") >= stats["recheck"])
+        scored.where(F.col("score") >= stats["recheck"])
         .join(boxes, ["camera_id", "roi_name"])
         .withColumns(
-            {"pose_id": F.lit(""), "area_px": bbox_area("x0", "y0", "x1", "y1"), "evidence_lights": F.array(F.lit(base_light)),
+            {"area_px": bbox_area("x0", "y0", "x1", "y1"), "evidence_lights": F.array(F.lit(base_light)),
              "recheck_score": F.lit(float(stats["recheck"])), "ng_score": F.lit(float(stats["ng"])), "ordinal": F.col("vec_id")}
         )
     )
-    fused = fu.merge_candidates(cut_lineage(candidates), [*JOB, "camera_id", "pose_id", "roi_name"], ["ordinal"])
+    fused = fu.merge_candidates(candidates, cube, ["ordinal"])
 
     jobs = gate.join(unaligned, JOB, "left").join(outside, JOB, "left").join(no_light, JOB, "left")
     ok = F.col("gate_pass") & F.col("unaligned").isNull()

@@ -18,7 +18,7 @@ IOU = lambda a, b: (
 CAP, THR = 8, 0.3
 
 FOLD = f"""
-WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY sequence_id, camera_id, pose_id, roi_name ORDER BY score DESC, x0, y0, x1, y1, ordinal, light_id) AS n FROM v_candidates),
+WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY sequence_id, camera_id, pose_id, roi_name ORDER BY score DESC, ordinal, light_id, x0, y0, x1, y1) AS n FROM v_candidates),
 f AS (SELECT sequence_id, camera_id, pose_id, roi_name, n, [struct_pack(x0 := x0, y0 := y0, x1 := x1, y1 := y1, score := score, lights := [light_id], rs := recheck_score, ng := ng_score, supp := 0)] AS kept, 0 AS overflow FROM c WHERE n = 1
 UNION ALL
 SELECT sequence_id, camera_id, pose_id, roi_name, n,

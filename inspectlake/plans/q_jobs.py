@@ -229,10 +229,7 @@ def _(t):
 @query("udf_detect", "SELECT vec_id, i AS row, round(embedding[i * 8 + 1]::double, 5) AS first FROM embeddings, (SELECT unnest(range(8)) AS i)")
 def _(t):
     rows = md.detect(tensors(t), ["vec_id"], lambda: (lambda batch: batch.reshape(len(batch), -1)), 8)
-    spread = rows.select("vec_id", F.col("raw")[0].alias("first"), F.xxhash64("raw").alias("h"))
-    at = t.embeddings.select("vec_id", F.posexplode(F.expr("transform(sequence(0, 7), i -> slice(embedding, i * 8 + 1, 8))")).alias("row", "r")).select(
-        "vec_id", "row", F.xxhash64(F.col("r").cast("array<double>")).alias("h"))
-    return spread.join(at, ["vec_id", "h"]).select("vec_id", "row", F.round("first", 5).alias("first"))
+    return rows.select("vec_id", "row", F.round(F.col("raw")[0], 5).alias("first"))
 
 
 @query("udf_route", """SELECT vec_id, CASE WHEN label < 4 THEN 0 WHEN label < 7 THEN 13 ELSE 9 END AS error_code, CASE WHEN label < 4 THEN '' WHEN label < 7 THEN 'RECHECK' ELSE 'ERROR' END AS failed_decision, label BETWEEN 4 AND 6 AS collect_sample FROM embeddings""")

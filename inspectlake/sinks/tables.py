@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the session's ``spark.checkpoint.dir``, a temporary one only where none is set."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or os.path.join(
-        tempfile.gettempdir(), "inspectlake-checkpoints"
-    )
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or os.path.join(tempfile.gettempdir(), "inspectlake-checkpoints")
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:

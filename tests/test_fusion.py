@@ -23,7 +23,7 @@ def overlap(a, b):
 
 def greedy(items, iou, cap):
     kept, over = [], 0
-    for score, box, i in sorted(items, key=lambda c: (-c[0], c[1], c[2])):
+    for score, box, i in sorted(items, key=lambda c: (-c[0], c[2])):
         for k in kept:
             if overlap(k[0], box) >= iou:
                 k[0] = (min(k[0][0], box[0]), min(k[0][1], box[1]), max(k[0][2], box[2]), max(k[0][3], box[3]))
@@ -52,6 +52,14 @@ def test_cap_counts_overflow(spark):
     assert len(out) == 2 and sum(r["overflow"] for r in out) == 2
 
 
+def test_equal_scores_keep_the_input_order(spark):
+    boxes = [(40, 40, 50, 50), (0, 0, 10, 10)]
+    for pair in (boxes, boxes[::-1]):
+        for limit in (10**9, 1):
+            out = fu.merge_candidates(frame(spark, [(0.9, b, ["A"]) for b in pair]), ["r"], ["ordinal"], cap=1, hot_rows=limit).collect()
+            assert [(r["x0"], r["overflow"]) for r in out] == [(pair[0][0], 1)]
+
+
 def test_hot_region_matches_brute_force(spark):
     rng = random.Random(5)
     items = []

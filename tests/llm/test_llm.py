@@ -217,13 +217,16 @@ def test_piece_encoding_is_the_models_own(spark, odd):
     assert pieces.encoded(odd).count() == 9
 
 
-def test_joint_merges_follow_the_rule_of_one_unit():
+def test_joint_merges_follow_the_rule_of_one_unit(spark):
     model = pieces.read_model(open(pieces.MODEL, "rb").read())
     units, plain = pieces.Units(model, {}), pieces.Units(model, {})
     words = ["a", "▁the", "▁unbelievable", "aaaaaaa", "▁▁▁▁", "▁", "…—…", "▁Straßenbahn", "ñandú", "鿿x", "\n\n", "e" * 40, "e" * 41, "....!!"]
     words += ["▁" + "".join(random.Random(k).choices("aeionrstlch", k=1 + k % 18)) for k in range(3000)]
     got = units.learn(set(words))
     assert len(got) > 2500 and all(got[u] == plain[u] for u in got)
+    short = [u for u in words[:60] if len(u) <= pieces.UNIT_CHARS]
+    lattice = pieces.encode_units(spark.createDataFrame([(u,) for u in short], "unit string"), model).collect()
+    assert {r.unit: tuple(r.ids) for r in lattice} == {u: plain[u] for u in short}
     assert not {"▁▁▁▁", "鿿x", "e" * 41} & set(got)
     assert units.learn(set()) == {} and [u for run in pieces.stretches(["ab", "", "abc", "d"], 3) for u in run] == ["ab", "", "abc", "d"]
 

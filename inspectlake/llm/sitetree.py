@@ -7,8 +7,10 @@ both divided by the logarithm of the number of pages.  What says the same on all
 importance is low are removed from each page of the host.
 
 Statistics cannot judge a branch with few pages, nor boilerplate that varies, so elements whose role says that they are
-no content (navigation, forms, scripts, adverts, comments and the like) are removed on every page, and an article
-element, where there is one, is the main text and is not judged by statistics: articles may be copied.
+no content (navigation, forms, scripts, adverts, comments and the like) are removed on every page.  Everything else is
+judged, inside article elements and outside.  An article element is evidence of what a page is about: articles may be
+copied, so pages whose text stands mostly in articles vote once for each distinct article text, and copies lower no
+importance.  A branch that nothing judges low is kept, on pages with an article too.
 
 Scale: pages are parsed where they are read.  Statistics are counts by (host, branch, text hash) that combine before
 the shuffle, so a host with a third of all pages is no hot spot.  Verdicts, a few branches a host, are broadcast up to
@@ -179,17 +181,22 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - 2**63
 
 
+def subject(blocks: list[Block], source: str) -> str:
+    """What makes a page a page of its own: its article text where that is at least half of its text, else its source."""
+    articles = [b.text for b in blocks if b.article]
+    return "\n".join(articles) if articles and 2 * sum(map(len, articles)) >= sum(len(b.text) for b in blocks) else source
+
+
 def _votes(batch: pa.RecordBatch) -> dict:
-    """For each branch of a page outside articles: hashes of its page, its texts and its child sequence."""
+    """For each branch of a page: hashes of what its page is about, its texts and its child sequence."""
     out: dict[str, list] = {k: [] for k in ("host", "branch", "page", "content", "shown")}
     for host, source in zip(batch["host"].to_pylist(), batch["html"].to_pylist()):
         blocks, shown = parse(source or "")
         texts: dict[str, list[str]] = {}
         for block in blocks:
-            if not block.article:
-                for branch in dict.fromkeys(block.branches):
-                    texts.setdefault(branch, []).append(block.text)
-        page = _hash(source or "")
+            for branch in dict.fromkeys(block.branches):
+                texts.setdefault(branch, []).append(block.text)
+        page = _hash(subject(blocks, source or ""))
         for branch, said in texts.items():
             for k, value in zip(out, (host, branch, page, _hash("\n".join(said)), _hash(" ".join(shown.get(branch, ()))))):
                 out[k].append(value)
@@ -197,12 +204,13 @@ def _votes(batch: pa.RecordBatch) -> dict:
 
 
 def verdicts(pages: DataFrame) -> DataFrame:
-    """(host, branch) of branches of low importance; equal pages of a host count once.
+    """(host, branch) of branches of low importance; equal pages of a host, and pages of equal articles, count once.
 
     The importance of a node is its content entropy where texts differ at all; a node shown in as many ways as it has
     pages keeps at least half of its presentation entropy.
     """
-    seen = map_arrow(pages, "host string, branch string, page long, content long, shown long", _votes).distinct()
+    seen = map_arrow(pages, "host string, branch string, page long, content long, shown long", _votes)
+    seen = seen.groupBy("host", "branch", "page").agg(F.min("content").alias("content"), F.min("shown").alias("shown"))
 
     def entropy(what: str) -> DataFrame:
         counts = seen.groupBy("host", "branch", what).agg(F.count("*").alias("n"))
@@ -216,11 +224,7 @@ def verdicts(pages: DataFrame) -> DataFrame:
 
 def main_text(source: str, low: set[str]) -> str:
     blocks, _ = parse(source)
-    if any(b.article for b in blocks):
-        kept = [b for b in blocks if b.article]
-    else:
-        kept = [b for b in blocks if low.isdisjoint(b.branches)]
-    return "\n\n".join(b.text for b in kept)
+    return "\n\n".join(b.text for b in blocks if low.isdisjoint(b.branches))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -300,6 +300,20 @@ def test_main_text(spark):
     assert all(r.n_chars == len(r.text) for r in out.values())
 
 
+def test_tree_judges_articles_too(spark):
+    story = "A story of some length that all of these pages show again, word for word."
+    rows = [(k, *page(f"<article><h1>Title {k}</h1><p>Story {k}.</p><div class='box'>From our staff</div></article>", "box.example")) for k in range(6)]
+    rows += [(10 + k, *page(f"<div class='place'>Part {k}</div><article><p>{story}</p></article>", "copy.example")) for k in range(6)]
+    rows += [(20 + k, *page(f"<div class='text'><p>{k} {story}</p></div><article class='card'><p>A teaser</p></article>", "card.example")) for k in range(6)]
+    rows += [(30, *page(f"<div class='text'>{story}</div><article class='card'>A teaser</article>", "lone.example"))]
+    out = {r.page_id: r.text for r in sitetree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(6):
+        assert out[k] == f"Title {k}\n\nStory {k}."
+        assert out[10 + k] == f"Part {k}\n\n{story}"
+        assert out[20 + k] == f"{k} {story}"
+    assert out[30] == f"{story}\n\nA teaser"
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -7,10 +7,13 @@ both divided by the logarithm of the number of pages.  What says the same on all
 importance is low are removed from each page of the host.
 
 Statistics cannot judge a branch with few pages, nor boilerplate that varies, so elements whose role says that they are
-no content (navigation, forms, scripts, adverts, comments and the like) are removed on every page.  Everything else is
-judged, inside article elements and outside.  An article element is evidence of what a page is about: articles may be
-copied, so pages whose text stands mostly in articles vote once for each distinct article text, and copies lower no
-importance.  A branch that nothing judges low is kept, on pages with an article too.
+no content (navigation, forms, scripts, adverts, comments and the like) are removed on every page.  A class or id says
+so only as a whole: `sidebar` or `ad-banner`, not `with-sidebar` or `related-work`.  An article or main element is not
+removed for the name of what it stands in, except an article in another article.
+
+Everything else is judged, inside article elements and outside.  An article element is evidence of what a page is about:
+articles may be copied, so pages whose text stands mostly in articles vote once for each distinct article text, and
+copies lower no importance.  A branch that nothing judges low is kept, on pages with an article too.
 
 Scale: pages are parsed where they are read.  Statistics are counts by (host, branch, text hash) that combine before
 the shuffle, so a host with a third of all pages is no hot spot.  Verdicts, a few branches a host, are broadcast up to
@@ -52,25 +55,35 @@ DROPPED_NAMES = (
     "aside", "widget", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pagination", "pager", "header", "masthead", "footer", "comment",
     "comments", "disqus", "respond", "reply", "replies", "share", "sharing", "social", "related", "recommended", "toolbar", "skip", "login", "search",
 )
+#: Words that say nothing on their own beside the words of DROPPED_NAMES.
+NEUTRAL_NAMES = ("area", "bar", "block", "box", "container", "inner", "item", "items", "link", "links", "list", "outer", "site", "wrap", "wrapper")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 #: Elements that an opening tag of these kinds ends.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _ENDS_P = frozenset(
     "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
 _TAG = re.compile(r"""<(?:!--(?:.*?--!?>|.*\Z)|([!?])[^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z))""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAMES = re.compile(r"[a-z]+", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_KNOWN = frozenset(DROPPED_NAMES + NEUTRAL_NAMES)
 
 
 @dataclass(slots=True)
 class Node:
     tag: str
     branch: str
-    dropped: bool
-    article: bool
+    dropped: bool  # by its role
+    named: bool  # by its name
+    article: bool  # in an article or main element
+    inside: bool  # in an article element
     children: list[str] = field(default_factory=list)
 
+    @property
+    def gone(self) -> bool:
+        return self.dropped or self.named
+
 
 @dataclass(slots=True)
 class Block:
@@ -79,31 +92,40 @@ class Block:
     article: bool
 
 
-def _names(value: str) -> set[str]:
-    return {w.lower() for part in value.split() for w in _NAMES.findall(_CAMEL.sub("-", part))}
+def _says_dropped(name: str) -> bool:
+    """Whether all words of a class or id are names of what is no content, but for neutral ones."""
+    words = {w.lower() for w in _NAMES.findall(_CAMEL.sub("-", name))}
+    return not words.isdisjoint(DROPPED_NAMES) and words <= _KNOWN
 
 
 def _opened(tag: str, attributes: str, parent: Node) -> Node:
-    names, style, dropped = "", tag, parent.dropped or tag in DROPPED
-    if attributes and "=" in attributes or "hidden" in attributes:
-        for m in _ATTRIBUTE.finditer(attributes):
-            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if key == "role":
-                dropped = dropped or value.lower() in DROPPED_ROLES
-            elif key == "hidden":
-                dropped = dropped or m[0].lower().startswith("hidden")
-            else:
-                names += f" {value}"
-                style += f".{value}" if key == "class" else f"#{value}"
-    if names and tag not in ("body", "html", "article", "main"):
-        dropped = dropped or not _names(names).isdisjoint(DROPPED_NAMES)
+    if parent.dropped:
+        return Node(tag, f"{parent.branch}/{tag}", True, parent.named, parent.article, parent.inside)
+    style, dropped, named, seen = tag, tag in DROPPED, parent.named, set()
+    if tag == "main" or tag == "article" and not parent.inside:
+        named = False
+    for m in _ATTRIBUTE.finditer(attributes):
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key in seen:
+            continue
+        seen.add(key)
+        if key == "role":
+            dropped = dropped or value.lower() in DROPPED_ROLES
+        elif key == "hidden":
+            dropped = True
+        elif key == "class" or key == "id":
+            style += f".{value}" if key == "class" else f"#{value}"
+            # The id of a heading repeats its text.
+            if tag not in ("body", "html", "article", "main") and not (key == "id" and tag in HEADINGS):
+                named = named or any(map(_says_dropped, value.split()))
     # Numbers in class names and ids tell pages apart, not branches.
-    return Node(tag, f"{parent.branch}/{re.sub(r'[0-9]+', '0', style)}", dropped, parent.article or tag in ("article", "main"))
+    branch = f"{parent.branch}/{re.sub(r'[0-9]+', '0', style)}"
+    return Node(tag, branch, dropped, named, parent.article or tag in ("article", "main"), parent.inside or tag == "article")
 
 
 def parse(source: str) -> tuple[list[Block], dict[str, tuple[str, ...]]]:
     """Blocks of a page outside dropped elements, and by branch the child sequence it is shown with."""
-    root = Node("", "", False, False)
+    root = Node("", "", False, False, False, False)
     stack, blocks, shown = [root], [], {}
     parts: list[str] = []
 
@@ -125,7 +147,7 @@ def parse(source: str) -> tuple[list[Block], dict[str, tuple[str, ...]]]:
     while place < len(source):
         m = _TAG.search(source, place)
         stop = m.start() if m else len(source)
-        if stop > place and not stack[-1].dropped:
+        if stop > place and not stack[-1].gone:
             parts.append(source[place:stop])
         if not m:
             break
@@ -134,7 +156,7 @@ def parse(source: str) -> tuple[list[Block], dict[str, tuple[str, ...]]]:
             continue
         tag = m[3].lower()
         if tag == "br" or tag == "wbr":
-            if tag == "br" and not stack[-1].dropped:
+            if tag == "br" and not stack[-1].gone:
                 parts.append("\n")
         elif m[2]:
             at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
@@ -169,7 +191,7 @@ def parse(source: str) -> tuple[list[Block], dict[str, tuple[str, ...]]]:
             stack.append(node)
             if tag in RAW:
                 end = re.compile(f"</{tag}\\b[^>]*>", re.I).search(source, place)
-                if not node.dropped:
+                if not node.gone:
                     parts.append(source[place : end.start() if end else len(source)])
                 place = end.end() if end else len(source)
                 close(len(stack) - 1)
@@ -210,7 +232,8 @@ def verdicts(pages: DataFrame) -> DataFrame:
     pages keeps at least half of its presentation entropy.
     """
     seen = map_arrow(pages, "host string, branch string, page long, content long, shown long", _votes)
-    seen = seen.groupBy("host", "branch", "page").agg(F.min("content").alias("content"), F.min("shown").alias("shown"))
+    # One aggregate for both entropies: Spark parses and shuffles once.
+    seen = seen.groupBy("host", "branch", "page").agg(F.min(F.struct("content", "shown")).alias("v")).select("host", "branch", "v.*")
 
     def entropy(what: str) -> DataFrame:
         counts = seen.groupBy("host", "branch", what).agg(F.count("*").alias("n"))

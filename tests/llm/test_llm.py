@@ -314,6 +314,27 @@ def test_tree_judges_articles_too(spark):
     assert out[30] == f"{story}\n\nA teaser"
 
 
+@pytest.mark.parametrize(
+    "body, kept",
+    [
+        ("<div class='layout with-sidebar'><p>a</p></div>", "a"),
+        ("<div class='no-sidebar header-fixed'><article>a</article></div>", "a"),
+        ("<div class='sidebar'><article>a</article>b</div>", "a"),
+        ("<div id='comments'><main>a</main>b</div>", "a"),
+        ("<div hidden><article>a</article></div>b", "b"),
+        ("<nav><article>a</article></nav>b", "b"),
+        ("<h2 id='related-work'>a</h2><h2 id='share-price'>b</h2><p id='binary-search'>c</p><h2 id='search'>d</h2>", "a b c d"),
+        ("<div style='overflow:hidden'>a</div><p title='The hidden valley'>b<p aria-hidden='false'>c<p data-class=ad>d", "a b c d"),
+        ("<p hidden>a<p HIDDEN=''>b<p class='x' hidden='until-found'>c<p title='x'hidden>d<p>e", "e"),
+        ("<p data-id='x hidden' class=ad>a<p class='x' class='ad'>b<p title='role=menu'>c", "b c"),
+        ("<div class='ad-banner'>a</div><div class='comment-list'>b</div><div class='siteHeader post'>c</div><div class='x ads'>d</div>e", "e"),
+        ("<article>a<div class='comments'><article>b</article></div></article>", "a"),
+    ],
+)
+def test_names_drop_nothing_else(body, kept):
+    assert sitetree.main_text(page(body)[1], set()).split() == kept.split()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -23,10 +23,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from inspectlake.llm.common import column, fresh_path, map_arrow
+from inspectlake.llm.common import column, fresh_path, map_arrow, written
 
 LEAST_REVISIT = 100
-#: Bytes of payload that an archive file is meant to hold.
+#: Bytes of payloads and urls that an archive file is meant to hold.
 FILE_BYTES = 16_000_000
 #: Bytes that are unpacked at a time.
 CHUNK = 4096
@@ -34,6 +34,7 @@ CHUNK = 4096
 KINDS = ("warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation")
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = b"WARC/1."
+_VERSION_LINE = re.compile(rb"WARC/1\.[^\r\n]{0,100}\r\n")
 _EMPTY = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ENDS = re.compile(r"[\r\n]")
@@ -87,8 +88,8 @@ def _revisits(batch: pa.RecordBatch) -> dict:
     return {"value": packed}
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    """Archives of all ``pages`` (page_id, url, html) in the new folder ``path``.
+def write_archives(pages: DataFrame, path: str) -> int:
+    """Archives of all ``pages`` (page_id, url, html) in the new folder ``path``; gives the number of pages.
 
     A null html is an empty payload and a null url is left out.  Rows that share the smallest page_id of a payload are
     all responses, as are rows without an id; an empty table gives no records.
@@ -99,7 +100,8 @@ def write_archives(pages: DataFrame, path: str) -> None:
     first = big.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     packed = map_arrow(own, "page_id long, url string, digest string, size long, packed binary", _pack)
     joined = packed.join(first, "digest", "left").withColumn("first", F.when(F.col("page_id") != F.col("first"), F.col("first")))
-    mean = own.agg(F.avg(F.octet_length(html))).first()[0] or 1.0
+    mean, n = own.agg(F.avg(F.octet_length(html) + F.coalesce(F.octet_length("url"), F.lit(0))), F.count("*")).first()
+    mean = mean or 1.0
     lines = map_arrow(joined, "value binary", _revisits).select(F.col("value").cast("string"))
     (
         lines.write.option("lineSep", _EMPTY.decode("latin-1"))
@@ -107,22 +109,25 @@ def write_archives(pages: DataFrame, path: str) -> None:
         .option("maxRecordsPerFile", max(1, int(FILE_BYTES / max(mean, 1.0))))
         .text(path)
     )
+    return n
 
 
 def _head(data: bytes, at: int) -> tuple[dict[str, str], int] | str:
-    """Headers of the record at ``at`` and where its block begins, or what is wrong."""
-    if not data.startswith(_VERSION, at):
-        return "version"
-    end = data.find(b"\r\n\r\n", at, at + (1 << 16))
-    if end < 0:
-        return "headers"
-    fields = {}
-    for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
-        name, mark, value = line.partition(":")
-        if not mark or "\r" in line:
+    """Headers of the record at ``at`` and where its block begins, or what is wrong.
+
+    Headers have no greatest length, as the writer's have none.  They are read line by line, so what is no header ends
+    the search.
+    """
+    if not (version := _VERSION_LINE.match(data, at)):
+        return "version" if not data.startswith(_VERSION, at) else "headers"
+    at, fields = version.end(), {}
+    while (stop := data.find(b"\r\n", at)) != at:
+        name, mark, value = data[at : max(stop, at)].decode("utf-8", "replace").partition(":")
+        if not mark or "\r" in name or "\r" in value:
             return "headers"
         fields[name.strip().lower()] = value.strip()
-    return (fields, end + 4) if fields.get("content-length", "").isdigit() else "length"
+        at = stop + 2
+    return (fields, at + 2) if fields.get("content-length", "").isdigit() else "length"
 
 
 def read_record(data: bytes, at: int = 0) -> tuple[dict, int] | str:
@@ -221,7 +226,15 @@ def read_archives(spark, path: str) -> DataFrame:
 
 
 def archived(pages: DataFrame) -> DataFrame:
-    """Writes ``pages`` and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Writes ``pages`` and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    It fails where the records read back are not as many as the pages written.
+    """
     path = fresh_path(pages.sparkSession, "warc")
-    write_archives(pages, path)
-    return read_archives(pages.sparkSession, path).where("fault is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages_written = write_archives(pages, path)
+    back = read_archives(pages.sparkSession, path).select("fault", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    back = written(back, "records")
+    records, gaps = back.agg(F.count(F.when(F.col("fault").isNull(), 1)), F.count("fault")).first()
+    if gaps or records != pages_written:
+        raise ValueError(f"{records} records and {gaps} gaps were read back from {pages_written} pages")
+    return back.drop("fault")

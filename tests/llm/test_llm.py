@@ -9,6 +9,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from inspectlake.llm import chat, decontam, langid, naming, ngram_join, pieces, pii, sitetree, toxicity, warc
 from inspectlake.llm.common import tie
@@ -254,6 +255,23 @@ def test_warc_salvage(spark, tmp_path):
     assert warc.archived(pages.limit(0)).count() == 0
 
 
+def test_warc_headers_of_any_length(spark, monkeypatch):
+    big, url = "<p>" + "x" * 200, "http://a/" + "y" * 70_000
+    pages = spark.createDataFrame([(1, url, big), (2, "u", big), (3, url, "tiny")], "page_id long, url string, html string")
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.archived(pages).collect()}
+    assert got == {1: ("response", None, 203), 2: ("revisit", 1, 203), 3: ("response", None, 4)}
+    raw = [warc.record(k, url, hashlib.sha256(b"body").hexdigest(), 4, b"body") for k in range(3)]
+    for data in ([warc.member(r) for r in raw], raw):
+        rows = list(warc.salvage(data[0] + data[1][:-9] + data[2]))
+        assert [r.get("page_id") for r in rows] == [0, None, 2] and {r["url"] for r in rows if "url" in r} == {url}
+    assert [warc._head(x, 0) for x in (b"WARC/2", b"WARC/1.1", b"WARC/1.1\r\na: b", b"WARC/1.1\r\na\r\n\r\n", b"WARC/1.1\r\n\r\n")] == ["version", "headers", "headers", "headers", "length"]
+    whole = warc.read_archives
+    for part in (lambda s, p: whole(s, p).where("page_id < 3"), lambda s, p: whole(s, p).withColumn("fault", F.when(F.col("page_id") == 3, "digest"))):
+        monkeypatch.setattr(warc, "read_archives", part)
+        with pytest.raises(ValueError, match="2 records"):
+            warc.archived(pages)
+
+
 def test_personal_data(spark, odd):
     texts = [
         "write to a.b@c.d.org or x@y@z.com, ip 1.2.3.4 and 1.2.3.999.5.6.7.8",

@@ -245,16 +245,15 @@ LOOSE = {"max_saturation_ratio": 0.5, "max_dark_ratio": 0.5, "min_mean_gray": 10
 
 @query("job_inspect")
 def _(t):
-    channels = t.values([c for c in CHANNELS if c[3] != "light:A:B"], "camera_id string, model_key string, pos int, channel string")
+    channels = t.values(CHANNELS, "camera_id string, model_key string, pos int, channel string")
     rows = t.select("SELECT f.sequence_id, f.camera_id, f.light_id, 'seat' AS roi_name, x, y, v FROM {v_pixels} JOIN {v_frames} f USING (frame_id)")
     from inspectlake.operators import pixels as px
 
     specs = px.channel_specs(channels)
     built = px.light_channels(rows, specs, [*CUBE, "roi_name"], ["camera_id"])[0]
     bank = px.statistical_embedding(built, [*CUBE, "roi_name"], specs.select("channel", "pos").distinct(), 6).select(F.xxhash64(*CUBE).alias("vec_id"), "embedding")
-    rois = t.rois.where("roi_name <> 'wide'")
     return jobs.inspect(
-        q_quality.frame_images(t), t.pixels, t.recipe, t.recipe_views, t.recipe_lights, rois, channels, bank, {"mean": 0.02, "p99": 0.06, "recheck": 0.3, "ng": 0.7}, LOOSE, 6, min_correlation=0.0)
+        q_quality.frame_images(t), t.pixels, t.recipe, t.recipe_views, t.recipe_lights, t.rois, channels, bank, {"mean": 0.02, "p99": 0.06, "recheck": 0.3, "ng": 0.7}, LOOSE, 6, min_correlation=0.0)
 
 
 @query("job_train_bank")

@@ -28,6 +28,15 @@ def test_inspection_decides_every_job_once(spark):
             assert r["error_code"] in (0, 7, 13) and (r["error_code"] == 7) == (not r["quality_pass"])
 
 
+def test_inspection_reads_all_regions_and_channels(spark):
+    t = Tables(spark, FOLDER)
+    out = {r["sequence_id"]: r for r in catalog.QUERIES["job_inspect"].build(t).collect()}
+    # Region wide leaves the image and light:A:B has no frame: what passes the gate with a cushion view is an error.
+    cushion = {r[0] for r in t.frames.where("camera_id = 'TOP_CUSHION'").select("sequence_id").distinct().collect()}
+    gated = {k for k, r in out.items() if r["error_code"] != 7}
+    assert gated & cushion and all(out[k]["decision"] == "ERROR" for k in gated & cushion)
+
+
 @pytest.mark.parametrize("greedy", [False, True])
 def test_training_keeps_the_asked_share(spark, greedy):
     t = Tables(spark, FOLDER)

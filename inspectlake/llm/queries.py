@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inspectlake.llm import chat, decontam, langid, naming, ngram_join, pieces, pii, sitetree, toxicity, warc
+from inspectlake.llm import chat, decontam, langid, naming, ngram_join, pieces, pii, sitetree, spelling, toxicity, warc
 from inspectlake.llm.naming import numbered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,47 @@ def op8(spark, folder):
 @query("op10_site_style_tree")
 def op10(spark, folder):
     return sitetree.extract(table(spark, folder, "pages"))
+
+
+#: The 256 entries of the table for the checksum of a byte string, and the checksum of ``code`` (bytes in hex).
+_CRC_TABLE = """
+  SELECT list(e ORDER BY i) AS crc_table FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS e FROM range(256) r(i)
+  )
+"""
+_CRC = """
+  xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(len(code) // 2), lambda i: ('0x' || substr(code, 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(c // 256, crc_table[xor(c % 256, b) + 1])))
+"""
+
+
+@query(
+    "op13_prefix_suffix_tiles",
+    rf"""
+    WITH RECURSIVE crc AS ({_CRC_TABLE}),
+    runs AS (
+      SELECT doc_id, run, count(*) AS n, hex(encode(doc_id::VARCHAR || ':' || run)) AS code FROM (
+        SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+      ) WHERE length(run) >= 7 GROUP BY ALL
+    ), hashed AS (SELECT run, n, {_CRC} AS h FROM runs, crc),
+    w AS (
+      SELECT word, sum(n)::BIGINT AS n FROM (
+        SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM hashed
+      ) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+    ), spots AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+    holed AS (SELECT word, n, i, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS star, substr(word, 1, i - 1) || substr(word, i + 1) AS gone FROM spots),
+    near AS (
+      SELECT a.word, b.word AS other, b.n FROM holed a JOIN holed b ON a.star = b.star AND a.word <> b.word
+      UNION SELECT a.word, b.word, b.n FROM holed a JOIN w b ON a.gone = b.word
+      UNION SELECT b.word, a.word, a.n FROM holed a JOIN w b ON a.gone = b.word
+    ), best AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other COLLATE "binary") AS other, max(n) AS best_n FROM near GROUP BY word),
+    judged AS (
+      SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * w.n THEN other END AS form, CASE WHEN best_n >= 10 * w.n THEN best_n END AS form_n
+      FROM w LEFT JOIN best USING (word)
+    ), chain AS (SELECT word, word AS root FROM w UNION SELECT chain.word, j.form FROM chain JOIN judged j ON j.word = chain.root WHERE j.form IS NOT NULL)
+    SELECT j.word, j.form, c.root, j.n, j.n_near, j.form_n
+    FROM judged j JOIN chain c ON c.word = j.word JOIN judged e ON e.word = c.root AND e.form IS NULL
+    """,
+)
+def op13(spark, folder):
+    return spelling.variants(table(spark, folder, "documents"))

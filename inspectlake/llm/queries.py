@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inspectlake.llm import chat, decontam, langid, naming, ngram_join, pieces, pii, sitetree, spelling, toxicity, warc
+from inspectlake.llm import chat, decontam, hamming, langid, naming, ngram_join, pieces, pii, sitetree, spelling, toxicity, warc
 from inspectlake.llm.naming import numbered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,8 @@ _CRC = """
 )
 def op13(spark, folder):
     return spelling.variants(table(spark, folder, "documents"))
+
+
+@query("op12_multi_index_hashing")
+def op12(spark, folder):
+    return hamming.search(table(spark, folder, "embeddings"), every=20)

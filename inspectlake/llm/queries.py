@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from inspectlake.llm import chat, decontam, hamming, langid, naming, ngram_join, pieces, pii, sitetree, spelling, toxicity, warc
+from inspectlake.llm import chat, decontam, hamming, langid, naming, ngram_join, pieces, pii, prefix_trie, sitetree, spelling, toxicity, warc
 from inspectlake.llm.naming import numbered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +165,33 @@ def op13(spark, folder):
 @query("op12_multi_index_hashing")
 def op12(spark, folder):
     return hamming.search(table(spark, folder, "embeddings"), every=20)
+
+
+@query(
+    "op11_turn_matrix_trie",
+    f"""
+    WITH crc AS ({_CRC_TABLE}),
+    t AS (
+      SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+      FROM conversations WHERE conv_id IS NOT NULL
+    ), ids AS (SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base, hex(encode(conv_id::VARCHAR)) AS code FROM t),
+    c AS (SELECT conv_id, base, {_CRC} % 6 AS h FROM ids, crc),
+    r AS (
+      SELECT c.conv_id, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.pos <= c.h
+      UNION ALL SELECT c.conv_id, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h
+    ), s AS (SELECT c.conv_id, coalesce(list(struct_pack(role := r.role, text := r.text) ORDER BY r.pos) FILTER (WHERE r.pos IS NOT NULL), []) AS turns FROM c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id),
+    p AS (SELECT conv_id, len(turns) AS size, d, turns[1:d] AS path FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM s)),
+    n AS (
+      SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, CASE WHEN d > 0 THEN (count(*) - 1) * length(path[d].text) ELSE 0 END AS saved,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE size = d), '')) AS ends_sha256
+      FROM p GROUP BY path, d
+    ), k AS (SELECT path[1:d - 1] AS path, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+    m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+    u AS (SELECT path[1:j] AS path, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS j FROM m) GROUP BY ALL)
+    SELECT m.conv_id, m.d AS depth, a.conv_id AS parent_conv_id, m.n_convs, m.n_children, u.n_leaves, u.saved_tokens, m.ends_sha256
+    FROM m JOIN u USING (path) LEFT JOIN m a ON m.d > 0 AND a.path = m.path[1:m.d - 1]
+    """,
+)
+def op11(spark, folder):
+    return prefix_trie.trie(table(spark, folder, "conversations"))

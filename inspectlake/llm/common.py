@@ -49,13 +49,26 @@ def column(df: DataFrame, name: str) -> Column:
     return df[f"`{name}`"]
 
 
+def with_row_numbers(docs: DataFrame, uid: str) -> DataFrame:
+    """``docs`` with a number for each row in column ``uid``, written once and read back.
+
+    Numbers that follow from how a scan is split are other ones in the next scan, as files are split by the cores that
+    are there at the time.  Only numbers that are written with their rows name the same row wherever they are read.
+    """
+    spark = docs.sparkSession
+    path = fresh_path(spark, "rows")
+    rows = docs.withColumn(uid, F.monotonically_increasing_id())
+    rows.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def keep_rows(docs: DataFrame, choose: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Rows of ``docs`` whose row number ``choose`` returns in its column ``uid``.
 
     ``choose`` gets uid, doc_id and text.  Rows are told apart by number, so repeated ids and rows are no problem.
     """
     uid = free_name(docs, "_row")
-    numbered = docs.withColumn(uid, F.monotonically_increasing_id())
+    numbered = with_row_numbers(docs, uid)
     stay = choose(numbered.select(F.col(uid).alias("uid"), column(numbered, "doc_id").alias("doc_id"), column(numbered, "text").alias("text")))
     stay = stay.select(F.col("uid").alias(uid))
     return numbered.join(stay, uid, "left_semi").select(*[f"`{c}`" for c in docs.columns])

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from inspectlake.llm.common import as_bytes, column, keep_rows, map_arrow, written
+from inspectlake.llm.common import as_bytes, column, keep_rows, map_arrow, with_row_numbers, written
 
 _BLOCKS = "uid long, doc_id long, pos int, n_blocks int, sha string, rep_uid long, rep_pos int, block binary"
 
@@ -117,5 +117,5 @@ def exact_dedup(docs: DataFrame, block_bytes: int = 4096) -> DataFrame:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """uid, doc_id and text of a documents table."""
-    return docs.select(F.monotonically_increasing_id().alias("uid"), column(docs, "doc_id").alias("doc_id"), column(docs, "text").alias("text"))
+    """uid, doc_id and text of a documents table, written once so that every later scan sees the same numbers."""
+    return with_row_numbers(docs.select(column(docs, "doc_id").alias("doc_id"), column(docs, "text").alias("text")), "uid").select("uid", "doc_id", "text")

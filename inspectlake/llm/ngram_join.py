@@ -41,6 +41,9 @@ ORDER_SAMPLE = 20_000
 FREQUENT = 0.0004
 BLOCK_ROWS = 2048
 FANOUT = 16
+#: A row of a cell carries so many of its node's keys before the cell's, and a vector of so many groups at most.
+KEYS_BEFORE = 32
+CELL_GROUPS = 256
 
 
 def need(size_a, size_b):
@@ -72,20 +75,22 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
 def _points(frequent: np.ndarray):
     def work(batch: pa.RecordBatch) -> dict:
-        sizes, prints, vectors, prefixes = [], [], [], []
+        sizes, prints, vectors, small, prefixes = [], [], [], [], []
         for text in as_bytes(batch["text"]):
             found = shingle_set(text)
             n = len(found)
             sizes.append(n)
             prints.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if n else None)
-            vectors.append(_counts(found, min(FINE_GROUPS, max(GROUPS, 1 << (n // 8).bit_length()))))
+            groups = min(FINE_GROUPS, max(GROUPS, 1 << (n // 8).bit_length()))
+            vectors.append(_counts(found, groups))
+            small.append(_counts(found, CELL_GROUPS) if groups > CELL_GROUPS else vectors[-1])
             if len(frequent) and n:
                 at = np.searchsorted(frequent, found)
                 at[at == len(frequent)] = 0
                 common = frequent[at] == found
                 found = np.concatenate([found[~common], found[common]])
             prefixes.append(found[: n // 5 + 1])
-        return {"uid": batch["uid"], "doc_id": batch["doc_id"], "n": sizes, "print": prints, "vec": vectors, "keys": _lists(prefixes)}
+        return {"uid": batch["uid"], "doc_id": batch["doc_id"], "n": sizes, "print": prints, "vec": vectors, "small": small, "keys": _lists(prefixes)}
 
     return work
 
@@ -169,7 +174,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     Null and blank texts have the empty set, link with nothing and are their own component; their component_id is their
     doc_id.  Rows with equal sets are linked.  Null ids are passed over when the smallest id of a component is taken.
     """
-    points = written(map_arrow(docs.select("uid", "doc_id", "text"), "uid long, doc_id long, n int, print binary, vec binary, keys array<long>", _points(_frequent(docs))), "points")
+    points = written(map_arrow(docs.select("uid", "doc_id", "text"), "uid long, doc_id long, n int, print binary, vec binary, small binary, keys array<long>", _points(_frequent(docs))), "points")
     nodes = points.where("n > 0").groupBy("print").agg(F.min_by(F.struct("uid", "keys"), "uid").alias("x")).select(F.col("x.uid").alias("node"), F.explode("x.keys").alias("key"))
     cells = nodes.select("key", "node").repartition("key").sortWithinPartitions("key", "node")
     shared = written(cells.mapInArrow(_leaders, "key long, node long, leader long"), "cells")
@@ -181,10 +186,13 @@ def near_groups(docs: DataFrame) -> DataFrame:
     # What is left under shingles that still have several components; with two nodes, their pair was tried above.
     left = shared.join(roots.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = left.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi and rows > 2").select("key", "rows")
-    # A node's own keys travel with it (no more than its prefix has), so that a pair is given under one of them only.
-    rest = left.join(mixed, "key").groupBy("node", "root").agg(F.sort_array(F.collect_list(F.struct("key", "rows"))).alias("cells")).join(vectors, "node")
-    rest = rest.select("node", "root", "n", "vec", F.col("cells.key").alias("keys"), F.explode("cells").alias("c")).select("*", "c.key", "c.rows").drop("c")
-    pairs = _tree_join(rest).join(first, ["a", "b"], "left_anti")
+    # The keys of a node just before a cell's travel with it: two nodes that share one of these meet there already.  Most
+    # pairs are so given once, and a row stays small however many keys its node has; the rest is made distinct.
+    light = points.select(F.col("uid").alias("node"), "n", F.col("small").alias("vec"))
+    rest = left.join(mixed, "key").groupBy("node", "root").agg(F.sort_array(F.collect_list(F.struct("key", "rows"))).alias("cells")).join(light, "node")
+    before = F.slice(F.col("cells.key"), F.greatest(F.col("i") - KEYS_BEFORE, F.lit(0)) + 1, F.least("i", F.lit(KEYS_BEFORE)))
+    rest = rest.select("node", "root", "n", "vec", "cells", F.posexplode("cells").alias("i", "c")).select("node", "root", "n", "vec", before.alias("before"), "c.key", "c.rows")
+    pairs = _bounded(_tree_join(rest).distinct().join(first, ["a", "b"], "left_anti"), vectors)
     more = written(verify(written(pairs, "pairs"), docs), "links")
     if more.limit(1).count():
         roots = tie(links.unionByName(more))
@@ -211,10 +219,14 @@ def _bounded(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def _tree_join(rest: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of different roots whose points pass the bound, once each; big cells are joined in blocks."""
+    """Pairs (a, b), a < b, of different roots whose points pass the bound; big cells are joined in blocks.
+
+    A pair is passed over in a cell where both nodes have a key in common among the KEYS_BEFORE before the cell's: they
+    meet under that one.  So each pair is given at least once.
+    """
     blocks = rest.withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cells = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "root", "n", "vec", "keys"
+        "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "root", "n", "vec", "before"
     )
     cells = cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
 
@@ -233,10 +245,9 @@ def _tree_join(rest: DataFrame) -> DataFrame:
         fit = (root[q] != root[p]) & (5 * np.minimum(size[q], size[p]) >= 4 * np.maximum(size[q], size[p]))
         pairs = {(min(x, y), max(x, y)): (i, j) for x, y, i, j in zip(node[q[fit]].tolist(), node[p[fit]].tolist(), q[fit].tolist(), p[fit].tolist())}
         sets = [frozenset(r[8]) for r in cell]
-        at = lambda i, j: next(k for k in cell[i][8] if k in sets[j])  # noqa: E731  the first key that both have
-        return [pair for pair, (i, j) in pairs.items() if at(i, j) == cell[0][0] and most_shared(vectors[i], vectors[j]) >= need(size[i], size[j])]
+        return [pair for pair, (i, j) in pairs.items() if sets[i].isdisjoint(sets[j]) and most_shared(vectors[i], vectors[j]) >= need(size[i], size[j])]
 
-    names = ("key", "lo", "hi", "own", "node", "root", "n", "vec", "keys")
+    names = ("key", "lo", "hi", "own", "node", "root", "n", "vec", "before")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell: list[tuple] = []

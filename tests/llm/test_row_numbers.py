@@ -43,3 +43,23 @@ def test_results_with_changing_cores(spark, many_files, monkeypatch):
     spark.conf.set(SETTING, "4")
     assert groups() == whole
     assert len(whole[2]) == len({r.text or "" for r in docs().collect()})
+
+
+def test_many_shared_words_move_little(spark):
+    """Texts that share most of their words and do not link: what is shuffled grows with the texts, not with their squares."""
+    import random
+
+    rng = random.Random(4)
+    # Runs of 40 shared words between runs of 25 own ones: shingles in common, but below the threshold.
+    runs = [" ".join(f"s{k}_{j}" for j in range(40)) for k in range(250)]
+    text = lambda i: " ".join(f"{r} {' '.join(f'o{i}_{rng.random()}' for _ in range(25))}" for r in runs)
+    docs = spark.createDataFrame([(i, text(i)) for i in range(4)], "doc_id long, text string")
+    moved = []
+    plain = ngram_join._tree_join
+    try:
+        ngram_join._tree_join = lambda rest: (moved.append(sum(8 * len(r.before) + len(r.vec) for r in rest.collect())), plain(rest))[1]
+        groups = ngram_join.near_groups(naming.numbered(docs)).collect()
+    finally:
+        ngram_join._tree_join = plain
+    assert sorted(r.component_id for r in groups) == [0, 1, 2, 3]
+    assert moved and moved[0] < 20_000_000

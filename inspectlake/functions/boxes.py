@@ -33,18 +33,13 @@ def iou_xyxy(a, b) -> Column:
     return F.when(union <= 0, F.lit(0.0)).otherwise(inter / union)
 
 
-def aspect_ok(x0, y0, x1, y1, low: float, high: float) -> Column:
-    """Width/height inside [low, high]; a limit of zero is no limit."""
+def aspect_ok(x0, y0, x1, y1, low, high) -> Column:
+    """Width/height inside [low, high] (numbers or columns); a limit of zero or null is no limit."""
     width, height = _c(x1) - _c(x0) + 1, _c(y1) - _c(y0) + 1
-    if low <= 0 and high <= 0:
-        return F.lit(True)
-    ratio = width / height
-    ok = height > 0
-    if low > 0:
-        ok = ok & (ratio >= low)
-    if high > 0:
-        ok = ok & (ratio <= high)
-    return F.coalesce(ok, F.lit(False))
+    low, high = (F.coalesce(v if isinstance(v, Column) else F.lit(float(v)), F.lit(0.0)) for v in (low, high))
+    free = (low <= 0) & (high <= 0)
+    inside = (height > 0) & ((low <= 0) | (width / height >= low)) & ((high <= 0) | (width / height <= high))
+    return F.when(free, F.lit(True)).otherwise(F.coalesce(inside, F.lit(False)))
 
 
 def apply_homography(m, x, y) -> tuple[Column, Column]:

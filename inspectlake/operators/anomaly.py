@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from inspectlake.operators.ordered import Ordered, cut_lineage, largest_group
 
 BLOCK_ROWS = 4096
-SLOT_BYTES = 64 << 20
+#: Vectors of a bank slot, and of a query bucket: one cell of the grid holds one of each.
+SLOT_BYTES = 32 << 20
 
 
 def check_vectors(vectors: DataFrame, id_col: str, vec: str = "embedding") -> DataFrame:
@@ -108,6 +109,13 @@ def _join_blocks(q_blocks: DataFrame, b_blocks: DataFrame, on: list[str], dim: i
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def _by_group(df: DataFrame, groups: list[str], id_col: str) -> DataFrame:
+    """Rows of a group next to each other, a large group over several partitions."""
+    if not groups:
+        return df
+    return df.repartition(*groups, F.pmod(F.xxhash64(id_col), F.lit(16))).sortWithinPartitions(*groups)
+
+
 def knn_exact(
     queries: DataFrame,
     bank: DataFrame,
@@ -116,22 +124,29 @@ def knn_exact(
     bank_id: str = "vec_id",
     vec: str = "embedding",
     slots: int | None = None,
+    buckets: int | None = None,
+    groups: list[str] = (),
 ) -> DataFrame:
     """The ``k`` nearest bank vectors of every query by L2: query_id, bank_id, distance, rank.
 
-    Bank blocks are spread over ``slots``; every query block visits every slot once.  A bank that fits
-    one slot is small enough for Spark to broadcast; a larger one is shuffled slot by slot.  Each visit
-    returns at most ``k`` rows per query, and only those are merged.
+    Both sides are packed into blocks and meet in a grid: bank blocks are spread over ``slots`` and visit every query
+    bucket, query blocks over ``buckets`` and visit every slot, so a cell holds SLOT_BYTES of each side at most, whatever
+    the size of the bank or the number of queries.  Each cell returns at most ``k`` rows per query, and only those are
+    merged.  With ``groups`` (on both sides) a query is compared with the bank vectors of its group only.
     """
+    groups = list(groups)
     size = bank.agg(F.count("*").alias("n"), F.max(F.size(vec)).alias("dim")).first()
     if not size["n"]:
         raise ValueError("the bank is empty")
     dim = int(size["dim"])
-    if slots is None:
-        slots = max(1, math.ceil(size["n"] * dim * 4 / SLOT_BYTES))
-    b_blocks = pack_vectors(bank, bank_id, vec).withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int"))
-    q_blocks = pack_vectors(queries, query_id, vec, rows=1024).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    return _join_blocks(q_blocks, b_blocks, ["slot"], dim, k)
+    need = lambda n: max(1, math.ceil(n * dim * 4 / SLOT_BYTES))
+    slots = slots or need(size["n"])
+    buckets = buckets or need(queries.count())
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")
+    b_blocks = pack_vectors(_by_group(bank, groups, bank_id), bank_id, vec, groups).withColumn("slot", own(slots)).withColumn("bucket", spread(buckets))
+    q_blocks = pack_vectors(_by_group(queries, groups, query_id), query_id, vec, groups, rows=1024).withColumn("bucket", own(buckets)).withColumn("slot", spread(slots))
+    return _join_blocks(q_blocks, b_blocks, [*groups, "slot", "bucket"], dim, k)
 
 
 def coarse_cells(count: int) -> int:
@@ -188,8 +203,10 @@ def anomaly_score(distance, mean, p99) -> Column:
     return F.least(F.greatest(F.tanh(x), F.lit(0.0)), F.lit(1.0))
 
 
-def nearest_distances(queries: DataFrame, bank: DataFrame, query_id: str = "vec_id", bank_id: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    return knn_exact(queries, bank, 1, query_id, bank_id, vec).select(F.col("query_id").alias(query_id), "distance")
+def nearest_distances(
+    queries: DataFrame, bank: DataFrame, query_id: str = "vec_id", bank_id: str = "vec_id", vec: str = "embedding", groups: list[str] = ()
+) -> DataFrame:
+    return knn_exact(queries, bank, 1, query_id, bank_id, vec, groups=groups).select(F.col("query_id").alias(query_id), "distance")
 
 
 def anomaly_maps(patches: DataFrame, bank: DataFrame, image: str, height: int, width: int, mean, p99) -> tuple[DataFrame, DataFrame]:

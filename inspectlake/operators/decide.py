@@ -12,13 +12,16 @@ QUALITY_FAILED, DETECTOR_TIMEOUT, CRC_MISMATCH, INVALID_PAYLOAD, CONFIGURATION_E
 
 def judge_candidates(
     candidates: DataFrame,
-    recheck_score: float = 0.5,
-    ng_score: float = 0.8,
-    min_area_px: int = 1,
-    min_aspect: float = 0.0,
-    max_aspect: float = 0.0,
+    recheck_score: float | Column = 0.5,
+    ng_score: float | Column = 0.8,
+    min_area_px: int | Column = 1,
+    min_aspect: float | Column = 0.0,
+    max_aspect: float | Column = 0.0,
 ) -> DataFrame:
-    """Every candidate with its ``decision``, null where it does not count; own thresholds win over the recipe's."""
+    """Every candidate with its ``decision``, null where it does not count; own thresholds win over the recipe's.
+
+    The limits are numbers or columns of the candidates' recipe.
+    """
     recheck = F.coalesce(F.col("recheck_score"), F.lit(recheck_score))
     ng = F.coalesce(F.col("ng_score"), F.lit(ng_score))
     is_ng = (
@@ -29,7 +32,7 @@ def judge_candidates(
     return candidates.withColumn("decision", F.when(is_ng, F.lit("NG")).when(F.col("score") >= recheck, F.lit("RECHECK")))
 
 
-def filter_defects(candidates: DataFrame, *limits: float, **named: float) -> DataFrame:
+def filter_defects(candidates: DataFrame, *limits: float | Column, **named: float | Column) -> DataFrame:
     """Candidates that count, with ``decision`` and ``severity``."""
     judged = judge_candidates(candidates, *limits, **named).where(F.col("decision").isNotNull())
     return judged.withColumn("severity", F.when(F.col("decision") == "NG", F.lit("critical")).otherwise(F.lit("suspect")))

@@ -56,10 +56,13 @@ _CANDIDATE = [*BOX, "score", "evidence_lights", "recheck_score", "ng_score"]
 _KEPT = {"kept_index": "int", "suppressed": "long", "overflow": "long", "first_box": "array<int>"}
 
 
-def _merge_stream(groups: list[str], out_schema: pa.Schema, iou_threshold: float, cap: int):
-    """Fold sorted rows group by group; only the kept boxes of one group are ever held."""
+def _merge_stream(groups: list[str], out_schema: pa.Schema, limits: list[int]):
+    """Fold sorted rows group by group; only the kept boxes of one group are ever held.
 
-    def first_overlap(kept, x0, y0, x1, y1):
+    ``limits`` are the places of the overlap threshold and the cap in the group's key.
+    """
+
+    def first_overlap(kept, x0, y0, x1, y1, iou_threshold):
         area = (x1 - x0 + 1) * (y1 - y0 + 1)
         for k in kept:
             w = (k[2] if k[2] < x1 else x1) - (k[0] if k[0] > x0 else x0) + 1
@@ -93,8 +96,9 @@ def _merge_stream(groups: list[str], out_schema: pa.Schema, iou_threshold: float
                     if key is not None:
                         close()
                     key, kept, overflow = group, [], 0
+                iou_threshold, cap = (key[i] for i in limits)
                 for x0, y0, x1, y1, score, lights, recheck, ng, *tied in values[start:end]:
-                    k = first_overlap(kept, x0, y0, x1, y1)
+                    k = first_overlap(kept, x0, y0, x1, y1, iou_threshold)
                     if k is not None:
                         k[0], k[1], k[2], k[3] = min(k[0], x0), min(k[1], y0), max(k[2], x1), max(k[3], y1)
                         for light in lights:
@@ -118,8 +122,8 @@ def merge_candidates(
     candidates: DataFrame,
     keys: list[str],
     tie: list[str],
-    iou_threshold: float = 0.5,
-    cap: int = 16,
+    iou_threshold: float | Column = 0.5,
+    cap: int | Column = 16,
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Greedy merge per region: best score first, into the first kept box that overlaps enough.
@@ -128,28 +132,34 @@ def merge_candidates(
     ``overflow`` (candidates beyond ``cap``) stands on the region's first row.  Equal scores are taken in
     the order of ``tie`` (that of the input), and of their box only after it.  A region above ``hot_rows`` is first cut into islands that cannot influence each
     other, folded in parallel, and the cap is applied to the islands' kept boxes in score order.
+
+    The threshold (above 0) and the cap are numbers, or columns that are the same in a region.
     """
+    if not isinstance(iou_threshold, Column) and iou_threshold <= 0:
+        raise ValueError("iou_threshold must be above 0")
+    column = lambda v, kind: (v if isinstance(v, Column) else F.lit(v)).cast(kind)
+    candidates = candidates.withColumns({"_iou": column(iou_threshold, "double"), "_cap": column(cap, "int")})
     limit = HOT_GROUP_ROWS if hot_rows is None else hot_rows
     hot = largest_group(candidates, keys) > limit
     rows = split_islands(candidates, keys, ["score", *tie], limit) if hot else candidates
-    groups = keys + (["island_x", "island_y"] if hot else [])
+    groups = [*keys, "_iou", "_cap", *(["island_x", "island_y"] if hot else [])]
     needed = rows.select(*groups, *_CANDIDATE, F.struct(*tie).alias("_tie"))
     order = [F.desc("score"), "_tie", *BOX]
     sorted_rows = needed.repartition(*groups).sortWithinPartitions(*groups, *order)
     sorted_rows = sorted_rows if hot else sorted_rows.drop("_tie")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in sorted_rows.schema] + [f"{n} {t}" for n, t in _KEPT.items()]
     arrow = to_arrow_schema(StructType.fromDDL(", ".join(fields)))
-    kept = sorted_rows.mapInArrow(_merge_stream(groups, arrow, iou_threshold, cap), ", ".join(fields))
+    kept = sorted_rows.mapInArrow(_merge_stream(groups, arrow, [len(keys), len(keys) + 1]), ", ".join(fields))
     if hot:
-        kept = _cap_region(kept, keys, cap)
-    return kept.drop("first_box", "_tie").withColumn("area_px", bbox_area(*BOX))
+        kept = _cap_region(kept, keys)
+    return kept.drop("first_box", "_tie", "_iou", "_cap").withColumn("area_px", bbox_area(*BOX))
 
 
-def _cap_region(kept: DataFrame, keys: list[str], cap: int) -> DataFrame:
+def _cap_region(kept: DataFrame, keys: list[str]) -> DataFrame:
     in_order = Window.partitionBy(*keys).orderBy(F.desc("score"), "_tie", "first_box", "kept_index", "island_x", "island_y")
     size = F.col("suppressed") + 1
     whole = kept.groupBy(*keys).agg(F.sum(size + F.col("overflow")).alias("_all"))
-    top = kept.withColumn("_rank", F.row_number().over(in_order)).where(F.col("_rank") <= cap)
+    top = kept.withColumn("_rank", F.row_number().over(in_order)).where(F.col("_rank") <= F.col("_cap"))
     inside = top.groupBy(*keys).agg(F.sum(size).alias("_in"))
     counts = whole.join(inside, keys)
     return (

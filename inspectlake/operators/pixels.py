@@ -1,7 +1,4 @@
-"""Region crops and warps, light channels, tensors, registration and patch grids.
-
-Pixels are rows (keys, x, y, v), so every step is a join or an aggregate on pixel keys.
-"""
+"""Regions of frames, channel names, base lights, patch grids and registration; ``tiles`` has the work on image values."""
 
 from __future__ import annotations
 
@@ -37,47 +34,6 @@ def frame_rois(frames: DataFrame, rois: DataFrame, view: list[str]) -> DataFrame
     return frames.join(rois, view).withColumn("in_image", inside)
 
 
-def crop(pixels: DataFrame, frame_roi: DataFrame, frame: list[str]) -> DataFrame:
-    """Pixels inside each usable region, counted from the region's corner."""
-    boxes = frame_roi.where("in_image").select(*frame, "roi_name", "rx0", "ry0", "rx1", "ry1")
-    inside = F.col("x").between(F.col("rx0"), F.col("rx1")) & F.col("y").between(F.col("ry0"), F.col("ry1"))
-    return pixels.join(boxes, frame).where(inside).select(
-        *frame, "roi_name", (F.col("x") - F.col("rx0")).alias("x"), (F.col("y") - F.col("ry0")).alias("y"), "v"
-    )
-
-
-def warp(pixels: DataFrame, targets: DataFrame, frame: list[str]) -> DataFrame:
-    """Perspective crop: every output pixel blends the (at most four) source pixels around its source point.
-
-    ``targets`` has frame keys, roi_name, a nine-value ``matrix`` (output to source), ``out_w``, ``out_h``
-    and the frame's ``width`` and ``height``.
-    """
-    grid = targets.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("out_w") - 1))).withColumn(
-        "y", F.explode(F.sequence(F.lit(0), F.col("out_h") - 1))
-    )
-    sx, sy = apply_homography("matrix", "x", "y")
-    clip = lambda v, size: F.least(F.greatest(v, F.lit(0.0)), F.col(size) - F.lit(1.0))
-    points = grid.withColumns({"sx": clip(sx, "width"), "sy": clip(sy, "height")})
-    x0, y0 = F.floor("sx"), F.floor("sy")
-    dx, dy = F.col("sx") - x0, F.col("sy") - y0
-    x1, y1 = F.least(x0 + 1, F.col("width") - 1), F.least(y0 + 1, F.col("height") - 1)
-    part = lambda px, py, w: F.struct(px.cast("int").alias("px"), py.cast("int").alias("py"), w.alias("w"))
-    one = F.lit(1.0)
-    parts = F.array(
-        part(x0, y0, (one - dx) * (one - dy)), part(x1, y0, dx * (one - dy)), part(x0, y1, (one - dx) * dy), part(x1, y1, dx * dy)
-    )
-    wanted = points.select(*frame, "roi_name", "x", "y", F.explode(F.filter(parts, lambda p: p["w"] > 0)).alias("p")).select(
-        *frame, "roi_name", F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("p.px").alias("x"), F.col("p.py").alias("y"), "p.w"
-    )
-    blended = wanted.join(pixels, [*frame, "x", "y"]).groupBy(*frame, "roi_name", "ox", "oy")
-    return blended.agg(F.rint(F.sum(F.col("v") * F.col("w"))).cast("int").alias("v")).withColumnsRenamed({"ox": "x", "oy": "y"})
-
-
-def apply_mask(pixels: DataFrame, mask: DataFrame, on: list[str]) -> DataFrame:
-    """Pixels whose mask is zero become zero; ``mask`` has one row per pixel with value ``m``."""
-    return pixels.join(mask, [*on, "x", "y"], "left").withColumn("v", F.when(F.col("m") == 0, 0).otherwise(F.col("v"))).drop("m")
-
-
 # --- light channels -----------------------------------------------------------------------------
 
 
@@ -94,73 +50,12 @@ def channel_specs(channels: DataFrame) -> DataFrame:
     return channels.select("*", op.alias("operation"), lights.alias("lights"), valid.alias("valid"))
 
 
-def light_channels(pixels: DataFrame, specs: DataFrame, cube: list[str], on: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Channel pixels per cube (view and region), and channels that lack one of their lights or have it twice.
-
-    ``specs`` joins by ``on``; a cube has one frame per light.  Absolute difference and spread are both
-    maximum minus minimum.
-    """
-    lights = F.array_distinct("lights")
-    named = specs.where("valid").select(*on, "channel", "operation", F.size(lights).alias("need"), F.explode(lights).alias("light_id"))
-    contrast = named.where("operation = 'local_contrast'").select(*on, "light_id").distinct()
-    mean = pixels.join(contrast, [*on, "light_id"]).groupBy(*cube, "light_id").agg(F.floor(F.avg("v")).alias("light_mean"))
-    values = (
-        pixels.join(named, [*on, "light_id"])
-        .join(mean, [*cube, "light_id"], "left")
-        .groupBy(*cube, "channel", "operation", "need", "x", "y")
-        .agg(F.max("v").alias("hi"), F.min("v").alias("lo"), F.max("light_mean").alias("mean"), F.count("*").alias("have"))
-    )
-    value = (
-        F.when(F.col("operation") == "light", F.col("hi"))
-        .when(F.col("operation") == "local_contrast", F.abs(F.col("hi") - F.col("mean")))
-        .otherwise(F.col("hi") - F.col("lo"))
-    )
-    built = values.where(F.col("have") == F.col("need")).select(*cube, "channel", "x", "y", value.cast("int").alias("value"))
-    lit = pixels.select(*cube, "light_id").distinct()
-    have = lit.join(named, [*on, "light_id"]).groupBy(*cube, "channel").agg(F.count("*").alias("have"))
-    wanted = lit.select(*cube).distinct().join(specs.where("valid").select(*on, "channel", F.size(lights).alias("need")), on)
-    missing = wanted.join(have, [*cube, "channel"], "left").where(F.coalesce("have", F.lit(0)) < F.col("need")).select(*cube, "channel")
-    repeated = values.where(F.col("have") > F.col("need")).select(*cube, "channel").distinct()
-    return built, missing.union(repeated).distinct()
-
-
 def evidence_lights(specs: DataFrame, model: list[str], pos: str) -> DataFrame:
     """Lights behind a model's channels, first mention first (a model has few channels)."""
     ordered = F.array_sort(F.collect_list(F.struct(pos, "lights")))
     return specs.where("valid").groupBy(*model).agg(F.array_distinct(F.flatten(F.transform(ordered, lambda s: s["lights"]))).alias("evidence_lights"))
 
 
-def feature_tensors(channels: DataFrame, cube: list[str], scale: float = 255.0) -> DataFrame:
-    """Channel values over ``scale`` clipped to [0, 1], in row order: one array of one region per row."""
-    value = F.least(F.greatest(F.col("value") / scale, F.lit(0.0)), F.lit(1.0)).cast("float")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("y", "x", value.alias("v")))), lambda p: p["v"])
-    return channels.groupBy(*cube, "channel").agg(
-        ordered.alias("values"), (F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width")
-    )
-
-
-def tensor_issue() -> Column:
-    return F.when(F.size("values") != F.col("height") * F.col("width"), F.lit("feature channel length mismatch"))
-
-
-def statistical_embedding(channels: DataFrame, cube: list[str], positions: DataFrame, dim: int, scale: float = 255.0) -> DataFrame:
-    """Mean and population deviation per channel, in channel order, padded or cut to ``dim``."""
-    value = F.least(F.greatest(F.col("value") / scale, F.lit(0.0)), F.lit(1.0))
-    stats = channels.groupBy(*cube, "channel").agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s")).join(positions, "channel")
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "m", "s")))
-    pairs = F.flatten(F.transform(ordered, lambda p: F.array(p["m"], p["s"])))
-    padded = F.slice(F.concat(pairs, F.array_repeat(F.lit(0.0), dim)), 1, dim)
-    return stats.groupBy(*cube).agg(padded.alias("embedding"))
-
-
-def feature_summary(channels: DataFrame, cube: list[str]) -> DataFrame:
-    """Sorted channel names, their number and the region's shape; only distinct names are gathered."""
-    per_channel = channels.groupBy(*cube, "channel").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
-    return per_channel.groupBy(*cube).agg(
-        F.sort_array(F.collect_set("channel")).alias("features"), F.count("*").alias("channels"), F.max("h").alias("height"), F.max("w").alias("width")
-    )
-
-
 def base_light(frames: DataFrame, views: DataFrame, on: list[str], cube: list[str], fallback: str, box: list[str]) -> DataFrame:
     """Per cube the view's base light, else the fallback; its box, else the box of any frame."""
     rows = frames.join(views, on)
@@ -243,23 +138,22 @@ def _correlation(base: np.ndarray, moving: np.ndarray, dx: int, dy: int) -> floa
 def search_registration(
     pairs: DataFrame,
     keys: list[str],
-    radius: int = 3,
-    max_iterations: int = 50,
-    epsilon: float = 1e-4,
-    min_correlation: float = 0.8,
+    radius: int | Column = 3,
+    max_iterations: int | Column = 50,
+    epsilon: float | Column = 1e-4,
+    min_correlation: float | Column = 0.8,
 ) -> DataFrame:
     """Best whole-pixel shift of ``moving`` against ``base`` (image bytes, width, height): one row per pair.
 
     Rings of growing distance, stopping when a ring gains less than ``epsilon`` or after ``max_iterations``
-    tries; the first best shift wins.  Only two images are in hand at a time.
+    tries; the first best shift wins.  Only two images are in hand at a time.  The limits are numbers or columns.
     """
-    radius = min(radius, 10)
 
-    def search(base, moving, width, height):
+    def search(base, moving, width, height, radius, max_iterations, epsilon, min_correlation):
         a = np.frombuffer(base, dtype=np.uint8).reshape(height, width).astype(np.float64)
         b = np.frombuffer(moving, dtype=np.uint8).reshape(height, width).astype(np.float64)
         best, shift, last, tries = -1.0, (0, 0), -1.0, 0
-        for ring in range(radius + 1):
+        for ring in range(min(radius, 10) + 1):
             steps = [(x, y) for y in range(-ring, ring + 1) for x in range(-ring, ring + 1) if max(abs(x), abs(y)) == ring]
             for dx, dy in steps[: max_iterations - tries]:
                 value = _correlation(a, b, dx, dy)
@@ -272,35 +166,24 @@ def search_registration(
         return shift[0], shift[1], best, tries, best >= min_correlation and best >= 0.0, float(np.hypot(*shift))
 
     names = ["dx", "dy", "correlation", "iterations", "converged", "error_px"]
+    inputs = ["base", "moving", "width", "height", "_radius", "_tries", "_gain", "_least"]
+    limits = {"_radius": (radius, "int"), "_tries": (max_iterations, "int"), "_gain": (epsilon, "double"), "_least": (min_correlation, "double")}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [search(*r) for r in zip(batch["base"], batch["moving"], batch["width"], batch["height"])]
+            found = [search(*r) for r in zip(*(batch[c] for c in inputs))]
             yield pd.concat([batch[keys].reset_index(drop=True), pd.DataFrame(found, columns=names)], axis=1)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*keys).schema)
-    return pairs.select(*keys, "base", "moving", "width", "height").mapInPandas(
+    limited = pairs.withColumns({n: (v if isinstance(v, Column) else F.lit(v)).cast(kind) for n, (v, kind) in limits.items()})
+    return limited.select(*keys, *inputs).mapInPandas(
         run, f"{fields}, dx int, dy int, correlation double, iterations int, converged boolean, error_px double"
     )
 
 
-def registration_report(alignments: DataFrame, cube: list[str], max_error_px: float) -> DataFrame:
+def registration_report(alignments: DataFrame, cube: list[str], max_error_px: float | Column) -> DataFrame:
     """Per cube: pass only if every light converged and the largest shift is within the limit."""
     agg = alignments.groupBy(*cube).agg(
         F.max("error_px").alias("max_error_px"), F.avg("error_px").alias("mean_error_px"), F.min("converged").alias("all_converged")
     )
     return agg.withColumn("is_pass", F.col("all_converged") & (F.col("max_error_px") <= max_error_px)).drop("all_converged")
-
-
-def apply_shifts(pixels: DataFrame, shifts: DataFrame, frame: list[str]) -> DataFrame:
-    """Frames moved by (dx, dy) with edge pixels repeated; ``shifts`` has frame keys, dx, dy, width, height."""
-    grid = pixels.select(*frame, "x", "y").join(shifts, frame)
-    clamp = lambda v, size: F.greatest(F.lit(0), F.least(v, F.col(size) - 1))
-    wanted = grid.select(
-        *frame,
-        F.col("x").alias("ox"),
-        F.col("y").alias("oy"),
-        clamp(F.col("x") + F.col("dx"), "width").alias("x"),
-        clamp(F.col("y") + F.col("dy"), "height").alias("y"),
-    )
-    return wanted.join(pixels, [*frame, "x", "y"]).select(*frame, F.col("ox").alias("x"), F.col("oy").alias("y"), "v")

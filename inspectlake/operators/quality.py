@@ -183,6 +183,58 @@ def _required(frames: DataFrame, lights: DataFrame, job: list[str]) -> tuple[Dat
     return rows, [*job, "camera_id", "pose"]
 
 
+def _limit(value) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
+
+
+def capture_rules(s: dict[str, Column], camera: Column, max_span_us, unique_frames) -> list[tuple[Column, Column]]:
+    """Rules on a view's n lights: earliest time t0, span, distinct frames and seqs; limits are values or columns."""
+    return [
+        (s["t0"] <= 0, _text(camera, ": invalid frame timestamp")),
+        (s["span"] > _limit(max_span_us), _text(camera, ": capture timestamp span ", s["span"], "us exceeds ", _limit(max_span_us), "us")),
+        (_limit(unique_frames) & (s["frames"] != s["n"]), _text(camera, ": duplicate frame_index in required lights")),
+        (s["seqs"] != s["n"], _text(camera, ": duplicate light_seq_index in required lights")),
+    ]
+
+
+def exposure_rules(s: dict[str, Column], camera: Column, max_exposure_us, max_gain) -> list[tuple[Column, Column]]:
+    """Rules on least value and spread of exposure (e0, de) and gain (g0, dg)."""
+    digits = lambda v: F.format_string("%.3f", F.bround(v.cast("double"), 3))
+    return [
+        (s["e0"] <= 0, _text(camera, ": invalid exposure_us")),
+        (s["de"] > _limit(max_exposure_us), _text(camera, ": exposure delta ", s["de"], "us exceeds ", _limit(max_exposure_us), "us")),
+        (s["g0"] <= 0, _text(camera, ": invalid gain")),
+        (s["dg"] > _limit(max_gain), _text(camera, ": gain delta ", digits(s["dg"]), " exceeds ", digits(_limit(max_gain)))),
+    ]
+
+
+def pose_rules(s: dict[str, Column], label: Column, required, far_xyz: Column, far_rpy: Column) -> list[tuple[Column, Column]]:
+    """Rules on how many of n lights have a shot id, a robot time and a pose, and on how far poses lie apart."""
+    some, full = (lambda k: s[k] > 0), (lambda k: s[k] == s["n"])
+    need, has_pose = _limit(required), s["posed"] > 0
+    rules = [
+        (need & ~full("shots"), "missing shot_id in required robot lights"),
+        (~(need & ~full("shots")) & some("shots") & ~full("shots"), "mixed empty and non-empty shot_id in required lights"),
+        (full("shots") & (s["shot_values"] != 1), "inconsistent shot_id in required lights"),
+        (need & ~full("times"), "missing robot_timestamp_us in required robot lights"),
+        (
+            ~(need & ~full("times")) & ((some("times") & ~full("times")) | (~some("times") & has_pose)),
+            "mixed empty and non-empty robot_timestamp_us in required lights",
+        ),
+        (full("times") & (s["time_values"] != 1), "inconsistent robot_timestamp_us in required lights"),
+        (need & ~full("posed"), "missing robot TCP/RPY pose in required robot lights"),
+        (has_pose & far_xyz, "inconsistent robot_tcp_xyz_mm in required lights"),
+        (has_pose & far_rpy, "inconsistent robot_rpy_deg in required lights"),
+    ]
+    return [(rule, F.concat(label, F.lit(f": {message}"))) for rule, message in rules]
+
+
+def robot_pose_required(views: DataFrame) -> DataFrame:
+    """recipe_id, pose_required: whether a recipe has posed views or one camera several times."""
+    per_camera = views.groupBy("recipe_id", "camera_id").agg(F.count("*").alias("n"), F.max(POSE() != F.col("camera_id")).alias("posed"))
+    return per_camera.groupBy("recipe_id").agg(F.max(F.col("posed") | (F.col("n") > 1)).alias("pose_required"))
+
+
 def capture_consistency(frames: DataFrame, lights: DataFrame, job: list[str], max_span_us: int, unique_frames: bool = True) -> DataFrame:
     """Time span, positive times and repeated numbers over a view's required lights (two at least)."""
     rows, view = _required(frames, lights, job)
@@ -194,14 +246,8 @@ def capture_consistency(frames: DataFrame, lights: DataFrame, job: list[str], ma
         F.countDistinct("frame_index").alias("frames"),
         F.countDistinct("light_seq_index").alias("seqs"),
     ).where(c("n") >= 2)
-    cam = c("camera_id")
-    rules = [
-        (c("t0") <= 0, _text(cam, ": invalid frame timestamp")),
-        (c("span") > max_span_us, _text(cam, ": capture timestamp span ", c("span"), f"us exceeds {max_span_us}us")),
-        (F.lit(unique_frames) & (c("frames") != c("n")), _text(cam, ": duplicate frame_index in required lights")),
-        (c("seqs") != c("n"), _text(cam, ": duplicate light_seq_index in required lights")),
-    ]
-    return _rows(stats, [*job, "camera_id"], _messages(rules))
+    values = {k: c(k) for k in ("n", "t0", "span", "frames", "seqs")}
+    return _rows(stats, [*job, "camera_id"], _messages(capture_rules(values, c("camera_id"), max_span_us, unique_frames)))
 
 
 def monotonic_times(frames: DataFrame, lights: DataFrame, job: list[str]) -> DataFrame:
@@ -225,21 +271,17 @@ def exposure_gain(frames: DataFrame, lights: DataFrame, job: list[str], max_expo
         F.min("gain").alias("g0"),
         (F.max("gain") - F.min("gain")).alias("dg"),
     ).where(c("n") >= 2)
-    cam = c("camera_id")
-    rules = [
-        (c("e0") <= 0, _text(cam, ": invalid exposure_us")),
-        (c("de") > max_exposure_us, _text(cam, ": exposure delta ", c("de"), f"us exceeds {max_exposure_us}us")),
-        (c("g0") <= 0, _text(cam, ": invalid gain")),
-        (c("dg") > max_gain, _text(cam, ": gain delta ", F.format_string("%.3f", F.bround(c("dg"), 3)), f" exceeds {max_gain:.3f}")),
-    ]
-    return _rows(stats, [*job, "camera_id"], _messages(rules))
+    values = {k: c(k) for k in ("e0", "de", "g0", "dg")}
+    return _rows(stats, [*job, "camera_id"], _messages(exposure_rules(values, c("camera_id"), max_exposure_us, max_gain)))
 
 
 def pose_consistency(
-    frames: DataFrame, lights: DataFrame, job: list[str], xyz: list[str], rpy: list[str], tolerance: float = 1e-4, required: bool = False
+    frames: DataFrame, lights: DataFrame, job: list[str], xyz: list[str], rpy: list[str], tolerance: float = 1e-4, required: bool | str = False
 ) -> DataFrame:
     """Shot ids and robot times all set, none set or mixed; poses within tolerance of the first required light.
 
+    ``required`` holds for all jobs, or names a boolean column of ``frames`` that says so for each job.
+
     The first light's pose is carried as an aggregate and compared with per-view extremes, so a view
     is never gathered.
     """
@@ -254,6 +296,8 @@ def pose_consistency(
         F.countDistinct("robot_timestamp_us").alias("time_values"),
         F.count_if(moved).alias("posed"),
     ]
+    if isinstance(required, str):
+        aggs.append(F.coalesce(F.max(required), F.lit(False)).alias("_required"))
     for v in xyz + rpy:
         aggs += [F.min_by(v, "pos").alias(f"_f_{v}"), F.min(v).alias(f"_lo_{v}"), F.max(v).alias(f"_hi_{v}")]
     stats = rows.groupBy(*view).agg(*aggs).where(c("n") >= 2)
@@ -262,24 +306,9 @@ def pose_consistency(
         lambda a, b: a | b,
         [(c(f"_hi_{v}") - c(f"_f_{v}") > tolerance) | (c(f"_f_{v}") - c(f"_lo_{v}") > tolerance) for v in names],
     )
-    some, full = lambda k: c(k) > 0, lambda k: c(k) == c("n")
-    need = F.lit(required)
-    has_pose = c("posed") > 0
-    rules = [
-        (need & ~full("shots"), "missing shot_id in required robot lights"),
-        (~(need & ~full("shots")) & some("shots") & ~full("shots"), "mixed empty and non-empty shot_id in required lights"),
-        (full("shots") & (c("shot_values") != 1), "inconsistent shot_id in required lights"),
-        (need & ~full("times"), "missing robot_timestamp_us in required robot lights"),
-        (
-            ~(need & ~full("times")) & ((some("times") & ~full("times")) | (~some("times") & has_pose)),
-            "mixed empty and non-empty robot_timestamp_us in required lights",
-        ),
-        (full("times") & (c("time_values") != 1), "inconsistent robot_timestamp_us in required lights"),
-        (need & ~full("posed"), "missing robot TCP/RPY pose in required robot lights"),
-        (has_pose & far(xyz), "inconsistent robot_tcp_xyz_mm in required lights"),
-        (has_pose & far(rpy), "inconsistent robot_rpy_deg in required lights"),
-    ]
-    return _rows(stats, [*job, "camera_id"], _messages([(r, F.concat(label, F.lit(f": {m}"))) for r, m in rules]))
+    values = {k: c(k) for k in ("n", "shots", "shot_values", "times", "time_values", "posed")}
+    need = c("_required") if isinstance(required, str) else required
+    return _rows(stats, [*job, "camera_id"], _messages(pose_rules(values, label, need, far(xyz), far(rpy))))
 
 
 # --- pixels -------------------------------------------------------------------------------------
@@ -292,27 +321,6 @@ def pixel_exposure(pixels: DataFrame, frame: list[str], high: int = 250, low: in
     )
 
 
-def pixel_neighbours(pixels: DataFrame, frame: list[str]) -> DataFrame:
-    """Pixels with their left, right, upper and lower values; windows run over single image lines."""
-    line, column = Window.partitionBy(*frame, "y").orderBy("x"), Window.partitionBy(*frame, "x").orderBy("y")
-    return pixels.withColumns({"left": F.lag("v").over(line), "right": F.lead("v").over(line)}).withColumns(
-        {"up": F.lag("v").over(column), "down": F.lead("v").over(column)}
-    )
-
-
-def pixel_sharpness(pixels: DataFrame, frame: list[str]) -> DataFrame:
-    """Mean absolute 4-neighbour Laplacian of inner pixels; zero below 3 x 3."""
-    c = F.col
-    laplacian = c("left") + c("right") + c("up") + c("down") - c("v") * 4
-    return pixel_neighbours(pixels, frame).groupBy(*frame).agg(F.coalesce(F.avg(F.abs(laplacian)), F.lit(0.0)).alias("sharpness"))
-
-
-def pixel_motion(pixels: DataFrame, frame: list[str]) -> DataFrame:
-    """Smaller of the mean horizontal and vertical steps; zero below 2 x 2."""
-    step = lambda other: F.coalesce(F.avg(F.abs(F.col("v") - F.col(other))), F.lit(0.0))
-    return pixel_neighbours(pixels, frame).groupBy(*frame).agg(F.least(step("left"), step("up")).alias("motion_gradient"))
-
-
 def frame_statistics(frames: DataFrame, keys: list[str], high: int = 250, low: int = 5) -> DataFrame:
     """The five statistics from image bytes, a batch of frames at a time; a short image gives nulls."""
     columns = ["mean_gray", "saturation_ratio", "dark_ratio", "sharpness", "motion_gradient"]
@@ -321,14 +329,14 @@ def frame_statistics(frames: DataFrame, keys: list[str], high: int = 250, low: i
         if image is None or width <= 0 or height <= 0 or stride < width or len(image) < stride * height:
             return (None,) * 5
         data = np.frombuffer(image, dtype=np.uint8, count=stride * height).reshape(height, stride)[:, :width]
-        signed = data.astype(np.int16)
         sharp = motion = 0.0
-        if width >= 3 and height >= 3:
-            inner = signed[1:-1, 1:-1]
-            around = signed[:-2, 1:-1] + signed[2:, 1:-1] + signed[1:-1, :-2] + signed[1:-1, 2:]
-            sharp = float(np.abs(around - 4 * inner).mean())
-        if width >= 2 and height >= 2:
-            motion = min(float(np.abs(np.diff(signed, axis=a)).mean()) for a in (0, 1))
+        if min(width, height) >= 2:
+            # First differences serve both: their sizes are the motion value, their own differences the Laplacian.
+            grey = data.astype(np.int16)
+            across, down = np.diff(grey, axis=1), np.diff(grey, axis=0)
+            motion = min(float(np.abs(d).mean()) for d in (across, down))
+            if min(width, height) >= 3:
+                sharp = float(np.abs(np.diff(across, axis=1)[1:-1] + np.diff(down, axis=0)[:, 1:-1]).mean())
         return float(data.mean()), float((data >= high).mean()), float((data <= low).mean()), sharp, motion
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -341,8 +349,8 @@ def frame_statistics(frames: DataFrame, keys: list[str], high: int = 250, low: i
     return slim.mapInPandas(run, f"{fields}, " + ", ".join(f"{c} double" for c in columns))
 
 
-def statistic_messages(limits: dict[str, float]) -> Column:
-    """Texts for statistics outside ``limits`` (max_saturation_ratio, max_dark_ratio, min/max_mean_gray, min_sharpness, min_motion_gradient)."""
+def statistic_messages(limits: dict[str, float | Column]) -> Column:
+    """Texts for statistics outside ``limits``, values or columns (max_saturation_ratio, max_dark_ratio, min/max_mean_gray, min_sharpness, min_motion_gradient)."""
     c = F.col
     return _messages(
         [

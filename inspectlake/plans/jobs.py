@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from inspectlake.functions import text
-from inspectlake.functions.boxes import bbox_area
-from inspectlake.operators import anomaly as an, datasets as ds, decide, events as ev, fusion as fu, health as h, pixels as px, quality as q
+from inspectlake.operators import anomaly as an, datasets as ds, decide, events as ev, fusion as fu, gate, health as h, pixels as px, quality as q, tiles as ti
 from inspectlake.operators.ordered import cut_lineage
+from inspectlake.operators.recipes import route_models
 from inspectlake.sources import json_lines as js, paths
 
 JOB = ["sequence_id"]
-CUBE = ["sequence_id", "camera_id", "pose_id"]
+INTERNAL_ERROR = 9
 
 
 def score_embeddings(queries: DataFrame, bank: DataFrame, patches_per_image: int, images: int = 500) -> DataFrame:
@@ -47,67 +47,125 @@ def train_bank(
     return bank, pca, thresholds
 
 
+VIEW = [*JOB, "recipe_id", "camera_id", "pose"]
+REGION = [*VIEW, "roi_name"]
+PLAN = ["recipe_id", "camera_id", "pose", "roi_name"]
+
+
+def _registration(crops: DataFrame, regions: DataFrame, alignments: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per region whether its lights lie on its base light (``aligned``), and the shifts found for moved lights.
+
+    A view's base light is its own, else the recipe's fallback; the recipe says whether lights are searched or follow
+    from the calibration's matrices.
+    """
+    limits = ["max_registration_error_px", "method", "max_iterations", "convergence_epsilon", "search_radius_px", "min_correlation", "fallback_light_id"]
+    lit = regions.where("in_image").select(*REGION, "light_id", "frame_id", "calibration_id", "view_base_light", "rx0", "ry0", "rx1", "ry1").join(rules.select("recipe_id", *limits), "recipe_id")
+    own = lit.groupBy(*REGION).agg(F.max(F.col("light_id") == F.col("view_base_light")).alias("own"))
+    lit = lit.join(own, REGION).withColumn("base", F.when(F.col("own"), F.col("view_base_light")).otherwise(F.col("fallback_light_id")))
+    cubes = lit.groupBy(*REGION, "method", "max_registration_error_px").agg(F.max(F.col("light_id") == F.col("base")).alias("has_base"))
+
+    searched = lit.where("method = 'ecc'")
+    images = ti.whole(crops.join(searched.select(*REGION).distinct(), REGION, "left_semi"), [*REGION, "light_id"])
+    base = images.join(searched.where("light_id = base").select(*REGION, "light_id"), [*REGION, "light_id"], "left_semi").select(*REGION, F.col("image").alias("base"))
+    moving = images.withColumnRenamed("image", "moving").join(searched.where("light_id <> base").drop("base", "frame_id"), [*REGION, "light_id"]).join(base, REGION)
+    c = F.col
+    found = px.search_registration(moving, [*REGION, "light_id"], c("search_radius_px"), c("max_iterations"), c("convergence_epsilon"), c("min_correlation"))
+    found = cut_lineage(found)
+    report = found.groupBy(*REGION).agg(F.max("error_px").alias("error_px"), F.min("converged").alias("converged"))
+
+    boxed = lit.where("method <> 'ecc'").withColumnsRenamed({"rx0": "x0", "ry0": "y0", "rx1": "x1", "ry1": "y1"})
+    fixed = px.fixed_registration(boxed, alignments, REGION, ["calibration_id"], "base", float("inf")).select(*REGION, c("max_error_px").alias("fixed_px"), "is_pass")
+    judged = cubes.join(report, REGION, "left").join(fixed, REGION, "left")
+    ecc = F.coalesce("converged", F.lit(True)) & (F.coalesce("error_px", F.lit(0.0)) <= c("max_registration_error_px"))
+    matrices = F.coalesce(c("is_pass") & (c("fixed_px") <= c("max_registration_error_px")), F.lit(False))
+    aligned = judged.select(*REGION, (c("has_base") & F.when(c("method") == "ecc", ecc).otherwise(matrices)).alias("aligned"))
+    size = regions.where("in_image").select(*REGION, (c("rx1") - c("rx0") + 1).alias("width"), (c("ry1") - c("ry0") + 1).alias("height")).distinct()
+    return aligned, found.where("dx <> 0 OR dy <> 0").select(*REGION, "light_id", "dx", "dy").join(size, REGION)
+
+
 def inspect(
-    frames: DataFrame, pixels: DataFrame, recipe: DataFrame, views: DataFrame, lights: DataFrame, rois: DataFrame, channels: DataFrame,
-    bank: DataFrame, stats: dict[str, float], limits: dict[str, float], embedding_dim: int, base_light: str = "DIFFUSE",
-    max_shift_px: float = 3.0, min_correlation: float = 0.2,
+    frames: DataFrame, recipes: DataFrame, views: DataFrame, lights: DataFrame, rois: DataFrame, models: DataFrame, channels: DataFrame, banks: DataFrame,
+    alignments: DataFrame, overrides: DataFrame, embedding_dim: int, xyz: list[str], rpy: list[str],
 ) -> DataFrame:
     """Frames to one decision per job; the first failing stage decides.
 
-    ``frames`` has metadata and ``image`` bytes, ``pixels`` the same images as rows with frame_id; ``channels``
-    the channel names per camera; ``bank`` vectors of ``embedding_dim`` and ``stats`` their calibration
-    (mean, p99, recheck, ng).  A view is a camera and pose; no pose means that of the camera.  A job of which a
-    region with channels has no score ends as an error.
+    Everything that differs between recipes is data: ``recipes`` holds limits (gate.DEFAULTS), sku and fallback light;
+    ``views`` per (recipe, camera, pose) model, safety net, base light, region template, calibration and image size;
+    ``rois`` boxes per template; ``overrides`` models of single regions; ``channels`` the input channels per model;
+    ``models`` a model's calibration (mean, p99) and thresholds; ``banks`` vectors per model; ``alignments`` matrices per
+    calibration and light.
+
+    Stages, as they end a job: the quality gate (RECHECK/7), a calibration or region that does not fit the image
+    (ERROR/9), lights that do not lie on each other (RECHECK/7), a model channel without its light (ERROR/9), a model
+    without bank or calibration (RECHECK/13), and the scored candidates.  Images are read twice: measured, and cut into
+    tiles for the jobs that passed the gate.
     """
-    measured = q.frame_statistics(frames, ["frame_id"])
-    reports = frames.join(measured, "frame_id").withColumn("m", F.concat(q.frame_meta_messages(), q.statistic_messages(limits)))
-    reports = reports.withColumn("passed", F.size("m") == 0)
-    checks = [q.missing_views(frames, views, JOB), q.missing_lights(frames, lights, JOB), q.light_sequence(frames, lights, JOB)]
+    c = F.col
+    rules = gate.recipe_rules(recipes)
+    seen = gate.view_reports(gate.frame_reports(frames, rules), views, lights, JOB, xyz, rpy)
     # One small row per job, used by every later stage.
-    gate = cut_lineage(q.job_quality(reports, checks, JOB).select(*JOB, F.col("quality_pass").alias("gate_pass")))
-    passed = frames.join(gate.where("gate_pass").select(*JOB), JOB).withColumn("pose_id", F.coalesce(F.nullif("pose_id", F.lit("")), "camera_id"))
-
-    regions = px.frame_rois(passed, rois, ["camera_id"])
-    outside = regions.where("NOT in_image").select(*JOB).distinct().withColumn("roi_error", F.lit(True))
-    base = passed.where(F.col("light_id") == base_light).select(*CUBE, F.col("image").alias("base"))
-    pairs = passed.where(F.col("light_id") != base_light).withColumnRenamed("image", "moving").join(base, CUBE)
-    shifts = px.search_registration(pairs, [*CUBE, "frame_id"], 2, 50, 1e-4, min_correlation)
-    moved = px.registration_report(shifts, CUBE, max_shift_px)
-    unaligned = moved.where("NOT is_pass").select(*JOB).distinct().withColumn("unaligned", F.lit(True))
-
-    cube = [*CUBE, "roi_name"]
-    cropped = px.crop(pixels, regions, ["frame_id"]).join(passed.select("frame_id", *CUBE, "light_id"), "frame_id").drop("frame_id")
+    jobs = cut_lineage(gate.job_reports(seen, JOB).select(*JOB, "recipe_id", c("quality_pass").alias("gate_pass")))
+    passed = frames.join(jobs.where("gate_pass").select(*JOB), JOB, "left_semi")
+    meta = cut_lineage(q.view_config(passed.drop("image", "channels"), views))
+    misfit = (c("calibration_id") != c("want_calibration")) | (c("width") != c("image_w")) | (c("height") != c("image_h"))
+    regions = px.frame_rois(meta, rois, ["roi_template"])
+    broken = meta.where(misfit).select(*JOB).union(regions.where("NOT in_image").select(*JOB)).distinct().withColumn("broken", F.lit(True))
+
+    tiles = ti.image_tiles(passed, ["frame_id"])
+    crops = cut_lineage(ti.crop(tiles, regions, ["frame_id"]).join(meta.select("frame_id", *VIEW, "light_id"), "frame_id").drop("frame_id"))
+    aligned, shifts = _registration(crops, regions, alignments, rules)
+    unaligned = aligned.where("NOT aligned").select(*JOB).distinct().withColumn("unaligned", F.lit(True))
+    lit = [*REGION, "light_id"]
+    moved = crops.join(shifts, lit, "left_anti").unionByName(ti.apply_shifts(crops.join(shifts, lit, "left_semi"), shifts, lit))
+
+    settings = meta.select(*VIEW, "model_key", "safety_net_key").distinct()
+    inside = regions.where("in_image").select(*REGION).distinct()
+    routes = cut_lineage(route_models(inside, settings, overrides, VIEW, ["recipe_id", "camera_id", "roi_name"]).select(*REGION, "model_key", "role"))
     specs = px.channel_specs(channels)
-    built, missing = px.light_channels(cropped, specs, cube, ["camera_id"])
-    vectors = px.statistical_embedding(built, cube, specs.select("channel", "pos").distinct(), embedding_dim)
-    keyed = vectors.withColumn("vec_id", F.xxhash64(*cube))
-    near = an.nearest_distances(keyed.select("vec_id", "embedding"), bank)
-    score = an.anomaly_score("distance", stats["mean"], stats["p99"])
-    scored = cut_lineage(keyed.select(*cube, "vec_id").join(near, "vec_id").withColumn("score", score))
-    expected = regions.where("in_image").select("frame_id", "roi_name").join(passed.select("frame_id", *CUBE), "frame_id").select(*cube).distinct()
-    unscored = expected.join(channels.select("camera_id").distinct(), "camera_id", "left_semi").join(scored, cube, "left_anti")
-    no_light = missing.select(*JOB).union(unscored.select(*JOB)).distinct().withColumn("no_light", F.lit(True))
-    boxes = rois.select("camera_id", "roi_name", F.col("rx0").alias("x0"), F.col("ry0").alias("y0"), F.col("rx1").alias("x1"), F.col("ry1").alias("y1"))
+    plans = routes.select(*PLAN, "model_key").distinct().join(specs, "model_key")
+    built, missing = ti.light_channels(moved, plans.drop("model_key", "pos").distinct(), REGION, PLAN)
+    bad_names = routes.join(specs.where("NOT valid"), "model_key", "left_semi")
+    no_channel = missing.select(*JOB).union(bad_names.select(*JOB)).distinct().withColumn("no_channel", F.lit(True))
+
+    ready = models.where("mean IS NOT NULL AND p99 IS NOT NULL").join(banks.select("model_key").distinct(), "model_key", "left_semi")
+    no_asset = routes.join(ready, "model_key", "left_anti").select(*JOB).distinct().withColumn("no_asset", F.lit(True))
+    positions = plans.where("valid").select(*PLAN, "model_key", "channel", "pos")
+    vectors = ti.statistical_embedding(built, REGION, positions, embedding_dim, per_model=[*PLAN, "model_key"])
+    keyed = cut_lineage(vectors.join(ready.select("model_key"), "model_key", "left_semi").withColumn("vec_id", F.monotonically_increasing_id()))
+    near = an.nearest_distances(keyed.select("vec_id", "model_key", "embedding"), banks, groups=["model_key"])
+    scored = keyed.drop("embedding").join(near, "vec_id").join(ready, "model_key").withColumn("score", an.anomaly_score("distance", c("mean"), c("p99")))
+
+    boxes = inside.join(regions.select(*REGION, c("rx0").alias("x0"), c("ry0").alias("y0"), c("rx1").alias("x1"), c("ry1").alias("y1")).distinct(), REGION)
+    shown = px.evidence_lights(specs, ["model_key"], "pos")
+    # A bank's own thresholds win; the recipe's stand in for what it lacks.
+    limits = rules.select("recipe_id", c("recheck_score").alias("_recheck"), c("ng_score").alias("_ng"), "min_area_px", "min_aspect_ratio", "max_aspect_ratio", "iou_threshold", "max_candidates_per_roi")
     candidates = (
-        scored.where(F.col("score") >= stats["recheck"])
-        .join(boxes, ["camera_id", "roi_name"])
-        .withColumns(
-            {"area_px": bbox_area("x0", "y0", "x1", "y1"), "evidence_lights": F.array(F.lit(base_light)),
-             "recheck_score": F.lit(float(stats["recheck"])), "ng_score": F.lit(float(stats["ng"])), "ordinal": F.col("vec_id")}
-        )
+        scored.join(boxes, REGION).join(routes, [*REGION, "model_key"]).join(shown, "model_key").join(limits, "recipe_id")
+        .where(c("score") >= F.coalesce("recheck_score", "_recheck"))
     )
-    fused = fu.merge_candidates(candidates, cube, ["ordinal"])
-
-    jobs = gate.join(unaligned, JOB, "left").join(outside, JOB, "left").join(no_light, JOB, "left")
-    ok = F.col("gate_pass") & F.col("unaligned").isNull()
-    decided = decide.job_decisions(jobs.select(*JOB, ok.alias("quality_pass")), decide.judge_candidates(fused), JOB)
-    broken = F.col("gate_pass") & (F.coalesce("roi_error", F.lit(False)) | F.coalesce("no_light", F.lit(False)))
-    return decided.join(jobs.select(*JOB, "gate_pass", "roi_error", "no_light"), JOB).select(
+    fused = fu.merge_candidates(candidates, REGION, ["role"], c("iou_threshold"), c("max_candidates_per_roi")).join(limits, "recipe_id")
+    judged = decide.judge_candidates(fused, c("_recheck"), c("_ng"), c("min_area_px"), c("min_aspect_ratio"), c("max_aspect_ratio"))
+
+    flagged = jobs
+    for flag in (broken, unaligned, no_channel, no_asset):
+        flagged = flagged.join(flag, JOB, "left")
+    flagged = cut_lineage(flagged)
+    decided = decide.job_decisions(flagged.select(*JOB, c("gate_pass").alias("quality_pass")), judged, JOB)
+    on = lambda name: F.coalesce(name, F.lit(False))
+    end = (
+        F.when(~c("gate_pass"), F.struct(F.lit("RECHECK").alias("d"), F.lit(decide.QUALITY_FAILED).alias("e"), F.lit(False).alias("q")))
+        .when(on("broken"), F.struct(F.lit("ERROR").alias("d"), F.lit(INTERNAL_ERROR).alias("e"), F.lit(False).alias("q")))
+        .when(on("unaligned"), F.struct(F.lit("RECHECK").alias("d"), F.lit(decide.QUALITY_FAILED).alias("e"), F.lit(False).alias("q")))
+        .when(on("no_channel"), F.struct(F.lit("ERROR").alias("d"), F.lit(INTERNAL_ERROR).alias("e"), F.lit(False).alias("q")))
+        .when(on("no_asset"), F.struct(F.lit("RECHECK").alias("d"), F.lit(decide.CONFIGURATION_ERROR).alias("e"), F.lit(True).alias("q")))
+    )
+    out = decided.join(flagged, JOB).withColumn("_end", end)
+    return out.select(
         *JOB,
-        F.when(broken, F.lit("ERROR")).otherwise(F.col("decision")).alias("decision"),
-        F.when(broken, 9).otherwise(F.col("error_code")).alias("error_code"),
-        (F.col("quality_pass") & ~broken).alias("quality_pass"),
-        F.when(broken, 0).otherwise(F.col("defect_count")).alias("defect_count"),
+        F.coalesce("_end.d", "decision").alias("decision"),
+        F.coalesce("_end.e", "error_code").alias("error_code"),
+        F.coalesce("_end.q", "quality_pass").alias("quality_pass"),
+        F.when(c("_end").isNull(), c("defect_count")).otherwise(0).alias("defect_count"),
     )
 
 

@@ -10,7 +10,6 @@ from inspectlake.plans import jobs, q_quality
 from inspectlake.plans.q_anomaly import DIST, STATS, R
 from inspectlake.plans.q_fusion import MATCH
 from inspectlake.plans.q_health import KINDS, PRESENCE_SQL, STATE_SQL
-from inspectlake.plans.q_pixels import CHANNELS
 from inspectlake.plans.registry import query
 from inspectlake.plans.views import BASE_TABLES, Tables
 from inspectlake.sinks import tables as sk
@@ -240,20 +239,86 @@ def _(t):
 
 # --- whole jobs --------------------------------------------------------------------------------
 
-LOOSE = {"max_saturation_ratio": 0.5, "max_dark_ratio": 0.5, "min_mean_gray": 10.0, "max_mean_gray": 250.0, "min_sharpness": 1.0, "min_motion_gradient": 0.5}
-
-
-@query("job_inspect")
-def _(t):
-    channels = t.values(CHANNELS, "camera_id string, model_key string, pos int, channel string")
-    rows = t.select("SELECT f.sequence_id, f.camera_id, f.light_id, 'seat' AS roi_name, x, y, v FROM {v_pixels} JOIN {v_frames} f USING (frame_id)")
-    from inspectlake.operators import pixels as px
-
-    specs = px.channel_specs(channels)
-    built = px.light_channels(rows, specs, [*CUBE, "roi_name"], ["camera_id"])[0]
-    bank = px.statistical_embedding(built, [*CUBE, "roi_name"], specs.select("channel", "pos").distinct(), 6).select(F.xxhash64(*CUBE).alias("vec_id"), "embedding")
-    return jobs.inspect(
-        q_quality.frame_images(t), t.pixels, t.recipe, t.recipe_views, t.recipe_lights, t.rois, channels, bank, {"mean": 0.02, "p99": 0.06, "recheck": 0.3, "ng": 0.7}, LOOSE, 6, min_correlation=0.0)
+# Dimensions of the inspection: recipes with their limits, views, regions, models, channels and matrices.
+RECIPES = [
+    # recipe, method, fallback light, least mean grey, largest difference of light means, thresholds, largest candidates
+    ("k0", "SKU1", "ecc", "DIFFUSE", 10.0, 12.0, 0.55, 0.8, 16), ("k1", "SKU1", "fixed_calibration", "DIFFUSE", 121.0, 80.0, 0.55, 0.8, 16),
+    ("k2", "SKU1", "fixed_calibration", "DIFFUSE", 10.0, 80.0, 0.7, 0.9, 16), ("k3", "SKU1", "fixed_calibration", "DIFFUSE", 10.0, 80.0, 0.55, 0.8, 16),
+    ("k4", "SKU1", "fixed_calibration", "DIFFUSE", 10.0, 80.0, 0.55, 0.8, 16), ("k5", "SKU1", "fixed_calibration", "DIFFUSE", 10.0, 80.0, 0.55, 0.8, 16),
+]
+INSPECT_VIEWS = [
+    ("k0", "CAM_A", "", "m_a", "m_net", "DIFFUSE", "t_a"), ("k0", "CAM_B", "CAM_B", "m_b", "", "POLAR_DIFFUSE", "t_b"), ("k1", "CAM_A", "", "m_a", "", "HIGH_LEFT", "t_a"), ("k1", "CAM_B", "", "m_b", "m_net", "GONE", "t_b"),
+    ("k2", "CAM_A", "CAM_A", "m_a", "", "DIFFUSE", "t_a"), ("k2", "CAM_B", "P2", "m_b", "m_net", "DIFFUSE", "t_b"), ("k3", "CAM_A", "", "m_a", "", "DIFFUSE", "t_a"), ("k3", "CAM_B", "", "m_b", "", "DIFFUSE", "t_wide"),
+    ("k4", "CAM_A", "", "m_a", "", "DIFFUSE", "t_a"), ("k4", "CAM_B", "", "m_gone", "", "DIFFUSE", "t_b"), ("k5", "CAM_A", "", "m_low", "", "DIFFUSE", "t_a"), ("k5", "CAM_B", "", "m_b", "", "DIFFUSE", "t_b"),
+]
+INSPECT_ROIS = [("t_a", "seat", 1, 1, 6, 5), ("t_a", "edge", 0, 4, 7, 7), ("t_b", "seat", 2, 0, 7, 6), ("t_wide", "wide", 0, 0, 9, 3)]
+MODELS = [("m_a", 0.055, 0.085, 0.3, 0.6), ("m_b", 0.06, 0.09, 0.35, 0.7), ("m_net", 0.06, 0.1, None, None), ("m_low", 0.06, 0.1, 0.5, 0.9), ("m_gone", None, None, 0.5, 0.9)]
+INPUTS = [
+    ("m_a", 0, "ch0_diffuse"), ("m_a", 1, "aux_specular_removed"), ("m_b", 0, "light:HIGH_LEFT"), ("m_b", 1, "max_min:DIFFUSE:POLAR_DIFFUSE:HIGH_LEFT"), ("m_net", 0, "light:POLAR_DIFFUSE"), ("m_net", 1, "local_contrast:DIFFUSE"),
+    ("m_low", 0, "light:LOW_LEFT"), ("m_gone", 0, "light:DIFFUSE"),
+]
+_ID = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+MATRICES = [(c, light, [1.0, 0.0, 0.5 if light == "POLAR_DIFFUSE" else 0.0, *_ID[3:]]) for c in ("cal1", "cal_old") for light in ("DIFFUSE", "POLAR_DIFFUSE", "HIGH_LEFT")]
+
+
+def _sql_rows(rows) -> str:
+    return ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else repr(v) for v in r) + ")" for r in rows)
+
+
+INSPECT_SQL = f"""
+WITH rc(recipe_id, recipe_sku, method, fallback, min_grey, max_delta, r_recheck, r_ng, cap) AS (VALUES {_sql_rows(RECIPES)}),
+vw AS (SELECT recipe_id, camera_id, CASE WHEN p = '' THEN camera_id ELSE p END AS pose, model_key, net, base, tpl FROM (VALUES {_sql_rows(INSPECT_VIEWS)}) x(recipe_id, camera_id, p, model_key, net, base, tpl)),
+ro(tpl, roi_name, rx0, ry0, rx1, ry1) AS (VALUES {_sql_rows(INSPECT_ROIS)}), md(model_key, mean, p99, m_recheck, m_ng) AS (VALUES {_sql_rows(MODELS)}),
+sp(model_key, pos, op, need, light_id) AS (VALUES ('m_a', 0, 'light', 1, 'DIFFUSE'), ('m_a', 1, 'spread', 2, 'DIFFUSE'), ('m_a', 1, 'spread', 2, 'POLAR_DIFFUSE'), ('m_b', 0, 'light', 1, 'HIGH_LEFT'), ('m_b', 1, 'spread', 3, 'DIFFUSE'), ('m_b', 1, 'spread', 3, 'POLAR_DIFFUSE'),
+  ('m_b', 1, 'spread', 3, 'HIGH_LEFT'), ('m_net', 0, 'light', 1, 'POLAR_DIFFUSE'), ('m_net', 1, 'contrast', 1, 'DIFFUSE')),
+gy AS (SELECT frame_id, avg(v) AS grey FROM v_pixels GROUP BY 1),
+f AS (SELECT i.*, CASE WHEN pose_id = '' THEN camera_id ELSE pose_id END AS pose, grey, grey >= min_grey AND pixel_format = 'MONO8' AS fine, max_delta, method, fallback FROM v_inspect_frames i JOIN gy USING (frame_id) JOIN rc USING (recipe_id)),
+w AS (SELECT *, timestamp_us < lag(timestamp_us) OVER (PARTITION BY sequence_id, camera_id ORDER BY light_seq_index) AS falling FROM f),
+b AS (SELECT sequence_id, recipe_id, camera_id, count(*) = 3 AND bool_and(fine AND light_id <> 'BAR_LEFT' AND sku = 'SKU1' AND shot_id <> 0) AND NOT bool_or(coalesce(falling, false)) AND max(robot_x) = min(robot_x)
+  AND max(grey) - min(grey) <= any_value(max_delta) AS good FROM w GROUP BY ALL),
+j AS (SELECT sequence_id, recipe_id, count(*) = 2 AND bool_and(good) AS gate FROM b GROUP BY ALL),
+broken AS (SELECT DISTINCT sequence_id FROM f JOIN vw USING (recipe_id, camera_id, pose) JOIN ro USING (tpl) WHERE calibration_id <> 'cal1' OR rx1 >= 8),
+p AS (SELECT f.sequence_id, f.recipe_id, f.camera_id, f.pose, light_id, roi_name, method, CASE WHEN base IN ('DIFFUSE', 'POLAR_DIFFUSE', 'HIGH_LEFT') THEN base ELSE fallback END AS base, x - rx0 AS x, y - ry0 AS y, rx1 - rx0 AS mx, ry1 - ry0 AS my, v
+  FROM f JOIN vw USING (recipe_id, camera_id, pose) JOIN ro USING (tpl) JOIN v_pixels px ON px.frame_id = f.frame_id AND x BETWEEN rx0 AND rx1 AND y BETWEEN ry0 AND ry1 WHERE rx1 < 8 AND f.sequence_id IN (SELECT sequence_id FROM j WHERE gate)),
+o AS (SELECT dx, dy, greatest(abs(dx), abs(dy)) AS ring FROM (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy)),
+s AS (SELECT m.sequence_id, m.camera_id, m.roi_name, m.light_id, dx, dy, ring, count(*) AS n, sum(a.v)::double AS sa, sum(m.v)::double AS sb, sum(a.v * a.v)::double AS saa, sum(m.v * m.v)::double AS sbb, sum(a.v * m.v)::double AS sab
+  FROM p a JOIN p m ON m.sequence_id = a.sequence_id AND m.camera_id = a.camera_id AND m.roi_name = a.roi_name AND a.light_id = a.base AND m.light_id <> m.base AND a.method = 'ecc' CROSS JOIN o WHERE m.x = a.x + dx AND m.y = a.y + dy GROUP BY ALL),
+al AS (SELECT *, (sab - sa * sb / n) / sqrt((saa - sa * sa / n) * (sbb - sb * sb / n)) AS corr FROM s QUALIFY row_number() OVER (PARTITION BY sequence_id, camera_id, roi_name, light_id ORDER BY corr DESC, ring, dy, dx) = 1),
+unaligned AS (SELECT DISTINCT sequence_id FROM al WHERE corr < 0.02 OR sqrt(dx * dx + dy * dy) > 3.0),
+z AS (SELECT p.sequence_id, p.recipe_id, p.camera_id, p.pose, p.roi_name, p.light_id, p.x, p.y, q.v FROM p LEFT JOIN al ON al.sequence_id = p.sequence_id AND al.camera_id = p.camera_id AND al.roi_name = p.roi_name AND al.light_id = p.light_id
+  JOIN p q ON q.sequence_id = p.sequence_id AND q.camera_id = p.camera_id AND q.roi_name = p.roi_name AND q.light_id = p.light_id AND q.x = greatest(0, least(p.mx, p.x + coalesce(dx, 0))) AND q.y = greatest(0, least(p.my, p.y + coalesce(dy, 0)))),
+rt AS (SELECT recipe_id, camera_id, pose, roi_name, CASE WHEN recipe_id = 'k0' AND camera_id = 'CAM_A' AND roi_name = 'edge' THEN 'm_b' ELSE model_key END AS model_key, 'primary' AS role FROM vw JOIN ro USING (tpl)
+  UNION ALL SELECT recipe_id, camera_id, pose, roi_name, net, 'safety_net' FROM vw JOIN ro USING (tpl) WHERE net <> ''),
+lm AS (SELECT sequence_id, camera_id, roi_name, light_id, floor(avg(v)) AS mean FROM z GROUP BY ALL),
+ch AS (SELECT z.sequence_id, z.recipe_id, z.camera_id, z.roi_name, rt.model_key, rt.role, sp.pos, z.x, z.y, CASE any_value(op) WHEN 'light' THEN max(v) WHEN 'contrast' THEN abs(max(v) - max(lm.mean)) ELSE max(v) - min(v) END / 255.0 AS value
+  FROM z JOIN rt USING (recipe_id, camera_id, pose, roi_name) JOIN sp ON sp.model_key = rt.model_key AND sp.light_id = z.light_id JOIN lm ON lm.sequence_id = z.sequence_id AND lm.camera_id = z.camera_id AND lm.roi_name = z.roi_name AND lm.light_id = z.light_id GROUP BY ALL),
+st AS (SELECT sequence_id, recipe_id, camera_id, roi_name, model_key, role, pos, avg(value) AS m, stddev_pop(value) AS d FROM ch GROUP BY ALL),
+ve AS (SELECT sequence_id, recipe_id, camera_id, roi_name, model_key, role, max(m) FILTER (pos = 0) AS e0, max(d) FILTER (pos = 0) AS e1, max(m) FILTER (pos = 1) AS e2, max(d) FILTER (pos = 1) AS e3 FROM st GROUP BY ALL),
+di AS (SELECT ve.sequence_id, ve.recipe_id, ve.camera_id, ve.roi_name, ve.model_key, ve.role, min(sqrt((e0 - embedding[1]) ** 2 + (e1 - embedding[2]) ** 2 + (e2 - embedding[3]) ** 2 + (e3 - embedding[4]) ** 2)) AS distance FROM ve JOIN v_inspect_bank k ON k.model_key = ve.model_key GROUP BY ALL),
+sc AS (SELECT di.*, least(greatest(tanh((distance - mean) / (2 * greatest(p99 - mean, 1e-6))), 0.0), 1.0) AS score, coalesce(m_recheck, r_recheck) AS recheck, coalesce(m_ng, r_ng) AS ng FROM di JOIN md USING (model_key) JOIN rc USING (recipe_id)),
+tp AS (SELECT * FROM sc WHERE score >= recheck QUALIFY row_number() OVER (PARTITION BY sequence_id, camera_id, roi_name ORDER BY score DESC, role) = 1),
+dc AS (SELECT sequence_id, count_if(score >= ng) AS ng, count(*) AS found FROM tp GROUP BY 1),
+e AS (SELECT j.sequence_id, CASE WHEN NOT gate THEN 'gate' WHEN b.sequence_id IS NOT NULL THEN 'broken' WHEN u.sequence_id IS NOT NULL THEN 'gate' WHEN recipe_id = 'k5' THEN 'broken' WHEN recipe_id = 'k4' THEN 'asset' ELSE '' END AS ending, coalesce(dc.ng, 0) AS ng, coalesce(found, 0) AS found
+  FROM j LEFT JOIN broken b USING (sequence_id) LEFT JOIN unaligned u USING (sequence_id) LEFT JOIN dc USING (sequence_id))
+SELECT sequence_id, CASE WHEN ending = 'broken' THEN 'ERROR' WHEN ending <> '' THEN 'RECHECK' WHEN ng > 0 THEN 'NG' WHEN found > 0 THEN 'RECHECK' ELSE 'OK' END AS decision, CASE ending WHEN 'gate' THEN 7 WHEN 'broken' THEN 9 WHEN 'asset' THEN 13 ELSE 0 END AS error_code,
+  ending IN ('', 'asset') AS quality_pass, CASE WHEN ending = '' THEN found ELSE 0 END AS defect_count FROM e"""
+
+
+@query("job_inspect", INSPECT_SQL)
+def _(t):
+    recipes = t.values(RECIPES, "recipe_id string, recipe_sku string, method string, fallback_light_id string, min_mean_gray double, max_light_mean_delta double, recheck_score double, ng_score double, max_candidates_per_roi int")
+    loose = {"max_saturation_ratio": 0.5, "max_dark_ratio": 0.5, "max_mean_gray": 250.0, "min_sharpness": 0.5, "min_motion_gradient": 0.5, "max_capture_span_us": 1000, "max_pose_delta": 0.5, "search_radius_px": 1, "max_registration_error_px": 3.0, "min_correlation": 0.02}
+    recipes = recipes.withColumns({k: F.lit(v) for k, v in loose.items()})
+    views = t.values(INSPECT_VIEWS, "recipe_id string, camera_id string, pose_id string, model_key string, safety_net_key string, view_base_light string, roi_template string")
+    views = views.withColumns({"want_calibration": F.lit("cal1"), "image_w": F.lit(8), "image_h": F.lit(8)})
+    lights = t.values([(r[0], i, name, True) for r in RECIPES for i, name in enumerate(("DIFFUSE", "POLAR_DIFFUSE", "HIGH_LEFT"))], "recipe_id string, pos int, light_id string, required boolean")
+    rois = t.values(INSPECT_ROIS, "roi_template string, roi_name string, rx0 int, ry0 int, rx1 int, ry1 int")
+    models = t.values(MODELS, "model_key string, mean double, p99 double, recheck_score double, ng_score double")
+    channels = t.values(INPUTS, "model_key string, pos int, channel string")
+    matrices = t.values(MATRICES, "calibration_id string, light_id string, matrix array<double>")
+    overrides = t.values([("k0", "CAM_A", "edge", "m_b")], "recipe_id string, camera_id string, roi_name string, roi_model_key string")
+    frames = q_quality.frame_images(t, t.inspect_frames)
+    return jobs.inspect(frames, recipes, views, lights, rois, models, channels, t.inspect_bank, matrices, overrides, 4, ["robot_x"], ["robot_rx"])
 
 
 @query("job_train_bank")

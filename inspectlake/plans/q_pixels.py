@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inspectlake.operators import detect as d, pixels as px
+from inspectlake.operators import detect as d, pixels as px, tiles as ti
 from inspectlake.plans.q_quality import configured, frame_images
 from inspectlake.plans.registry import query
 
@@ -21,20 +21,23 @@ BUILT = f"""WITH {SPEC_SQL}, p AS (SELECT f.sequence_id, f.camera_id, f.light_id
 mn AS (SELECT sequence_id, camera_id, light_id, floor(avg(v)) AS mean FROM p GROUP BY ALL),
 c AS (SELECT p.sequence_id, p.camera_id, channel, pos, need, x, y, count(*) AS have, CASE any_value(op) WHEN 'light' THEN max(v) WHEN 'local_contrast' THEN abs(max(v) - max(mean)) ELSE max(v) - min(v) END AS value
   FROM p JOIN sp USING (camera_id, light_id) JOIN mn ON mn.sequence_id = p.sequence_id AND mn.camera_id = p.camera_id AND mn.light_id = p.light_id GROUP BY ALL HAVING count(*) = need)"""
-LIT = "SELECT f.sequence_id, f.camera_id, f.light_id, x, y, v FROM {v_pixels} JOIN {v_frames} f USING (frame_id)"
 
 
 def specs(t):
     return px.channel_specs(t.values(CHANNELS, "camera_id string, model_key string, pos int, channel string"))
 
 
+def frame_tiles(t, *more):
+    return ti.image_tiles(frame_images(t), ["frame_id", *more])
+
+
 def channels(t):
-    return px.light_channels(t.select(LIT), specs(t), CUBE, ["camera_id"])
+    return ti.light_channels(frame_tiles(t, *CUBE, "light_id"), specs(t), CUBE, ["camera_id"])
 
 
 @query("join_light_channels", BUILT + " SELECT sequence_id, camera_id, channel, x, y, cast(value AS int) AS value FROM c")
 def _(t):
-    return channels(t)[0]
+    return ti.pixels(channels(t)[0], [*CUBE, "channel"], "value")
 
 
 @query("join_evidence_lights", f"""
@@ -46,8 +49,11 @@ def _(t):
 
 @query("agg_feature_tensor", BUILT + " SELECT sequence_id, camera_id, channel, cast(y * 8 + x AS int) AS i, round(least(greatest(value / 255.0, 0.0), 1.0)::float, 6) AS value FROM c")
 def _(t):
-    tensors = px.feature_tensors(channels(t)[0], CUBE, 255.0).where(px.tensor_issue().isNull())
-    return tensors.select(*CUBE, "channel", F.posexplode("values").alias("i", "v")).select(*CUBE, "channel", "i", F.round(F.col("v").cast("float"), 6).alias("value"))
+    built = channels(t)[0]
+    whole = ti.tensor_shapes(built, CUBE).where("issue IS NULL").select(*CUBE, "channel", "width")
+    parts = ti.feature_tensors(built, CUBE, 255.0).join(whole, [*CUBE, "channel"]).select("*", F.posexplode("values").alias("k", "v"))
+    at = (F.col("ty") * ti.TILE + F.floor(F.col("k") / F.col("w"))) * F.col("width") + F.col("tx") * ti.TILE + F.col("k") % F.col("w")
+    return parts.select(*CUBE, "channel", at.cast("int").alias("i"), F.round(F.col("v"), 6).alias("value"))
 
 
 @query("agg_stat_embedding", BUILT + """, s AS (SELECT sequence_id, camera_id, channel, pos, avg(least(greatest(value / 255.0, 0.0), 1.0)) AS m, stddev_pop(least(greatest(value / 255.0, 0.0), 1.0)) AS d FROM c GROUP BY ALL),
@@ -55,13 +61,13 @@ r AS (SELECT *, row_number() OVER (PARTITION BY sequence_id, camera_id ORDER BY
 SELECT k.sequence_id, k.camera_id, i, round(coalesce(CASE WHEN i % 2 = 0 THEN m ELSE d END, 0.0), 6) AS value FROM k CROSS JOIN (SELECT unnest(range(7)) AS i) n LEFT JOIN r ON r.sequence_id = k.sequence_id AND r.camera_id = k.camera_id AND r.k = i // 2""")
 def _(t):
     pos = specs(t).select("channel", "pos")
-    rows = px.statistical_embedding(channels(t)[0], CUBE, pos, 7, 255.0)
+    rows = ti.statistical_embedding(channels(t)[0], CUBE, pos, 7, 255.0)
     return rows.select(*CUBE, F.posexplode("embedding").alias("i", "v")).select(*CUBE, "i", F.round("v", 6).alias("value"))
 
 
 @query("agg_feature_summary", BUILT + " SELECT sequence_id, camera_id, string_agg(DISTINCT channel, '|' ORDER BY channel) AS features, count(DISTINCT channel) AS channels, max(y) + 1 AS height, max(x) + 1 AS width FROM c GROUP BY 1, 2")
 def _(t):
-    return px.feature_summary(channels(t)[0], CUBE).withColumn("features", F.array_join("features", "|"))
+    return ti.feature_summary(channels(t)[0], CUBE).withColumn("features", F.array_join("features", "|"))
 
 
 def frame_rois(t):
@@ -78,14 +84,18 @@ CROP = "cr AS (SELECT frame_id, roi_name, x - rx0 AS x, y - ry0 AS y, v FROM v_p
 
 @query("join_roi_crop", f"WITH {CROP} SELECT * FROM cr")
 def _(t):
-    return px.crop(t.pixels, frame_rois(t), ["frame_id"])
+    return ti.pixels(ti.crop(frame_tiles(t), frame_rois(t), ["frame_id"]), ["frame_id", "roi_name"])
 
 
 @query("flt_roi_mask", f"WITH {CROP} SELECT frame_id, roi_name, x, y, CASE WHEN (x + 2 * y) % 3 = 0 AND roi_name = 'seat' THEN 0 ELSE v END AS v FROM cr")
 def _(t):
-    size = t.spark.range(64).select((F.col("id") % 8).cast("int").alias("x"), F.floor(F.col("id") / 8).cast("int").alias("y"))
-    mask = size.select(F.lit("seat").alias("roi_name"), "x", "y", ((F.col("x") + 2 * F.col("y")) % 3 != 0).cast("int").alias("m"))
-    return px.apply_mask(px.crop(t.pixels, frame_rois(t), ["frame_id"]), mask, ["roi_name"])
+    # The mask of a region as a picture: nothing where x + 2y divides by three.
+    picture = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when((i % 8 + 2 * F.floor(i / 8)) % 3 == 0, "00").otherwise("ff")), ""))
+    area = lambda a, b: F.col(b) - F.col(a) + 1
+    sizes = t.rois.where("roi_name = 'seat'").select("camera_id", "roi_name", area("rx0", "rx1").alias("width"), area("ry0", "ry1").alias("height"))
+    masks = ti.image_tiles(sizes.select("*", F.lit(8).alias("stride_bytes"), picture.alias("image")), ["camera_id", "roi_name"])
+    cropped = ti.crop(frame_tiles(t), frame_rois(t), ["frame_id"]).join(t.frames.select("frame_id", "camera_id"), "frame_id")
+    return ti.pixels(ti.apply_mask(cropped, masks, ["frame_id", "roi_name"], ["camera_id", "roi_name"]), ["frame_id", "roi_name"])
 
 
 @query("join_roi_warp", """
@@ -97,7 +107,7 @@ def _(t):
     shift = (F.col("frame_id") % 5) * 0.5
     matrix = F.array(F.lit(0.5), F.lit(0.25), shift, F.lit(0.25), F.lit(1.0), F.lit(-0.5), F.lit(0.0), F.lit(0.0), F.lit(1.0))
     targets = t.frames.select("frame_id", "width", "height", F.lit("seat").alias("roi_name"), matrix.alias("matrix"), F.lit(6).alias("out_w"), F.lit(5).alias("out_h"))
-    return px.warp(t.pixels, targets, ["frame_id"]).drop("roi_name")
+    return ti.pixels(ti.warp(frame_tiles(t), targets, ["frame_id"]), ["frame_id"])
 
 
 @query("join_base_light", """
@@ -175,7 +185,7 @@ def _(t):
     found = searched(t)
     passed = px.registration_report(found, CUBE, 2.5).where("is_pass").select(*CUBE)
     shifts = found.join(passed, CUBE).select("frame_id", "dx", "dy", F.lit(8).alias("width"), F.lit(8).alias("height"))
-    return px.apply_shifts(t.pixels, shifts, ["frame_id"])
+    return ti.pixels(ti.apply_shifts(frame_tiles(t), shifts, ["frame_id"]), ["frame_id"])
 
 
 @query("join_calibration", """

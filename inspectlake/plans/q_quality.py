@@ -140,22 +140,22 @@ def _(t):
 
 @query("agg_frame_sharpness", f"WITH {STATS} SELECT frame_id, round(sharpness, 6) AS sharpness FROM s")
 def _(t):
-    return q.pixel_sharpness(t.pixels, ["frame_id"]).withColumn("sharpness", F.round("sharpness", 6))
+    return q.frame_statistics(frame_images(t), ["frame_id"]).select("frame_id", F.round("sharpness", 6).alias("sharpness"))
 
 
 @query("agg_frame_motion", f"WITH {STATS} SELECT frame_id, round(motion_gradient, 6) AS motion_gradient FROM s")
 def _(t):
-    return q.pixel_motion(t.pixels, ["frame_id"]).withColumn("motion_gradient", F.round("motion_gradient", 6))
+    return q.frame_statistics(frame_images(t), ["frame_id"]).select("frame_id", F.round("motion_gradient", 6).alias("motion_gradient"))
 
 
 LIMITS = {"max_saturation_ratio": 0.12, "max_dark_ratio": 0.1, "min_mean_gray": 115.0, "max_mean_gray": 140.0, "min_sharpness": 60.0, "min_motion_gradient": 20.0}
 
 
-def frame_images(t):
+def frame_images(t, frames=None):
     """Frames with their image as bytes, from the vector read as an 8 x 8 picture."""
     grey = F.transform(F.col("embedding"), lambda e: F.lpad(F.hex(F.floor((e + 0.6) / 1.2 * 255).cast("long")), 2, "0"))
     images = t.embeddings.select(F.col("vec_id").alias("frame_id"), F.unhex(F.array_join(grey, "")).alias("image"))
-    return t.frames.drop("stride_bytes").withColumn("stride_bytes", F.lit(8)).join(images, "frame_id")
+    return (t.frames if frames is None else frames).drop("stride_bytes").withColumn("stride_bytes", F.lit(8)).join(images, "frame_id")
 
 
 def frame_reports(t):

@@ -107,6 +107,24 @@ VIEWS["v_pixels"] = """
 SELECT vec_id AS frame_id, cast(pos % 8 AS int) AS x, cast(floor(pos / 8) AS int) AS y, cast(floor((e + 0.6) / 1.2 * 255) AS int) AS v
   FROM @POS(vec_id, embedding, {embeddings})"""
 
+# Frames of jobs that mostly pass the gate: two views, three lights; recipes k0 to k5 differ in registration, poses,
+# regions, models and channels.
+VIEWS["v_inspect_frames"] = """
+SELECT frame_id, sequence_id, recipe_id, camera_id, CASE WHEN camera_id = 'CAM_B' AND recipe_id = 'k2' THEN 'P2' WHEN frame_id % 12 < 3 THEN '' ELSE camera_id END AS pose_id,
+  CASE WHEN frame_id % 97 = 5 THEN 'BAR_LEFT' WHEN frame_id % 3 = 0 THEN 'DIFFUSE' WHEN frame_id % 3 = 1 THEN 'POLAR_DIFFUSE' ELSE 'HIGH_LEFT' END AS light_id,
+  cast(frame_id % 3 AS int) AS light_seq_index, cast(frame_id % 31 AS int) AS frame_index, 8 AS width, 8 AS height, 8 AS stride_bytes, 1 AS channels,
+  CASE WHEN frame_id % 89 = 7 THEN 'MONO12' ELSE 'MONO8' END AS pixel_format, 'MONO' AS color_order, 'UINT8' AS dtype, 8 AS bit_depth,
+  1000000 + frame_id * 100 - (CASE WHEN frame_id % 83 = 1 THEN 500 ELSE 0 END) AS timestamp_us, 800 + label * 10 AS exposure_us, 1.0e0 + label * 0.01e0 AS gain,
+  CASE WHEN frame_id % 101 = 10 THEN 0 ELSE sequence_id + 1 END AS shot_id, 5000 + sequence_id AS robot_timestamp_us, 100.0e0 + (CASE WHEN frame_id % 79 = 5 THEN 2.0e0 ELSE 0.0e0 END) AS robot_x, 0.0e0 AS robot_rx,
+  CASE WHEN sequence_id % 29 = 3 THEN 'SKU9' ELSE 'SKU1' END AS sku, CASE WHEN sequence_id % 17 = 4 THEN 'cal_old' ELSE 'cal1' END AS calibration_id, label
+  FROM (SELECT vec_id AS frame_id, cast(floor(vec_id / 6) AS bigint) AS sequence_id, CASE WHEN vec_id % 6 < 3 THEN 'CAM_A' ELSE 'CAM_B' END AS camera_id, label,
+    CASE WHEN floor(vec_id / 6) % 7 = 6 THEN 'k3' WHEN floor(vec_id / 6) % 11 = 5 THEN 'k4' WHEN floor(vec_id / 6) % 13 = 7 THEN 'k5' WHEN floor(vec_id / 6) % 3 = 0 THEN 'k0' WHEN floor(vec_id / 6) % 3 = 1 THEN 'k1' ELSE 'k2' END AS recipe_id FROM {embeddings}) e"""
+# Bank vectors of the inspection models.
+VIEWS["v_inspect_bank"] = """
+SELECT vec_id, CASE WHEN label % 2 = 0 THEN 'm_a' ELSE 'm_net' END AS model_key, array(0.5e0 + embedding[0] / 8, 0.1e0 + embedding[1] / 16, 0.2e0 + embedding[2] / 8, 0.12e0 + embedding[3] / 16) AS embedding
+  FROM {embeddings} WHERE label < 6
+UNION ALL SELECT vec_id + 1000000000, 'm_b', array(0.5e0 + embedding[4] / 8, 0.1e0 + embedding[5] / 16, 0.3e0 + embedding[6] / 8, 0.12e0 + embedding[7] / 16) FROM {embeddings} WHERE label >= 4"""
+
 # Defect candidates from order lines; sixteen orders make one job.
 VIEWS["v_candidates"] = """
 SELECT cast(floor(l_orderkey / 16) AS bigint) AS sequence_id, CASE WHEN l_linenumber % 2 = 0 THEN 'TOP_BACK' ELSE 'TOP_CUSHION' END AS camera_id,
@@ -252,6 +270,7 @@ def _spark_text(sql: str) -> str:
 
 
 def duck_text(sql: str) -> str:
+    sql = re.sub(r"\barray\(([^)]*)\)", lambda m: "[" + re.sub(r"embedding\[(\d+)\]", lambda k: f"embedding[{int(k.group(1)) + 1}]::double", m.group(1)) + "]", sql)
     sql = re.sub(r"@US\((\w+)\)", r"epoch_us(\1)", sql)
     sql = re.sub(_CRC, lambda m: _DUCK_CRC.format(m.group(1)), sql)
     sql = re.sub(r"@UNNEST\(([^)]*)\)", r"unnest([\1])", sql)

@@ -27,14 +27,21 @@ def test_pixel_rows_and_image_bytes_agree(images):
     arrays, frames, pixels = images
     whole = {r["frame_id"]: r for r in q.frame_statistics(frames, ["frame_id"]).collect()}
     exposure = {r["frame_id"]: r for r in q.pixel_exposure(pixels, ["frame_id"]).collect()}
-    sharp = {r["frame_id"]: r["sharpness"] for r in q.pixel_sharpness(pixels, ["frame_id"]).collect()}
-    motion = {r["frame_id"]: r["motion_gradient"] for r in q.pixel_motion(pixels, ["frame_id"]).collect()}
+    def sharpness(a):
+        around = [abs(int(a[y - 1, x] + a[y + 1, x] + a[y, x - 1] + a[y, x + 1] - 4 * a[y, x])) for y in range(1, len(a) - 1) for x in range(1, len(a[0]) - 1)]
+        return sum(around) / len(around) if around else 0.0
+
+    def motion(a):
+        if min(a.shape) < 2:
+            return 0.0
+        return min(np.abs(a[:, 1:] - a[:, :-1]).mean(), np.abs(a[1:] - a[:-1]).mean())
+
     for i, a in arrays.items():
         assert abs(whole[i]["mean_gray"] - a.mean()) < 1e-9 and abs(exposure[i]["mean_gray"] - a.mean()) < 1e-9
         for c in ("saturation_ratio", "dark_ratio"):
             assert abs(whole[i][c] - exposure[i][c]) < 1e-12
-        assert abs(whole[i]["sharpness"] - sharp[i]) < 1e-9
-        assert abs(whole[i]["motion_gradient"] - motion[i]) < 1e-9
+        assert abs(whole[i]["sharpness"] - sharpness(a)) < 1e-9
+        assert abs(whole[i]["motion_gradient"] - motion(a)) < 1e-9
     assert whole[3]["sharpness"] == 0.0 and whole[4]["motion_gradient"] == 0.0
 
 
@@ -72,13 +79,6 @@ def test_shift_search_finds_a_known_move(spark):
     assert not out[2]["converged"] and out[2]["correlation"] == -1.0
 
 
-def test_warp_identity_and_clip(spark):
-    pixels = spark.createDataFrame([(1, x, y, 10 * y + x) for x in range(4) for y in range(3)], "f int, x int, y int, v int")
-    target = spark.createDataFrame([(1, "seat", [1.0, 0.0, 0.5, 0.0, 1.0, 9.0, 0.0, 0.0, 1.0], 4, 1, 4, 3)], "f int, roi_name string, matrix array<double>, out_w int, out_h int, width int, height int")
-    out = sorted((r["x"], r["v"]) for r in px.warp(pixels, target, ["f"]).collect())
-    assert out == [(0, 20), (1, 22), (2, 22), (3, 23)]
-
-
 def test_channel_names(spark):
     df = spark.createDataFrame([("ch4_high_max_min",), ("abs_diff:A",), ("max_min:A:B:C",), ("light:",), ("light:A",)], "channel string")
     out = {r["channel"]: (r["operation"], list(r["lights"]), r["valid"]) for r in px.channel_specs(df).collect()}

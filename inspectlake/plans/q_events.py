@@ -234,12 +234,15 @@ def _(t):
     return ev.review_queue(t.actions, ["station_id", "review_id"])
 
 
-@query("join_manual_request", f"""
+MANUAL_SQL = f"""
 WITH s AS (SELECT *, CASE WHEN seat_id LIKE 'LINE\\_%' ESCAPE '\\' THEN substr(seat_id, 6) WHEN seat_id LIKE '%\\_%' ESCAPE '\\' THEN split_part(seat_id, '_', 1) ELSE seat_id END AS serial FROM v_seats),
 j AS (SELECT q.request_id, q.station_id, q.serial, q.requested_us, s.sequence_id, {NORM} AS decision FROM v_requests q LEFT JOIN s
   ON s.station_id = q.station_id AND s.serial = q.serial AND s.ts_us >= q.requested_us AND s.ts_us < q.requested_us + 30 * 86400000000
   QUALIFY row_number() OVER (PARTITION BY q.request_id ORDER BY s.ts_us, s.sequence_id) = 1)
-SELECT request_id, station_id, serial, requested_us, sequence_id AS result_sequence_id, CASE WHEN sequence_id IS NULL THEN 'TIMEOUT' ELSE decision END AS outcome FROM j""")
+SELECT request_id, station_id, serial, requested_us, sequence_id AS result_sequence_id, CASE WHEN sequence_id IS NULL THEN 'TIMEOUT' ELSE decision END AS outcome FROM j"""
+
+
+@query("join_manual_request", MANUAL_SQL)
 def _(t):
     return ev.match_manual_requests(t.requests, t.seats, ["station_id"], timeout_s=30 * 86400)
 

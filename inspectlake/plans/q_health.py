@@ -128,10 +128,13 @@ def _(t):
     return h.timing_gate(h.timing_report(t.timings), F.broadcast(limits)).withColumn("avg_ms", F.round("avg_ms", 6))
 
 
-@query("join_result_timeout", """
+TIMEOUT_SQL = """
 SELECT j.station_id, j.sequence_id, CASE WHEN r.reply_us IS NOT NULL THEN r.reply_us - j.published_us END AS wait_us,
   CASE WHEN r.reply_us IS NULL THEN 5 WHEN r.corrupt THEN 3 ELSE 0 END AS error_code, CASE WHEN r.reply_us IS NULL OR r.corrupt THEN 'RECHECK' ELSE 'RESULT' END AS outcome
-FROM v_jobs j LEFT JOIN v_replies r ON r.station_id = j.station_id AND r.sequence_id = j.sequence_id AND r.reply_us BETWEEN j.published_us AND j.published_us + 5000000""")
+FROM v_jobs j LEFT JOIN v_replies r ON r.station_id = j.station_id AND r.sequence_id = j.sequence_id AND r.reply_us BETWEEN j.published_us AND j.published_us + 5000000"""
+
+
+@query("join_result_timeout", TIMEOUT_SQL)
 def _(t):
     return decide.result_timeouts(t.jobs, t.replies, ["station_id", "sequence_id"])
 

@@ -9,7 +9,8 @@ from inspectlake.operators import datasets as ds, fusion as fu, models as md
 from inspectlake.plans import jobs, q_quality
 from inspectlake.plans.q_anomaly import DIST, STATS, R
 from inspectlake.plans.q_fusion import MATCH
-from inspectlake.plans.q_health import KINDS, PRESENCE_SQL, STATE_SQL
+from inspectlake.plans.q_events import MANUAL_SQL
+from inspectlake.plans.q_health import KINDS, PRESENCE_SQL, STATE_SQL, TIMEOUT_SQL
 from inspectlake.plans.registry import query
 from inspectlake.plans.views import BASE_TABLES, Tables
 from inspectlake.sinks import tables as sk
@@ -87,17 +88,21 @@ def _(t):
     return st.to_table(st.idle_sessions(frames, ["recipe_id"], "5 minutes"), "sessions").drop("version")
 
 
-@query("str_result_timeout")
+def closing(t):
+    """One row far in the future, which settles everything that the tables leave open."""
+    return StreamTables(t.spark, t.folder).region.where("r_regionkey = 0").select(F.lit(4_102_444_800_000_000).alias("at_us"))
+
+
+@query("str_result_timeout", TIMEOUT_SQL)
 def _(t):
-    jobs_ = streamed(t, "jobs", "published_us").withColumnRenamed("event_time", "published_time")
-    replies = streamed(t, "replies", "reply_us").withColumnRenamed("event_time", "reply_time")
-    return st.to_table(st.result_timeouts(jobs_, replies, ["station_id", "sequence_id"]), "timeouts").drop("version")
+    rows = StreamTables(t.spark, t.folder)
+    return st.to_table(st.result_timeouts(rows.jobs, rows.replies, ["station_id", "sequence_id"], ticks=closing(t)), "timeouts").drop("version")
 
 
-@query("str_manual_match")
+@query("str_manual_match", MANUAL_SQL)
 def _(t):
-    requests = streamed(t, "requests", "requested_us").withColumnRenamed("event_time", "request_time")
-    return st.to_table(st.manual_matches(requests, streamed(t, "seats"), timeout="30 days"), "manual").drop("version")
+    rows = StreamTables(t.spark, t.folder)
+    return st.to_table(st.manual_matches(rows.requests, rows.seats, ["station_id"], 30 * 86400, ticks=closing(t)), "manual").drop("version")
 
 
 @query("str_latest", """SELECT station_id, sequence_id, decision FROM v_results QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY ts_us DESC, sequence_id DESC) = 1""")
@@ -116,11 +121,15 @@ def _(t):
     return t.spark.read.parquet(f"{folder}/samples").select("sample_id", "camera_id", "decision")
 
 
-@query("str_quality_gate", """SELECT sequence_id, count(*) AS frames, greatest(3 - count(DISTINCT light_id), 0) AS missing_lights, bool_and(pixel_format = 'MONO8') AND count(DISTINCT light_id) >= 3 AS quality_pass FROM v_frames GROUP BY sequence_id""")
+@query("str_quality_gate", """
+SELECT sequence_id, camera_id, pose, count(*) AS frames, count_if(pixel_format <> 'MONO8') AS failed, array_to_string(list_filter(['DIFFUSE', 'POLAR_DIFFUSE', 'HIGH_LEFT'], lambda l: NOT list_contains(list(light_id), l)), '|') AS missing,
+  bool_and(pixel_format = 'MONO8') AND count(DISTINCT light_id) FILTER (light_id IN ('DIFFUSE', 'POLAR_DIFFUSE', 'HIGH_LEFT')) = 3 AS quality_pass
+FROM (SELECT *, CASE WHEN pose_id = '' THEN camera_id ELSE pose_id END AS pose FROM v_frames) GROUP BY sequence_id, camera_id, pose""")
 def _(t):
-    frames = streamed(t, "frames", "timestamp_us").withColumn("passed", F.col("pixel_format") == "MONO8")
-    rows = st.newest_updates(st.to_table(st.quality_gate(frames, ["sequence_id"], 3, "1 day"), "gate", "update"), ["sequence_id", "window_start"])
-    return rows.select("sequence_id", "frames", "missing_lights", "quality_pass")
+    pose = F.when(F.col("pose_id") == "", F.col("camera_id")).otherwise(F.col("pose_id"))
+    frames = StreamTables(t.spark, t.folder).frames.select("sequence_id", "camera_id", pose.alias("pose"), "light_id", (F.col("pixel_format") == "MONO8").alias("passed"), F.col("timestamp_us").alias("at_us"))
+    rows = st.to_table(st.quality_gate(frames, ["sequence_id", "camera_id", "pose"], ["DIFFUSE", "POLAR_DIFFUSE", "HIGH_LEFT"], ticks=closing(t)), "gate")
+    return rows.drop("version").withColumn("missing", F.array_join("missing", "|"))
 
 
 # --- sinks -------------------------------------------------------------------------------------

@@ -1,6 +1,7 @@
 """Structured Streaming forms of the event, health and capture jobs.
 
-Late rows are dropped after the watermark.  Jobs that carry ordered state (health, presence, latest)
+Late rows are dropped after the watermark.  Streams that wait for an answer or an end keep keyed state with timers
+(``stateful``).  Jobs that carry ordered state (health, presence, latest)
 run the batch operators per micro-batch on top of a versioned state table, so a busy station is
 spread over tasks exactly as in batch, and a retried batch starts from the same state.
 """
@@ -12,9 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from inspectlake.operators import health as h
+from inspectlake.operators.decide import CRC_MISMATCH, DETECTOR_TIMEOUT
 from inspectlake.operators.events import normal_status, result_serials
 from inspectlake.sinks.tables import fresh_folder, merge_latest, newest_version, write_version
 from inspectlake.sources.json_lines import parse_detection_events, stream_lines
+from inspectlake.streaming.stateful import first_answers, view_lights
 
 LATENESS = "10 minutes"
 
@@ -49,37 +52,38 @@ def idle_sessions(frames: DataFrame, keys: list[str], gap: str = "2 seconds") ->
     return s.select(*keys, F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), "frames", "lights")
 
 
-def result_timeouts(jobs: DataFrame, replies: DataFrame, keys: list[str], timeout: str = "5 seconds") -> DataFrame:
-    """Jobs with their reply, or without one once the watermark has passed the wait."""
-    r = replies.select(*[F.col(k).alias(f"_r_{k}") for k in keys], "reply_time", "corrupt")
-    on = F.expr(f"reply_time BETWEEN published_time AND published_time + INTERVAL {timeout}")
-    for k in keys:
-        on = on & (jobs[k] == r[f"_r_{k}"])
-    joined = jobs.join(r, on, "leftOuter")
-    code = F.when(F.col("reply_time").isNull(), 5).when(F.col("corrupt"), 3).otherwise(0)
-    return joined.select(*keys, "published_time", code.alias("error_code"))
-
-
-def manual_matches(requests: DataFrame, results: DataFrame, station: str = "station_id", timeout: str = "30 seconds") -> DataFrame:
-    """Results that answer a manual request in time, requests without one when the watermark passes."""
-    r = result_serials(results).select(F.col(station).alias("_station"), F.col("serial").alias("_serial"), "event_time", "sequence_id", "decision")
-    on = (
-        (requests[station] == r["_station"])
-        & (requests["serial"] == r["_serial"])
-        & F.expr(f"event_time >= request_time AND event_time < request_time + INTERVAL {timeout}")
+def result_timeouts(jobs: DataFrame, replies: DataFrame, keys: list[str], timeout_s: float = 5.0, lateness: str = LATENESS, ticks: DataFrame | None = None) -> DataFrame:
+    """Earliest reply to each published job, or its timeout, once either is certain: the rows of the batch form.
+
+    ``jobs`` has keys and published_us, ``replies`` keys, reply_us and corrupt; neither has a watermark of its own.
+    """
+    code = F.when(F.col("answer_us").isNull(), DETECTOR_TIMEOUT).when(F.col("detail") == "1", CRC_MISMATCH).otherwise(0)
+    settled = first_answers(
+        jobs.select(*keys, F.col("published_us").alias("at_us"), F.lit(0).alias("ask_id")),
+        replies.select(*keys, F.col("reply_us").alias("at_us"), F.lit(0).alias("ask_id"), "corrupt"),
+        keys, int(timeout_s * 1_000_000), lateness, F.col("corrupt").cast("int"), inclusive=True, by_detail=True, ticks=ticks,
     )
-    joined = requests.join(r, on, "leftOuter")
-    status = F.when(F.col("sequence_id").isNull(), F.lit("TIMEOUT")).otherwise(normal_status("decision"))
-    return joined.select("request_id", station, "serial", "request_time", "sequence_id", status.alias("outcome"))
+    out = settled.select(*keys, (F.col("answer_us") - F.col("at_us")).alias("wait_us"), code.alias("error_code"))
+    return out.withColumn("outcome", F.when(F.col("error_code") == 0, F.lit("RESULT")).otherwise(F.lit("RECHECK")))
+
 
+def manual_matches(requests: DataFrame, results: DataFrame, keys: list[str], timeout_s: int = 30, lateness: str = LATENESS, ticks: DataFrame | None = None) -> DataFrame:
+    """First result that answers each manual request in time, or TIMEOUT once the wait is over: the rows of the batch form.
 
-def quality_gate(reports: DataFrame, keys: list[str], expected_lights: int, span: str = "1 minute") -> DataFrame:
-    """Pass per job and minute; a job that stays incomplete is emitted with its missing lights."""
-    jobs = reports.groupBy(*keys, F.window("event_time", span)).agg(
-        F.count("*").alias("frames"), F.min("passed").alias("all_passed"), F.approx_count_distinct("light_id").alias("lights")
+    ``requests`` has keys, request_id, serial and requested_us, ``results`` keys, seat_id, sequence_id, decision and ts_us.
+    """
+    settled = first_answers(
+        requests.select(*keys, "serial", F.col("requested_us").alias("at_us"), F.col("request_id").alias("ask_id")),
+        result_serials(results).select(*keys, "serial", F.col("ts_us").alias("at_us"), F.col("sequence_id").alias("ask_id"), "decision"),
+        [*keys, "serial"], timeout_s * 1_000_000, lateness, F.col("decision"), ticks=ticks,
     )
-    missing = F.greatest(F.lit(expected_lights) - F.col("lights"), F.lit(0))
-    return jobs.select(*keys, F.col("window.start").alias("window_start"), "frames", missing.alias("missing_lights"), (F.col("all_passed") & (missing == 0)).alias("quality_pass"))
+    outcome = F.when(F.col("answer_us").isNull(), F.lit("TIMEOUT")).otherwise(normal_status("detail"))
+    return settled.select(F.col("ask_id").alias("request_id"), *keys, "serial", F.col("at_us").alias("requested_us"), F.col("answer_id").alias("result_sequence_id"), outcome.alias("outcome"))
+
+
+def quality_gate(frames: DataFrame, keys: list[str], expected: list[str], span_s: float = 5.0, lateness: str = LATENESS, ticks: DataFrame | None = None) -> DataFrame:
+    """Each captured view once, when its capture is over: frames, failed, missing lights by name, quality_pass."""
+    return view_lights(frames, keys, expected, int(span_s * 1_000_000), lateness, ticks)
 
 
 # --- state per micro-batch ----------------------------------------------------------------------

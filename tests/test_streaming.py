@@ -66,14 +66,77 @@ def test_dedupe_and_counts(spark, tmp_path, rows):
     assert hours.agg(F.sum("total")).first()[0] == 80
 
 
-def test_timeouts_are_emitted_after_the_watermark(spark, tmp_path):
-    jobs = spark.createDataFrame([(i, BASE + i * 60_000_000) for i in range(40)], "id long, us long")
-    replies = spark.createDataFrame([(i, BASE + i * 60_000_000 + (9_000_000 if i % 4 == 1 else 1_000_000), i % 4 == 2) for i in range(40)], "id long, us long, corrupt boolean")
-    j = feed(spark, str(tmp_path / "j"), jobs, ["us"], 2).select("id", F.timestamp_micros("us").alias("published_time")).withWatermark("published_time", "1 minute")
-    r = feed(spark, str(tmp_path / "r"), replies, ["us"], 2).select("id", F.timestamp_micros("us").alias("reply_time"), "corrupt").withWatermark("reply_time", "1 minute")
-    out = {x["id"]: x["error_code"] for x in st.to_table(st.result_timeouts(j, r, ["id"]), "t-timeout").collect()}
-    assert all(code == (5 if i % 4 == 1 else 3 if i % 4 == 2 else 0) for i, code in out.items())
-    assert set(range(0, 36)) <= set(out)
+def shuffled(spark, folder, df, parts, seed):
+    """``df`` as a stream of ``parts`` files of any rows, with a fixed order of files."""
+    rows = df.collect()
+    random.Random(seed).shuffle(rows)
+    for i in range(parts):
+        spark.createDataFrame(rows[i::parts], df.schema).coalesce(1).write.mode("append").parquet(f"{folder}/p{i}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+
+
+def tick(spark, folder, at_us=BASE + 10**14, after=5):
+    """A stream whose only row comes after ``after`` batches."""
+    for i in range(after + 1):
+        spark.createDataFrame([(at_us,)] if i == after else [], "at_us long").coalesce(1).write.parquet(f"{folder}/p{i}")
+    return spark.readStream.schema("at_us long").option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_timeouts_equal_the_batch_form(spark, tmp_path, rows, seed):
+    """Rows in any order over four batches; broken, late, early, several and missing replies; open jobs end with the tick."""
+    from inspectlake.operators import decide
+
+    rng = random.Random(seed)
+    jobs = spark.createDataFrame([(i % 3, i, BASE + i * 3_000_000) for i in range(60)], "s int, id long, published_us long")
+    replies = [(i % 3, i, BASE + i * 3_000_000 + rng.choice([-1, 0, 1_000_000, 5_000_000, 5_000_001, 9_000_000]), rng.random() < 0.3) for i in range(60) for _ in range(rng.choice([0, 1, 2, 3]))]
+    replies += [(2, 999, BASE, False)]
+    df = spark.createDataFrame(replies, "s int, id long, reply_us long, corrupt boolean")
+    out = st.result_timeouts(shuffled(spark, str(tmp_path / "j"), jobs, 4, seed), shuffled(spark, str(tmp_path / "r"), df, 4, seed), ["s", "id"], 5.0, "1 hour", tick(spark, str(tmp_path / "t")))
+    got = st.to_table(out, "t-timeout")
+    columns = ["s", "id", "wait_us", "error_code", "outcome"]
+    assert rows(got, *columns) == rows(decide.result_timeouts(jobs, df, ["s", "id"], 5.0), *columns)
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_manual_matches_equal_the_batch_form(spark, tmp_path, rows, seed):
+    """Several requests and answers a serial, answers before and after, at one time, and open requests."""
+    from inspectlake.operators import events as ev
+
+    rng = random.Random(seed)
+    asks = spark.createDataFrame([(i, i % 2, f"SN{rng.randrange(4)}", BASE + rng.randrange(200) * 1_000_000) for i in range(50)], "request_id long, station_id int, serial string, requested_us long")
+    done = spark.createDataFrame([(100 + i, i % 2, f"L_SN{rng.randrange(5)}", rng.choice(["OK", "NG", "x"]), BASE + rng.randrange(60) * 5_000_000) for i in range(40)], "sequence_id long, station_id int, seat_id string, decision string, ts_us long")
+    out = st.manual_matches(shuffled(spark, str(tmp_path / "a"), asks, 3, seed), shuffled(spark, str(tmp_path / "d"), done, 3, seed), ["station_id"], 30, "1 hour", tick(spark, str(tmp_path / "t")))
+    columns = ["request_id", "station_id", "serial", "result_sequence_id", "outcome"]
+    got = rows(st.to_table(out, "t-manual"), *columns)
+    assert got == rows(ev.match_manual_requests(asks, done, ["station_id"], 30), *columns)
+    assert any(r[4] == "TIMEOUT" for r in got) and any(r[4] != "TIMEOUT" for r in got)
+
+
+def test_answers_come_as_soon_as_they_are_certain(spark, tmp_path):
+    """The watermark settles what lies behind it; a row behind the watermark is dropped; without a tick the rest stays open."""
+    s = 1_000_000
+    batches = [([(1, 0)], [(1, 4)]), ([(2, 100)], []), ([(3, 200)], []), ([(4, 300)], [(1, 2)])]
+    for i, (a, r) in enumerate(batches):
+        for name, data in (("a", a), ("r", r)):
+            spark.createDataFrame([(k, BASE + t * s, k) for k, t in data], "k int, at_us long, ask_id long").coalesce(1).write.parquet(f"{tmp_path}/{name}/p{i}")
+    read = lambda name: spark.readStream.schema("k int, at_us long, ask_id long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}/*")
+    from inspectlake.streaming.stateful import first_answers
+
+    out = st.to_table(first_answers(read("a"), read("r"), ["k"], 10 * s, "20 seconds"), "t-first").collect()
+    got = {r.k: (r.answer_us - BASE) // s if r.answer_us else None for r in out}
+    assert got == {1: 4, 2: None, 3: None}
+    assert len({r.version for r in out}) > 1
+
+
+def test_views_are_judged_once(spark, tmp_path):
+    """Frames of a view over several batches, a light twice, one missing, one that failed."""
+    frames = [("a", "A", True, 0), ("a", "B", True, 1), ("a", "B", True, 2), ("b", "A", True, 3), ("b", "A", True, 4), ("c", "A", True, 5), ("c", "B", False, 6), ("d", "B", True, 100), ("d", "X", True, 101), ("d", "A", True, 102)]
+    df = spark.createDataFrame([(v, light, ok, BASE + t * 1_000_000) for v, light, ok, t in frames], "view string, light_id string, passed boolean, at_us long")
+    stream = feed(spark, str(tmp_path), df, ["at_us"], 5)
+    out = st.to_table(st.quality_gate(stream, ["view"], ["A", "B"], 5, "1 second", tick(spark, str(tmp_path / "t"), BASE + 50_000_000)), "t-views").collect()
+    got = {r.view: (r.frames, r.failed, r.missing, r.quality_pass) for r in out}
+    assert got == {"a": (3, 0, [], True), "b": (2, 0, ["B"], False), "c": (2, 1, [], False)} and len(out) == 3  # d is still open
 
 
 def test_idle_gap_sessions(spark, tmp_path):

@@ -63,10 +63,9 @@ def manifest(t):
 
 
 @query("src_manifest", MANIFEST_SQL + """ SELECT line_no, coalesce(issue, '') AS issue, camera_id, CASE WHEN frame_id % 2 = 0 THEN pose_id ELSE camera_id END AS pose_id, CASE WHEN frame_id % 3 = 0 THEN split ELSE 'unassigned' END AS split, 'unlabeled' AS label_status,
-  CASE WHEN frame_id % 5 = 0 THEN false ELSE frame_id % 6 IN (0, 1, 2) OR (frame_id % 6 = 3 AND frame_id % 4 = 1) OR (frame_id % 6 = 4 AND frame_id % 5 = 1) END AS has_defect FROM m WHERE issue IS NULL OR issue LIKE 'missing%'""")
+  CASE WHEN frame_id % 5 = 0 THEN false ELSE frame_id % 6 IN (0, 1, 2) OR (frame_id % 6 = 3 AND frame_id % 4 = 1) OR (frame_id % 6 = 4 AND frame_id % 5 = 1) END AS has_defect FROM m""")
 def _(t):
-    rows = manifest(t).where("issue IS NULL OR issue LIKE 'missing%'")
-    return rows.select("line_no", F.coalesce("issue", F.lit("")).alias("issue"), "camera_id", "pose_id", "split", "label_status", "has_defect")
+    return manifest(t).select("line_no", F.coalesce("issue", F.lit("")).alias("issue"), "camera_id", "pose_id", "split", "label_status", "has_defect")
 
 
 @query("src_manifest_ground_truth", MANIFEST_SQL + " SELECT line_no, coalesce(issue, '') AS issue, CASE WHEN issue IS NULL THEN truth ELSE '' END AS truth FROM m")

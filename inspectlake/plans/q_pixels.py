@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inspectlake.operators import detect as d, pixels as px, tiles as ti
-from inspectlake.plans.q_quality import configured, frame_images
+from inspectlake.plans.q_quality import CONFIG, configured, frame_images
 from inspectlake.plans.registry import query
 
 CUBE = ["sequence_id", "camera_id"]
@@ -110,16 +110,18 @@ def _(t):
     return ti.pixels(ti.warp(frame_tiles(t), targets, ["frame_id"]), ["frame_id"])
 
 
-@query("join_base_light", """
-WITH v AS (SELECT recipe_id, camera_id, any_value(view_base_light) AS view_base_light FROM v_recipe_views WHERE pose_id = camera_id GROUP BY 1, 2),
-f AS (SELECT v_frames.*, view_base_light, fallback_light_id, frame_id % 9 AS x0, 1 AS y0, frame_id % 9 + 3 AS x1, 5 AS y1 FROM v_frames JOIN v USING (recipe_id, camera_id) JOIN v_recipe USING (recipe_id)),
-g AS (SELECT sequence_id, camera_id, view_base_light, fallback_light_id, max(CASE WHEN light_id = view_base_light THEN x0 END) AS b, max(CASE WHEN light_id = fallback_light_id THEN x0 END) AS fb, arg_min(x0, light_id || lpad(frame_id::varchar, 12, '0')) AS a FROM f GROUP BY ALL)
-SELECT sequence_id, camera_id, CASE WHEN b IS NOT NULL THEN view_base_light ELSE fallback_light_id END AS base_light_id, b IS NOT NULL OR fb IS NOT NULL AS has_base, coalesce(b, fb, a) AS x0, coalesce(b, fb, a) + 3 AS x1 FROM g""")
+@query("join_base_light", CONFIG + """,
+f AS (SELECT v.frame_id, v.light_id, k.sequence_id, k.camera_id, k.pose, k.view_base_light, fallback_light_id, v.frame_id % 9 AS x0 FROM v_frames v JOIN k ON k.sequence_id = v.sequence_id AND k.camera_id = v.camera_id AND k.pose = CASE WHEN v.pose_id = '' THEN v.camera_id ELSE v.pose_id END JOIN v_recipe r ON r.recipe_id = k.recipe_id),
+g AS (SELECT sequence_id, camera_id, pose, view_base_light, fallback_light_id, max(CASE WHEN light_id = view_base_light THEN x0 END) AS b, max(CASE WHEN light_id = fallback_light_id THEN x0 END) AS fb, arg_min(x0, light_id || lpad(frame_id::varchar, 12, '0')) AS a FROM f GROUP BY ALL)
+SELECT sequence_id, camera_id, pose, CASE WHEN b IS NOT NULL THEN view_base_light ELSE fallback_light_id END AS base_light_id, b IS NOT NULL OR fb IS NOT NULL AS has_base, coalesce(b, fb, a) AS x0, coalesce(b, fb, a) + 3 AS x1 FROM g""")
 def _(t):
-    frames = t.frames.withColumns({"x0": F.col("frame_id") % 9, "y0": F.lit(1), "x1": F.col("frame_id") % 9 + 3, "y1": F.lit(5)})
-    views = t.recipe_views.where("pose_id = camera_id").join(t.recipe.select("recipe_id", "fallback_light_id"), "recipe_id")
-    rows = px.base_light(frames, views.drop("pose_id"), ["recipe_id", "camera_id"], CUBE, "fallback_light_id", ["x0", "y0", "x1", "y1"])
-    return rows.select(*CUBE, "base_light_id", "has_base", "x0", "x1")
+    from inspectlake.operators.quality import POSE
+
+    frames = t.frames.withColumns({"pose": POSE(), "x0": F.col("frame_id") % 9, "y0": F.lit(1), "x1": F.col("frame_id") % 9 + 3, "y1": F.lit(5)})
+    views = configured(t).select("sequence_id", "recipe_id", "camera_id", "pose", "view_base_light").join(t.recipe.select("recipe_id", "fallback_light_id"), "recipe_id")
+    cube = [*CUBE, "pose"]
+    rows = px.base_light(frames, views, ["recipe_id", *cube], cube, "fallback_light_id", ["x0", "y0", "x1", "y1"])
+    return rows.select(*cube, "base_light_id", "has_base", "x0", "x1")
 
 
 @query("join_patch_assembly", """
@@ -205,17 +207,17 @@ def _(t):
     return physical_light(t.frames.withColumnRenamed("light_id", "semantic_light"), dims).select("frame_id", "physical_light")
 
 
-@query("join_model_routing", """
-WITH c AS (SELECT recipe_id, camera_id, pose_id AS pose, model_key, safety_net_key FROM v_recipe_views), b AS (SELECT DISTINCT sequence_id, recipe_id, camera_id FROM v_frames),
-x AS (SELECT b.sequence_id, b.camera_id, roi_name, CASE WHEN roi_name = 'edge' THEN 'm_edge' ELSE c.model_key END AS model_key, safety_net_key FROM b JOIN c ON c.recipe_id = b.recipe_id AND c.camera_id = b.camera_id AND c.pose = c.camera_id JOIN v_rois r ON r.camera_id = b.camera_id)
-SELECT sequence_id, camera_id, roi_name, model_key, 'primary' AS role FROM x UNION ALL SELECT sequence_id, camera_id, roi_name, safety_net_key, 'safety_net' FROM x WHERE safety_net_key <> ''""")
+@query("join_model_routing", CONFIG + """,
+x AS (SELECT k.sequence_id, k.camera_id, k.pose, roi_name, CASE WHEN roi_name = 'edge' THEN 'm_edge' ELSE k.model_key END AS model_key, safety_net_key FROM k JOIN v_rois r ON r.camera_id = k.camera_id WHERE view_enabled)
+SELECT sequence_id, camera_id, pose, roi_name, model_key, 'primary' AS role FROM x UNION ALL SELECT sequence_id, camera_id, pose, roi_name, safety_net_key, 'safety_net' FROM x WHERE safety_net_key <> ''""")
 def _(t):
     from inspectlake.operators.recipes import route_models
 
-    regions = t.frames.select(*CUBE, "recipe_id").distinct().join(t.rois.select("camera_id", "roi_name"), "camera_id")
-    views = t.recipe_views.where("pose_id = camera_id").drop("pose_id", "view_base_light")
+    views = configured(t).where("view_enabled").select("sequence_id", "recipe_id", "camera_id", "pose", "model_key", "safety_net_key")
+    view = ["sequence_id", "recipe_id", "camera_id", "pose"]
+    regions = views.select(*view).join(t.rois.select("camera_id", "roi_name"), "camera_id")
     overrides = t.values([("TOP_BACK", "edge", "m_edge")], "camera_id string, roi_name string, roi_model_key string")
-    return route_models(regions, views, overrides, ["recipe_id", "camera_id"], ["camera_id", "roi_name"]).select(*CUBE, "roi_name", "model_key", "role")
+    return route_models(regions, views, overrides, view, ["camera_id", "roi_name"]).select(*CUBE, "pose", "roi_name", "model_key", "role")
 
 
 # --- detector output ---------------------------------------------------------------------------

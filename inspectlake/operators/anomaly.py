@@ -154,39 +154,71 @@ def coarse_cells(count: int) -> int:
     return min(max(int(math.sqrt(count)), 1), count)
 
 
+#: Queries on which the number of probes is measured.
+PROBE_SAMPLE = 256
+
+
+def _nearest_cells(queries: DataFrame, centers: DataFrame, probes: int, query_id: str, vec: str) -> DataFrame:
+    """query_id, cell and place (from 1) of the ``probes`` nearest cells of each query."""
+    found = knn_exact(
+        queries.select(F.col(query_id).cast("long").alias("vec_id"), F.col(vec).alias("v")), centers.select(F.col("cell").alias("vec_id"), F.col("center").alias("v")), probes, vec="v"
+    )
+    return found.select("query_id", F.col("bank_id").cast("int").alias("cell"), F.col("rank").alias("place"))
+
+
+def measured_probes(queries: DataFrame, placed: DataFrame, centers: DataFrame, cells: int, k: int, recall: float, query_id: str, bank_id: str, vec: str) -> int:
+    """Fewest nearest cells that hold ``recall`` of the true neighbours of a sample of queries.
+
+    The sample is the PROBE_SAMPLE queries with the smallest hashes, so it is the same whatever the partitions.
+    """
+    sample = cut_lineage(queries.select(query_id, vec).orderBy(F.xxhash64(query_id), query_id).limit(PROBE_SAMPLE))
+    true = knn_exact(sample, placed.select(bank_id, vec), k, query_id, bank_id, vec).select("query_id", F.col("bank_id").alias("_b"))
+    in_cell = true.join(placed.select(F.col(bank_id).cast("long").alias("_b"), "cell"), "_b")
+    places = in_cell.join(_nearest_cells(sample, centers, cells, query_id, vec), ["query_id", "cell"]).groupBy("place").count().orderBy("place").collect()
+    total, seen = sum(r["count"] for r in places), 0
+    for r in places:
+        seen += r["count"]
+        if seen >= recall * total:
+            return r["place"]
+    return cells
+
+
 def knn_ivf(
     queries: DataFrame,
     bank: DataFrame,
     k: int,
-    probes: int = 4,
+    probes: int | None = None,
     query_id: str = "vec_id",
     bank_id: str = "vec_id",
     vec: str = "embedding",
     seed: int = 42,
     max_iter: int = 10,
+    recall: float = 0.97,
 ) -> DataFrame:
     """Approximate kNN: bank vectors in k-means cells, each query searches its nearest ``probes`` cells.
 
-    A crowded cell is cut into many blocks, so it is scanned by many tasks.
+    Without ``probes`` their number is measured: as many as hold ``recall`` of the true neighbours of a sample of
+    queries.  A crowded cell is cut into many blocks, so it is scanned by many tasks.  The cells' centres, the root of
+    the bank's size, are all that a model holds.
     """
     count = bank.count()
+    if not count:
+        raise ValueError("the bank is empty")
     cells = coarse_cells(count)
-    dim = bank.select(F.max(F.size(vec)).alias("d")).first()["d"]
-    points = bank.select(F.col(bank_id).alias("id"), vec, array_to_vector(F.col(vec).cast("array<double>")).alias("features"))
     if cells == 1:
         return knn_exact(queries, bank, k, query_id, bank_id, vec)
+    dim = bank.select(F.max(F.size(vec)).alias("d")).first()["d"]
+    points = bank.select(F.col(bank_id).alias(bank_id), vec, array_to_vector(F.col(vec).cast("array<double>")).alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="cell").fit(points)
     centers = bank.sparkSession.createDataFrame(
         [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())], "cell long, center array<double>"
     )
-    visits = knn_exact(
-        queries.select(F.col(query_id).alias("vec_id"), F.col(vec).alias("v")),
-        centers.select(F.col("cell").alias("vec_id"), F.col("center").alias("v")),
-        min(probes, cells),
-        vec="v",
-    ).select("query_id", F.col("bank_id").cast("int").alias("cell"))
+    placed = cut_lineage(model.transform(points).select(bank_id, "cell", vec))
+    if probes is None:
+        probes = measured_probes(queries, placed, centers, cells, k, recall, query_id, bank_id, vec)
+    visits = _nearest_cells(queries, centers, min(probes, cells), query_id, vec).drop("place")
     spread = lambda df, id_col: df.repartition("cell", F.pmod(F.xxhash64(id_col), F.lit(8))).sortWithinPartitions("cell")
-    b_blocks = pack_vectors(spread(model.transform(points).select("id", "cell", vec), "id"), "id", vec, ["cell"])
+    b_blocks = pack_vectors(spread(placed, bank_id), bank_id, vec, ["cell"])
     q_rows = queries.select(F.col(query_id).alias("query_id"), vec).join(visits, "query_id")
     q_blocks = pack_vectors(spread(q_rows, "query_id"), "query_id", vec, ["cell"], rows=1024)
     return _join_blocks(q_blocks, b_blocks, ["cell"], int(dim), k)

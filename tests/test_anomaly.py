@@ -47,6 +47,31 @@ def test_ivf_finds_most_neighbours(vectors):
     assert every == exact
 
 
+@pytest.mark.parametrize("shape", ["spread", "clustered"])
+def test_ivf_default_reaches_its_recall(spark, shape):
+    """The number of probes follows the data: many cells where vectors have no structure, few where they have."""
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(600, 12)) if shape == "spread" else rng.normal(size=(20, 12))[rng.integers(20, size=600)] * 6 + rng.normal(size=(600, 12))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    exact = {(r["query_id"], r["bank_id"]) for r in an.knn_exact(df, df, 5).collect()}
+    found = {(r["query_id"], r["bank_id"]) for r in an.knn_ivf(df, df, 5).collect()}
+    assert len(exact & found) / len(exact) >= 0.95
+
+
+def test_grid_cells_and_groups(spark):
+    """Slots and buckets change nothing; with groups a query meets the vectors of its group only."""
+    rng = np.random.default_rng(6)
+    data = rng.normal(size=(300, 4))
+    df = spark.createDataFrame([(i, "ab"[i % 2], v.tolist()) for i, v in enumerate(data)], "vec_id long, g string, embedding array<double>")
+    pairs = lambda out: sorted((r["query_id"], r["rank"], r["bank_id"]) for r in out.collect())
+    assert pairs(an.knn_exact(df, df, 2, slots=3, buckets=4)) == pairs(an.knn_exact(df, df, 2))
+    grouped = pairs(an.knn_exact(df, df, 3, slots=2, buckets=3, groups=["g"]))
+    small = data.astype(np.float32).astype(float)
+    for q in range(300):
+        near = sorted((j for j in range(300) if j % 2 == q % 2), key=lambda j: (((small[q] - small[j]) ** 2).sum(), j))[:3]
+        assert [b for i, _, b in grouped if i == q] == near
+
+
 def brute_greedy(data, keep):
     picks = [0]
     gap = ((data - data[0]) ** 2).sum(1)

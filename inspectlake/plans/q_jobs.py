@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from inspectlake.operators import datasets as ds, fusion as fu, models as md
+from inspectlake.operators import anomaly as an, datasets as ds, fusion as fu, models as md
 from inspectlake.plans import jobs, q_quality
 from inspectlake.plans.q_anomaly import DIST, STATS, R
 from inspectlake.plans.q_fusion import MATCH
@@ -138,8 +138,9 @@ def _(t):
 @query("snk_event_append", "SELECT sequence_id, decision FROM v_results")
 def _(t):
     path = sk.fresh_folder(t.spark, "events")
-    sk.append_events(t.results.select("sequence_id", "decision"), path)
-    return t.spark.read.schema("sequence_id long, decision string").json(path)
+    events = StreamTables(t.spark, t.folder).results.select("sequence_id", "decision")
+    sk.append_stream(events, f"{path}/lines", f"{path}/checkpoint").awaitTermination()
+    return t.spark.read.schema("sequence_id long, decision string").json(f"{path}/lines")
 
 
 @query("snk_latest", """SELECT station_id, sequence_id, CASE WHEN sequence_id % 2 = 0 THEN 1 ELSE 0 END AS revision FROM v_results QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY ts_us DESC, sequence_id DESC) = 1""")
@@ -174,20 +175,27 @@ def _(t):
     return t.spark.read.schema("sequence_id long, camera_id string, light_id string, frame_index int").json(path)
 
 
-@query("snk_manifest", "SELECT 'manifest' AS part, count(*) AS rows FROM v_manifest UNION ALL SELECT 'summary', 1 + (SELECT count(DISTINCT decision) + count(DISTINCT camera_id) + count(DISTINCT label_status) FROM v_manifest) UNION ALL SELECT 'skipped', count(*) FROM v_frames WHERE light_id = 'BAR_LEFT'")
+@query("snk_manifest", """
+SELECT 'manifest' AS part, sample_id AS name, camera_id || '/' || pose_id || '/' || split || '/' || has_defect AS detail FROM v_manifest UNION ALL SELECT 'skipped', frame_id::varchar, light_id FROM v_frames WHERE light_id = 'BAR_LEFT'
+UNION ALL SELECT 'summary', 'lines', (1 + (SELECT count(DISTINCT decision) + count(DISTINCT camera_id) + count(DISTINCT label_status) FROM v_manifest))::varchar""")
 def _(t):
     path = sk.fresh_folder(t.spark, "manifest")
-    sk.write_manifest(t.manifest, ds.dataset_summary(t.manifest), t.frames.where("light_id = 'BAR_LEFT'").select("frame_id"), path)
-    count = lambda n: t.spark.read.text(f"{path}/{n}").agg(F.lit(n).alias("part"), F.count("*").alias("rows"))
-    return count("manifest").union(count("summary")).union(count("skipped"))
+    sk.write_manifest(t.manifest, ds.dataset_summary(t.manifest), t.frames.where("light_id = 'BAR_LEFT'").select("frame_id", "light_id"), path)
+    read = lambda name, schema: t.spark.read.schema(schema).json(f"{path}/{name}")
+    rows = read("manifest", "sample_id string, camera_id string, pose_id string, split string, has_defect boolean")
+    rows = rows.select(F.lit("manifest").alias("part"), F.col("sample_id").alias("name"), F.concat_ws("/", "camera_id", "pose_id", "split", F.col("has_defect").cast("string")).alias("detail"))
+    skipped = read("skipped", "frame_id long, light_id string").select(F.lit("skipped"), F.col("frame_id").cast("string"), "light_id")
+    return rows.union(skipped).union(t.spark.read.text(f"{path}/summary").agg(F.lit("summary"), F.lit("lines"), F.count("*").cast("string")))
 
 
-@query("snk_model_assets", "SELECT count(*) AS rows, 'v1' AS version, false AS has_pca FROM v_bank")
+@query("snk_model_assets", """
+SELECT 'asset' AS kind, 'bank' AS name, (SELECT count(*) FROM v_bank) AS rows, true AS intact, true AS has_pca UNION ALL SELECT 'asset', 'thresholds', 1, true, true UNION ALL SELECT 'asset', 'pca', 4, true, true
+UNION ALL SELECT 'input', 'samples', (SELECT count(*) FROM embeddings), NULL, true""")
 def _(t):
     path = sk.fresh_folder(t.spark, "assets")
-    bank = t.bank
-    folder = sk.write_model_assets("v1", bank, bank.agg(F.count("*").alias("n")), None, path)
-    return t.spark.read.schema("rows long, version string, has_pca boolean").json(f"{folder}/contract")
+    thresholds = an.calibrate_thresholds(an.calibrate_distances(t.bank), 64, 100)
+    folder = sk.write_model_assets("v1", t.bank, thresholds, an.fit_pca(t.bank, 4, "v1"), path, inputs={"samples": t.embeddings})
+    return sk.asset_contract(t.spark, folder).select("kind", "name", "rows", "intact", "has_pca")
 
 
 @query("snk_eval_report", MATCH + " SELECT count(*) AS images, sum(true_positives) AS tp FROM e")
@@ -199,13 +207,21 @@ def _(t):
     return stored.agg(F.count("*").alias("images"), F.sum("true_positives").alias("tp"))
 
 
-@query("snk_review_snapshot", "SELECT count(*) AS actions FROM v_actions")
+@query("snk_review_snapshot", """
+WITH m AS (SELECT station_id, review_id, max(ts_us) AS marked_us FROM v_actions WHERE action = 'mark_review' GROUP BY ALL)
+SELECT 'queue' AS part, station_id, review_id AS id, marked_us AS us FROM m WHERE NOT EXISTS (SELECT 1 FROM v_actions a WHERE a.station_id = m.station_id AND a.review_id = m.review_id AND a.action IN ('review_confirm_defect','review_dismiss_as_ok') AND a.ts_us >= m.marked_us)
+UNION ALL SELECT 'action', station_id, action_id, ts_us FROM v_actions""")
 def _(t):
     from inspectlake.operators.events import review_queue
 
     path = sk.fresh_folder(t.spark, "reviews")
-    sk.write_reviews(review_queue(t.actions, ["station_id", "review_id"]), t.actions, path)
-    return t.spark.read.text(f"{path}/actions").agg(F.count("*").alias("actions"))
+    # The first version holds part of the day only; the second replaces the queue and adds its own actions.
+    noon = t.actions.agg(F.percentile("ts_us", F.lit(0.5))).first()[0] or 0
+    early, late = t.actions.where(F.col("ts_us") <= noon), t.actions.where(F.col("ts_us") > noon)
+    for version, (known, fresh) in enumerate(((early, early), (t.actions, late))):
+        sk.write_reviews(review_queue(known, ["station_id", "review_id"]), fresh, path, version)
+    queue = sk.newest_version(t.spark, f"{path}/queue").select(F.lit("queue").alias("part"), "station_id", F.col("review_id").alias("id"), F.col("marked_us").alias("us"))
+    return queue.union(t.spark.read.parquet(f"{path}/actions").select(F.lit("action"), "station_id", "action_id", "ts_us"))
 
 
 @query("src_images", "SELECT vec_id AS frame_id, 8 AS width, 8 AS height, 64 AS bytes FROM embeddings")

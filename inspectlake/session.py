@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -21,3 +25,21 @@ def configured(builder: SparkSession.Builder) -> SparkSession.Builder:
     for name, value in SETTINGS.items():
         builder = builder.config(name, value)
     return builder
+
+
+def packed(folder: str | None = None) -> str:
+    """A zip of this package's modules, as ``--py-files`` takes it."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(folder or tempfile.mkdtemp(prefix="inspectlake-"), "inspectlake.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for where, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(where, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(root)))
+    return path
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to executors that do not have it installed: the functions in tasks import it."""
+    spark.sparkContext.addPyFile(packed())

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -12,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the session's ``spark.checkpoint.dir``, a temporary one only where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None and not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if folder is None and not (master == "local" or master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return folder or os.path.join(tempfile.gettempdir(), "inspectlake-checkpoints")
 
@@ -26,6 +28,14 @@ def append_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 
 
+def append_stream(events: DataFrame, path: str, checkpoint: str):
+    """Event lines of a stream, each batch once: the sink's log names the files of finished batches.
+
+    A batch that is tried again writes new files and its log entry replaces nothing twice, and readers go by the log.
+    """
+    return events.writeStream.format("json").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+
+
 def write_by_day(results: DataFrame, path: str, time_us: str = "ts_us", station: str = "station_id") -> None:
     """Results by day and station.  The rebalance lets Spark split a busy station and join small ones."""
     day = F.date_format(F.timestamp_micros(time_us), "yyyyMMdd")
@@ -51,34 +61,51 @@ def write_manifest(samples: DataFrame, summary: DataFrame, skipped: DataFrame, p
     skipped.write.mode("overwrite").json(f"{path}/skipped")
 
 
-def content_key(rows: DataFrame, id_col: str) -> DataFrame:
+def content_key(rows: DataFrame) -> DataFrame:
     """One row: number of rows and an order-free hash of their content."""
     digest = F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")).cast("string")
-    return rows.agg(F.count(id_col).alias("rows"), F.sha2(digest, 256).alias("content_hash"))
+    return rows.agg(F.count("*").alias("rows"), F.sha2(F.coalesce(digest, F.lit("")), 256).alias("content_hash"))
 
 
-def write_model_assets(version: str, bank: DataFrame, thresholds: DataFrame, pca: DataFrame | None, path: str, id_col: str = "vec_id") -> str:
-    """Bank, thresholds and PCA of one version, with a contract naming their inputs."""
+def write_model_assets(
+    version: str, bank: DataFrame, thresholds: DataFrame, pca: DataFrame | None, path: str, id_col: str = "vec_id", inputs: dict[str, DataFrame] | None = None
+) -> str:
+    """Bank, thresholds and PCA of one version, and a contract with the hash of each and of the tables they came from."""
     folder = f"{path}/version={version}"
-    bank.write.mode("overwrite").parquet(f"{folder}/bank")
-    thresholds.write.mode("overwrite").parquet(f"{folder}/thresholds")
-    if pca is not None:
-        pca.write.mode("overwrite").parquet(f"{folder}/pca")
-    stored = bank.sparkSession.read.parquet(f"{folder}/bank")
-    contract = content_key(stored, id_col).withColumn("version", F.lit(version)).withColumn("has_pca", F.lit(pca is not None))
-    contract.write.mode("overwrite").json(f"{folder}/contract")
+    parts = {"bank": bank, "thresholds": thresholds} | ({} if pca is None else {"pca": pca})
+    for name, rows in parts.items():
+        rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+    spark = bank.sparkSession
+    lines = [content_key(spark.read.parquet(f"{folder}/{name}")).select(F.lit("asset").alias("kind"), F.lit(name).alias("name"), "*") for name in parts]
+    lines += [content_key(rows).select(F.lit("input").alias("kind"), F.lit(name).alias("name"), "*") for name, rows in (inputs or {}).items()]
+    contract = reduce(lambda a, b: a.unionByName(b), lines).withColumns({"version": F.lit(version), "has_pca": F.lit(pca is not None)})
+    contract.coalesce(1).write.mode("overwrite").json(f"{folder}/contract")
     return folder
 
 
+CONTRACT = "kind string, name string, rows long, content_hash string, version string, has_pca boolean"
+
+
+def asset_contract(spark: SparkSession, folder: str) -> DataFrame:
+    """The contract's lines with ``intact``: whether an asset's rows are still those that were written."""
+    contract = spark.read.schema(CONTRACT).json(f"{folder}/contract")
+    names = [r["name"] for r in contract.where("kind = 'asset'").select("name").collect()]
+    now = reduce(lambda a, b: a.unionByName(b), [content_key(spark.read.parquet(f"{folder}/{n}")).select(F.lit(n).alias("name"), F.col("content_hash").alias("_now")) for n in names])
+    return contract.join(now, "name", "left").withColumn("intact", F.when(F.col("kind") == "asset", F.col("_now") == F.col("content_hash"))).drop("_now")
+
+
 def write_evaluation(totals: DataFrame, per_image: DataFrame, path: str) -> None:
     totals.write.mode("overwrite").json(f"{path}/totals")
     per_image.write.mode("overwrite").json(f"{path}/images")
 
 
-def write_reviews(queue: DataFrame, actions: DataFrame, path: str) -> None:
-    """A new snapshot of the queue beside the old ones; actions are only ever added."""
-    queue.write.mode("overwrite").parquet(f"{path}/queue")
-    actions.write.mode("append").json(f"{path}/actions")
+def write_reviews(queue: DataFrame, actions: DataFrame, path: str, version: int = 0) -> None:
+    """A new version of the queue beside the old ones; actions are only ever added.
+
+    Readers take the newest finished version, so none sees half a queue, and writing a version again replaces it.
+    """
+    write_version(queue, f"{path}/queue", version)
+    write_version(actions, f"{path}/actions", version)
 
 
 # --- versioned snapshots ------------------------------------------------------------------------

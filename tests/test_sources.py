@@ -92,12 +92,35 @@ def test_models_fail_rows_not_tasks(spark):
     assert {(r["failed_decision"], r["collect_sample"]) for r in routed.collect()} == {("RECHECK", True)}
 
 
+def test_queue_versions_and_streamed_lines(spark, tmp_path):
+    """A later queue replaces the earlier one, a version written twice counts once; a stream started again adds nothing."""
+    frame = lambda ids: spark.createDataFrame([(i,) for i in ids], "review_id long")
+    path = str(tmp_path / "reviews")
+    sk.write_reviews(frame([1, 2]), frame([10]), path, 0)
+    for _ in range(2):
+        sk.write_reviews(frame([2, 3]), frame([11, 12]), path, 1)
+    assert sorted(r[0] for r in sk.newest_version(spark, f"{path}/queue").select("review_id").collect()) == [2, 3]
+    assert sorted(r["review_id"] for r in spark.read.parquet(f"{path}/actions").collect()) == [10, 11, 12]
+    frame([1, 2, 3]).write.parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        stream = spark.readStream.schema("review_id long").parquet(str(tmp_path / "in"))
+        sk.append_stream(stream, str(tmp_path / "lines"), str(tmp_path / "cp")).awaitTermination()
+    assert spark.read.schema("review_id long").json(str(tmp_path / "lines")).count() == 3
+
+
 def test_assets_and_partitions(spark, tmp_path):
     bank = spark.createDataFrame([(1, [0.5]), (2, [0.25])], "vec_id long, embedding array<float>")
     folder = sk.write_model_assets("v7", bank, bank.groupBy().count(), None, str(tmp_path / "assets"))
     again = sk.write_model_assets("v8", bank.orderBy(F.desc("vec_id")), bank.groupBy().count(), None, str(tmp_path / "assets"))
-    read = lambda f: spark.read.json(f"{f}/contract").first()
-    assert read(folder)["content_hash"] == read(again)["content_hash"] and read(folder)["rows"] == 2
+    read = lambda f: {r["name"]: r for r in sk.asset_contract(spark, f).collect()}
+    assert read(folder)["bank"]["content_hash"] == read(again)["bank"]["content_hash"] and read(folder)["bank"]["rows"] == 2
+    assert all(r["intact"] for r in read(folder).values()) and set(read(folder)) == {"bank", "thresholds"}
+    # Other vectors under the same contract are found out; inputs are named with their own hash.
+    bank.where("vec_id = 1").unionByName(bank.where("vec_id = 1")).write.mode("overwrite").parquet(f"{again}/bank")
+    assert not read(again)["bank"]["intact"] and read(again)["thresholds"]["intact"]
+    named = sk.write_model_assets("v9", bank, bank.groupBy().count(), bank.select("vec_id"), str(tmp_path / "assets"), inputs={"samples": bank})
+    rows = read(named)
+    assert rows["samples"]["kind"] == "input" and rows["samples"]["content_hash"] == rows["bank"]["content_hash"] and rows["pca"]["has_pca"]
     results = spark.createDataFrame([(1, 5, 1_700_000_000_000_000)], "station_id long, sequence_id long, ts_us long")
     sk.write_by_day(results, str(tmp_path / "r"))
     assert (tmp_path / "r" / "day=20231114" / "station_id=1").is_dir()

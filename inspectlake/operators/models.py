@@ -9,6 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from inspectlake.operators.ordered import cut_lineage
+from inspectlake.operators.pixels import assemble_patches
+
 # Error codes.
 INTERNAL_ERROR, CONFIGURATION_ERROR = 9, 13
 
@@ -17,8 +20,11 @@ class AssetUnavailable(Exception):
     """A model file is missing or empty: the job is re-checked and kept as a training sample."""
 
 
-def onnx_model(path: str) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
-    """Factory for a model file that every executor can reach; the session opens once per task."""
+def onnx_model(path: str, every_output: bool = False) -> Callable[[], Callable[[np.ndarray], np.ndarray | list[np.ndarray]]]:
+    """Factory for a model file that every executor can reach; the session opens once per task.
+
+    The model gives its first output, or the list of all of them.
+    """
 
     def load():
         import os
@@ -29,7 +35,8 @@ def onnx_model(path: str) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
 
         session = onnxruntime.InferenceSession(path)
         name = session.get_inputs()[0].name
-        return lambda batch: np.asarray(session.run(None, {name: batch.astype(np.float32)})[0])
+        run = lambda batch: [np.asarray(out) for out in session.run(None, {name: batch.astype(np.float32)})]
+        return run if every_output else lambda batch: run(batch)[0]
 
     return load
 
@@ -74,6 +81,58 @@ def apply_model(tensors: DataFrame, keys: list[str], load: Callable, out_dim: in
     return tensors.select(*keys, "values", "shape").mapInPandas(run, f"{fields}, output array<double>, error_code int, error string")
 
 
+def embed_layers(tensors: DataFrame, keys: list[str], load: Callable, layers: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Cells of the feature maps of a model with one output per layer, and the rows that failed.
+
+    Cells have keys, layer (its place in ``layers``), layer_h, layer_w, row, col and vector, as assemble_patches takes
+    them; failures keys, error_code and error.  Each output is (batch, channels, height, width).  The model runs once.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, broken = None, None
+        try:
+            model = load()
+        except AssetUnavailable as exc:
+            broken = (CONFIGURATION_ERROR, f"asset unavailable: {exc}")
+        except Exception as exc:  # a model that cannot start fails its rows, not the task
+            broken = (INTERNAL_ERROR, str(exc))
+        for batch in batches:
+            maps: list = [None] * len(batch)
+            failed = [broken or (0, "")] * len(batch)
+            shapes = [tuple(s) for s in batch["shape"]]
+            for shape in [] if broken else dict.fromkeys(shapes):
+                at = [i for i, s in enumerate(shapes) if s == shape]
+                try:
+                    outputs = model(np.stack([np.asarray(batch["values"].iloc[i]).reshape(shape) for i in at]))
+                    if len(outputs) != len(layers):
+                        raise ValueError(f"{len(outputs)} outputs for {len(layers)} layers")
+                    for name, out in zip(layers, outputs):
+                        if np.ndim(out) != 4 or len(out) != len(at):
+                            raise ValueError(f"layer {name} has shape {np.shape(out)}")
+                    for place, i in enumerate(at):
+                        maps[i] = [
+                            {"layer": n, "layer_h": out.shape[2], "layer_w": out.shape[3], "cells": np.moveaxis(out[place], 0, -1).reshape(-1, out.shape[1]).astype(float).tolist()}
+                            for n, out in enumerate(map(np.asarray, outputs))
+                        ]
+                except Exception as exc:
+                    for i in at:
+                        failed[i] = (INTERNAL_ERROR, str(exc))
+            yield batch[keys].reset_index(drop=True).assign(layers=maps, error_code=[f[0] for f in failed], error=[f[1] for f in failed])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tensors.select(*keys).schema)
+    layer = "struct<layer: int, layer_h: int, layer_w: int, cells: array<array<double>>>"
+    done = cut_lineage(tensors.select(*keys, "values", "shape").mapInPandas(run, f"{fields}, layers array<{layer}>, error_code int, error string"))
+    each = done.where("error_code = 0").select(*keys, F.explode("layers").alias("l")).select(*keys, "l.layer", "l.layer_h", "l.layer_w", F.posexplode("l.cells").alias("i", "vector"))
+    cells = each.select(*keys, "layer", "layer_h", "layer_w", F.floor(F.col("i") / F.col("layer_w")).cast("int").alias("row"), (F.col("i") % F.col("layer_w")).alias("col"), "vector")
+    return cells, done.where("error_code <> 0").select(*keys, "error_code", "error")
+
+
+def spatial_embeddings(tensors: DataFrame, keys: list[str], load: Callable, layers: list[str], height: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """One vector per patch of a ``height`` x ``width`` grid, all layers joined in order, and the rows that failed."""
+    cells, failed = embed_layers(tensors, keys, load, layers)
+    return assemble_patches(cells, keys, height, width), failed
+
+
 def embed(tensors: DataFrame, keys: list[str], load: Callable, dim: int) -> DataFrame:
     return apply_model(tensors, keys, load, dim).withColumnRenamed("output", "embedding")
 

@@ -250,6 +250,28 @@ def _(t):
     return out.select("vec_id", F.round(F.col("embedding")[0], 5).alias("mean"), F.round(F.col("embedding")[1], 5).alias("peak"), "error_code")
 
 
+def pooled_model():
+    """Two layers: means and maxima of 2 x 2 pixels, means of 4 x 4 pixels."""
+
+    def run(batch):
+        image = batch.reshape(len(batch), 8, 8).astype(np.float64)
+        squares = lambda n: image.reshape(len(batch), 8 // n, n, 8 // n, n)
+        return [np.stack([squares(2).mean((2, 4)), squares(2).max((2, 4))], axis=1), squares(4).mean((2, 4))[:, None]]
+
+    return run
+
+
+@query("udf_embed_layers", """
+WITH p AS (SELECT vec_id, pos // 8 AS y, pos % 8 AS x, e::double AS v FROM (SELECT vec_id, unnest(range(64)) AS pos, unnest(embedding) AS e FROM embeddings)),
+a AS (SELECT vec_id, y // 2 AS r, x // 2 AS c, avg(v) AS mean, max(v) AS peak FROM p GROUP BY ALL), b AS (SELECT vec_id, y // 4 AS r, x // 4 AS c, avg(v) AS mean FROM p GROUP BY ALL)
+SELECT a.vec_id, i AS patch_row, j AS patch_col, round(a.mean, 6) AS e0, round(a.peak, 6) AS e1, round(b.mean, 6) AS e2, 3 AS dim
+FROM (SELECT unnest(range(4)) AS i) x, (SELECT unnest(range(3)) AS j) y, a JOIN b ON b.vec_id = a.vec_id WHERE a.r = i AND a.c = j * 4 // 3 AND b.r = i * 2 // 4 AND b.c = j * 2 // 3""")
+def _(t):
+    grid, _failed = md.spatial_embeddings(tensors(t), ["vec_id"], lambda: pooled_model(), ["fine", "coarse"], 4, 3)
+    part = lambda i: F.round(F.col("embedding")[i], 6).alias(f"e{i}")
+    return grid.select("vec_id", "patch_row", "patch_col", part(0), part(1), part(2), F.size("embedding").alias("dim"))
+
+
 @query("udf_detect", "SELECT vec_id, i AS row, round(embedding[i * 8 + 1]::double, 5) AS first FROM embeddings, (SELECT unnest(range(8)) AS i)")
 def _(t):
     rows = md.detect(tensors(t), ["vec_id"], lambda: (lambda batch: batch.reshape(len(batch), -1)), 8)

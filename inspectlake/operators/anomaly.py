@@ -376,14 +376,24 @@ def keep_count(n: int, ratio: float) -> int:
     return max(1, math.ceil(n * ratio))
 
 
+#: Up to so many ids are ranked in one task; more are ranked slice by slice.
+RANK_ROWS = 100_000
+
+
+def _ranked_ids(bank: DataFrame, id_col: str, order: list[str], hot_rows: int | None) -> DataFrame:
+    """Ids and their exact rank ``_n`` (from 1) in ``order``: vectors stay where they are."""
+    ids = bank.select(*dict.fromkeys([id_col, *order]))
+    return Ordered(ids, [], order, RANK_ROWS if hot_rows is None else hot_rows).row_number("_n").result().select(id_col, "_n")
+
+
 def coreset_stride(bank: DataFrame, ratio: float, id_col: str = "vec_id", hot_rows: int | None = None) -> DataFrame:
-    """Every (n/keep)-th vector in id order."""
+    """Every (n/keep)-th vector in id order; ids tell vectors apart.  Only ids are ranked, vectors join by id."""
     n = bank.count()
     keep = keep_count(n, ratio)
     if keep >= n:
         return bank
     step = n / keep
-    ranked = Ordered(bank, [], [id_col], hot_rows).row_number("_n").result()
+    ranked = _ranked_ids(bank, id_col, [id_col], hot_rows)
     # Row r is taken when some i has floor(i * step) = r; that i can only be near r / step.
     r = F.col("_n") - 1
     guess = F.floor(r / step)
@@ -391,7 +401,7 @@ def coreset_stride(bank: DataFrame, ratio: float, id_col: str = "vec_id", hot_ro
     for shift in (0, 1):
         i = guess + shift
         taken = taken | ((i < keep) & (F.least(F.floor(i * step), F.lit(n - 1)) == r))
-    return ranked.where(taken).drop("_n")
+    return bank.join(ranked.where(taken).select(id_col), id_col, "left_semi")
 
 
 def _closest_to(picked: np.ndarray):
@@ -448,15 +458,19 @@ def coreset_greedy(bank: DataFrame, ratio: float, id_col: str = "vec_id", vec: s
 
 
 def split_halves(bank: DataFrame, id_col: str = "vec_id", seed: int = 42, hot_rows: int | None = None) -> tuple[DataFrame, DataFrame, int]:
-    """Two equal random halves in a fixed order of hashes: (reduced bank, held-out with ``draw``, half size)."""
+    """Two equal random halves in a fixed order of hashes: (reduced bank, held-out with ``draw``, half size).
+
+    Ids tell vectors apart.  Only ids and hashes are ranked, vectors join by id.
+    """
     n = bank.count()
     if n < 4:
         raise ValueError("calibration needs at least 4 bank vectors")
     half = n // 2
     mixed = bank.withColumn("_mix", F.md5(F.concat(F.lit(f"{seed}|"), F.col(id_col).cast("string"))))
-    ranked = Ordered(mixed, [], ["_mix", id_col], hot_rows).row_number("_n").result().drop("_mix")
-    reduced = ranked.where(F.col("_n") <= half).drop("_n")
-    held = ranked.where((F.col("_n") > half) & (F.col("_n") <= 2 * half)).withColumn("draw", F.col("_n") - half - 1).drop("_n")
+    ranked = cut_lineage(_ranked_ids(mixed, id_col, ["_mix", id_col], hot_rows))
+    reduced = bank.join(ranked.where(F.col("_n") <= half).select(id_col), id_col, "left_semi")
+    draws = ranked.where((F.col("_n") > half) & (F.col("_n") <= 2 * half)).select(id_col, (F.col("_n") - half - 1).alias("draw"))
+    held = bank.join(draws, id_col)
     return reduced, held, half
 
 

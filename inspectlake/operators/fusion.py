@@ -211,6 +211,8 @@ def overlapping_pairs(
     While no region holds more than ``partners`` right boxes they are compared directly.  Beyond that boxes
     meet only in grid cells they share, so boxes that do not touch are never paired.
     """
+    if min_iou <= 0:
+        raise ValueError("min_iou must be above 0")
     a = left.select(*keys, F.col(id_left).alias("left_id"), *BOX)
     b = right.select(*keys, F.col(id_right).alias("right_id"), *BOX)
     crowded = largest_group(b, keys) > partners

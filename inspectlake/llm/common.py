@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -34,7 +35,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written = path
+    return table
+
+
+def discard(df: DataFrame, *more: DataFrame) -> None:
+    """Deletes tables that ``written`` gave, once nothing that is still to run reads them."""
+    for table in (df, *more):
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(table._written)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
@@ -49,29 +59,36 @@ def column(df: DataFrame, name: str) -> Column:
     return df[f"`{name}`"]
 
 
-def with_row_numbers(docs: DataFrame, uid: str) -> DataFrame:
-    """``docs`` with a number for each row in column ``uid``, written once and read back.
-
-    Numbers that follow from how a scan is split are other ones in the next scan, as files are split by the cores that
-    are there at the time.  Only numbers that are written with their rows name the same row wherever they are read.
-    """
-    spark = docs.sparkSession
-    path = fresh_path(spark, "rows")
-    rows = docs.withColumn(uid, F.monotonically_increasing_id())
-    rows.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+def content_key(text: Column) -> Column:
+    """128 bits that stand for a text, null for empty; the same in every scan, whatever the splits of files."""
+    plain = F.coalesce(text, F.lit(""))
+    return F.struct(F.xxhash64(plain).alias("k1"), F.xxhash64(F.lit(1), plain).alias("k2"))
 
 
-def keep_rows(docs: DataFrame, choose: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Rows of ``docs`` whose row number ``choose`` returns in its column ``uid``.
+def keep_rows(docs: DataFrame, judged: DataFrame, key: Column) -> DataFrame:
+    """Rows of ``docs`` that ``judged`` says to keep; all columns unchanged.
 
-    ``choose`` gets uid, doc_id and text.  Rows are told apart by number, so repeated ids and rows are no problem.
+    ``judged`` has a row (doc_id, key, stay) for each row of ``docs``.  Rows are told apart by id and content (``key`` of
+    the text column), never by a number that another scan might deal out differently: files are split by the cores that
+    are there at the time.  Rows that agree in both are copies with one id, of which at most one may stay; the smallest
+    by a hash of all columns does.
     """
-    uid = free_name(docs, "_row")
-    numbered = with_row_numbers(docs, uid)
-    stay = choose(numbered.select(F.col(uid).alias("uid"), column(numbered, "doc_id").alias("doc_id"), column(numbered, "text").alias("text")))
-    stay = stay.select(F.col("uid").alias(uid))
-    return numbered.join(stay, uid, "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    k, i = free_name(docs, "_key"), free_name(docs, "_id")
+    stay = judged.groupBy(F.col("doc_id").alias(i), F.col("key").alias(k)).agg(F.max("stay").alias("stay"), F.count("*").alias("copies")).where("stay")
+    stay = written(stay.select(i, k, "copies"), "stay")
+    tagged = docs.withColumn(k, key)
+
+    def chosen(which: DataFrame) -> DataFrame:
+        ids = which.select(F.col(i).alias("_right_id"), F.col(k).alias("_right_key"))
+        on = column(tagged, "doc_id").eqNullSafe(ids["_right_id"]) & (column(tagged, k) == ids["_right_key"])
+        return tagged.join(ids, on, "left_semi")
+
+    names = [f"`{c}`" for c in docs.columns]
+    if not stay.where("copies > 1").limit(1).count():
+        return chosen(stay).select(*names)
+    one = Window.partitionBy("doc_id", k).orderBy(F.xxhash64(*names))
+    again = chosen(stay.where("copies > 1")).withColumn(i, F.row_number().over(one)).where(F.col(i) == 1)
+    return chosen(stay.where("copies = 1")).select(*names).unionByName(again.select(*names))
 
 
 def map_arrow(df: DataFrame, schema: str | StructType, work: Callable[[pa.RecordBatch], dict]) -> DataFrame:
@@ -81,16 +98,42 @@ def map_arrow(df: DataFrame, schema: str | StructType, work: Callable[[pa.Record
     """
     types = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
+    owner = work.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin(owner)
         for batch in batches:
             rows = max(1, batch.num_rows * SLICE_BYTES // max(SLICE_BYTES, batch.nbytes))
             for at in range(0, batch.num_rows, rows):
                 out = work(batch.slice(at, rows))
                 yield pa.RecordBatch.from_arrays([_array(out[f.name], f.type) for f in types], schema=types)
+            del batch
+        _give_back()
 
     return df.mapInArrow(run, schema)
 
 
+_owner: list[str] = []
+
+
+def _begin(owner: str) -> None:
+    """Workers outlive stages: what another operator has kept in this one goes."""
+    if _owner != [owner]:
+        _owner[:] = [owner]
+        _held.clear()
+        tables.clear()
+        _give_back()
+
+
+def _give_back() -> None:
+    """Returns freed memory to the system, so that an idle worker does not hold the peak of its last task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def _array(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()
@@ -98,6 +141,8 @@ def _array(values, kind: pa.DataType) -> pa.Array:
 
 
 _held: dict[tuple, object] = {}
+#: Tables that several operators compute and keep, such as powers of a base.
+tables: dict[str, object] = {}
 
 
 def held(key: tuple, build: Callable[[], object]):
@@ -132,6 +177,7 @@ def tie(links: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         after = written(small.select("e.*").where("u <> v").distinct(), "links")
         moved = after.join(edges, ["u", "v"], "left_anti").limit(1).count() or edges.join(after, ["u", "v"], "left_anti").limit(1).count()
+        discard(edges)
         edges = after
         if not moved:
             break

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from inspectlake.llm.common import as_bytes, column, keep_rows, map_arrow, with_row_numbers, written
+from inspectlake.llm.common import as_bytes, column, keep_rows, map_arrow, written
 
 _BLOCKS = "uid long, doc_id long, pos int, n_blocks int, sha string, rep_uid long, rep_pos int, block binary"
 
@@ -113,9 +113,13 @@ def exact_groups(docs: DataFrame, block_bytes: int = 4096) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, block_bytes: int = 4096) -> DataFrame:
     """Rows of ``docs`` without exact copies, all columns unchanged."""
-    return keep_rows(docs, lambda d: exact_groups(d, block_bytes).where("kept"))
+    groups = exact_groups(numbered(docs), block_bytes).select("doc_id", F.col("text_sha256").alias("key"), F.col("kept").alias("stay"))
+    return keep_rows(docs, groups, F.sha2(F.coalesce(column(docs, "text"), F.lit("")), 256))
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """uid, doc_id and text of a documents table, written once so that every later scan sees the same numbers."""
-    return with_row_numbers(docs.select(column(docs, "doc_id").alias("doc_id"), column(docs, "text").alias("text")), "uid").select("uid", "doc_id", "text")
+    """uid, doc_id and text of a documents table.
+
+    The number holds within one job; what is read again later is told apart by its content.
+    """
+    return docs.select(F.monotonically_increasing_id().alias("uid"), column(docs, "doc_id").alias("doc_id"), column(docs, "text").alias("text"))

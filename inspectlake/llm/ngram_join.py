@@ -28,7 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from inspectlake.llm.common import as_bytes, keep_rows, map_arrow, tie, written
+from inspectlake.llm.common import as_bytes, column, content_key, discard, keep_rows, map_arrow, tie, written
+from inspectlake.llm.naming import numbered
 from inspectlake.llm.shingles import shingle_set
 
 GROUPS = 64
@@ -90,7 +91,7 @@ def _points(frequent: np.ndarray):
                 common = frequent[at] == found
                 found = np.concatenate([found[~common], found[common]])
             prefixes.append(found[: n // 5 + 1])
-        return {"uid": batch["uid"], "doc_id": batch["doc_id"], "n": sizes, "print": prints, "vec": vectors, "small": small, "keys": _lists(prefixes)}
+        return {"uid": batch["uid"], "doc_id": batch["doc_id"], "n": sizes, "print": prints, "vec": vectors, "small": small, "keys": _lists(prefixes), "key": batch["key"]}
 
     return work
 
@@ -169,19 +170,23 @@ def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (uid, doc_id, text): doc_id, n_shingles, component_id, uid.
+    """Per row of ``docs`` (uid, doc_id, text): doc_id, n_shingles, component_id, uid, and the key of the text.
+
+    Row numbers are taken once, with the points; texts that are read again are found by their content.
 
     Null and blank texts have the empty set, link with nothing and are their own component; their component_id is their
     doc_id.  Rows with equal sets are linked.  Null ids are passed over when the smallest id of a component is taken.
     """
-    points = written(map_arrow(docs.select("uid", "doc_id", "text"), "uid long, doc_id long, n int, print binary, vec binary, small binary, keys array<long>", _points(_frequent(docs))), "points")
+    kinds = "uid long, doc_id long, n int, print binary, vec binary, small binary, keys array<long>, key struct<k1: bigint, k2: bigint>"
+    points = written(map_arrow(docs.select("uid", "doc_id", "text", content_key(F.col("text")).alias("key")), kinds, _points(_frequent(docs))), "points")
     nodes = points.where("n > 0").groupBy("print").agg(F.min_by(F.struct("uid", "keys"), "uid").alias("x")).select(F.col("x.uid").alias("node"), F.explode("x.keys").alias("key"))
     cells = nodes.select("key", "node").repartition("key").sortWithinPartitions("key", "node")
     shared = written(cells.mapInArrow(_leaders, "key long, node long, leader long"), "cells")
     first = shared.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     vectors = points.select(F.col("uid").alias("node"), "n", "vec")
     tried = written(_bounded(first, vectors), "pairs")
-    links = written(verify(tried, docs), "links")
+    links = verify(tried, docs, points)
+    discard(tried)
     roots = tie(links)
     # What is left under shingles that still have several components; with two nodes, their pair was tried above.
     left = shared.join(roots.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
@@ -193,14 +198,17 @@ def near_groups(docs: DataFrame) -> DataFrame:
     before = F.slice(F.col("cells.key"), F.greatest(F.col("i") - KEYS_BEFORE, F.lit(0)) + 1, F.least("i", F.lit(KEYS_BEFORE)))
     rest = rest.select("node", "root", "n", "vec", "cells", F.posexplode("cells").alias("i", "c")).select("node", "root", "n", "vec", before.alias("before"), "c.key", "c.rows")
     pairs = _bounded(_tree_join(rest).distinct().join(first, ["a", "b"], "left_anti"), vectors)
-    more = written(verify(written(pairs, "pairs"), docs), "links")
+    pairs = written(pairs, "pairs")
+    discard(shared)
+    more = verify(pairs, docs, points)
+    discard(pairs)
     if more.limit(1).count():
         roots = tie(links.unionByName(more))
     nodes = points.where("n > 0").groupBy("print").agg(F.min("uid").alias("node"))
-    member = points.select("uid", "doc_id", "n", "print").join(nodes, "print", "left").join(roots.withColumnRenamed("id", "node"), "node", "left")
-    member = member.select("uid", "doc_id", "n", F.coalesce("root", "node", "uid").alias("root"))
+    member = points.select("uid", "doc_id", "n", "print", "key").join(nodes, "print", "left").join(roots.withColumnRenamed("id", "node"), "node", "left")
+    member = member.select("uid", "doc_id", "n", "key", F.coalesce("root", "node", "uid").alias("root"))
     least = member.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return member.join(least, "root").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "uid")
+    return member.join(least, "root").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "uid", "key")
 
 
 def _bounded(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -271,44 +279,51 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
-def _filter(ids: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each hash of an id, built where the ids are; its size is fixed, whatever their number."""
-    code = F.pmod(F.xxhash64("uid"), F.lit(bits))
-    parts = ids.select(F.floor(code / 32768).cast("int").alias("part"), (code % 32768).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+def _filter(codes: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each code, built where the codes are; its size is fixed, whatever their number."""
+    parts = codes.select(F.floor(F.col("code") / 32768).cast("int").alias("part"), (F.col("code") % 32768).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
     out = np.zeros((bits // 32768, 4096), np.uint8)
     for row in parts.toLocalIterator():
         out[row["part"]] = np.frombuffer(row["bits"], np.uint8)
     return out.ravel()
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of row numbers whose sets have a Jaccard similarity of 0.8 or more, counted exactly.
+def verify(pairs: DataFrame, docs: DataFrame, points: DataFrame) -> DataFrame:
+    """Pairs (a, b) of row numbers of ``points`` whose sets have a Jaccard similarity of 0.8 or more, counted exactly.
 
-    Sets are made anew from the texts that the pairs need.  A filter of hashed row numbers passes over the other texts
-    where they are read; a text that it lets through in vain only costs time.
+    Sets are made anew from the texts that the pairs need, which are found by their content.  A filter of its hashes
+    passes over the other texts where they are read; a text that it lets through in vain only costs time.
     """
-    bits = min(FILTER_MOST, max(1 << 20, 1 << (FILTER_BITS * max(1, docs.count())).bit_length()))
-    used = pairs.select(F.explode(F.array("a", "b")).alias("uid"))
-    shared = docs.sparkSession.sparkContext.broadcast(_filter(used, bits))
+    bits = min(FILTER_MOST, max(1 << 20, 1 << (FILTER_BITS * max(1, points.count())).bit_length()))
+    code = lambda key: F.pmod(key["k1"], F.lit(bits))
+    used = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct().join(points.select("uid", "key"), "uid")
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(used.select(code(F.col("key")).alias("code")), bits))
 
     def work(batch: pa.RecordBatch) -> dict:
-        code = batch["code"].to_numpy()
-        some = batch.filter(pa.array((shared.value[code >> 3] >> (code & 7).astype(np.uint8)) & 1 == 1))
-        return _sets(some)
-
-    sets = map_arrow(docs.select("uid", "text", F.pmod(F.xxhash64("uid"), F.lit(bits)).alias("code")), "uid long, shingles array<long>", work)
+        at = batch["code"].to_numpy()
+        some = batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+        keys = some["key"].to_pylist()
+        first = {(k["k1"], k["k2"]): i for i, k in reversed(list(enumerate(keys)))}
+        some = some.take(pa.array(sorted(first.values()), pa.int64()))  # copies in a batch are read once
+        return {"key": some["key"], "shingles": _lists([shingle_set(t) for t in as_bytes(some["text"])])}
+
+    key = content_key(F.col("text"))
+    rows = docs.select("text", key.alias("key")).withColumn("code", code(F.col("key")))
+    sets = map_arrow(rows, "key struct<k1: bigint, k2: bigint>, shingles array<long>", work)
+    sets = used.join(sets.groupBy("key").agg(F.first("shingles").alias("shingles")), "key").select("uid", "shingles")
     sets = written(sets, "sets")
     both = pairs.join(sets.select(F.col("uid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("uid").alias("b"), F.col("shingles").alias("y")), "b")
     same = F.size(F.array_intersect("x", "y")).cast("long")
-    return both.select("a", "b", same.alias("i"), (F.size("x") + F.size("y")).alias("t")).where("100 * i >= 80 * (t - i)").select("a", "b")
+    linked = both.select("a", "b", same.alias("i"), (F.size("x") + F.size("y")).alias("t")).where("100 * i >= 80 * (t - i)").select("a", "b")
+    linked = written(linked, "links")
+    discard(sets)
+    return linked
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """One row of each component: that with the smallest id (of equal ids the first row); all columns unchanged."""
-
-    def choose(d: DataFrame) -> DataFrame:
-        groups = near_groups(d).withColumn("component", F.coalesce(F.col("component_id"), -1 - F.col("uid")))
-        # Rows with null ids only are a component of their own each unless a linked row has an id.
-        return groups.groupBy("component").agg(F.min_by("uid", F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("uid"))
-
-    return keep_rows(docs, choose)
+    groups = near_groups(numbered(docs)).withColumn("component", F.coalesce(F.col("component_id"), -1 - F.col("uid")))
+    # Rows with null ids only are a component of their own each unless a linked row has an id.
+    best = groups.groupBy("component").agg(F.min_by("uid", F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("best"))
+    judged = groups.join(best, "component").select("doc_id", "key", (F.col("uid") == F.col("best")).alias("stay"))
+    return keep_rows(docs, judged, content_key(column(docs, "text")))

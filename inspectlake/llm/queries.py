@@ -62,7 +62,7 @@ def op1(spark, folder):
     """,
 )
 def op3(spark, folder):
-    return ngram_join.near_groups(numbered(table(spark, folder, "documents"))).drop("uid")
+    return ngram_join.near_groups(numbered(table(spark, folder, "documents"))).drop("uid", "key")
 
 
 @query("op4_byte_network")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from inspectlake.llm.common import tables as _powers
+
 WORDS = 5
 _M = 2**64
 _BASE = 0x9E3779B97F4A7C15
@@ -13,7 +15,6 @@ _LOWER[65:91] += 32
 _WORD = np.ones(256, np.int8)
 _WORD[[0x20, *range(0x09, 0x0E)]] = 0
 _CHUNK = 1 << 18
-_powers: dict[str, np.ndarray] = {}
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:

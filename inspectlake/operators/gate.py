@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from inspectlake.operators import quality as q
+from inspectlake.operators.ordered import cut_lineage
 
 #: What a recipe takes where it says nothing.
 DEFAULTS = {
@@ -65,13 +66,14 @@ def _short(stats: Column) -> Column:
 
 
 def frame_reports(frames: DataFrame, rules: DataFrame) -> DataFrame:
-    """Metadata of ``frames`` with their recipe's limits, statistics and ``messages``; images are read here only."""
+    """Metadata of ``frames`` with statistics and ``messages``; images are read here only."""
     stats = q.frame_statistics(frames, ["frame_id"])
     meta = q.frame_meta_messages()
     measured = F.concat(_short(F.col("mean_gray")), q.statistic_messages({k: F.col(k) for k in _STATISTICS}))
-    rows = frames.drop("image").join(stats, "frame_id").join(rules.withColumn("known_recipe", F.lit(True)), "recipe_id", "left")
+    rows = frames.drop("image").join(stats, "frame_id").join(rules.select("recipe_id", *_STATISTICS), "recipe_id", "left")
     # A frame with bad metadata is not measured.
-    return rows.withColumn("messages", F.when(F.size(meta) > 0, meta).otherwise(measured)).withColumn("passed", F.size("messages") == 0)
+    rows = rows.withColumn("messages", F.when(F.size(meta) > 0, meta).otherwise(measured)).withColumn("passed", F.size("messages") == 0)
+    return rows.drop(*_STATISTICS)
 
 
 def _far(lights: Column, names: list[str], limit: Column) -> Column:
@@ -80,7 +82,7 @@ def _far(lights: Column, names: list[str], limit: Column) -> Column:
     return F.exists(lights, apart)
 
 
-def view_reports(reports: DataFrame, views: DataFrame, lights: DataFrame, job: list[str], xyz: list[str], rpy: list[str]) -> DataFrame:
+def view_reports(reports: DataFrame, rules: DataFrame, views: DataFrame, lights: DataFrame, job: list[str], xyz: list[str], rpy: list[str]) -> DataFrame:
     """One row per (job, view): ``messages`` of the view, and how many of its frames failed or break the light order.
 
     ``reports`` is what frame_reports gives.  A view is a camera and pose; no pose is the camera's own.
@@ -99,22 +101,20 @@ def view_reports(reports: DataFrame, views: DataFrame, lights: DataFrame, job: l
     # One row per light of the order; a light that comes again is a broken capture.
     light = F.struct("pos", "light_id", "required", *_LIGHT, *xyz, *rpy, "mean_gray", "passed")
     keys = [*job, "recipe_id", "camera_id", "pose"]
-    limits = [*DEFAULTS, "known_recipe"]
     per_light = known.groupBy(*keys, "light_id").agg(
         F.min_by(F.when(c("pos").isNotNull(), light), "frame_id").alias("light"), F.count("*").alias("times"), F.count_if(~c("passed")).alias("failed"),
         F.sum(F.size("filed")).alias("stray"), F.collect_set(F.coalesce("pose_id", F.lit(""))).alias("raw"), F.min("filed").alias("filed"),
-        F.max("sku").alias("sku"), F.min("sku").alias("sku0"), F.first("recipe_sku").alias("recipe_sku"), *[F.first(n).alias(n) for n in limits],
-        *([F.max("capture_mode").alias("capture_mode")] if "capture_mode" in reports.columns else []),
+        F.max("sku").alias("sku"), F.min("sku").alias("sku0"), *([F.max("capture_mode").alias("capture_mode")] if "capture_mode" in reports.columns else []),
     )
     mode = [F.max("capture_mode").alias("capture_mode")] if "capture_mode" in reports.columns else []
     per_view = per_light.groupBy(*keys).agg(
         F.array_sort(F.collect_list("light")).alias("lights"), F.sum("times").alias("frames"), F.sum("failed").alias("failed_frames"), F.sum("stray").alias("stray_lights"),
         F.array_distinct(F.flatten(F.collect_set("raw"))).alias("raw"), F.min(F.when(F.size("filed") > 0, F.col("filed")[0])).alias("first_stray"),
-        F.min(F.when((c("times") > 1) & c("light").isNotNull(), c("light_id"))).alias("again"), F.max("sku").alias("sku"), F.min("sku0").alias("sku0"),
-        F.first("recipe_sku").alias("recipe_sku"), *[F.first(n).alias(n) for n in limits], *mode,
+        F.min(F.when((c("times") > 1) & c("light").isNotNull(), c("light_id"))).alias("again"), F.max("sku").alias("sku"), F.min("sku0").alias("sku0"), *mode,
     )
-    wanted = recipe_arrays(views, lights)
-    rows = per_view.join(wanted, "recipe_id", "left").withColumn("required_lights", F.filter("lights", lambda x: x["required"]))
+    # One row per view: what follows looks at the recipe's row and at the lights of the view.
+    dims = rules.withColumn("known_recipe", F.lit(True)).join(recipe_arrays(views, lights), "recipe_id", "left")
+    rows = cut_lineage(per_view).join(cut_lineage(dims), "recipe_id", "left").withColumn("required_lights", F.filter("lights", lambda x: x["required"]))
     r = c("required_lights")
     take = lambda name: F.transform(r, lambda x: x[name])
     low, high = (lambda n: F.array_min(take(n))), (lambda n: F.array_max(take(n)))

@@ -101,21 +101,23 @@ def inspect(
     tiles for the jobs that passed the gate.
     """
     c = F.col
-    rules = gate.recipe_rules(recipes)
-    seen = gate.view_reports(gate.frame_reports(frames, rules), views, lights, JOB, xyz, rpy)
+    rules = cut_lineage(gate.recipe_rules(recipes))
+    seen = gate.view_reports(gate.frame_reports(frames, rules), rules, views, lights, JOB, xyz, rpy)
     # One small row per job, used by every later stage.
     jobs = cut_lineage(gate.job_reports(seen, JOB).select(*JOB, "recipe_id", c("quality_pass").alias("gate_pass")))
     passed = frames.join(jobs.where("gate_pass").select(*JOB), JOB, "left_semi")
     meta = cut_lineage(q.view_config(passed.drop("image", "channels"), views))
     misfit = (c("calibration_id") != c("want_calibration")) | (c("width") != c("image_w")) | (c("height") != c("image_h"))
-    regions = px.frame_rois(meta, rois, ["roi_template"])
+    regions = cut_lineage(px.frame_rois(meta, rois, ["roi_template"]))
     broken = meta.where(misfit).select(*JOB).union(regions.where("NOT in_image").select(*JOB)).distinct().withColumn("broken", F.lit(True))
 
     tiles = ti.image_tiles(passed, ["frame_id"])
     crops = cut_lineage(ti.crop(tiles, regions, ["frame_id"]).join(meta.select("frame_id", *VIEW, "light_id"), "frame_id").drop("frame_id"))
     aligned, shifts = _registration(crops, regions, alignments, rules)
+    aligned = cut_lineage(aligned)
     unaligned = aligned.where("NOT aligned").select(*JOB).distinct().withColumn("unaligned", F.lit(True))
     lit = [*REGION, "light_id"]
+    shifts = cut_lineage(shifts)
     moved = crops.join(shifts, lit, "left_anti").unionByName(ti.apply_shifts(crops.join(shifts, lit, "left_semi"), shifts, lit))
 
     settings = meta.select(*VIEW, "model_key", "safety_net_key").distinct()
@@ -123,6 +125,7 @@ def inspect(
     routes = cut_lineage(route_models(inside, settings, overrides, VIEW, ["recipe_id", "camera_id", "roi_name"]).select(*REGION, "model_key", "role"))
     specs = px.channel_specs(channels)
     plans = routes.select(*PLAN, "model_key").distinct().join(specs, "model_key")
+    plans = cut_lineage(plans)
     built, missing = ti.light_channels(moved, plans.drop("model_key", "pos").distinct(), REGION, PLAN)
     bad_names = routes.join(specs.where("NOT valid"), "model_key", "left_semi")
     no_channel = missing.select(*JOB).union(bad_names.select(*JOB)).distinct().withColumn("no_channel", F.lit(True))
@@ -143,6 +146,7 @@ def inspect(
         scored.join(boxes, REGION).join(routes, [*REGION, "model_key"]).join(shown, "model_key").join(limits, "recipe_id")
         .where(c("score") >= F.coalesce("recheck_score", "_recheck"))
     )
+    candidates = cut_lineage(candidates)
     fused = fu.merge_candidates(candidates, REGION, ["role"], c("iou_threshold"), c("max_candidates_per_roi")).join(limits, "recipe_id")
     judged = decide.judge_candidates(fused, c("_recheck"), c("_ng"), c("min_area_px"), c("min_aspect_ratio"), c("max_aspect_ratio"))
 

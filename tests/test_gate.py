@@ -67,7 +67,8 @@ def judged(spark):
     )
     views = spark.createDataFrame([("r", "T", ""), ("strict", "T", ""), ("wide", "T", ""), ("posed", "T", "P1")], "recipe_id string, camera_id string, pose_id string")
     lights = spark.createDataFrame([(r, i, n, True) for r in ("r", "strict", "wide", "posed") for i, n in enumerate(LIGHTS)], "recipe_id string, pos int, light_id string, required boolean")
-    seen = gate.view_reports(gate.frame_reports(df, gate.recipe_rules(recipes)), views, lights, ["sequence_id"], ["tx"], ["rx"])
+    rules = gate.recipe_rules(recipes)
+    seen = gate.view_reports(gate.frame_reports(df, rules), rules, views, lights, ["sequence_id"], ["tx"], ["rx"])
     jobs = {r.sequence_id: r for r in gate.job_reports(seen, ["sequence_id"]).collect()}
     return jobs, {r.sequence_id: r for r in seen.collect()}
 

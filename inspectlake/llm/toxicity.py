@@ -29,7 +29,7 @@ TRAIN_CHARS = 20_000
 #: Training windows: tokens in each, and clean windows of each document.
 WINDOW = 24
 CLEAN_WINDOWS = 12
-#: Tokens that one chain may have; longer documents are cut into chains.
+#: Tokens of a piece of a chain; pieces are worked on side by side, and messages are carried from one to the next.
 CHAIN = 4096
 LEAST = 0.7
 #: Words whose evidence a task remembers.
@@ -93,20 +93,31 @@ class Field:
         get = self.weights.get
         return self.bias + sum(get(f, 0.0) for f in features(word))
 
-    def marginals(self, evidence: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Probability of the toxic state for the tokens of chains that lie one after another."""
+    def messages(self, evidence: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Odds of tokens by themselves, from what comes before (itself included), and from what comes after.
+
+        Chains lie one after another.  A chain is worked on in pieces of CHAIN tokens, all pieces of all chains at once:
+        over a piece messages change by a quotient of linear functions, so the pieces' 2 x 2 products carry each message
+        over the cuts, and the result is that of the whole chain.
+        """
         e = np.exp(np.clip(evidence, -30, 30))
-        order = np.argsort(-sizes, kind="stable")
-        starts = (np.cumsum(sizes) - sizes)[order]
-        lengths = sizes[order]
+        moves = into, out, stay, start = np.exp([self.into, self.out, self.stay, self.start])
+        count = -(-sizes // CHAIN)
+        chain = np.repeat(np.arange(len(sizes)), count)
+        nth = np.arange(len(chain)) - np.repeat(np.cumsum(count) - count, count)
+        starts = (np.cumsum(sizes) - sizes)[chain] + nth * CHAIN
+        lengths = np.minimum(CHAIN, sizes[chain] - nth * CHAIN)
+        enter, leave = _carried(e, starts, lengths, nth, count[chain], moves)
+        order = np.argsort(-lengths, kind="stable")
+        starts, lengths, enter, leave = starts[order], lengths[order], enter[order], leave[order]
         steps = int(lengths[0]) if len(lengths) else 0
         active = np.searchsorted(-lengths, -np.arange(1, steps + 1), side="right")
-        into, out, stay, start = np.exp([self.into, self.out, self.stay, self.start])
         forward, backward = np.empty_like(e), np.ones_like(e)
+        backward[starts + lengths - 1] = leave
         for t in range(steps):
             at = starts[: active[t]] + t
             if t == 0:
-                forward[at] = e[at] * start
+                forward[at] = e[at] * enter
             else:
                 before = forward[at - 1]
                 forward[at] = e[at] * (into + stay * before) / (1 + out * before)
@@ -114,12 +125,71 @@ class Field:
             at = starts[: active[t + 1]] + t
             after = e[at + 1] * backward[at + 1]
             backward[at] = (out + stay * after) / (1 + into * after)
+        return e, forward, backward
+
+    def marginals(self, evidence: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Probability of the toxic state for the tokens of chains that lie one after another."""
+        _, forward, backward = self.messages(evidence, sizes)
         odds = forward * backward
         return odds / (1 + odds)
 
 
+def _carried(e: np.ndarray, starts: np.ndarray, lengths: np.ndarray, nth: np.ndarray, count: np.ndarray, moves) -> tuple[np.ndarray, np.ndarray]:
+    """Per piece the factor of its first token from the piece before, and its last token's message from the piece after."""
+    into, out, stay, start = moves
+    enter, leave = np.full(len(starts), start), np.ones(len(starts))
+    long = np.flatnonzero(count > 1)
+    if not len(long):
+        return enter, leave
+    first, size = starts[long], lengths[long]
+    ahead, back = (np.broadcast_to(np.eye(2), (len(long), 2, 2)).copy() for _ in range(2))
+    for t in range(int(size.max())):
+        on = np.flatnonzero(size > t)
+        x = e[first[on] + t]
+        ones, none = np.ones_like(x), np.zeros_like(x)
+        step = np.stack([np.stack([x * stay, x * into], -1), np.stack([out * ones, ones], -1)], -2)
+        if t == 0:  # a chain begins whatever stood before it
+            begins = nth[long[on]] == 0
+            step[begins] = np.stack([np.stack([none, x * start], -1), np.stack([none, ones], -1)], -2)[begins]
+        ahead[on] = step @ ahead[on]
+        ahead[on] /= np.abs(ahead[on]).max(axis=(1, 2), keepdims=True)
+        turn = np.stack([np.stack([x * stay, out * ones], -1), np.stack([x * into, ones], -1)], -2)
+        back[on] = back[on] @ turn
+        back[on] /= np.abs(back[on]).max(axis=(1, 2), keepdims=True)
+    apply = lambda m, v: (m[:, 0, 0] * v + m[:, 0, 1]) / (m[:, 1, 0] * v + m[:, 1, 1])
+    place = nth[long]
+    value = np.zeros(len(long))
+    for k in range(int(place.max()) + 1):
+        on = np.flatnonzero(place == k)
+        if k:
+            enter[long[on]] = (into + stay * value[on - 1]) / (1 + out * value[on - 1])
+        value[on] = apply(ahead[on], value[on - 1] if k else value[on])
+    from_end = count[long] - 1 - place
+    for k in range(1, int(from_end.max()) + 1):
+        on = np.flatnonzero(from_end == k)
+        leave[long[on]] = apply(back[on + 1], leave[long[on + 1]])
+    return enter, leave
+
+
+def gradient(field: Field, evidence: np.ndarray, sizes: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of the labels' log-likelihood: by each token's evidence, and by the moves into, out, stay and start."""
+    e, forward, backward = field.messages(evidence, sizes)
+    odds = forward * backward
+    gap = y - odds / (1 + odds)
+    first = (np.cumsum(sizes) - sizes)[sizes > 0]
+    inner = np.ones(len(y), bool)
+    inner[first] = False
+    later = np.flatnonzero(inner)
+    before, after = forward[later - 1], (e * backward)[later]
+    into, out, stay = np.exp(field.into) * after, np.exp(field.out) * before, np.exp(field.stay) * before * after
+    total = 1 + into + out + stay
+    y0, y1 = y[later - 1], y[later]
+    moves = np.array([((1 - y0) * y1 - (into / total)).sum(), (y0 * (1 - y1) - (out / total)).sum(), (y0 * y1 - (stay / total)).sum(), gap[first].sum()])
+    return gap, moves
+
+
 def fit(sequences: list[list[str]], labels: list[list[int]], rounds: int = 60, rate: float = 0.3) -> Field:
-    """Maximum likelihood by gradient steps; expectations come from forward-backward over all sequences at once."""
+    """Maximum likelihood by gradient steps; token and pair expectations come from forward-backward over all sequences."""
     names: dict[str, int] = {}
     rows, cols = [], []
     flat = [w for s in sequences for w in s]
@@ -130,30 +200,15 @@ def fit(sequences: list[list[str]], labels: list[list[int]], rounds: int = 60, r
     rows, cols = np.array(rows), np.array(cols)
     y = np.array([v for s in labels for v in s], float)
     sizes = np.array([len(s) for s in sequences])
-    first = np.cumsum(sizes) - sizes
-    inner = np.ones(len(flat), bool)
-    inner[first] = False
     w, moves = np.zeros(len(names)), np.array([-3.0, -1.0, -1.0, -1.0, -3.0])  # bias, into, out, stay, start
     sum_w, sum_m = np.full(len(names), 1e-8), np.full(5, 1e-8)
     weight = 1.0 / max(1.0, y.sum())
     for _ in range(rounds):
         evidence = moves[0] + np.bincount(rows, w[cols], len(flat))
-        field = Field({}, moves[0], *moves[1:])
-        p = field.marginals(evidence, sizes)
-        # Pair expectations, taken as products of neighbours' marginals; exact ones differ little where states are rare.
-        gap = (y - p) * weight
-        before, after = p[:-1][inner[1:]], p[1:][inner[1:]]
-        y0, y1 = y[:-1][inner[1:]], y[1:][inner[1:]]
+        gap, g_moves = gradient(Field({}, moves[0], *moves[1:]), evidence, sizes, y)
+        gap, g_moves = gap * weight, g_moves * weight
         g_w = np.bincount(cols, gap[rows], len(names)) - 1e-5 * w
-        g_m = np.array(
-            [
-                gap.sum(),
-                ((1 - y0) * y1 - (1 - before) * after).sum() * weight,
-                (y0 * (1 - y1) - before * (1 - after)).sum() * weight,
-                (y0 * y1 - before * after).sum() * weight,
-                gap[first].sum(),
-            ]
-        )
+        g_m = np.append(gap.sum(), g_moves)
         sum_w += g_w**2
         sum_m += g_m**2
         w += rate * g_w / np.sqrt(sum_w)
@@ -223,11 +278,7 @@ def score_texts(texts: list[str], field: Field) -> tuple[list[float], list[str]]
         sizes.append(len(values) - before)
     if not len(values):
         return [0.0] * len(texts), [""] * len(texts)
-    chains: list[int] = []
-    for n in sizes:
-        whole, rest = divmod(n, CHAIN)
-        chains += [CHAIN] * whole + [rest] * bool(rest)
-    p = field.marginals(np.frombuffer(values, float), np.array(chains))
+    p = field.marginals(np.frombuffer(values, float), np.array(sizes))
     ends = np.cumsum(sizes)
     scores, spans = [], []
     for text, low, a, b in zip(texts, lowered, ends - sizes, ends):

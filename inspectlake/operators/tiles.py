@@ -21,6 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from inspectlake.functions.boxes import apply_homography
+from inspectlake.operators.ordered import cut_lineage
 
 TILE = 256
 OUT_BYTES = 4 << 20
@@ -251,7 +252,8 @@ def light_channels(tiles: DataFrame, specs: DataFrame, cube: list[str], on: list
     lit = tiles.where("tx = 0 AND ty = 0").groupBy(*cube, "light_id").agg(F.count("*").alias("times"))
     wanted = lit.select(*cube).distinct().join(valid.select(*on, "channel", "operation", lights.alias("lights")).distinct(), on)
     have = lit.where("times = 1").join(named, [*on, "light_id"]).groupBy(*cube, "channel").agg(F.count("*").alias("have"))
-    judged = wanted.join(have, [*cube, "channel"], "left").withColumn("whole", F.coalesce("have", F.lit(0)) == F.size("lights"))
+    # A small table of names that four of the steps below read.
+    judged = cut_lineage(wanted.join(have, [*cube, "channel"], "left").withColumn("whole", F.coalesce("have", F.lit(0)) == F.size("lights")))
     missing = judged.where("NOT whole").select(*cube, "channel")
     plans = judged.where("whole").groupBy(*cube).agg(F.collect_list(F.struct("channel", "operation", "lights")).alias("_plans"))
     used = judged.where("whole").select(*cube, F.explode("lights").alias("light_id")).distinct()

@@ -61,11 +61,11 @@ def _registration(crops: DataFrame, regions: DataFrame, alignments: DataFrame, r
     limits = ["max_registration_error_px", "method", "max_iterations", "convergence_epsilon", "search_radius_px", "min_correlation", "fallback_light_id"]
     lit = regions.where("in_image").select(*REGION, "light_id", "frame_id", "calibration_id", "view_base_light", "rx0", "ry0", "rx1", "ry1").join(rules.select("recipe_id", *limits), "recipe_id")
     own = lit.groupBy(*REGION).agg(F.max(F.col("light_id") == F.col("view_base_light")).alias("own"))
-    lit = lit.join(own, REGION).withColumn("base", F.when(F.col("own"), F.col("view_base_light")).otherwise(F.col("fallback_light_id")))
+    lit = cut_lineage(lit.join(own, REGION)).withColumn("base", F.when(F.col("own"), F.col("view_base_light")).otherwise(F.col("fallback_light_id")))
     cubes = lit.groupBy(*REGION, "method", "max_registration_error_px").agg(F.max(F.col("light_id") == F.col("base")).alias("has_base"))
 
     searched = lit.where("method = 'ecc'")
-    images = ti.whole(crops.join(searched.select(*REGION).distinct(), REGION, "left_semi"), [*REGION, "light_id"])
+    images = cut_lineage(ti.whole(crops.join(searched.select(*REGION).distinct(), REGION, "left_semi"), [*REGION, "light_id"]))
     base = images.join(searched.where("light_id = base").select(*REGION, "light_id"), [*REGION, "light_id"], "left_semi").select(*REGION, F.col("image").alias("base"))
     moving = images.withColumnRenamed("image", "moving").join(searched.where("light_id <> base").drop("base", "frame_id"), [*REGION, "light_id"]).join(base, REGION)
     c = F.col
@@ -118,7 +118,7 @@ def inspect(
     unaligned = aligned.where("NOT aligned").select(*JOB).distinct().withColumn("unaligned", F.lit(True))
     lit = [*REGION, "light_id"]
     shifts = cut_lineage(shifts)
-    moved = crops.join(shifts, lit, "left_anti").unionByName(ti.apply_shifts(crops.join(shifts, lit, "left_semi"), shifts, lit))
+    moved = cut_lineage(crops.join(shifts, lit, "left_anti").unionByName(ti.apply_shifts(crops.join(shifts, lit, "left_semi"), shifts, lit)))
 
     settings = meta.select(*VIEW, "model_key", "safety_net_key").distinct()
     inside = regions.where("in_image").select(*REGION).distinct()

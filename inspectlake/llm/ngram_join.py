@@ -11,7 +11,8 @@ speed only, never results.
 
 Links are wanted for components, so copies and large groups are not expanded into pairs:
 1. rows with equal sets become one node;
-2. under each shingle every node is paired with the smallest node there, verified exactly, and links are tied together;
+2. every node is paired with the smallest node under any of its shingles, then under each shingle every component with the
+   smallest node there; pairs are verified exactly, and links are tied together;
 3. only shingles under which several components remain are joined pair by pair, through an R-tree of their points, and
    survivors of the bound are verified.  After that no link between different components can exist.
 Large cells of step 3 are joined block by block, so that no task holds an unbounded group.  The
@@ -182,14 +183,28 @@ def near_groups(docs: DataFrame) -> DataFrame:
     nodes = points.where("n > 0").groupBy("print").agg(F.min_by(F.struct("uid", "keys"), "uid").alias("x")).select(F.col("x.uid").alias("node"), F.explode("x.keys").alias("key"))
     cells = nodes.select("key", "node").repartition("key").sortWithinPartitions("key", "node")
     shared = written(cells.mapInArrow(_leaders, "key long, node long, leader long"), "cells")
-    first = shared.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     vectors = points.select(F.col("uid").alias("node"), "n", "vec")
-    tried = written(_bounded(first, vectors), "pairs")
-    links = verify(tried, docs, points)
-    discard(tried)
+
+    def tried(pairs: DataFrame) -> DataFrame:
+        fit = written(_bounded(pairs, vectors), "pairs")
+        linked = verify(fit, docs, points)
+        discard(fit)
+        return linked
+
+    def placed(roots: DataFrame) -> DataFrame:
+        return shared.join(roots.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+
+    # Each node with its smallest leader, so that a large group of near copies costs one pair a node, not one a shingle.
+    lone = shared.where("leader <> node").groupBy(F.col("node").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
+    links = tried(lone)
+    # Then, under each shingle, the smallest node of every component with the smallest of all.
+    per = placed(tie(links)).groupBy("key", "root").agg(F.min("node").alias("b"))
+    lead = per.groupBy("key").agg(F.min("b").alias("a"), F.count("*").alias("roots")).where("roots > 1").select("key", "a")
+    second = written(per.join(lead, "key").where("a <> b").select("a", "b").distinct().join(lone, ["a", "b"], "left_anti"), "second")
+    links = links.unionByName(tried(second))
     roots = tie(links)
     # What is left under shingles that still have several components; with two nodes, their pair was tried above.
-    left = shared.join(roots.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    left = placed(roots)
     mixed = left.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi and rows > 2").select("key", "rows")
     # The keys of a node just before a cell's travel with it: two nodes that share one of these meet there already.  Most
     # pairs are so given once, and a row stays small however many keys its node has; the rest is made distinct.
@@ -197,9 +212,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     rest = left.join(mixed, "key").groupBy("node", "root").agg(F.sort_array(F.collect_list(F.struct("key", "rows"))).alias("cells")).join(light, "node")
     before = F.slice(F.col("cells.key"), F.greatest(F.col("i") - KEYS_BEFORE, F.lit(0)) + 1, F.least("i", F.lit(KEYS_BEFORE)))
     rest = rest.select("node", "root", "n", "vec", "cells", F.posexplode("cells").alias("i", "c")).select("node", "root", "n", "vec", before.alias("before"), "c.key", "c.rows")
-    pairs = _bounded(_tree_join(rest).distinct().join(first, ["a", "b"], "left_anti"), vectors)
+    pairs = _bounded(_tree_join(rest).distinct().join(lone.unionByName(second), ["a", "b"], "left_anti"), vectors)
     pairs = written(pairs, "pairs")
-    discard(shared)
+    discard(shared, second)
     more = verify(pairs, docs, points)
     discard(pairs)
     if more.limit(1).count():

@@ -19,7 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
     """Folder that the driver and every executor reach: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(folder)
@@ -91,10 +92,10 @@ def keep_rows(docs: DataFrame, judged: DataFrame, key: Column) -> DataFrame:
     return chosen(stay.where("copies = 1")).select(*names).unionByName(again.select(*names))
 
 
-def map_arrow(df: DataFrame, schema: str | StructType, work: Callable[[pa.RecordBatch], dict]) -> DataFrame:
+def map_arrow(df: DataFrame, schema: str | StructType, work: Callable[[pa.RecordBatch], dict], slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """``work`` turns each Arrow batch into a dict of columns with the names and order of ``schema``.
 
-    It gets slices of about SLICE_BYTES, so that a task's memory does not follow the length of the texts in a batch.
+    It gets slices of about ``slice_bytes``, so that a task's memory does not follow the length of the texts in a batch.
     """
     types = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
@@ -103,7 +104,7 @@ def map_arrow(df: DataFrame, schema: str | StructType, work: Callable[[pa.Record
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _begin(owner)
         for batch in batches:
-            rows = max(1, batch.num_rows * SLICE_BYTES // max(SLICE_BYTES, batch.nbytes))
+            rows = max(1, batch.num_rows * slice_bytes // max(slice_bytes, batch.nbytes))
             for at in range(0, batch.num_rows, rows):
                 out = work(batch.slice(at, rows))
                 yield pa.RecordBatch.from_arrays([_array(out[f.name], f.type) for f in types], schema=types)
@@ -120,6 +121,7 @@ def _begin(owner: str) -> None:
     """Workers outlive stages: what another operator has kept in this one goes."""
     if _owner != [owner]:
         _owner[:] = [owner]
+        pa.set_memory_pool(pa.system_memory_pool())  # what it frees can be given back
         _held.clear()
         tables.clear()
         _give_back()

@@ -145,3 +145,18 @@ def test_idle_gap_sessions(spark, tmp_path):
     s = feed(spark, str(tmp_path), df, ["us"], 2).withColumn("event_time", F.timestamp_micros("us")).withWatermark("event_time", "5 seconds")
     out = st.to_table(st.idle_sessions(s, ["line"]), "t-sessions")
     assert sorted(r["frames"] for r in out.collect()) == [1, 2, 3]  # the last one is still open
+
+
+def test_streams_that_wait_run_in_any_session(spark):
+    """A session that names a store without lists and timers, as Spark's own default does."""
+    import __spark_entry__ as entry
+
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    plain = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    spark.conf.set(name, plain)
+    try:
+        assert entry.queries()["str_quality_gate"](spark, "/root/testdata/sf0.001").count() > 0
+        assert spark.conf.get(name) == plain
+    finally:
+        spark.conf.set(name, before)

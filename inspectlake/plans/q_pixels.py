@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inspectlake.operators import detect as d, pixels as px, tiles as ti
-from inspectlake.plans.q_quality import CONFIG, configured, frame_images
+from inspectlake.plans.q_quality import CONFIG, WIDE, configured, wide_images
 from inspectlake.plans.registry import query
 
 CUBE = ["sequence_id", "camera_id"]
@@ -28,7 +28,7 @@ def specs(t):
 
 
 def frame_tiles(t, *more):
-    return ti.image_tiles(frame_images(t), ["frame_id", *more])
+    return ti.image_tiles(wide_images(t), ["frame_id", *more], kind=WIDE)
 
 
 def channels(t):
@@ -155,13 +155,13 @@ def _(t):
 
 
 def image_pairs(t):
-    rows = frame_images(t).select(*CUBE, "frame_id", "light_id", "image", "width", "height")
+    rows = wide_images(t).select(*CUBE, "frame_id", "light_id", "image", "width", "height")
     base = rows.where("light_id = 'DIFFUSE'").select(*CUBE, F.col("image").alias("base"))
     return rows.where("light_id <> 'DIFFUSE'").withColumnRenamed("image", "moving").join(base, CUBE)
 
 
 def searched(t):
-    return px.search_registration(image_pairs(t), [*CUBE, "frame_id"], 2, 50, 0.02, 0.2)
+    return px.search_registration(image_pairs(t), [*CUBE, "frame_id"], 2, 50, 0.02, 0.2, WIDE)
 
 
 SEARCH = """

@@ -159,3 +159,33 @@ def test_bad_vectors(spark):
     rows = [(1, [1.0, 2.0]), (2, []), (3, [1.0]), (4, [1.0, float("nan")]), (5, [2.0, 3.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert {r["vec_id"]: r["issue"] for r in an.check_vectors(df, "vec_id").collect()} == {2: "empty", 3: "dimension", 4: "not finite"}
+
+
+@pytest.mark.parametrize("scale", [1e-25, 1.0, 1e25])
+def test_candidates_hold_the_nearest_at_any_scale(scale):
+    rng = np.random.default_rng(2)
+    q, b = (rng.normal(size=(n, 8)).round(1) * scale for n in (40, 700))
+    q, b = q.astype(np.float32), b.astype(np.float32)
+    d = np.sqrt(((q[:, None].astype(np.float64) - b[None]) ** 2).sum(2))
+    for k in (1, 3, 40):
+        rows, at = an._candidates(q, b, k, np.full(len(q), np.inf))
+        for i in range(len(q)):
+            near = set(np.flatnonzero(d[i] <= np.sort(d[i])[k - 1]).tolist())
+            assert near <= set(at[rows == i].tolist())
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_a_search_is_dealt_over_cells(spark, monkeypatch, k):
+    """More vectors than a cell may hold: many tasks, and the nearest of all of them, ties by id."""
+    monkeypatch.setattr(an, "SLOT_ROWS", 300)
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(1500, 6)).round(1).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(6)
+    d = np.sqrt(((v[:, None].astype(np.float64) - v[None]) ** 2).sum(2))
+    out = an.knn_exact(df, df, k)
+    got = {(r["query_id"], r["rank"]): (r["bank_id"], round(r["distance"], 9)) for r in out.collect()}
+    want = {}
+    for i in range(len(v)):
+        for rank, j in enumerate(np.lexsort((np.arange(len(v)), d[i]))[:k]):
+            want[i, rank + 1] = (int(j), round(float(d[i][j]), 9))
+    assert got == want

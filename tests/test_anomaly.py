@@ -189,3 +189,19 @@ def test_a_search_is_dealt_over_cells(spark, monkeypatch, k):
         for rank, j in enumerate(np.lexsort((np.arange(len(v)), d[i]))[:k]):
             want[i, rank + 1] = (int(j), round(float(d[i][j]), 9))
     assert got == want
+
+
+def test_frontiers_are_merged_before_the_driver(spark, vectors, monkeypatch):
+    """A collected sort with a limit sends the limit from every partition; below a coalesce executors merge first."""
+    _, df = vectors
+    kind, plans = type(df), []
+    real = kind.collect
+
+    def collect(self):
+        if "gap" in self.columns:
+            plans.append(self._jdf.queryExecution().sparkPlan().toString())
+        return real(self)
+
+    monkeypatch.setattr(kind, "collect", collect)
+    assert an.coreset_greedy(df, 0.2, frontier=16).count() == 48
+    assert plans and all(p.startswith("Coalesce 1") and "TakeOrdered" in p for p in plans)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from inspectlake.operators.asof import next_after
-from inspectlake.operators.ordered import HOT_GROUP_ROWS, Ordered, largest_group
+from inspectlake.operators.ordered import HOT_GROUP_ROWS, Ordered
 
 # Fixed values.
 ALERT_EVENTS = [
@@ -257,18 +257,15 @@ def tact_rate(events: DataFrame, keys: list[str], time_us: str, id_col: str, win
     """Results of the trailing ``window_s`` seconds, both ends included, at each result."""
     span = window_s * 1_000_000
     limit = HOT_GROUP_ROWS if hot_rows is None else hot_rows
-    if largest_group(events, keys) <= limit:
-        trailing = Window.partitionBy(*keys).orderBy(time_us).rangeBetween(-span, 0)
-        return events.withColumn("tact_rate", F.count("*").over(trailing))
-    # A hot line: each result also expires once; the running balance is the count.
+    # Each result also expires once; the running balance is the count.  A range frame would count its rows anew at each.
     row = F.struct(*[F.col(c) for c in events.columns]).alias("_row")
     enter = events.select(*keys, F.col(time_us).alias("_t"), F.lit(0).alias("_kind"), F.col(id_col).alias("_id"), F.lit(1).alias("_d"), row)
     leave = enter.select(*keys, (F.col("_t") + span).alias("_t"), F.lit(1).alias("_kind"), "_id", F.lit(-1).alias("_d"), F.lit(None).cast(enter.schema["_row"].dataType).alias("_row"))
     balance = Ordered(enter.unionByName(leave), keys, ["_t", "_kind", "_id"], limit).running(tact_rate=("sum", F.col("_d")))
     rows = balance.result().where(F.col("_kind") == 0)
     # Results of the same microsecond see each other.
-    peers = rows.groupBy(*keys, "_t").agg(F.max("tact_rate").alias("tact_rate"))
-    return rows.drop("tact_rate").join(peers, [*keys, "_t"]).select("_row.*", "tact_rate")
+    peers = F.max("tact_rate").over(Window.partitionBy(*keys, "_t"))
+    return rows.withColumn("tact_rate", peers).select("_row.*", "tact_rate")
 
 
 def log_tail(log: DataFrame, newest_first: list[Column], limit: int = 500) -> DataFrame:

@@ -1,5 +1,6 @@
 """Event rules on hand-made rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from inspectlake.functions import text
@@ -85,3 +86,12 @@ def test_names(spark):
     df = spark.createDataFrame([(2, 13, 1_700_000_000_000_042, "a b/ü-é_1")], "d int, e int, us long, n string")
     r = df.select(text.decision_name("d"), text.error_name("e"), text.manual_serial("us"), text.safe_name("n"), text.safe_path_name("n")).first()
     assert tuple(r) == ("NG", "ConfigurationError", "MANUAL_20231114221320000042", "a_b_ü-é_1", "a_b__-__1")
+
+
+@pytest.mark.parametrize("hot_rows", [None, 2])
+def test_tact_rate_keeps_rows_without_time_or_line(spark, rows, hot_rows):
+    """Rows without a time see each other, as under a range frame; none is lost in either way."""
+    data = [("a", 1, 0), ("a", 2, 60_000_000), ("a", 3, 60_000_001), ("a", 4, 60_000_001), ("a", 5, None), ("a", 6, None), (None, 7, 5)]
+    df = spark.createDataFrame(data, "line string, id long, ts long")
+    out = ev.tact_rate(df, ["line"], "ts", "id", 60, hot_rows)
+    assert {r["id"]: r["tact_rate"] for r in out.collect()} == {1: 1, 2: 2, 3: 3, 4: 3, 5: 2, 6: 2, 7: 1}

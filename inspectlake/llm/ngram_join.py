@@ -13,11 +13,13 @@ Links are wanted for components, so copies and large groups are not expanded int
 1. rows with equal sets become one node;
 2. every node is paired with the smallest node under any of its shingles, then under each shingle every component with the
    smallest node there; pairs are verified exactly, and links are tied together;
-3. only shingles under which several components remain are joined pair by pair, through an R-tree of their points, and
+3. under shingles with many nodes, every node is paired with the one that most others there may be linked with, once in a
+   round, so that a large group of near copies is tied by as many pairs as it has nodes;
+4. only shingles under which several components remain are joined pair by pair, through an R-tree of their points, and
    survivors of the bound are verified.  After that no link between different components can exist.
-Large cells of step 3 are joined block by block, so that no task holds an unbounded group.  The
-tree has 64 coordinates; pairs that pass it are bounded once more by finer groups, about an eighth of the set's size, for
-in 64 groups the counts of large sets are all alike.
+Large cells of step 4 are joined block by block, so that no task holds an unbounded group.  The
+tree has 64 coordinates; pairs that pass it are bounded once more by finer groups, four or more for each shingle of the
+set up to FINE_GROUPS, for in 64 groups the counts of large sets are all alike.
 """
 
 from __future__ import annotations
@@ -46,6 +48,9 @@ FANOUT = 16
 #: A row of a cell carries so many of its node's keys before the cell's, and a vector of so many groups at most.
 KEYS_BEFORE = 32
 CELL_GROUPS = 256
+#: Cells with more rows carry fine vectors, and their nodes look for a partner in so many rounds before pairs are joined.
+HOT_ROWS = 256
+HUB_ROUNDS = 3
 
 
 def need(size_a, size_b):
@@ -77,33 +82,33 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
 def _points(frequent: np.ndarray):
     def work(batch: pa.RecordBatch) -> dict:
-        sizes, prints, vectors, small, prefixes = [], [], [], [], []
+        sizes, prints, fine, small, prefixes = [], [], [], [], []
         for text in as_bytes(batch["text"]):
             found = shingle_set(text)
             n = len(found)
             sizes.append(n)
             prints.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if n else None)
-            groups = min(FINE_GROUPS, max(GROUPS, 1 << (n // 8).bit_length()))
-            vectors.append(_counts(found, groups))
-            small.append(_counts(found, CELL_GROUPS) if groups > CELL_GROUPS else vectors[-1])
+            fine.append(_counts(found, min(FINE_GROUPS, max(GROUPS, 1 << (4 * n).bit_length()))))
+            small.append(_counts(found, min(CELL_GROUPS, max(GROUPS, 1 << (n // 8).bit_length()))))
             if len(frequent) and n:
                 at = np.searchsorted(frequent, found)
                 at[at == len(frequent)] = 0
                 common = frequent[at] == found
                 found = np.concatenate([found[~common], found[common]])
             prefixes.append(found[: n // 5 + 1])
-        return {"uid": batch["uid"], "doc_id": batch["doc_id"], "n": sizes, "print": prints, "vec": vectors, "small": small, "keys": _lists(prefixes), "key": batch["key"]}
+        return {"uid": batch["uid"], "doc_id": batch["doc_id"], "n": sizes, "print": prints, "fine": fine, "small": small, "keys": _lists(prefixes), "key": batch["key"]}
 
     return work
 
 
 def _counts(found: np.ndarray, groups: int) -> bytes:
     counts = np.bincount((found & np.uint64(groups - 1)).astype(np.intp), minlength=groups)
-    return b"2" + counts.astype("<u2").tobytes() if len(found) < 65536 else b"4" + counts.astype("<u4").tobytes()
+    width = 1 if counts.max() < 256 else 2 if counts.max() < 65536 else 4
+    return b"%d" % width + counts.astype(f"<u{width}").tobytes()
 
 
 def _vector(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u2" if raw[:1] == b"2" else "<u4", offset=1).astype(np.int32)
+    return np.frombuffer(raw, f"<u{raw[:1].decode()}", offset=1).astype(np.int32)
 
 
 def _fold(x: np.ndarray, groups: int) -> np.ndarray:
@@ -117,6 +122,21 @@ def most_shared(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.minimum(_fold(x, groups), _fold(y, groups)).sum())
 
 
+def all_shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """``most_shared`` of every x with every y, folded to the fewest groups among them.
+
+    The lesser of two counts is the number of levels that both reach, so the sum of minima is a sum of matrix products.
+    """
+    groups = min(len(v) for v in (*x, *y))
+    x, y = (np.stack([_fold(v, groups) for v in z]) for z in (x, y))
+    out, level = np.zeros((len(x), len(y)), np.float32), 1
+    while len(at := np.flatnonzero((x.max(axis=0) >= level) & (y.max(axis=0) >= level))):
+        x, y = x[:, at], y[:, at]
+        out += (x >= level).astype(np.float32) @ (y >= level).astype(np.float32).T
+        level += 1
+    return out
+
+
 class RTree:
     """Count vectors in sorted tiles; each level keeps the upper corner and the smallest size of its nodes."""
 
@@ -178,12 +198,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
     Null and blank texts have the empty set, link with nothing and are their own component; their component_id is their
     doc_id.  Rows with equal sets are linked.  Null ids are passed over when the smallest id of a component is taken.
     """
-    kinds = "uid long, doc_id long, n int, print binary, vec binary, small binary, keys array<long>, key struct<k1: bigint, k2: bigint>"
+    kinds = "uid long, doc_id long, n int, print binary, fine binary, small binary, keys array<long>, key struct<k1: bigint, k2: bigint>"
     points = written(map_arrow(docs.select("uid", "doc_id", "text", content_key(F.col("text")).alias("key")), kinds, _points(_frequent(docs))), "points")
     nodes = points.where("n > 0").groupBy("print").agg(F.min_by(F.struct("uid", "keys"), "uid").alias("x")).select(F.col("x.uid").alias("node"), F.explode("x.keys").alias("key"))
     cells = nodes.select("key", "node").repartition("key").sortWithinPartitions("key", "node")
     shared = written(cells.mapInArrow(_leaders, "key long, node long, leader long"), "cells")
-    vectors = points.select(F.col("uid").alias("node"), "n", "vec")
+    vectors = points.select(F.col("uid").alias("node"), "n", F.col("fine").alias("vec"))
 
     def tried(pairs: DataFrame) -> DataFrame:
         fit = written(_bounded(pairs, vectors), "pairs")
@@ -203,18 +223,34 @@ def near_groups(docs: DataFrame) -> DataFrame:
     second = written(per.join(lead, "key").where("a <> b").select("a", "b").distinct().join(lone, ["a", "b"], "left_anti"), "second")
     links = links.unionByName(tried(second))
     roots = tie(links)
+    known = lone.unionByName(second)
+
+    def mixed(left: DataFrame) -> DataFrame:
+        return left.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi and rows > 2").select("key", "rows")
+
+    # Under shingles with many nodes, each with the one that most may be linked with; what fails is left to the join below.
+    hubs: list[DataFrame] = []
+    for _ in range(HUB_ROUNDS):
+        left = placed(roots)
+        hot = left.join(mixed(left).where(F.col("rows") > HOT_ROWS), "key").join(vectors, "node")
+        hubs.append(written(_hub_pairs(hot).join(known, ["a", "b"], "left_anti"), "hubs"))
+        more = tried(hubs[-1])
+        if not more.limit(1).count():
+            break
+        known, links = known.unionByName(hubs[-1]), links.unionByName(more)
+        roots = tie(links)
     # What is left under shingles that still have several components; with two nodes, their pair was tried above.
     left = placed(roots)
-    mixed = left.groupBy("key").agg(F.count("*").alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi and rows > 2").select("key", "rows")
     # The keys of a node just before a cell's travel with it: two nodes that share one of these meet there already.  Most
     # pairs are so given once, and a row stays small however many keys its node has; the rest is made distinct.
-    light = points.select(F.col("uid").alias("node"), "n", F.col("small").alias("vec"))
-    rest = left.join(mixed, "key").groupBy("node", "root").agg(F.sort_array(F.collect_list(F.struct("key", "rows"))).alias("cells")).join(light, "node")
+    light = points.select(F.col("uid").alias("node"), "n", F.col("small").alias("vec"), "fine")
+    rest = left.join(mixed(left), "key").groupBy("node", "root").agg(F.sort_array(F.collect_list(F.struct("key", "rows"))).alias("cells")).join(light, "node")
     before = F.slice(F.col("cells.key"), F.greatest(F.col("i") - KEYS_BEFORE, F.lit(0)) + 1, F.least("i", F.lit(KEYS_BEFORE)))
-    rest = rest.select("node", "root", "n", "vec", "cells", F.posexplode("cells").alias("i", "c")).select("node", "root", "n", "vec", before.alias("before"), "c.key", "c.rows")
-    pairs = _bounded(_tree_join(rest).distinct().join(lone.unionByName(second), ["a", "b"], "left_anti"), vectors)
+    rest = rest.select("node", "root", "n", "vec", "fine", "cells", F.posexplode("cells").alias("i", "c"))
+    rest = rest.select("node", "root", "n", "vec", F.when(F.col("c.rows") > HOT_ROWS, F.col("fine")).alias("fine"), before.alias("before"), "c.key", "c.rows")
+    pairs = _bounded(_tree_join(rest).distinct().join(known, ["a", "b"], "left_anti"), vectors)
     pairs = written(pairs, "pairs")
-    discard(shared, second)
+    discard(shared, second, *hubs)
     more = verify(pairs, docs, points)
     discard(pairs)
     if more.limit(1).count():
@@ -241,6 +277,59 @@ def _bounded(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return map_arrow(both, "a long, b long", work)
 
 
+def _hub_pairs(hot: DataFrame) -> DataFrame:
+    """Each node of the cells (key, node, root, n, vec, rows) with one of another root that it may be linked with: (a, b).
+
+    It is the one that most nodes of its cell may be linked with, so that few of them draw a whole group together.  A block
+    of a big cell meets itself and the first block, as this only prepares the join of all that is left.
+    """
+    blocks = hot.withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0), F.col("own")))
+    cells = blocks.withColumn("other", F.explode(met)).select("key", F.greatest("own", "other").alias("hi"), "own", "node", "root", "n", "vec")
+    cells = cells.repartition("key", "hi").sortWithinPartitions("key", "hi", "node")
+
+    def partners(cell: list[tuple]) -> list[tuple]:
+        own, node, root, size = (np.array([r[i] for r in cell]) for i in (2, 3, 4, 5))
+        if (root == root[0]).all():
+            return []
+        vectors, out = [_vector(r[6]) for r in cell], []
+        for at, to in {(0, cell[0][1]), (cell[0][1], cell[0][1])}:
+            x, y = np.flatnonzero(own == at), np.flatnonzero(own == to)
+            if not len(x) or not len(y):
+                continue
+            fit = all_shared([vectors[i] for i in x], [vectors[i] for i in y]) >= need(size[x][:, None], size[y][None])
+            fit &= 5 * np.minimum(size[x][:, None], size[y][None]) >= 4 * np.maximum(size[x][:, None], size[y][None])
+            for a, b, may in ((x, y, fit), (y, x, fit.T)):
+                many = may.sum(axis=0)
+                open_ = np.where(may & (root[a][:, None] != root[b][None]), many[None], 0)
+                best = open_.argmax(axis=1)
+                some = np.flatnonzero(open_.max(axis=1))
+                out += zip(node[a[some]].tolist(), node[b[best[some]]].tolist(), many[best[some]].tolist())
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _cells(batches, ("key", "hi", "own", "node", "root", "n", "vec"), 2):
+            if found := partners(cell):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["node", "other", "many"])
+
+    found = cells.mapInArrow(run, "node long, other long, many long").groupBy("node").agg(F.max(F.struct("many", -F.col("other"))).alias("best"))
+    other = -F.col("best.col2")
+    return found.select(F.least("node", other).alias("a"), F.greatest("node", other).alias("b")).distinct()
+
+
+def _cells(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], keys: int) -> Iterator[list[tuple]]:
+    """Rows that follow one another with the same first ``keys`` columns."""
+    cell: list[tuple] = []
+    for batch in batches:
+        for row in zip(*[batch[k].to_pylist() for k in names]):
+            if cell and cell[0][:keys] != row[:keys]:
+                yield cell
+                cell = []
+            cell.append(row)
+    if cell:
+        yield cell
+
+
 def _tree_join(rest: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of different roots whose points pass the bound; big cells are joined in blocks.
 
@@ -249,7 +338,7 @@ def _tree_join(rest: DataFrame) -> DataFrame:
     """
     blocks = rest.withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cells = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "root", "n", "vec", "before"
+        "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "root", "n", "vec", "before", "fine"
     )
     cells = cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
 
@@ -264,27 +353,19 @@ def _tree_join(rest: DataFrame) -> DataFrame:
         if not len(left) or not len(right):
             return []
         q, p = RTree(points[right], size[right]).search(points[left], size[left])
+        fit = (root[left[q]] != root[right[p]]) & (5 * np.minimum(size[left[q]], size[right[p]]) >= 4 * np.maximum(size[left[q]], size[right[p]]))
+        if cell[0][9] is not None and fit.any():
+            fine = [_vector(r[9]) for r in cell]
+            fit &= all_shared([fine[i] for i in left], [fine[i] for i in right])[q, p] >= need(size[left[q]], size[right[p]])
         q, p = left[q], right[p]
-        fit = (root[q] != root[p]) & (5 * np.minimum(size[q], size[p]) >= 4 * np.maximum(size[q], size[p]))
         pairs = {(min(x, y), max(x, y)): (i, j) for x, y, i, j in zip(node[q[fit]].tolist(), node[p[fit]].tolist(), q[fit].tolist(), p[fit].tolist())}
         sets = [frozenset(r[8]) for r in cell]
         return [pair for pair, (i, j) in pairs.items() if sets[i].isdisjoint(sets[j]) and most_shared(vectors[i], vectors[j]) >= need(size[i], size[j])]
 
-    names = ("key", "lo", "hi", "own", "node", "root", "n", "vec", "before")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell: list[tuple] = []
-        for batch in batches:
-            found = []
-            for row in zip(*[batch[k].to_pylist() for k in names]):
-                if cell and cell[0][:3] != row[:3]:
-                    found += join(cell)
-                    cell = []
-                cell.append(row)
-            if found:
+        for cell in _cells(batches, ("key", "lo", "hi", "own", "node", "root", "n", "vec", "before", "fine"), 3):
+            if found := join(cell):
                 yield _pairs(found)
-        if cell and (found := join(cell)):
-            yield _pairs(found)
 
     return cells.mapInArrow(run, "a long, b long")
 

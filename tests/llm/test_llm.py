@@ -74,6 +74,26 @@ def test_near_groups_against_brute_force(spark, monkeypatch):
     assert got == brute_components(texts)
 
 
+@pytest.mark.parametrize("block", [2048, 100])
+def test_a_large_group_of_near_copies_is_not_paired_with_itself(spark, monkeypatch, block):
+    """Each copy changes another word, so most are linked with the original only, which has the largest id."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
+    tried, plain = [], ngram_join.verify
+    monkeypatch.setattr(ngram_join, "verify", lambda pairs, *more: (tried.append(pairs.count()), plain(pairs, *more))[1])
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*base[: i % 60], f"x{i}", *base[i % 60 + 1 :]]) for i in range(420)] + [" ".join(base)]
+    got = {r.doc_id: r.component_id for r in ngram_join.near_groups(numbered(documents(spark, texts))).collect()}
+    assert got == dict.fromkeys(range(len(texts)), 0)
+    assert sum(tried) < 8 * len(texts)
+
+
+def test_sums_of_minima_of_all_pairs():
+    draw = np.random.default_rng(6)
+    x, y = ([draw.poisson(1.5, groups) for groups in sizes] for sizes in ((64, 256, 128), (256, 64)))
+    want = [[ngram_join.most_shared(ngram_join._fold(a, 64), ngram_join._fold(b, 64)) for b in y] for a in x]
+    assert ngram_join.all_shared(x, y).tolist() == want
+
+
 def test_near_dedup_of_odd_rows(spark, odd):
     kept = ngram_join.near_dedup(odd)
     assert kept.columns == odd.columns

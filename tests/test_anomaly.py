@@ -47,6 +47,20 @@ def test_ivf_finds_most_neighbours(vectors):
     assert every == exact
 
 
+def test_ivf_sends_a_query_once_a_slot(vectors, monkeypatch):
+    """However many cells it visits; more slots and buckets change nothing."""
+    data, df = vectors
+    sent, plain = [], an._join_blocks
+    monkeypatch.setattr(an, "_join_blocks", lambda q, *more: (sent.append(q.selectExpr("sum(size(ids))").first()[0]), plain(q, *more))[1])
+    pairs = lambda: sorted((r["query_id"], r["rank"], r["bank_id"]) for r in an.knn_ivf(df, df, 3, probes=8).collect())
+    one = pairs()
+    assert sent[-1] == df.count()
+    monkeypatch.setattr(an, "SLOT_ROWS", df.count() // 3 + 1)
+    monkeypatch.setattr(an, "BLOCK_ROWS", 5)
+    assert pairs() == one
+    assert sent[-1] == 3 * df.count()
+
+
 @pytest.mark.parametrize("shape", ["spread", "clustered"])
 def test_ivf_default_reaches_its_recall(spark, shape):
     """The number of probes follows the data: many cells where vectors have no structure, few where they have."""

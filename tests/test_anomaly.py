@@ -86,6 +86,15 @@ def test_grid_cells_and_groups(spark):
         assert [b for i, _, b in grouped if i == q] == near
 
 
+def test_a_task_gets_one_cell_of_the_grid(vectors):
+    _, df = vectors
+    blocks = an.pack_vectors(df, "vec_id", "embedding", rows=4)
+    *sides, on = an._grid(blocks, blocks, [], 3, 4)
+    for side in sides:
+        dealt = {tuple(r) for r in side.select(F.spark_partition_id(), *on).distinct().collect()}
+        assert len(dealt) == len({task for task, _ in dealt}) == 12
+
+
 def brute_greedy(data, keep):
     picks = [0]
     gap = ((data - data[0]) ** 2).sum(1)

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from inspectlake.llm.common import as_bytes, column, content_key, discard, keep_rows, map_arrow, tie, written
+from inspectlake.llm.common import as_bytes, column, content_key, discard, keep_rows, map_arrow, shuffles_removed, tie, written
 from inspectlake.llm.naming import numbered
 from inspectlake.llm.shingles import shingle_set
 
@@ -76,7 +76,8 @@ def _frequent(docs: DataFrame) -> np.ndarray:
     sample = docs.where(F.pmod(F.xxhash64("uid"), F.lit(1_000_003)) < int(share * 1_000_003) + 1).select("uid", "text")
     least = max(8, int(FREQUENT * min(total, ORDER_SAMPLE)))
     counts = map_arrow(sample, "uid long, shingles array<long>", _sets).select(F.explode("shingles").alias("s")).groupBy("s").count()
-    rows = counts.where(F.col("count") >= least).select("s").toPandas()
+    with shuffles_removed(docs.sparkSession):
+        rows = counts.where(F.col("count") >= least).select("s").toPandas()
     return np.sort(rows["s"].to_numpy(np.int64).view(np.uint64))
 
 

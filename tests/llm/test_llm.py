@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from inspectlake.llm import chat, decontam, langid, naming, ngram_join, pieces, pii, sitetree, toxicity, warc
-from inspectlake.llm.common import tie
+from inspectlake.llm.common import tie, written
 from inspectlake.llm.naming import numbered
 
 FOLDER = "/root/testdata/sf0.001"
@@ -112,6 +114,18 @@ def test_tree_loses_nothing():
     assert found == want
 
 
+def test_written_tables_leave_no_shuffle_files(spark):
+    folders = [str(f) for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {name for top in folders for _, _, names in os.walk(top) for name in names if name.startswith("shuffle_")}
+    before = files()
+    held = [tie(spark.range(200).selectExpr("id a", "id + 1 b")), written(spark.range(200).groupBy(F.col("id") % 7).count(), "counts")]
+    for _ in range(100):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert held and not left
+
+
 def test_tie(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 90), (95, 100)], "a long, b long")
     roots = {r.id: r.root for r in tie(links).collect()}

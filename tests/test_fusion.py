@@ -60,6 +60,16 @@ def test_equal_scores_keep_the_input_order(spark):
             assert [(r["x0"], r["overflow"]) for r in out] == [(pair[0][0], 1)]
 
 
+def test_candidates_equal_but_for_thresholds_in_any_order(spark):
+    rows = [("r", 0, 0, 9, 9, 0.9, ["A"], low, high, 0) for low, high in ((0.3, 0.9), (0.3, None), (None, 0.9), (None, None), (0.2, 0.95))]
+    for limit in (None, 1):
+        found = set()
+        for given in (rows, rows[::-1], rows[2:] + rows[:2]):
+            out = fu.merge_candidates(spark.createDataFrame(given, SCHEMA).coalesce(1), ["r"], ["ordinal"], hot_rows=limit).collect()
+            found |= {(len(out), o["recheck_score"], o["ng_score"], o["suppressed"]) for o in out}
+        assert found == {(1, None, None, 4)}
+
+
 def test_hot_region_matches_brute_force(spark):
     rng = random.Random(5)
     items = []

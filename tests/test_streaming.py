@@ -160,3 +160,46 @@ def test_streams_that_wait_run_in_any_session(spark):
         assert spark.conf.get(name) == plain
     finally:
         spark.conf.set(name, before)
+
+
+def test_many_keys_cost_few_calls():
+    """A bucket of 5000 keys appends once, sets one timer, and is settled by one call."""
+    import json
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from inspectlake.streaming.stateful import ANSWER, ASK, _Waiting
+
+    calls, blocks, timers = [], [], []
+    state = SimpleNamespace(
+        appendValue=lambda value: (calls.append("append"), blocks.append(value)), get=lambda: iter(blocks),
+        put=lambda values: (calls.append("put"), blocks.__setitem__(slice(None), values)), clear=lambda: (calls.append("clear"), blocks.clear()))
+    handle = SimpleNamespace(getListState=lambda *_: state, listTimers=lambda: iter(timers), registerTimer=lambda t: (calls.append("timer"), timers.append(t)), deleteTimer=timers.remove)
+    waiting = _Waiting(10_000_000, True, False)
+    waiting.init(handle)
+    rows = [(f'{{"k":{k}}}', json.dumps([kind, at, k, None])) for k in range(5000) for kind, at in ((ASK, 1_000_000), (ANSWER, 3_000_000 + k))]
+    at = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    assert list(waiting.handleInputRows((7,), iter([pd.DataFrame(rows, columns=["who", "what"])]), at(0))) == []
+    assert calls == ["append", "timer"] and timers == [3001]
+    (part,) = waiting.handleExpiredTimer((7,), at(3002), None)
+    assert len(part) == 2001 and calls[2:] == ["put", "timer"]
+    timers.remove(3001)
+    (rest,) = waiting.handleExpiredTimer((7,), at(60_000), None)
+    assert len(rest) == 2999 and calls[4:] == ["clear"] and list(rest["answer_us"])[-1] == 3_004_999
+
+
+def test_waiting_keeps_odd_keys_and_numbers(spark, tmp_path):
+    """Null keys meet each other, long numbers beside nulls stay exact, a question or answer without a time has no match."""
+    from inspectlake.streaming.stateful import first_answers
+
+    big, s = (1 << 62) + 1, 1_000_000
+    asks = [("a\"\\\n", big, BASE, big), (None, big, BASE, None), (None, None, BASE, 5), ("t", 1, None, 6), ("u", 1, BASE, 7)]
+    answers = [("a\"\\\n", big, BASE + s, big + 2, "x\"\n"), (None, big, BASE + s, None, None), (None, None, BASE, big, "y"), ("t", 1, BASE, 1, "z"), ("u", 1, None, 1, "z")]
+    for name, data, schema in (("a", asks, "s string, k long, at_us long, ask_id long"), ("r", answers, "s string, k long, at_us long, ask_id long, d string")):
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}/p0")
+    read = lambda name, extra="": spark.readStream.schema("s string, k long, at_us long, ask_id long" + extra).parquet(f"{tmp_path}/{name}/*")
+    out = st.to_table(first_answers(read("a"), read("r", ", d string"), ["s", "k"], 10 * s, "1 second", F.col("d"), ticks=tick(spark, str(tmp_path / "t"), after=1)), "t-odd")
+    got = sorted((tuple(r)[:7] for r in out.select("s", "k", "at_us", "ask_id", "answer_us", "answer_id", "detail").collect()), key=str)
+    want = [("a\"\\\n", big, BASE, big, BASE + s, big + 2, "x\"\n"), (None, big, BASE, None, BASE + s, None, None), (None, None, BASE, 5, BASE, big, "y"), ("t", 1, None, 6, None, None, None), ("u", 1, BASE, 7, None, None, None)]
+    assert got == sorted(want, key=str)

@@ -50,6 +50,8 @@ KEYS_BEFORE = 32
 CELL_GROUPS = 256
 #: Cells with more rows carry fine vectors, and their nodes look for a partner in so many rounds before pairs are joined.
 HOT_ROWS = 256
+#: Rows of cells that a task joins at once.
+CELL_ROWS = 8192
 HUB_ROUNDS = 3
 
 
@@ -139,36 +141,68 @@ def all_shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 
 
 class RTree:
-    """Count vectors in sorted tiles; each level keeps the upper corner and the smallest size of its nodes."""
+    """Count vectors of many cells in sorted tiles; each level keeps the upper corner and the sizes of its nodes.
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
+    A cell is a subtree of its own: no tile reaches over two of them.  ``cells`` (0, 1, ...) tell whose a point is.
+    """
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, cells: np.ndarray | None = None, groups: np.ndarray | None = None):
+        cells = np.zeros(len(points), np.int64) if cells is None else cells
+        groups = np.arange(len(points)) if groups is None else groups
         widest = np.argsort(-points.var(axis=0))[:2]
-        slab = np.argsort(np.argsort(sizes, kind="stable")) // (FANOUT * FANOUT)
-        self.order = np.lexsort((points[:, widest[1]], points[:, widest[0]], slab))
-        corner, least = points[self.order], sizes[self.order]
-        self.levels = [(corner, least)]
-        while len(corner) > FANOUT:
-            cuts = np.arange(0, len(corner), FANOUT)
-            corner, least = np.maximum.reduceat(corner, cuts), np.minimum.reduceat(least, cuts)
-            self.levels.append((corner, least))
-
-    def search(self, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, point) pairs whose summed minima reach the overlap they need."""
-        corner, least = self.levels[-1]
-        q, node = (x.ravel() for x in np.meshgrid(np.arange(len(points)), np.arange(len(corner)), indexing="ij"))
+        counts = np.bincount(cells) if len(cells) else np.zeros(1, np.int64)
+        by_size = np.lexsort((sizes, cells))
+        slab = np.empty(len(cells), np.int64)
+        slab[by_size] = (np.arange(len(cells)) - np.repeat(np.cumsum(counts) - counts, counts)) // (FANOUT * FANOUT)
+        self.order = np.lexsort((points[:, widest[1]], points[:, widest[0]], slab, cells))
+        corner, least, most = points[self.order], sizes[self.order], sizes[self.order]
+        self.groups = groups[self.order]
+        self.levels = [(corner, least, most, np.cumsum(counts) - counts, counts)]
+        while counts.max() > FANOUT:
+            inner = np.arange(len(corner)) - np.repeat(np.cumsum(counts) - counts, counts)
+            cuts = np.flatnonzero(inner % FANOUT == 0)
+            corner, least, most = np.maximum.reduceat(corner, cuts), np.minimum.reduceat(least, cuts), np.maximum.reduceat(most, cuts)
+            counts = -(-counts // FANOUT)
+            self.levels.append((corner, least, most, np.cumsum(counts) - counts, counts))
+
+    def search(self, points: np.ndarray, sizes: np.ndarray, cells: np.ndarray | None = None, groups: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, point) pairs of one cell, and of different groups if there are any, whose sizes and summed minima allow the overlap they need."""
+        cells = np.zeros(len(points), np.int64) if cells is None else cells
+        groups = np.full(len(points), -1) if groups is None else groups
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        # Queries in runs, so that what is open at a time does not follow the square of a cell.
+        for at in range(0, len(points), 1 << 12):
+            found.append(self._descend(np.arange(at, min(len(points), at + (1 << 12))), points, sizes, cells, groups))
+        q, p = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        return q, self.order[p]
+
+    def _descend(self, q, points, sizes, cells, groups) -> tuple[np.ndarray, np.ndarray]:
+        _, _, _, starts, counts = self.levels[-1]
+        q, node = _spread(q, starts[cells[q]], counts[cells[q]])
         for depth in range(len(self.levels) - 1, -1, -1):
-            corner, least = self.levels[depth]
-            stay = []
+            corner, least, most, starts, _ = self.levels[depth]
+            n = sizes[q]
+            may = (5 * most[node] >= 4 * n) & (5 * n >= 4 * least[node])
+            if not depth:
+                may &= self.groups[node] != groups[q]
+            q, node = q[may], node[may]
+            stay = np.zeros(len(q), bool)
             for at in range(0, len(q), 1 << 15):
                 a, b = q[at : at + (1 << 15)], node[at : at + (1 << 15)]
-                stay.append(np.minimum(points[a], corner[b]).sum(axis=1) >= need(sizes[a], least[b]))
-            stay = np.concatenate(stay) if stay else np.array([], bool)
+                stay[at : at + (1 << 15)] = np.minimum(points[a], corner[b]).sum(axis=1) >= need(sizes[a], least[b])
             q, node = q[stay], node[stay]
             if depth:
-                below = len(self.levels[depth - 1][0])
-                q, node = np.repeat(q, FANOUT), (node[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-                q, node = q[node < below], node[node < below]
-        return q, self.order[node]
+                _, _, _, below, counts = self.levels[depth - 1]
+                own = cells[q]
+                first = (node - starts[own]) * FANOUT
+                q, node = _spread(q, below[own] + first, np.minimum(FANOUT, counts[own] - first))
+        return q, node
+
+
+def _spread(each: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``each`` with the numbers first, first + 1, ... first + count - 1 of its own."""
+    ends = np.cumsum(count)
+    return np.repeat(each, count), np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count - first, count)
 
 
 def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,37 +377,85 @@ def _tree_join(rest: DataFrame) -> DataFrame:
     )
     cells = cells.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
 
-    def join(cell: list[tuple]) -> list[tuple[int, int]]:
-        lo, hi = cell[0][1], cell[0][2]
-        own, node, root, size = (np.array([r[i] for r in cell]) for i in (3, 4, 5, 6))
-        if len(cell) < 2 or (root == root[0]).all():
-            return []
-        vectors = [_vector(r[7]) for r in cell]
-        points = np.stack([_fold(v, GROUPS) for v in vectors])
-        left, right = (np.flatnonzero(own == lo), np.flatnonzero(own == hi))
-        if not len(left) or not len(right):
-            return []
-        q, p = RTree(points[right], size[right]).search(points[left], size[left])
-        fit = (root[left[q]] != root[right[p]]) & (5 * np.minimum(size[left[q]], size[right[p]]) >= 4 * np.maximum(size[left[q]], size[right[p]]))
-        if cell[0][9] is not None and fit.any():
-            fine = [_vector(r[9]) for r in cell]
-            fit &= all_shared([fine[i] for i in left], [fine[i] for i in right])[q, p] >= need(size[left[q]], size[right[p]])
-        q, p = left[q], right[p]
-        pairs = {(min(x, y), max(x, y)): (i, j) for x, y, i, j in zip(node[q[fit]].tolist(), node[p[fit]].tolist(), q[fit].tolist(), p[fit].tolist())}
-        sets = [frozenset(r[8]) for r in cell]
-        return [pair for pair, (i, j) in pairs.items() if sets[i].isdisjoint(sets[j]) and most_shared(vectors[i], vectors[j]) >= need(size[i], size[j])]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in _cells(batches, ("key", "lo", "hi", "own", "node", "root", "n", "vec", "before", "fine"), 3):
-            if found := join(cell):
-                yield _pairs(found)
+        for table in _whole_cells(batches, ("key", "lo", "hi")):
+            found = _near_pairs(table)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
     return cells.mapInArrow(run, "a long, b long")
 
 
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    both = np.array(found, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+def _whole_cells(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Rows in runs of about CELL_ROWS that end where a cell ends: most cells are small, and each costs a call otherwise."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        for at in range(0, batch.num_rows, CELL_ROWS):
+            held.append(batch.slice(at, CELL_ROWS))
+            if sum(b.num_rows for b in held) < CELL_ROWS:
+                continue
+            table = pa.Table.from_batches(held)
+            _, starts = _cell_starts(table, keys)
+            if starts[-1]:
+                yield table.slice(0, starts[-1])
+            held = table.slice(starts[-1]).to_batches()
+    if held and sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
+
+
+def _cell_starts(table: pa.Table, keys: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    columns = [table[k].to_numpy() for k in keys]
+    new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)])
+    return np.cumsum(new) - 1, np.flatnonzero(new)
+
+
+def _near_pairs(table: pa.Table) -> np.ndarray:
+    """Pairs (a, b) of the nodes of whole cells that pass all bounds."""
+    cell, starts = _cell_starts(table, ("key", "lo", "hi"))
+    lo, hi, own, node, root, size = (table[k].to_numpy() for k in ("lo", "hi", "own", "node", "root", "n"))
+    size = size.astype(np.int64)
+    points = _counts_of(table["vec"].to_pylist())
+    left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+    # Cells of one block of each side only; numbers of cells are those of the tree.
+    q, p = RTree(points[GROUPS][0][right], size[right], cell[right], root[right]).search(points[GROUPS][0][left], size[left], cell[left], root[left]) if len(left) and len(right) else (left[:0], right[:0])
+    q, p = left[q], right[p]
+    # Within one block a pair is found from both sides.
+    once = (lo[q] != hi[q]) | (node[q] < node[p])
+    q, p = q[once], p[once]
+    for groups, (counts, has) in sorted(points.items())[1:]:
+        stay = ~(has[q] & has[p])
+        for at in range(0, len(q), 1 << 13):
+            part = slice(at, at + (1 << 13))
+            fits = np.minimum(counts[q[part]], counts[p[part]]).sum(axis=1, dtype=np.int64) >= need(size[q[part]], size[p[part]])
+            stay[part] |= fits
+        q, p = q[stay], p[stay]
+    if len(q):
+        before = table["before"].combine_chunks()
+        values, offsets = before.values.to_numpy(), before.offsets.to_numpy()
+        sets = {i: frozenset(values[offsets[i] : offsets[i + 1]].tolist()) for i in set(q.tolist()) | set(p.tolist())}
+        ok = np.array([sets[i].isdisjoint(sets[j]) for i, j in zip(q.tolist(), p.tolist())], bool)
+        q, p = q[ok], p[ok]
+    fine = {i: f for i in set(q.tolist()) | set(p.tolist()) if (f := table["fine"][i].as_py()) is not None}
+    if fine:
+        ok = [i not in fine or most_shared(_vector(fine[i]), _vector(fine[j])) >= n for i, j, n in zip(q.tolist(), p.tolist(), need(size[q], size[p]).tolist())]
+        q, p = q[np.array(ok, bool)], p[np.array(ok, bool)]
+    return np.unique(np.stack([np.minimum(node[q], node[p]), np.maximum(node[q], node[p])], axis=1), axis=0)
+
+
+def _counts_of(raw: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Counts by 64, 128, ... groups, and which rows have so many; vectors of one form are decoded together."""
+    forms: dict[tuple[int, bytes], list[int]] = {}
+    for i, x in enumerate(raw):
+        forms.setdefault((len(x), x[:1]), []).append(i)
+    out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for (_, width), at in forms.items():
+        vectors = np.frombuffer(b"".join([raw[i][1:] for i in at]), f"<u{width.decode()}").reshape(len(at), -1)
+        groups = vectors.shape[1]
+        while groups >= GROUPS:
+            counts, has = out.setdefault(groups, (np.zeros((len(raw), groups), np.int32), np.zeros(len(raw), bool)))
+            counts[at], has[at] = vectors.reshape(len(at), -1, groups).sum(axis=1, dtype=np.int32), True
+            groups //= 2
+    return out
 
 
 def _filter(codes: DataFrame, bits: int) -> np.ndarray:

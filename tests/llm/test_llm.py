@@ -10,6 +10,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -394,3 +395,33 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, FOLDER)
     ids = [r.doc_id for r in out.select("doc_id").collect()]
     assert 0 < len(ids) < 200 and len(ids) == len(set(ids))
+
+
+def test_one_tree_joins_many_cells(monkeypatch):
+    """Cells of 1 to 700 rows: the pairs are those of brute force, and small cells share a call."""
+    draw = np.random.default_rng(5)
+    rows, want = [], set()
+    for key, count in enumerate([1, 2, 3, 700, 17, 40] + [3] * 300):
+        base = draw.poisson(2, 256)
+        for i in range(count):
+            counts = draw.poisson(2, 256) if i % 3 else np.maximum(base - (draw.random(256) < 0.05 * (i % 5)), 0)
+            rows.append((key, 0, 0, 0, len(rows), len(rows) % 7, int(counts.sum()), b"1" + counts.astype(np.uint8).tobytes(), [], None))
+    by_key: dict = {}
+    for r in rows:
+        by_key.setdefault(r[0], []).append(r)
+    for cell in by_key.values():
+        counts, size = np.stack([np.frombuffer(r[7][1:], np.uint8) for r in cell]).astype(int), np.array([r[6] for r in cell])
+        for i, r in enumerate(cell):
+            near = (np.minimum(counts, counts[i]).sum(axis=1) >= ngram_join.need(size, size[i])) & (5 * np.minimum(size, size[i]) >= 4 * np.maximum(size, size[i]))
+            want |= {(r[4], cell[j][4]) for j in np.flatnonzero(near) if j > i and cell[j][5] != r[5]}
+    names = ["key", "lo", "hi", "own", "node", "root", "n", "vec", "before", "fine"]
+    types = [pa.int64()] * 6 + [pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
+    whole = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+    trees: list = []
+    tree = ngram_join.RTree.__init__
+    monkeypatch.setattr(ngram_join.RTree, "__init__", lambda self, *a: (trees.append(1), tree(self, *a))[1])
+    found = [ngram_join._near_pairs(t) for t in ngram_join._whole_cells(iter(whole.to_batches(max_chunksize=50)), ("key", "lo", "hi"))]
+    assert {tuple(p) for part in found for p in part.tolist()} == want and len(want) > 1000 and len(trees) <= 2
+    monkeypatch.setattr(ngram_join, "CELL_ROWS", 30)
+    found = [ngram_join._near_pairs(t) for t in ngram_join._whole_cells(iter(whole.to_batches(max_chunksize=50)), ("key", "lo", "hi"))]
+    assert {tuple(p) for part in found for p in part.tolist()} == want
